@@ -27,10 +27,11 @@ def balanced_join(many: DataFrame, one: DataFrame, on: Sequence[str], how: str =
     """
     on = list(on)
     hot = hot_keys(many, on, share).withColumn("_hot", F.lit(True))
-    spread = F.pmod(F.xxhash64(*[c for c in many.columns if c not in on]), F.lit(salts)).cast("int") \
-        if len(many.columns) > len(on) else F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    left = many.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
+    # The task number joins the hash so that full copies of a row spread too; unlike a row counter it
+    # is the same when a lost task is run again.
+    spread = F.pmod(F.xxhash64(*many.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
+    left = many.withColumn("_spread", spread).join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0))).drop("_hot", "_spread")
     right = one.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
                            )).drop("_hot")
