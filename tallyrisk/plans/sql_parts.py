@@ -15,8 +15,8 @@ TX = f"""
 base AS (SELECT row_number() OVER (ORDER BY {", ".join(TIME_ORDER)}) - 1 AS seq, {", ".join(FEATURES)},
            CAST(l_returnflag = 'R' AND l_discount >= CAST(0.09 AS DOUBLE) AND l_quantity >= 45 AS INTEGER) AS label
          FROM lineitem),
-cuts AS (SELECT count(*) AS n, floor(count(*)*CAST(0.7 AS DOUBLE)) AS c1,
-           floor(count(*)*(CAST(0.7 AS DOUBLE)+CAST(0.1 AS DOUBLE))) AS c2 FROM lineitem),
+cuts AS (SELECT count(*) AS n, CAST(floor(count(*)*CAST(0.7 AS DOUBLE)) AS BIGINT) AS c1,
+           CAST(floor(count(*)*(CAST(0.7 AS DOUBLE)+CAST(0.1 AS DOUBLE))) AS BIGINT) AS c2 FROM lineitem),
 tx AS (SELECT b.*, CASE WHEN seq < c1 THEN 'train' WHEN seq < c2 THEN 'val' ELSE 'test' END AS split,
          {_score(_LOGIT)} AS score_a, {_score(_LOGIT + " + l_extendedprice*1e-5")} AS score_b
        FROM base b, cuts)"""
