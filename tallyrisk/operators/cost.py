@@ -47,7 +47,7 @@ def quantile_thresholds(curve: DataFrame, points: int = GRID_POINTS, by: Sequenc
     high_cell = F.when(n == 1, F.lit(points - 1)).otherwise(F.least(to_cell + 1, F.lit(points - 1)))
     step = 1.0 / (points - 1)
     prob = F.when(F.col("cell") == points - 1, 1.0).otherwise(F.col("cell") * F.lit(step))
-    near = (curve.select(*by, GROUP, "score", "tp", "fp", n.alias("n"), first_rank.alias("a"), last_rank.alias("b"),
+    near = (curve.select(*by, GROUP, "score", "tp", "fp", "positives", n.alias("n"), first_rank.alias("a"), last_rank.alias("b"),
                          low_cell.alias("lo"), high_cell.alias("hi"),
                          ((n == 1) | (to_cell >= from_cell)).alias("near"))
             .filter(F.col("near") & (F.col("lo") <= F.col("hi")))
@@ -57,11 +57,12 @@ def quantile_thresholds(curve: DataFrame, points: int = GRID_POINTS, by: Sequenc
     covers = [F.when(edge("position").between(F.col("a"), F.col("b")), point) for edge in (F.floor, F.ceil)]
     ends = (near.withColumn("low", covers[0]).withColumn("high", covers[1])
             .filter(F.col("low").isNotNull() | F.col("high").isNotNull())
-            .groupBy(*by, GROUP, "cell", "position").agg(F.max("low").alias("low"), F.max("high").alias("high")))
+            .groupBy(*by, GROUP, "cell", "position", "positives", "n")
+            .agg(F.max("low").alias("low"), F.max("high").alias("high")))
     value = lerp_expr(F.col("low.score"), F.col("high.score"), F.col("position") - F.floor("position"))
     at_low = F.col("threshold") <= F.col("low.score")
     return ends.withColumn("threshold", value).select(
-        *by, GROUP, "threshold",
+        *by, GROUP, "threshold", "positives", "n",
         F.when(at_low, F.col("low.tp")).otherwise(F.col("high.tp")).alias("tp"),
         F.when(at_low, F.col("low.fp")).otherwise(F.col("high.fp")).alias("fp"))
 
@@ -69,18 +70,20 @@ def quantile_thresholds(curve: DataFrame, points: int = GRID_POINTS, by: Sequenc
 def fixed_thresholds(curve: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """tp and fp at or above each given threshold, per group."""
     grid = sorted(set(map(float, thresholds)))
+    n = F.col("positives") + F.col("negatives")
     binned = add_bins(curve, {"score": [float("-inf"), *grid, float("inf")]})
-    held = binned.groupBy(*by, GROUP, "score_bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # Bin i holds scores in [grid[i-1], grid[i]); empty bins are added so that every threshold shows.
-    wanted = held.select(*by, GROUP).distinct().select(
-        *by, GROUP, F.posexplode(double_array(grid)).alias("cell", "threshold")).select(
-        *by, GROUP, (F.col("cell") + 1).alias("score_bin"), "threshold",
-        F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
+    held = binned.groupBy(*by, GROUP, "positives", n.alias("n"), "score_bin").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # Bin i holds scores in [grid[i-1], grid[i]). A zero row per threshold makes empty bins show.
+    zero = F.lit(0).cast("long")
+    steps = F.posexplode(double_array(grid)).alias("cell", "threshold")
+    wanted = (held.select(*by, GROUP, "positives", "n").distinct().select("*", steps)
+              .withColumn("score_bin", F.col("cell") + 1).withColumn("pos", zero).withColumn("neg", zero).drop("cell"))
     per_step = (wanted.unionByName(held.filter("score_bin > 0").withColumn("threshold", F.lit(None).cast("double")))
-                .groupBy(*by, GROUP, "score_bin")
+                .groupBy(*by, GROUP, "positives", "n", "score_bin")
                 .agg(F.max("threshold").alias("threshold"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     above = Window.partitionBy(GROUP).orderBy(F.col("score_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per_step.select(*by, GROUP, "threshold", F.sum("pos").over(above).alias("tp"),
+    return per_step.select(*by, GROUP, "threshold", "positives", "n", F.sum("pos").over(above).alias("tp"),
                            F.sum("neg").over(above).alias("fp"))
 
 
@@ -88,7 +91,7 @@ def threshold_grid(curve: DataFrame, points: int = GRID_POINTS, by: Sequence[str
     """Distinct thresholds: score quantiles and a log-spaced grid, with tp and fp at each."""
     both = quantile_thresholds(curve, points, by).unionByName(
         fixed_thresholds(curve, decade_grid(LOG_FROM, LOG_TO, points), by))
-    return both.groupBy(*by, GROUP, "threshold").agg(F.max("tp").alias("tp"), F.max("fp").alias("fp"))
+    return both.groupBy(*by, GROUP, "positives", "n", "threshold").agg(F.max("tp").alias("tp"), F.max("fp").alias("fp"))
 
 
 def cost_expr(model: CostModel) -> Column:
@@ -101,9 +104,7 @@ def cost_curve(curve: DataFrame, model: CostModel = CostModel(), points: int = G
                by: Sequence[str] = (), thresholds: Sequence[float] | None = None) -> DataFrame:
     """threshold, cost, missed, flagged at every threshold of the grid; `cost` is not rounded."""
     grid = threshold_grid(curve, points, by) if thresholds is None else fixed_thresholds(curve, thresholds, by)
-    sizes = curve.filter(F.col("idx") == 0).select(
-        GROUP, "positives", (F.col("positives") + F.col("negatives")).alias("n"))
-    rows = grid.join(sizes, GROUP).select(
+    rows = grid.select(
         *by, GROUP, "threshold", "n", (F.col("positives") - F.col("tp")).alias("missed"),
         (F.col("tp") + F.col("fp")).alias("flagged"))
     return rows.select(*by, GROUP, "threshold", cost_expr(model).alias("cost"), "missed", "flagged")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrisk.functions.scalars import double_array, even_grid, psi_label, psi_term
@@ -43,21 +43,25 @@ def window_psi(df: DataFrame, columns: Sequence[str], window: str, reference: st
     if edges is None:
         edges = reference_edges(df.filter(F.col(window) == reference), columns, bins)
     counts = bin_counts(df, edges, [window])
-    sizes = counts.groupBy(window, "feature").agg(F.sum("rows").alias("total"))
-    held = {c: max(len(open_edges(e)) - 1, 1) for c, e in edges.items()}
-    every_bin = F.explode(F.map_from_arrays(
-        F.split(F.lit("\x1f".join(held)), "\x1f"), double_array([float(n) for n in held.values()])))
-    spark = df.sparkSession
-    grid = spark.range(1).select(every_bin.alias("feature", "bins")).select(
-        "feature", F.explode(F.sequence(F.lit(0), F.col("bins").cast("int") - 1)).alias("bin"))
-    share = counts.join(sizes, [window, "feature"]).select(
-        window, "feature", "bin", (F.col("rows") / F.col("total")).alias("share"))
-    ref = share.filter(F.col(window) == reference).select("feature", "bin", F.col("share").alias("ref_share"))
-    later = sizes.filter(F.col(window) != reference).select(window, "feature")
-    filled = (later.join(grid, "feature").join(share, [window, "feature", "bin"], "left")
-              .join(ref, ["feature", "bin"], "left"))
-    term = psi_term(F.coalesce("share", F.lit(0.0)), F.coalesce("ref_share", F.lit(0.0)))
-    return filled.groupBy(window, "feature").agg(F.sum(term).alias("psi"))
+    held = counts.groupBy(window, "feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "rows"))).alias("held"), F.sum("rows").alias("total"))
+    per_feature = Window.partitionBy("feature")  # one row per window
+    is_reference = F.col(window) == reference
+    beside = held.select(
+        window, "feature", "held", "total",
+        F.max_by("held", F.when(is_reference, 1)).over(per_feature).alias("ref_held"),
+        F.max(F.when(is_reference, F.col("total"))).over(per_feature).alias("ref_total"))
+    names = list(edges)
+    cells = F.map_from_arrays(F.split(F.lit("\x1f".join(names)), "\x1f"),
+                              double_array([max(len(open_edges(edges[c])) - 1, 1) for c in names]))
+    last_bin = F.element_at(cells, F.col("feature")).cast("int") - 1
+
+    def share(of: str, total: str, i: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col(of), i), F.lit(0)) / F.col(total)
+
+    value = F.aggregate(F.sequence(F.lit(0), last_bin), F.lit(0.0), lambda total, i: total + psi_term(
+        share("held", "total", i), share("ref_held", "ref_total", i)))
+    return beside.filter(~is_reference).select(window, "feature", value.alias("psi"))
 
 
 def with_status(report: DataFrame, decimals: int | None = 4) -> DataFrame:

@@ -42,8 +42,8 @@ def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "seq"
               .withColumn("_run", F.shiftright("_slot", _POSITION_BITS))
               .withColumn("_place", F.col("_slot").bitwiseAND((1 << _POSITION_BITS) - 1)))
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (landed.groupBy("_run").agg((F.max("_place") + 1).alias("_rows"))
-              .select("_run", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")))
+    starts = land(landed.groupBy("_run").agg((F.max("_place") + 1).alias("_rows"))
+                  .select("_run", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")), "starts")
     # One row per range partition: its size is bounded by the partition count, not by the data.
     return (landed.join(F.broadcast(starts), "_run")
             .select(*df.columns, (F.col("_start") + F.col("_place")).alias(name)))
@@ -153,7 +153,9 @@ def running_totals(df: DataFrame, group: str, order: Sequence[Column], sums: Seq
         *[F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_base_{s}") for s in sums],
         *[F.sum(f"_sum_{s}").over(in_group).alias(f"all_{s}") for s in sums],
         *[F.lead(f"_first_{s}").over(in_group.orderBy("_run")).alias(f"_after_{s}") for s in sums])
-    # `shifts` has one row per run and group; Spark broadcasts it only under its own size limit.
+    # One row per run and group, written too, so that every reader of the totals joins a tiny table;
+    # Spark broadcasts it only under its own size limit.
+    shifts = land(shifts, "shifts")
     return landed.join(shifts, [group, "_run"]).select(
         *df.columns,
         *[(F.col(f"_in_{s}") + F.col(f"_base_{s}")).alias(f"run_{s}") for s in sums],
