@@ -106,9 +106,8 @@ def choose_round(trained: Trained, val: DataFrame, label: str = "label", patienc
         so_far, named = F.col("_margin"), []
         for i in range(first, last):
             so_far = so_far + F.col(f"_tree_{i}") * float(weights[i])
-            named.append(so_far.alias(f"r{i + 1}"))
-        held = land(wide.select(label, *trained.features, *named), "rounds") if last < total else \
-            wide.select(label, *named)
+            named.append(sigmoid(so_far * 2.0).alias(f"r{i + 1}"))
+        held = land(wide.select(label, *trained.features, so_far.alias("_margin"), *named), "rounds")
         names = [f"r{i + 1}" for i in range(first, last)]
         long = held.unpivot([label], names, "round", "score")
         found = {r["round"]: r["pr_auc"] for r in
@@ -118,7 +117,7 @@ def choose_round(trained: Trained, val: DataFrame, label: str = "label", patienc
                 best, best_round = found[n], i
         if last - best_round >= patience or last == total:
             break
-        margins = held.select(label, *trained.features, F.col(names[-1]).alias("_margin"))
+        margins = held.select(label, *trained.features, "_margin")
     return best_round
 
 
