@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,8 +39,19 @@ def land(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFra
     """Write `df` once and return the written table."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables this application landed after the first `since`; frames over them become unreadable."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    doomed, written[since:] = written[since:], []
+    for path in doomed:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(doomed)

@@ -39,7 +39,7 @@ def tree_samples(df: DataFrame, features: Sequence[str], trees: int, rows: int,
     unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     x = F.array(*[F.col(c).cast("double") for c in features]).alias("x")
     if n >= 2 * trees * rows:
-        pool = df.filter(unit < 1.5 * trees * rows / n)
+        pool = df.filter(unit < (1.5 + 6.0 / math.sqrt(rows)) * trees * rows / n)
         dealt = pool.select(F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(trees)).cast("int").alias("tree"),
                             F.col(key).alias("_key"), x)
     else:

@@ -101,6 +101,7 @@ def dp_train(train: DataFrame, features: Sequence[str], label: str = "label", ep
     width = len(features) + 1
     weights, speed = np.zeros(width), np.zeros(width)
     schema = ", ".join(f"g{i} double" for i in range(width))
+    table = table.persist()  # read once per step; lost blocks come back from the written rows
     for _ in range(steps):
         task = _clipped_sums(weights, positive_weight, clip if epsilon is not None else None)
         sums = np.array(table.mapInArrow(task, schema).agg(*[F.sum(f"g{i}") for i in range(width)]).first(), dtype=float)
@@ -110,6 +111,7 @@ def dp_train(train: DataFrame, features: Sequence[str], label: str = "label", ep
         scale = 2.0 * (n - positives) if noise is None else n
         speed = 0.9 * speed + sums / scale
         weights = weights - rate * speed
+    table.unpersist()
     spent = epsilon_spent(noise, steps, delta) if noise is not None else None
     return PrivateModel(list(features), means, deviations, weights, epsilon, spent, delta, noise,
                         round(time.perf_counter() - began, 2))

@@ -22,7 +22,7 @@ from tallyrisk.operators.split import random_sample_fixed
 
 CELL_ROWS = 2000
 MAX_PIVOTS = 16384
-QUERY_CHUNK = 4096
+QUERY_CHUNK, MEMBER_CHUNK = 4096, 32768
 _BLOCK_VALUES = 4_000_000  # distances held at once in a task
 
 
@@ -63,19 +63,24 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, member_ids: np.ndarray, membe
 
 def _search(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """k nearest members of the visited cell for every visiting row (id, x, cell)."""
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    sizes = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("chunks"))
-    asking = visits.join(sizes, "cell").select("id", "x", "cell", chunk.alias("chunk"))
+    asked_in = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("asked"))
+    held_in = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / MEMBER_CHUNK).cast("int").alias("held"))
+    sizes = land(asked_in.join(held_in, "cell"), "knn-sizes")  # one row per cell
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    # Block (a, b) of a cell holds query chunk a and member chunk b, so a large cell is many small groups.
+    asking = visits.join(sizes, "cell").select("id", "x", "cell", mine("id", "asked").alias("a"), every("held").alias("b"))
     named = members.select(F.col("id").alias("member_id"), F.col("x").alias("member_x"), F.col("cell").alias("member_cell"))
-    held = named.join(sizes.select(F.col("cell").alias("member_cell"), "chunks"), "member_cell").select(
-        "member_id", "member_x", "member_cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("member_chunk"))
+    held = named.join(sizes.select(F.col("cell").alias("member_cell"), "asked", "held"), "member_cell").select(
+        "member_id", "member_x", "member_cell", every("asked").alias("member_a"), mine("member_id", "held").alias("member_b"))
 
-    def one(asked: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or cell.empty:
+    def one(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or block.empty:
             return pd.DataFrame({"id": [], "neighbour_id": [], "distance": []})
-        return _nearest(asked["id"].to_numpy(), _matrix(asked["x"]), cell["member_id"].to_numpy(), _matrix(cell["member_x"]), k)
+        return _nearest(asked["id"].to_numpy(), _matrix(asked["x"]), block["member_id"].to_numpy(),
+                        _matrix(block["member_x"]), k)
 
-    return asking.groupBy("cell", "chunk").cogroup(held.groupBy("member_cell", "member_chunk")).applyInPandas(
+    return asking.groupBy("cell", "a", "b").cogroup(held.groupBy("member_cell", "member_a", "member_b")).applyInPandas(
         one, "id long, neighbour_id long, distance double")
 
 
@@ -108,7 +113,10 @@ def knn_self_join(points: DataFrame, features: Sequence[str], k: int = 5, key: s
         reach[r["cell"]] = r["radius"]
 
     own = land(_search(placed, placed, k), "knn-own")
-    bound = own.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("limit"))
+    # Blocks of one cell report apart; the k-th best over them bounds the search.
+    close = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour_id"))
+    bound = (own.withColumn("near", close).filter(F.col("near") <= k)
+             .groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("limit")))
     asking = placed.join(bound, "id", "left").select(
         "id", "x", "cell", F.when(F.col("found") >= k, F.col("limit")).otherwise(float("inf")).alias("limit"))
 

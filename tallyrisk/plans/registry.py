@@ -19,7 +19,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(prepare(spark), sf_dir.rstrip("/"))
+            path = sf_dir.rstrip("/")
+            return function(prepare(spark, path), path)
 
         run.__doc__ = function.__doc__
         run.__name__ = name

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import SparkSession
 
+# Shuffle sizing: bytes a partition should hold, growth of packed files in a shuffle, and the most
+# partitions a driver should track. AQE merges what turns out smaller.
+PARTITION_BYTES = 256 << 20
+SHUFFLE_GROWTH = 2
+MAX_PARTITIONS = 40_000
+
+_BYTES: dict[str, int] = {}
+
 RUNTIME_SETTINGS = {
     # ISO stamps carry a literal Z, and the driver tables hold zone-less UTC times.
     "spark.sql.session.timeZone": "UTC",
@@ -14,14 +24,32 @@ RUNTIME_SETTINGS = {
 }
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that somebody else built."""
+def prepare(spark: SparkSession, path: str | None = None) -> SparkSession:
+    """Apply the runtime settings to a session that somebody else built, sized for the data at `path`."""
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if path is not None:
+        needed = partitions_for(path_bytes(spark, path))
+        if needed > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(needed))
     return spark
 
 
+def partitions_for(size: int) -> int:
+    """Shuffle partitions for a whole-table exchange of `size` stored bytes."""
+    return min(MAX_PARTITIONS, max(1, math.ceil(size * SHUFFLE_GROWTH / PARTITION_BYTES)))
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Stored bytes under a path, asked once from its file system."""
+    if path not in _BYTES:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        _BYTES[path] = files.getContentSummary(target).getLength()
+    return _BYTES[path]
+
+
 def build_session(app: str = "tallyrisk", master: str | None = None, **settings: str) -> SparkSession:
     """Build a session; `settings` override anything set here (dots as double underscores)."""
     builder = SparkSession.builder.appName(app)

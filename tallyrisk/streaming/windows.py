@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tallyrisk.functions.scalars import feature_array, iso_millis
 from tallyrisk.operators.drift import histogram_columns, histogram_psi
-from tallyrisk.sources.sinks import alert_messages, drain, sink_alerts, sink_parquet
+from tallyrisk.sources.sinks import drain, sink_alerts, sink_parquet
 
-SENTINEL_ID = -1  # fixed value: id of the event that only moves the watermark
+# Id of the event that only moves the watermark, partitions of the window state.
+SENTINEL_ID = -1
+STATE_PARTITIONS = 4
 
 
 def event_encode(df: DataFrame, features: Sequence[str], event_id: str, produced_at: Column, label: str) -> DataFrame:
@@ -60,6 +63,20 @@ def sentinel_line(spark: SparkSession, width: int, stamp: str) -> DataFrame:
         F.lit(stamp).alias("produced_at"), F.lit(0).alias("label"))).alias("value"))
 
 
+@contextmanager
+def small_state(spark: SparkSession, partitions: int = STATE_PARTITIONS):
+    """Start a stateful query with few state partitions: a window's state is a handful of numbers.
+
+    The number is fixed by the first checkpoint, whatever the batch shuffles of the session use.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @dataclass(frozen=True)
 class FanOutPaths:
     """Where one run keeps its scored log, alerts, windows and checkpoints."""
@@ -97,9 +114,10 @@ def run_fan_out(spark: SparkSession, scored: DataFrame, paths: FanOutPaths, widt
         return reader.parquet(paths.scored)
 
     real = F.col("event_id") != SENTINEL_ID
-    followers = [sink_alerts(log().filter(real), paths.alerts, paths.checkpoint("alerts")),
-                 sink_parquet(streaming_windows(log(), width, edges, reference), paths.windows,
-                              paths.checkpoint("windows"))]
+    with small_state(spark):
+        followers = [sink_alerts(log().filter(real), paths.alerts, paths.checkpoint("alerts")),
+                     sink_parquet(streaming_windows(log(), width, edges, reference), paths.windows,
+                                  paths.checkpoint("windows"))]
     for query in followers:
         drain(query)
 
@@ -109,9 +127,10 @@ def start_fan_out(spark: SparkSession, scored: DataFrame, paths: FanOutPaths, wi
     """The same three queries as long-running ones on a processing-time trigger."""
     log = sink_parquet(scored, paths.scored, paths.checkpoint("scored"), every)
     tail = spark.readStream.schema(schema).parquet(paths.scored)
-    return [log, sink_alerts(tail, paths.alerts, paths.checkpoint("alerts"), every),
-            sink_parquet(streaming_windows(tail, width, edges, reference), paths.windows,
-                         paths.checkpoint("windows"), every)]
+    with small_state(spark):
+        return [log, sink_alerts(tail, paths.alerts, paths.checkpoint("alerts"), every),
+                sink_parquet(streaming_windows(tail, width, edges, reference), paths.windows,
+                             paths.checkpoint("windows"), every)]
 
 
 def stream_batch_parity(streamed: DataFrame, batch: DataFrame) -> DataFrame:
@@ -120,6 +139,3 @@ def stream_batch_parity(streamed: DataFrame, batch: DataFrame) -> DataFrame:
     only_batch = batch.exceptAll(streamed).select(F.lit("batch").alias("side"))
     return only_stream.unionByName(only_batch).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
 
-
-__all__ = ["FanOutPaths", "alert_messages", "event_encode", "replay_time", "run_fan_out", "sentinel_line",
-           "start_fan_out", "stream_batch_parity", "streaming_windows", "window_stats"]

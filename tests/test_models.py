@@ -244,3 +244,13 @@ def test_batch_predict(separable, tmp_path):
     out = SU.batch_predict(t, separable.filter("split = 'test'"), str(tmp_path / "p"))
     assert out.count() == 400
     assert C.score_curve(out.join(separable, "seq")).count() > 300
+
+
+def test_knn_in_many_blocks_per_cell(spark, monkeypatch):
+    from tallyrisk.operators import neighbours as NB
+
+    monkeypatch.setattr(NB, "QUERY_CHUNK", 16)
+    monkeypatch.setattr(NB, "MEMBER_CHUNK", 9)
+    x = np.random.default_rng(3).normal(size=(90, 2))
+    ids = list(range(90))
+    assert neighbours(spark, ids, x, 3, 40) == brute_force(ids, x, 3)
