@@ -300,3 +300,30 @@ def _(spark, sf_dir):
     x = SC.instance_array(named, ["value"])
     found = SC.score_instances(W.events(spark, sf_dir), W.event_score(x[0]), W.EVENT_THRESHOLD)
     return found.select("event_id", F.round("prediction.score", 6).alias("score"), "prediction.fraud")
+
+
+@query("micro_batch_trigger", f"WITH {EV} SELECT count(*) AS rows, count(DISTINCT event_id) AS ids, true AS stayed_up FROM ev")
+def _(spark, sf_dir):
+    """A processing-time query takes in what is there and keeps running until it is stopped."""
+    root = fresh_path(spark, "trigger")
+    event_lines(spark, sf_dir).write.text(f"{root}/incoming")
+    running = sinks.sink_parquet(scored_stream(spark, f"{root}/incoming"), f"{root}/out", f"{root}/checkpoint", every="1 second")
+    try:
+        running.processAllAvailable()
+        up = running.isActive
+    finally:
+        running.stop()
+    return spark.read.parquet(f"{root}/out").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("ids"),
+                                                 F.lit(up).alias("stayed_up"))
+
+
+@query("sink_reset", f"WITH {EV} SELECT run, count(*) AS rows FROM ev, (VALUES (1), (2)) v(run) GROUP BY run")
+def _(spark, sf_dir):
+    """A run starts on a fresh path, so the second holds no row of the first."""
+    counts = []
+    for number in (1, 2):
+        root = fresh_path(spark, "reset")
+        event_lines(spark, sf_dir).write.text(f"{root}/incoming")
+        sinks.drain(sinks.sink_parquet(scored_stream(spark, f"{root}/incoming"), f"{root}/out", f"{root}/checkpoint"))
+        counts.append(sinks.sink_row_count(spark, f"{root}/out").select(F.lit(number).alias("run"), "rows"))
+    return counts[0].unionByName(counts[1])
