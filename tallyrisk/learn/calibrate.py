@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrisk.operators.curve import pr_auc, score_curve
-from tallyrisk.operators.report import brier, reliability_bins
+from tallyrisk.operators.report import beside, brier, reliability_bins
 
 INVERSE_GRID = 100_001  # fixed value: raw scores tried when a threshold is mapped back
 
@@ -27,10 +27,9 @@ def calibrate(model: IsotonicRegressionModel, df: DataFrame, score: str = "score
 
 def calibration_report(calibrated: DataFrame, raw: str = "score", after: str = "calibrated", label: str = "label") -> DataFrame:
     """brier_raw, brier_calibrated, pr_auc_after of a slice that carries both scores."""
-    before = brier(calibrated, raw, label).select(F.round("brier", 6).alias("brier_raw"), F.lit(1).alias("_one"))
-    later = brier(calibrated, after, label).select(F.round("brier", 6).alias("brier_calibrated"), F.lit(1).alias("_one"))
-    ranked = pr_auc(score_curve(calibrated, after, label)).select(F.round("pr_auc", 4).alias("pr_auc_after"), F.lit(1).alias("_one"))
-    return before.join(later, "_one").join(ranked, "_one").drop("_one")
+    return beside(brier(calibrated, raw, label).select(F.round("brier", 6).alias("brier_raw")),
+                  brier(calibrated, after, label).select(F.round("brier", 6).alias("brier_calibrated")),
+                  pr_auc(score_curve(calibrated, after, label)).select(F.round("pr_auc", 4).alias("pr_auc_after")))
 
 
 def calibration_bins(calibrated: DataFrame, raw: str = "score", after: str = "calibrated", label: str = "label") -> DataFrame:

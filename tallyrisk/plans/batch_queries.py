@@ -451,15 +451,17 @@ def _(spark, sf_dir):
         F.round(F.get("edges", F.col("bin") + 1), 6).alias("high"), *_six("share"))
 
 
-@query("join_ref_bins", f"""WITH {TX}, q AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity,
-    [CASE WHEN i=10 THEN 1e0 ELSE i*1e-1 END FOR i IN range(11)]))) AS e FROM tx WHERE split = 'train')
-  SELECT 'l_quantity' AS feature, CAST(len(list_filter(e[2:len(e)-1], lambda x: x <= l_quantity)) AS INTEGER) AS bin,
-    count(*) AS rows FROM tx, q GROUP BY ALL""")
-def _(spark, sf_dir):
-    tx = W.transactions(spark, sf_dir)
-    edges = D.reference_edges(tx.filter("split = 'train'"), ["l_quantity"])
+@query("join_ref_bins", f"""WITH {TX}, v AS (SELECT split, 'l_quantity' AS feature, l_quantity AS v FROM tx
+    UNION ALL SELECT split, 'l_tax', l_tax FROM tx),
+  q AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [CASE WHEN i=10 THEN 1e0 ELSE i*1e-1 END FOR i IN range(11)]))) AS e
+        FROM v WHERE split = 'train' GROUP BY feature)
+  SELECT feature, CAST(len(list_filter(e[2:len(e)-1], lambda x: x <= v)) AS INTEGER) AS bin, count(*) AS rows
+  FROM v JOIN q USING (feature) GROUP BY ALL""")
+def _(spark, sf_dir):
+    tx, names = W.transactions(spark, sf_dir), ["l_quantity", "l_tax"]
+    edges = D.reference_edges(tx.filter("split = 'train'"), names)
     table = spark.createDataFrame([(c, e) for c, e in edges.items()], "feature string, edges array<double>")
-    values = tx.select(F.lit("l_quantity").alias("feature"), F.col("l_quantity").alias("value"))
+    values = tx.select(*names).unpivot([], names, "feature", "value")
     return J.join_ref_bins(values, table, 10).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("rows"))
 
 

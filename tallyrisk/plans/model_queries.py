@@ -177,20 +177,19 @@ def _(spark, sf_dir):
     edges = tied.groupBy(block.alias("block")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     ahead = F.lag("high").over(Window.orderBy("block"))  # 64 blocks
     ordered_edges = edges.select((F.coalesce(ahead, F.lit(0.0)) <= F.col("low") + 1e-12).alias("ok")).agg(
-        F.bool_and("ok").alias("blocks_ok"), F.lit(1).alias("one"))
+        F.bool_and("ok").alias("blocks_ok"))
     inside = tied.withColumn("ok", F.coalesce(before, F.lit(0.0)) <= F.col("low") + 1e-12).agg(
         F.sum("n").alias("rows"), F.bool_and(F.col("low").between(0, 1) & F.col("high").between(0, 1)).alias("in_range"),
-        F.bool_and("ok").alias("rows_ok"), F.lit(1).alias("one"))
-    return inside.join(ordered_edges, "one").select("rows", "in_range", (F.col("rows_ok") & F.col("blocks_ok")).alias("keeps_order"))
+        F.bool_and("ok").alias("rows_ok"))
+    return R.beside(inside, ordered_edges).select("rows", "in_range", (F.col("rows_ok") & F.col("blocks_ok")).alias("keeps_order"))
 
 
 @query("calibration_report", f"""WITH {TX} SELECT round(avg((score_b-label)*(score_b-label)), 6) AS brier_raw, true AS better,
   count(*) AS binned FROM tx WHERE split = 'test'""")
 def _(spark, sf_dir):
     _, cal = _calibrated(spark, sf_dir)
-    report = CA.calibration_report(cal).withColumn("one", F.lit(1))
-    bins = CA.calibration_bins(cal).filter("kind = 'raw'").agg(F.sum("n").alias("binned"), F.lit(1).alias("one"))
-    return report.join(bins, "one").select("brier_raw", (F.col("brier_calibrated") < F.col("brier_raw")).alias("better"), "binned")
+    bins = CA.calibration_bins(cal).filter("kind = 'raw'").agg(F.sum("n").alias("binned"))
+    return R.beside(CA.calibration_report(cal), bins).select("brier_raw", (F.col("brier_calibrated") < F.col("brier_raw")).alias("better"), "binned")
 
 
 @query("calibrator_inverse", f"WITH {TX} SELECT count(*) AS test_rows, true AS smallest FROM tx WHERE split = 'test'")
@@ -325,10 +324,10 @@ def _(spark, sf_dir):
     linear = AT.feature_attribution(fit(spark, sf_dir, "logreg"), test, train)
     trees = AT.feature_attribution(fit(spark, sf_dir, "random_forest"), test, train, sample_rows=300, permutations=2)
     lead = F.max_by("feature", "mean_abs_contribution").isin("l_quantity", "l_discount")
-    a = linear.agg(F.count(F.lit(1)).cast("int").alias("features"), lead.alias("top_is_rule_input"), F.lit(1).alias("one"))
+    a = linear.agg(F.count(F.lit(1)).cast("int").alias("features"), lead.alias("top_is_rule_input"))
     b = trees.agg(F.count(F.lit(1)).cast("int").alias("tree_features"),
-                  F.bool_and(F.col("mean_abs_contribution") >= 0).alias("non_negative"), F.lit(1).alias("one"))
-    return a.join(b, "one").drop("one")
+                  F.bool_and(F.col("mean_abs_contribution") >= 0).alias("non_negative"))
+    return R.beside(a, b)
 
 
 @query("dp_train", f"WITH {TX} SELECT count(*) AS rows, CAST(sum(label) AS BIGINT) AS frauds, true AS in_range, true AS within_budget FROM tx WHERE split = 'test'")

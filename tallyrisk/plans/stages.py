@@ -138,11 +138,10 @@ def stage_evaluate(run: Run) -> dict[str, DataFrame]:
     threshold = K.cheapest(val_costs).first()["threshold"]
     test_costs = land(K.cost_curve(C.score_curve(on_test, "calibrated")).drop(C.GROUP), "test-costs")
     out["cost_curve"] = run.save("cost_curve", C.every_kth(test_costs, 4, ["threshold"]))
-    at = K.cost_at_threshold(test_costs, threshold).withColumn("one", F.lit(1)).select("one", "cost_per_10k")
-    flagged = C.confusion_at_threshold(on_test, threshold, "calibrated").withColumn("one", F.lit(1))
-    baselines = K.cost_baselines(on_test).withColumn("one", F.lit(1))
-    raw = CA.calibrator_inverse(run.spark, calibrator, threshold).withColumn("one", F.lit(1))
-    out["cost"] = run.save("cost", flagged.join(at, "one", "left").join(baselines, "one").join(raw, "one").drop("one"))
+    out["cost"] = run.save("cost", R.beside(
+        C.confusion_at_threshold(on_test, threshold, "calibrated"),
+        K.cost_at_threshold(test_costs, threshold).select("cost_per_10k"), K.cost_baselines(on_test),
+        CA.calibrator_inverse(run.spark, calibrator, threshold)))
 
     out["attribution"] = run.save("attribution", AT.feature_attribution(best, test, train))
     repeats = []

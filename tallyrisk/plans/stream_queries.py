@@ -13,6 +13,7 @@ from tallyrisk.landing import fresh_path
 from tallyrisk.operators import drift as D
 from tallyrisk.operators import joins as J
 from tallyrisk.operators import stream_reports as P
+from tallyrisk.operators.report import beside
 from tallyrisk.operators.split import split_points
 from tallyrisk.plans import workload as W
 from tallyrisk.plans.registry import query
@@ -160,14 +161,12 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Scored log, alerts and windows of one run must reconcile."""
     paths = replay(spark, sf_dir)
-    one = F.lit(1).alias("one")
-    scored = scored_log(spark, sf_dir).agg(F.count(F.lit(1)).alias("scored")).select("scored", one)
+    scored = scored_log(spark, sf_dir).agg(F.count(F.lit(1)).alias("scored"))
     body = F.from_json("value", "event_id long")
     alerts = spark.read.schema("value string").json(paths.alerts).select(body.alias("b")).filter("b.event_id >= 0") \
-        .agg(F.count(F.lit(1)).alias("alerts")).select("alerts", one)
-    held = windows_table(spark, sf_dir).agg(F.sum("events").alias("in_windows"), F.sum("alerts").alias("window_alerts")) \
-        .select("in_windows", "window_alerts", one)
-    return scored.join(alerts, "one").join(held, "one").drop("one")
+        .agg(F.count(F.lit(1)).alias("alerts"))
+    held = windows_table(spark, sf_dir).agg(F.sum("events").alias("in_windows"), F.sum("alerts").alias("window_alerts"))
+    return beside(scored, alerts, held)
 
 
 @query("tumbling_score_stats", f"WITH {EV}, {_DAYS} {_WINDOWS}")
