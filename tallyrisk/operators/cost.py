@@ -1,8 +1,8 @@
 """Expected-cost curve over thresholds, read off the score curve.
 
 Testing every threshold against every row costs rows x thresholds. Here each threshold's counts come
-from the cumulative curve: quantile thresholds from the point that holds their rank, fixed thresholds
-from a binary search and a suffix sum over at most one row per threshold.
+from the cumulative curve, which knows its next lower score: quantile thresholds from the point that
+holds their rank, fixed ones from a binary search. Neither needs a shuffle.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrisk.functions.scalars import decade_grid, double_array
@@ -34,64 +34,68 @@ LOG_FROM, LOG_TO = -6.0, 0.0
 def quantile_thresholds(curve: DataFrame, points: int = GRID_POINTS, by: Sequence[str] = ()) -> DataFrame:
     """Score quantiles on an even grid with tp and fp at or above each, per group.
 
-    The grid positions that a curve point covers follow from its ranks, so no sort or join is needed:
-    a cheap arithmetic filter keeps the few points next to a wanted rank.
+    Which grid positions end in a curve point follows from the ranks it holds, and the lower end of an
+    interpolation is at most one tie group below. So this is a projection of the curve: a cheap
+    arithmetic filter keeps the few points next to a wanted rank, and nothing is shuffled.
     """
     n, cum = F.col("positives") + F.col("negatives"), F.col("tp") + F.col("fp")
     first_rank = (n - cum).cast("double")
     last_rank = (n - 1 - (cum - F.col("pos") - F.col("neg"))).cast("double")
     span, cells = F.greatest(n - 1, F.lit(1)).cast("double"), F.lit(float(points - 1))
-    from_cell = F.ceil((first_rank - 1) / span * cells)
+    from_cell = F.ceil((first_rank - 2) / span * cells)
     to_cell = F.floor((last_rank + 1) / span * cells)
-    low_cell = F.greatest(from_cell - 1, F.lit(0))
-    high_cell = F.when(n == 1, F.lit(points - 1)).otherwise(F.least(to_cell + 1, F.lit(points - 1)))
-    step = 1.0 / (points - 1)
-    prob = F.when(F.col("cell") == points - 1, 1.0).otherwise(F.col("cell") * F.lit(step))
-    near = (curve.select(*by, GROUP, "score", "tp", "fp", "positives", n.alias("n"), first_rank.alias("a"), last_rank.alias("b"),
-                         low_cell.alias("lo"), high_cell.alias("hi"),
-                         ((n == 1) | (to_cell >= from_cell)).alias("near"))
-            .filter(F.col("near") & (F.col("lo") <= F.col("hi")))
+    prob = F.when(F.col("cell") == points - 1, 1.0).otherwise(F.col("cell") * F.lit(1.0 / (points - 1)))
+    ends = (curve.withColumns({
+                "n": n, "a": first_rank, "b": last_rank, "lo": F.greatest(from_cell - 1, F.lit(0)),
+                "hi": F.when(n == 1, F.lit(points - 1)).otherwise(F.least(to_cell + 1, F.lit(points - 1)))})
+            .filter(((n == 1) | (to_cell >= from_cell)) & (F.col("lo") <= F.col("hi")))
             .withColumn("cell", F.explode(F.sequence("lo", "hi")))
-            .withColumn("position", prob * (F.col("n") - 1)))
-    point = F.struct("score", "tp", "fp")
-    covers = [F.when(edge("position").between(F.col("a"), F.col("b")), point) for edge in (F.floor, F.ceil)]
-    ends = (near.withColumn("low", covers[0]).withColumn("high", covers[1])
-            .filter(F.col("low").isNotNull() | F.col("high").isNotNull())
-            .groupBy(*by, GROUP, "cell", "position", "positives", "n")
-            .agg(F.max("low").alias("low"), F.max("high").alias("high")))
-    value = lerp_expr(F.col("low.score"), F.col("high.score"), F.col("position") - F.floor("position"))
-    at_low = F.col("threshold") <= F.col("low.score")
-    return ends.withColumn("threshold", value).select(
-        *by, GROUP, "threshold", "positives", "n",
-        F.when(at_low, F.col("low.tp")).otherwise(F.col("high.tp")).alias("tp"),
-        F.when(at_low, F.col("low.fp")).otherwise(F.col("high.fp")).alias("fp"))
+            .withColumn("position", prob * (F.col("n") - 1))
+            .filter(F.ceil("position").between(F.col("a"), F.col("b"))))
+    floor = F.floor("position")
+    inside = floor >= F.col("a")
+    value = F.when(inside, F.col("score")).otherwise(
+        lerp_expr(F.col("next_score"), F.col("score"), F.col("position") - floor))
+    below = ~inside & (value <= F.col("next_score"))
+    return ends.select(
+        *by, GROUP, value.alias("threshold"), "positives", "n",
+        (F.col("tp") + F.when(below, F.col("next_pos")).otherwise(0)).alias("tp"),
+        (F.col("fp") + F.when(below, F.col("next_neg")).otherwise(0)).alias("fp"))
 
 
 def fixed_thresholds(curve: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """tp and fp at or above each given threshold, per group."""
+    """tp and fp at or above each given threshold, per group.
+
+    A threshold in (next lower score, score] has the counts of that score's point, and one above every
+    score has none. Positions come from a binary search, so this too is a projection of the curve.
+    """
     grid = sorted(set(map(float, thresholds)))
-    n = F.col("positives") + F.col("negatives")
-    binned = add_bins(curve, {"score": [float("-inf"), *grid, float("inf")]})
-    held = binned.groupBy(*by, GROUP, "positives", n.alias("n"), "score_bin").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # Bin i holds scores in [grid[i-1], grid[i]). A zero row per threshold makes empty bins show.
-    zero = F.lit(0).cast("long")
-    steps = F.posexplode(double_array(grid)).alias("cell", "threshold")
-    wanted = (held.select(*by, GROUP, "positives", "n").distinct().select("*", steps)
-              .withColumn("score_bin", F.col("cell") + 1).withColumn("pos", zero).withColumn("neg", zero).drop("cell"))
-    per_step = (wanted.unionByName(held.filter("score_bin > 0").withColumn("threshold", F.lit(None).cast("double")))
-                .groupBy(*by, GROUP, "positives", "n", "score_bin")
-                .agg(F.max("threshold").alias("threshold"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    above = Window.partitionBy(GROUP).orderBy(F.col("score_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per_step.select(*by, GROUP, "threshold", "positives", "n", F.sum("pos").over(above).alias("tp"),
-                           F.sum("neg").over(above).alias("fp"))
+    splits = [float("-inf"), *grid, float("inf")]
+    binned = add_bins(curve, {"score": splits, "next_score": splits})
+    upto, after = F.col("score_bin"), F.coalesce("next_score_bin", F.lit(0))
+    own = F.when(after < upto, F.sequence(after, upto - 1)).otherwise(F.array().cast("array<int>"))
+    above = F.when((F.col("idx") == 0) & (upto < len(grid)), F.sequence(upto, F.lit(len(grid) - 1))) \
+        .otherwise(F.array().cast("array<int>"))
+    held = (binned.filter((after < upto) | (F.col("idx") == 0))
+            .withColumn("slot", F.explode(F.concat(
+                F.transform(own, lambda i: F.struct(i.alias("i"), F.lit(True).alias("reached"))),
+                F.transform(above, lambda i: F.struct(i.alias("i"), F.lit(False).alias("reached")))))))
+    reached = F.col("slot.reached")
+    return held.select(
+        *by, GROUP, F.get(double_array(grid), F.col("slot.i")).alias("threshold"), "positives",
+        (F.col("positives") + F.col("negatives")).alias("n"),
+        F.when(reached, F.col("tp")).otherwise(0).alias("tp"), F.when(reached, F.col("fp")).otherwise(0).alias("fp"))
+
+
+def _all_thresholds(curve: DataFrame, points: int, by: Sequence[str]) -> DataFrame:
+    return quantile_thresholds(curve, points, by).unionByName(
+        fixed_thresholds(curve, decade_grid(LOG_FROM, LOG_TO, points), by))
 
 
 def threshold_grid(curve: DataFrame, points: int = GRID_POINTS, by: Sequence[str] = ()) -> DataFrame:
     """Distinct thresholds: score quantiles and a log-spaced grid, with tp and fp at each."""
-    both = quantile_thresholds(curve, points, by).unionByName(
-        fixed_thresholds(curve, decade_grid(LOG_FROM, LOG_TO, points), by))
-    return both.groupBy(*by, GROUP, "positives", "n", "threshold").agg(F.max("tp").alias("tp"), F.max("fp").alias("fp"))
+    return _all_thresholds(curve, points, by).groupBy(*by, GROUP, "positives", "n", "threshold").agg(
+        F.max("tp").alias("tp"), F.max("fp").alias("fp"))
 
 
 def cost_expr(model: CostModel) -> Column:
@@ -104,12 +108,21 @@ def cost_curve(curve: DataFrame, model: CostModel = CostModel(), points: int = G
                by: Sequence[str] = (), thresholds: Sequence[float] | None = None) -> DataFrame:
     """threshold, cost, missed, flagged at every threshold of the grid; `cost` is not rounded."""
     grid = threshold_grid(curve, points, by) if thresholds is None else fixed_thresholds(curve, thresholds, by)
+    return _priced(grid, model, by)
+
+
+def _priced(grid: DataFrame, model: CostModel, by: Sequence[str]) -> DataFrame:
     rows = grid.select(
         *by, GROUP, "threshold", "n", (F.col("positives") - F.col("tp")).alias("missed"),
         (F.col("tp") + F.col("fp")).alias("flagged"))
     return rows.select(*by, GROUP, "threshold", cost_expr(model).alias("cost"), "missed", "flagged")
 
 
+def best_cost(curve: DataFrame, model: CostModel = CostModel(), points: int = GRID_POINTS, by: Sequence[str] = ()) -> DataFrame:
+    """`cheapest` of the cost curve; repeated thresholds do no harm, so they are not removed first."""
+    return cheapest(_priced(_all_thresholds(curve, points, by), model, by), by)
+
+
 def cheapest(costs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The threshold of least cost, the lowest one among equals."""
     best = F.min(F.struct("cost", "threshold", "missed", "flagged"))

@@ -24,9 +24,9 @@ def group_tag(by: Sequence[str]) -> Column:
 
 
 def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct score (and group): pos, neg, tp, fp, positives, negatives.
+    """One row per distinct score (and group): pos, neg, tp, fp, positives, negatives, next_*.
 
-    tp and fp count rows with a score at or above the row's. Rows whose score is NULL or NaN or whose
+    tp and fp count rows with a score at or above the row's; next_* are the next lower tie group's. Rows whose score is NULL or NaN or whose
     label is NULL cannot be ranked and are left out; `validate_table` reports them.
     """
     scored = df.select(*by, F.col(score).cast("double").alias("score"),
@@ -35,12 +35,12 @@ def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: S
     distinct = (scored.groupBy(*by, "score")
                 .agg(F.sum("label").alias("pos"), (F.count(F.lit(1)) - F.sum("label")).alias("neg"))
                 .withColumn(GROUP, group_tag(by)))
-    totals = running_totals(distinct, GROUP, [F.col("score").desc()], ["pos", "neg"])
+    totals = running_totals(distinct, GROUP, [F.col("score").desc()], ["pos", "neg"], ["score", "pos", "neg"])
     return totals.select(
         *by, GROUP, "score", "pos", "neg",
         F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"),
         F.col("all_pos").alias("positives"), F.col("all_neg").alias("negatives"),
-        "next_pos", "next_neg", F.col("place").alias("idx"), F.col("places").alias("points"))
+        "next_score", "next_pos", "next_neg", F.col("place").alias("idx"), F.col("places").alias("points"))
 
 
 def _precision() -> Column:

@@ -59,7 +59,7 @@ def index_within(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
             .select(*df.columns, name))
 
 
-def _accumulate(group: str, sums: Sequence[str]):
+def _accumulate(group: str, sums: Sequence[str], ahead: Sequence[str]):
     """Arrow batches of one sorted run in, the same rows with in-run totals out.
 
     The last row of a batch is held back until its successor is known, because `next_*` needs it.
@@ -73,17 +73,17 @@ def _accumulate(group: str, sums: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_id = TaskContext.get().partitionId()
         carry: dict[str, int] = dict.fromkeys(sums, 0)
-        added = ["_run", "_place", *[f"_in_{s}" for s in sums], *[f"_next_{s}" for s in sums]]
+        added = ["_run", "_place", *[f"_in_{s}" for s in sums], *[f"_next_{c}" for c in ahead]]
         place, last_group, pending = 0, None, None
 
         def emit(held: dict, first: dict | None) -> pa.RecordBatch:
             follows = first is not None and first["group"] == held["last_group"]
             columns = list(held["columns"])
-            for name in sums:
+            for name in ahead:
                 values = held["values"][name]
-                tail = [first["values"][name]] if follows else [0]
+                tail = first["values"][name] if follows else values[:1]
                 mask = np.append(held["breaks"], not follows)
-                columns.append(pa.array(np.append(values[1:], tail), type=pa.int64(), mask=mask))
+                columns.append(pa.array(np.concatenate([values[1:], tail]), mask=mask))
             return pa.RecordBatch.from_arrays(columns, names=held["names"])
 
         for batch in batches:
@@ -93,10 +93,10 @@ def _accumulate(group: str, sums: Sequence[str]):
             labels = batch.column(batch.schema.get_field_index(group))
             codes = labels.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             values = {name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-                      for name in sums}
+                      for name in {*sums, *ahead}}
             first_group, end_group = labels[0].as_py(), labels[rows - 1].as_py()
             if pending is not None:
-                yield emit(pending, {"group": first_group, "values": {s: values[s][0] for s in sums}})
+                yield emit(pending, {"group": first_group, "values": {c: values[c][:1] for c in ahead}})
             ordinal = np.arange(1, rows + 1, dtype=np.int64)
             bases, starts = segment_bases(codes, ordinal)
             continued = first_group == last_group
@@ -125,34 +125,35 @@ def _accumulate(group: str, sums: Sequence[str]):
     return run
 
 
-def running_totals(df: DataFrame, group: str, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+def running_totals(df: DataFrame, group: str, order: Sequence[Column], sums: Sequence[str],
+                   ahead: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums of `sums` inside each `group` value, in `order`.
 
-    `group` is a non-null string column and `sums` are non-null longs. Adds `run_<s>` (running sum),
-    `all_<s>` (group total), `next_<s>` (value on the following row of the group, NULL on its last
-    row), `place` (dense position in the group) and `places` (rows in the group).
+    `group` is a non-null string column, `sums` are non-null longs, `ahead` non-null numbers. Adds
+    `run_<s>` (running sum), `all_<s>` (group total), `next_<a>` (value on the following row of the
+    group, NULL on its last row), `place` (dense position in the group) and `places` (its rows).
     """
     keys = [F.col(group), *order]
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     added = ([T.StructField("_run", T.LongType()), T.StructField("_place", T.LongType())]
              + [T.StructField(f"_in_{s}", T.LongType()) for s in sums]
-             + [T.StructField(f"_next_{s}", T.LongType()) for s in sums])
+             + [T.StructField(f"_next_{c}", df.schema[c].dataType) for c in ahead])
     schema = T.StructType([*placed.schema.fields, *added])
-    landed = land(placed.mapInArrow(_accumulate(group, sums), schema), "totals")
+    landed = land(placed.mapInArrow(_accumulate(group, sums, ahead), schema), "totals")
 
     in_group = Window.partitionBy(group)
     earlier = in_group.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = landed.groupBy(group, "_run").agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(s).alias(f"_sum_{s}") for s in sums],
-        *[F.min_by(s, "_place").alias(f"_first_{s}") for s in sums])
+        *[F.min_by(c, "_place").alias(f"_first_{c}") for c in ahead])
     shifts = runs.select(
         F.col(group), "_run",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
         F.sum("_rows").over(in_group).alias("places"),
         *[F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_base_{s}") for s in sums],
         *[F.sum(f"_sum_{s}").over(in_group).alias(f"all_{s}") for s in sums],
-        *[F.lead(f"_first_{s}").over(in_group.orderBy("_run")).alias(f"_after_{s}") for s in sums])
+        *[F.lead(f"_first_{c}").over(in_group.orderBy("_run")).alias(f"_after_{c}") for c in ahead])
     # One row per run and group, written too, so that every reader of the totals joins a tiny table;
     # Spark broadcasts it only under its own size limit.
     shifts = land(shifts, "shifts")
@@ -160,6 +161,5 @@ def running_totals(df: DataFrame, group: str, order: Sequence[Column], sums: Seq
         *df.columns,
         *[(F.col(f"_in_{s}") + F.col(f"_base_{s}")).alias(f"run_{s}") for s in sums],
         *[F.col(f"all_{s}") for s in sums],
-        *[F.coalesce(f"_next_{s}", f"_after_{s}").alias(f"next_{s}") for s in sums],
+        *[F.coalesce(f"_next_{c}", f"_after_{c}").alias(f"next_{c}") for c in ahead],
         (F.col("_start") + F.col("_place")).alias("place"), "places")
-

@@ -31,11 +31,11 @@ def test_running_totals_across_ranges_and_batches(spark, batch):
     """One group holds most rows and spans several ranges; batches end inside and between groups."""
     rng = np.random.default_rng(3)
     data = pd.DataFrame({"g": np.where(rng.random(3000) < 0.8, "big", rng.choice(list("abc"), 3000)),
-                         "t": rng.permutation(3000), "x": rng.integers(0, 9, 3000), "y": rng.integers(0, 5, 3000)})
+                         "t": rng.permutation(3000), "x": rng.integers(0, 9, 3000), "y": rng.integers(0, 5, 3000), "w": rng.random(3000)})
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
-        got = running_totals(spark.createDataFrame(data).repartition(5), "g", [F.col("t").asc()], ["x", "y"]).toPandas()
+        got = running_totals(spark.createDataFrame(data).repartition(5), "g", [F.col("t").asc()], ["x", "y"], ["x", "y", "w"]).toPandas()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want = data.sort_values(["g", "t"]).reset_index(drop=True)
@@ -44,6 +44,7 @@ def test_running_totals_across_ranges_and_batches(spark, batch):
     for c in ("x", "y"):
         assert (got[f"run_{c}"] == by[c].cumsum()).all()
         assert (got[f"all_{c}"] == by[c].transform("sum")).all()
+    for c in ("x", "y", "w"):
         assert got[f"next_{c}"].fillna(-1).tolist() == by[c].shift(-1).fillna(-1).tolist()
     assert (got["place"] == by.cumcount()).all()
     assert (got["places"] == by["x"].transform("size")).all()
