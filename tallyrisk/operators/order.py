@@ -146,7 +146,7 @@ def running_totals(df: DataFrame, group: str, order: Sequence[Column], sums: Seq
     runs = landed.groupBy(group, "_run").agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(s).alias(f"_sum_{s}") for s in sums],
-        *[F.min_by(c, "_place").alias(f"_first_{c}") for c in ahead])
+        *[F.max(F.when(F.col("_place") == 0, F.col(c))).alias(f"_first_{c}") for c in ahead])
     shifts = runs.select(
         F.col(group), "_run",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),

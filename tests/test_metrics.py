@@ -207,7 +207,7 @@ def test_quantiles_skip_null_and_nan(spark):
         assert column_quantiles(df, ["a", "b"], [0.0, 0.5, 1.0], in_memory_values=limit) == {"a": [1.0, 2.0, 3.0], "b": []}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 6)), min_size=2, max_size=40))
 def test_metrics_hold_for_any_small_table(scored_frame, plain, rows):
     y, s = np.array([r[0] for r in rows]), np.array([r[1] / 8 for r in rows])
