@@ -26,18 +26,21 @@ def _sort_expr(key: str | Column) -> Column:
     return F.col(key) if isinstance(key, str) else key
 
 
-def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "seq") -> DataFrame:
+def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "seq",
+                 keep: Sequence[str] | None = None) -> DataFrame:
     """Add a dense 0-based index in the given order; equal rows keep their arrival order.
 
+    `keep` names the columns wanted afterwards, so that pure sort keys are not written.
     The arrival id is the last order key, so a value shared by a third of all rows is still spread
     over many ranges.
     """
     keys = [_sort_expr(key) for key in order] + [F.col("_arrival")]
+    kept = df.columns if keep is None else list(keep)
     placed = (df.withColumn("_arrival", F.monotonically_increasing_id())
               .repartitionByRange(*keys)
               .sortWithinPartitions(*keys)
-              .drop("_arrival")
-              .withColumn("_slot", F.monotonically_increasing_id()))
+              .withColumn("_slot", F.monotonically_increasing_id())
+              .select(*kept, "_slot"))
     landed = (land(placed, "index")
               .withColumn("_run", F.shiftright("_slot", _POSITION_BITS))
               .withColumn("_place", F.col("_slot").bitwiseAND((1 << _POSITION_BITS) - 1)))
@@ -46,7 +49,7 @@ def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "seq"
                   .select("_run", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")), "starts")
     # One row per range partition: its size is bounded by the partition count, not by the data.
     return (landed.join(F.broadcast(starts), "_run")
-            .select(*df.columns, (F.col("_start") + F.col("_place")).alias(name)))
+            .select(*kept, (F.col("_start") + F.col("_place")).alias(name)))
 
 
 def index_within(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "idx") -> DataFrame:

@@ -54,7 +54,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, "transactions", sf_dir)
     if key not in _PREPARED:
         raw = raw_lineitem(spark, sf_dir).withColumn("label", label_rule())
-        indexed = global_index(raw, TIME_ORDER).select("seq", *FEATURES, "label")
+        indexed = global_index(raw, TIME_ORDER, keep=[*FEATURES, "label"])
         _PREPARED[key] = land(time_split(indexed, dense=True), "transactions", partition_by=["split"])
     return _PREPARED[key]
 
