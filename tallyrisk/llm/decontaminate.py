@@ -35,7 +35,8 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
 def words(text: bytes | None) -> list[bytes]:
-    return _WORD.findall((text or b"").lower())
+    """Runs of letters and digits, case folded, so that a copy in capitals is still a copy."""
+    return _WORD.findall((text or b"").decode("utf-8", "replace").casefold().encode())
 
 
 def parts(text: str) -> tuple[list[bytes], list[bytes]]:
