@@ -1,4 +1,4 @@
 """Imports every operator of this folder, so that its queries are listed."""
 
-from tallyrisk.llm import decontaminate, neardup, quality, toxicity  # noqa: F401
+from tallyrisk.llm import decontaminate, mixing, neardup, quality, toxicity  # noqa: F401
 from tallyrisk.llm.common import ORACLES, QUERIES  # noqa: F401
