@@ -1,4 +1,5 @@
 """Imports every operator of this folder, so that its queries are listed."""
 
-from tallyrisk.llm import decontaminate, mixing, neardup, quality, secrets, toxicity  # noqa: F401
+from tallyrisk.llm import (decontaminate, hosts, licences, mixing, neardup, neighbours, quality, secrets, suffix_tree,  # noqa: F401
+                           toxicity)  # noqa: F401
 from tallyrisk.llm.common import ORACLES, QUERIES  # noqa: F401
