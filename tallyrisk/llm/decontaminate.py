@@ -261,16 +261,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def is_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Column:
     """True for rows of `docs` in which no item is confirmed; a NULL text is clean."""
-    clean = F.lit(True)
+    text, clean = F.coalesce(docs[text_col], F.lit("")).cast("binary"), F.lit(True)
     for benchmark in shards(items, item_col, item_text_col):
-        told = ship(docs.sparkSession, benchmark)
+        clean = clean & _without(ship(docs.sparkSession, benchmark))(text)
+    return clean
 
-        @F.pandas_udf("boolean")
-        def without(texts: pd.Series, told=told) -> pd.Series:
-            return pd.Series([not opened(told).matches(t) for t in texts], dtype=bool)
 
-        clean = clean & without(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
-    return clean
+def _without(told):
+    @F.pandas_udf("boolean")
+    def without(texts: pd.Series) -> pd.Series:
+        return pd.Series([not opened(told).matches(t) for t in texts], dtype=bool)
+
+    return without
 
 
 @query("op1_block_max_wand")

@@ -127,6 +127,28 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return tried.select("row.*", F.concat(*spans).alias("secret_spans"))
 
 
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", mark: str = "[secret]") -> DataFrame:
+    """The rows of `docs` with every secret replaced by `mark`; overlapping secrets are one. Rows without one stay as they are.
+
+    `length_col`, where there is one, follows the new text. A NULL text stays NULL.
+    """
+    found = scanned(docs, text_col)
+    text = found[text_col]
+
+    def step(state: Column, span: Column) -> Column:
+        further = span["end"] > state["at"]
+        gap = F.when(span["start"] >= state["at"], F.concat(text.substr(state["at"] + 1, span["start"] - state["at"]), F.lit(mark))).otherwise("")
+        return F.struct(F.when(further, span["end"]).otherwise(state["at"]).alias("at"), F.concat(state["out"], gap).alias("out"))
+
+    cut = F.aggregate(F.array_sort("secret_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                      lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    changed = F.size("secret_spans") > 0
+    new = {text_col: F.when(changed, cut).otherwise(text)}
+    if length_col in docs.columns:
+        new[length_col] = F.when(changed, F.length(cut).cast(docs.schema[length_col].dataType)).otherwise(found[length_col])
+    return found.select(*[new[c].alias(c) if c in new else found[c] for c in docs.columns])
+
+
 def _oracle() -> str:
     """The same spans by listing all matches of every rule in every text."""
     parts = []
