@@ -5,9 +5,9 @@ a union are the larger of two, and registers of two sets are equal about as ofte
 equal registers (bands) find likely pairs.
 
 Texts of the same words are one class from the start. In each bucket every class is compared with two of the
-bucket's classes (its smallest and its smallest in an order of the bucket's own), which joins groups of any size by a
-linear number of links. Buckets that then still hold several components are searched whole, but only across
-components: small ones from one row, large ones in tiles of bounded size. No partner is left out and no group is
+bucket's classes (that of the smallest id and the smallest in an order of the bucket's own), and then with its most linked
+class, which joins groups of any size by a linear number of links. Buckets that then still hold several components are
+searched whole, but only across components: small ones from one row, large ones in tiles of bounded size. No partner is left out and no group is
 expanded to its pairs.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrisk.landing import land
@@ -32,8 +32,8 @@ SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 80
 BASE, RATE, LARGEST, REGISTERS, BAND = 1.001, 20.0, (1 << 16) - 1, 252, 6
 # A pair is confirmed on full sets if its estimate is at most so many deviations under the threshold.
 DEVIATIONS = 5.0
-# Buckets up to this size are searched from one row; larger ones in tiles of so many classes a side.
-ONE_ROW, TILE = 24, 256
+# Buckets up to this size are searched whole, about so many rows at a time; larger ones in tiles of so many classes a side.
+ONE_ROW, PACKED_ROWS, TILE = 256, 2000, 256
 
 _BLOCK, _MEMO = 1024, 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -131,12 +131,15 @@ def least_estimate(percent: int = THRESHOLD_PERCENT) -> float:
     return t - DEVIATIONS * np.sqrt(t * (1 - t) / REGISTERS)
 
 
+def row_digest(id_: Column, text: Column) -> Column:
+    """Digest of a row's id and text, by which a document is found again."""
+    told = F.concat_ws("|", F.coalesce(id_.cast("string"), F.lit("none")), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(told.cast("binary")))
+
+
 def _sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """One row per document: id, digest of id and text, class key (NULL without words), set size, registers."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    digest = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("none")),
-                                       F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
-
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketcher = Sketcher(width)
         for frame in batches:
@@ -149,7 +152,7 @@ def _sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
                 registers.append(sketcher.registers(hashes).tobytes() if words else None)
             yield pd.DataFrame({"id": frame["id"], "row_key": frame["row_key"], "key": keys, "n": sizes, "registers": registers})
 
-    texts = docs.select(F.col(id_col).alias("id"), digest.alias("row_key"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), row_digest(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
     return texts.mapInPandas(sketch, f"id {id_type}, row_key binary, key binary, n long, registers binary")
 
 
@@ -172,9 +175,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInPandas(check, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that agree on full sets. Texts of the classes in question are read again, from one row of each class."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+def _bodies(asked: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, words) of the classes in `asked` (cid): their texts are read again, from rows of each class's smallest id."""
     wanted = land(asked.join(classes.select("cid", "key", "first"), "cid"), "neardup-wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = texts.join(wanted.select("first").distinct(), F.expr("id <=> first"), "left_semi")
@@ -184,8 +186,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
             joined = [b" ".join(split_words(t)) for t in frame["text"]]
             yield pd.DataFrame({"key": [hashlib.md5(t).digest() for t in joined], "words": joined})
 
-    bodies = land(rows.mapInPandas(keyed, "key binary, words binary").join(wanted.select("cid", "key"), "key")
-                  .groupBy("cid").agg(F.max("words").alias("words")), "neardup-texts")
+    return land(rows.mapInPandas(keyed, "key binary, words binary").join(wanted.select("cid", "key"), "key")
+                .groupBy("cid").agg(F.max("words").alias("words")), "neardup-texts")
+
+
+def _confirmed(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that agree on full sets, as (u, v)."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, known = None, set()
@@ -204,48 +210,114 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
             .select(F.col("a").alias("u"), F.col("b").alias("v"), "left", "right").mapInPandas(check, "u long, v long"))
 
 
-def _across(dense: DataFrame, labels: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components, from small buckets all, from large ones the likely."""
-    labelled = dense.select("bucket", "cid").join(labels, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    by_root = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = (by_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"))
-             .filter("roots > 1").select("bucket", "n", F.col("top.root").alias("top"), F.col("top.n").alias("n_top")))
-    members = land(labelled.join(mixed, "bucket"), "neardup-mixed")
+def _with_hubs(dense: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's most linked class and those of its classes that are in other components."""
+    degree = links.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count("*").alias("degree"))
+    members = (dense.select("bucket", "cid").join(roots, "cid", "left").join(degree, "cid", "left")
+               .withColumn("root", F.coalesce("root", "cid")).withColumn("degree", F.coalesce("degree", F.lit(0))))
+    hubs = (members.groupBy("bucket").agg(F.max(F.struct("degree", "cid", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
+            .filter("low < high").select("bucket", F.col("hub.cid").alias("hub"), F.col("hub.root").alias("hub_root")))
+    return (members.join(hubs, "bucket").filter("root <> hub_root")
+            .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct())
+
 
-    small = (members.filter(F.col("n") <= ONE_ROW).groupBy("bucket").agg(F.collect_list(F.struct("cid", "root")).alias("m"))
-             .select("m", F.explode("m").alias("one")).select("one", F.explode("m").alias("two"))
-             .filter("one.cid < two.cid and one.root <> two.root").select(F.col("one.cid").alias("a"), F.col("two.cid").alias("b")))
+def _likely_pairs(frame: pd.DataFrame, at: np.ndarray, registers: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of likely pairs of different components among the rows `at` of one bucket.
 
-    large = (members.filter(F.col("n") > ONE_ROW).withColumn("is_top", F.col("root") == F.col("top"))
-             .withColumn("rest_tiles", F.ceil((F.col("n") - F.col("n_top")) / F.lit(TILE)).cast("int"))
+    A pair counts in the first band that both share only. In tiles of the largest component and the rest (kind 1) only pairs
+    across the two are new.
+    """
+    one, two = np.triu_indices(len(at), 1)
+    root, n, top = (frame[c].to_numpy()[at] for c in ("root", "n", "is_top"))
+    size_small, size_large = np.minimum(n[one], n[two]), np.maximum(n[one], n[two])
+    open_ = (root[one] != root[two]) & (size_small * 100 >= size_large * THRESHOLD_PERCENT)
+    if frame["kind"].iat[at[0]] == 1:
+        open_ &= top[one] != top[two]
+    one, two, band = at[one[open_]], at[two[open_]], frame["band"].iat[at[0]]
+    sizes, kept = frame["n"].to_numpy(float), []
+    for i in range(0, len(one), 4096):
+        left, right = registers[one[i:i + 4096]], registers[two[i:i + 4096]]
+        first = (left == right).reshape(len(left), -1, BAND).all(2).argmax(1) == band
+        good = np.zeros(len(left), bool)
+        good[first] = estimate(left[first], right[first], sizes[one[i:i + 4096]][first], sizes[two[i:i + 4096]][first]) >= least
+        kept.append(good)
+    likely = np.concatenate(kept) if kept else np.zeros(0, bool)
+    return one[likely], two[likely]
+
+
+def _segments(frame: pd.DataFrame) -> list[np.ndarray]:
+    """Row positions of each bucket in a group of rows."""
+    bucket = frame["bucket"].to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+
+
+def _registers(frame: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), -1)
+
+
+def _across(dense: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (u, v) between different components that share a bucket, compared inside tasks.
+
+    Small buckets are packed many to a group; larger ones are cut into tiles of at most TILE classes a side. A first pass
+    over the registers finds the classes that have a likely partner; only their texts are then brought to the tiles, and
+    only confirmed links leave a task.
+    """
+    labelled = dense.select("bucket", "band", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    by_root = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = (by_root.groupBy("bucket").agg(F.sum("n").alias("rows"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"))
+             .filter("roots > 1").select("bucket", "rows", F.col("top.root").alias("top"), F.col("top.n").alias("n_top")))
+    members = land(labelled.join(mixed, "bucket").withColumn("is_top", F.col("root") == F.col("top")), "neardup-mixed")
+    packs = max(1, members.count() // PACKED_ROWS)
+    small = (members.filter(F.col("rows") <= ONE_ROW).withColumn("kind", F.lit(0))
+             .withColumn("tile", F.pmod(F.xxhash64("bucket", F.lit(9)), F.lit(packs))))
+    large = (members.filter(F.col("rows") > ONE_ROW)
+             .withColumn("rest_tiles", F.ceil((F.col("rows") - F.col("n_top")) / F.lit(TILE)).cast("int"))
              .withColumn("top_tiles", F.ceil(F.col("n_top") / F.lit(TILE)).cast("int"))
              .withColumn("own", F.pmod(F.xxhash64("cid"), F.when(F.col("is_top"), F.col("top_tiles")).otherwise(F.col("rest_tiles"))).cast("int")))
 
-    def places(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    rest, top = large.filter("not is_top"), large.filter("is_top")
-    tiles = (rest.withColumn("other", places("rest_tiles")).select("bucket", F.lit(0).alias("kind"), F.least("own", "other").alias("i"),
-                                                                   F.greatest("own", "other").alias("j"), "cid", "root", "is_top")
-             .unionByName(rest.withColumn("j", places("top_tiles")).select("bucket", F.lit(1).alias("kind"), F.col("own").alias("i"), "j", "cid", "root", "is_top"))
-             .unionByName(top.withColumn("i", places("rest_tiles")).select("bucket", F.lit(1).alias("kind"), "i", F.col("own").alias("j"), "cid", "root", "is_top")))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        registers = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), -1)
-        cid, root, n, is_top = (frame[c].to_numpy() for c in ("cid", "root", "n", "is_top"))
-        out = []
-        for i in np.flatnonzero(~is_top):
-            other = np.flatnonzero((root != root[i]) & (is_top | (cid > cid[i]))
-                                   & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * THRESHOLD_PERCENT))
-            if len(other):
-                likely = other[estimate(np.repeat(registers[i:i + 1], len(other), 0), registers[other],
-                                        np.full(len(other), float(n[i])), n[other].astype(float)) >= least]
-                out.append(pd.DataFrame({"a": np.minimum(cid[i], cid[likely]), "b": np.maximum(cid[i], cid[likely])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64")})
-
-    tiled = (tiles.join(classes.select("cid", "n", "registers"), "cid").groupBy("bucket", "kind", "i", "j")
-             .applyInPandas(compare, "a long, b long"))
-    return small.unionByName(tiled).distinct()
+    def tiled(rows: DataFrame, count: str, kind: int, low: Column, high: Column) -> DataFrame:
+        placed = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(count) - 1))).withColumn("kind", F.lit(kind))
+        return placed.withColumn("tile", F.xxhash64("bucket", "kind", low, high))
+
+    rest, top, own, other = large.filter("not is_top"), large.filter("is_top"), F.col("own"), F.col("other")
+    named = ["tile", "kind", "bucket", "band", "cid", "root", "is_top"]
+    tiles = small.select(named)
+    for part in (tiled(rest, "rest_tiles", 0, F.least(own, other), F.greatest(own, other)), tiled(rest, "top_tiles", 1, own, other),
+                 tiled(top, "rest_tiles", 1, other, own)):
+        tiles = tiles.unionByName(part.select(named))
+    with_sketch = tiles.join(classes.select("cid", "n", "registers"), "cid")
+    least = least_estimate()
+
+    def flag(frame: pd.DataFrame) -> pd.DataFrame:
+        registers, hit = _registers(frame), np.zeros(len(frame), bool)
+        for at in _segments(frame):
+            for side in _likely_pairs(frame, at, registers, least):
+                hit[side] = True
+        return frame.loc[hit, named]
+
+    types = "tile long, kind int, bucket long, band int, cid long, root long, is_top boolean"
+    flagged = land(with_sketch.groupBy("tile", "kind").applyInPandas(flag, types), "neardup-flagged")
+    bodies = _bodies(flagged.select("cid").distinct(), classes, docs, id_col, text_col)
+
+    def confirm(frame: pd.DataFrame) -> pd.DataFrame:
+        registers, sets, links = _registers(frame), {}, []
+        cid, words = frame["cid"].to_numpy(), frame["words"].to_list()
+
+        def of(i: int) -> set:
+            if cid[i] not in sets:
+                sets[cid[i]] = shingle_set(words[i].split(), width)
+            return sets[cid[i]]
+
+        for at in _segments(frame):
+            for i, j in zip(*_likely_pairs(frame, at, registers, least)):
+                both = len(of(i) & of(j))
+                if 100 * both >= THRESHOLD_PERCENT * (len(of(i)) + len(of(j)) - both):
+                    links.append((cid[i], cid[j]))
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return (flagged.join(classes.select("cid", "n", "registers"), "cid").join(bodies, "cid").groupBy("tile", "kind")
+            .applyInPandas(confirm, "u long, v long").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,26 +331,34 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, id_col: str = "
     rows = land(_sketched(docs, width, id_col, text_col), "neardup-rows")
     classes = land(rows.filter("key is not null").groupBy("key")
                    .agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("registers").alias("registers"))
-                   .withColumn("cid", F.monotonically_increasing_id()), "neardup-classes")
+                   .orderBy("first").withColumn("cid", F.monotonically_increasing_id()), "neardup-classes")
     at = F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))
-    bands = classes.select("cid", F.explode(F.transform(at, lambda i: F.xxhash64(
-        i, F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND))))).alias("bucket"))
+    bands = classes.select("cid", F.posexplode(F.transform(at, lambda i: F.xxhash64(
+        i, F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND))))).alias("band", "bucket"))
     turned = F.xxhash64(F.lit(3), F.col("bucket")).bitwiseAND(F.lit((1 << 62) - 1))
     full = (bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cid").alias("one"),
                                         F.min(F.col("cid").bitwiseXOR(turned)).alias("two"))
             .filter("n > 1").select("bucket", "one", F.col("two").bitwiseXOR(turned).alias("two")))
     dense = land(bands.join(full, "bucket"), "neardup-buckets")
-    starred = (dense.select("cid", F.explode(F.array("one", "two")).alias("centre")).filter("cid <> centre")
-               .select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct())
-    least = least_estimate()
-    tried = land(_estimated(starred, classes, least), "neardup-stars")
-    links = land(_confirmed(tried, classes, docs, width, THRESHOLD_PERCENT, id_col, text_col), "neardup-links")
-    roots = components(links, "neardup-components").select(F.col("node").alias("cid"), "root")
-
-    more = _across(dense, roots, classes, least).join(starred, ["a", "b"], "left_anti")
-    tried = land(_estimated(more, classes, least), "neardup-across")
-    links = links.unionByName(land(_confirmed(tried, classes, docs, width, THRESHOLD_PERCENT, id_col, text_col), "neardup-links"))
-    roots = components(links, "neardup-components").select(F.col("node").alias("cid"), "root")
+    stars = (dense.select("cid", F.explode(F.array("one", "two")).alias("centre")).filter("cid <> centre")
+             .select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct())
+    least, spark = least_estimate(), docs.sparkSession
+    links = tried = spark.createDataFrame([], "u long, v long")
+    roots = spark.createDataFrame([], "cid long, root long")
+    for search in ("stars", "hubs", "across"):
+        if search == "across":
+            found = land(_across(dense, roots, classes, docs, width, id_col, text_col), "neardup-links")
+        else:
+            pairs = stars if search == "stars" else _with_hubs(dense, roots, links)
+            untried = pairs.join(tried.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
+            likely = land(_estimated(untried, classes, least), "neardup-likely")
+            tried = tried.unionByName(likely.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            bodies = _bodies(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, docs, id_col, text_col)
+            found = land(_confirmed(likely, bodies, width, THRESHOLD_PERCENT), "neardup-links")
+        if found.isEmpty():
+            continue
+        links = links.unionByName(found)
+        roots = components(links, "neardup-components").select(F.col("node").alias("cid"), "root")
 
     grouped = land(classes.select("cid", "key", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "neardup-groups")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
