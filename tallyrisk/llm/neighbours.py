@@ -131,7 +131,8 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, factor: float = F
     asked = (planned.filter(is_query).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
              .withColumn("shard", every("shards")).select("length", "shard", "block", "id", "vector"))
 
-    def search(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        shard, block = rows[~rows["asked"]], rows[rows["asked"]]
         if not len(shard) or not len(block):
             return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
         shard = shard.sort_values("id")
@@ -142,7 +143,8 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, factor: float = F
         return pd.DataFrame({"query_id": np.repeat(own, found.sum(1)), "vec_id": ids[found], "score": scores[found]})
 
     keys = ["length", "shard", "block"]
-    found = members.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    together = members.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
+    found = together.groupBy(*keys).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
