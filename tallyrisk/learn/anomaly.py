@@ -27,28 +27,40 @@ def average_path(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (math.log(n - 1) + np.euler_gamma) - 2.0 * (n - 1) / n
 
 
+def _binomial_steps(trees: int, chance: float) -> list[float]:
+    """Cumulative probabilities of 0, 1, ... draws out of `trees`; steps that are 1 to double precision are left out."""
+    if chance >= 1:
+        return [0.0] * trees
+    steps, log_p, total = [], trees * math.log1p(-chance), 0.0
+    for k in range(trees):
+        total += math.exp(log_p)
+        if total >= 1 - 1e-15:
+            break
+        steps.append(total)
+        log_p += math.log((trees - k) / (k + 1)) + math.log(chance) - math.log1p(-chance)
+    return steps
+
+
 def tree_samples(df: DataFrame, features: Sequence[str], trees: int, rows: int, seed: int, key: str = "seq",
                  total: int | None = None) -> DataFrame:
     """(tree, x) with exactly min(rows, n) rows per tree, drawn by seeded hashes of the key.
 
-    Large tables draw one pool a little above trees x rows and deal it out, one hash per row. Small
-    ones draw per tree. Either way what is shuffled is bounded by trees x rows.
+    Trees draw independently. A row's number of draws is taken first, from one hash against the binomial law; only a row
+    that is drawn at all then hashes once per tree, and goes to the trees with its smallest hashes. What is shuffled is
+    bounded by about trees x rows.
     """
     n = df.count() if total is None else total
     size = min(rows, n)
-    unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     x = F.array(*[F.col(c).cast("double") for c in features]).alias("x")
-    if n >= 2 * trees * rows:
-        pool = df.filter(unit < (1.5 + 6.0 / math.sqrt(rows)) * trees * rows / n)
-        dealt = pool.select(F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(trees)).cast("int").alias("tree"),
-                            F.col(key).alias("_key"), x)
-    else:
-        # Six deviations above the wanted size, so that a tree cannot fall short.
-        chance = min(1.0, (size + 6.0 * math.sqrt(size) + 6.0) / max(n, 1))
-        limit = int(chance * (1 << 31))
-        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                         lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 31)) < limit)
-        dealt = df.select(F.explode(drawn).alias("tree"), F.col(key).alias("_key"), x)
+    unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    # Six deviations above the wanted size, so that a tree cannot fall short.
+    chance = min(1.0, (size + 6.0 * math.sqrt(size) + 6.0) / max(n, 1))
+    draws = sum((unit >= F.lit(at)).cast("int") for at in _binomial_steps(trees, chance))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
+                                     lambda t: F.struct(F.xxhash64(F.col(key), t, F.lit(seed)).alias("h"), t.alias("tree"))))
+    dealt = (df.withColumn("_draws", draws).filter("_draws > 0")
+             .select(F.explode(F.slice(order, F.lit(1), F.col("_draws"))).alias("_drawn"), F.col(key).alias("_key"), x)
+             .select("_drawn.tree", "_key", "x"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_key", "tree", F.lit(seed)), "_key"))
     return dealt.withColumn("_rank", rank).filter(F.col("_rank") <= size).select("tree", "x")
 

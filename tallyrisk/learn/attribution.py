@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrisk.landing import land
-from tallyrisk.learn.supervised import Trained
+from tallyrisk.learn.supervised import Classifier
 from tallyrisk.operators.split import random_sample_fixed, top_k
 
 SAMPLE_ROWS, TOP_FEATURES = 2000, 12  # fixed values
 
 
-def linear_attribution(trained: Trained, df: DataFrame, background: DataFrame) -> DataFrame:
+def linear_attribution(trained: Classifier, df: DataFrame, background: DataFrame) -> DataFrame:
     """Exact for a linear model: coefficient times distance from the background mean, on the logit."""
-    _, scaler, regression = trained.model.stages
+    _, scaler, regression = trained.pipeline.stages
     means = background.agg(*[F.avg(c).alias(c) for c in trained.features]).first()
     weights = [b / (s or 1.0) for b, s in zip(regression.coefficients, scaler.std)]
     parts = [F.avg(F.abs(F.lit(float(w)) * (F.col(c) - F.lit(means[c])))).alias(c) for c, w in zip(trained.features, weights)]
@@ -60,7 +60,7 @@ def sampled_attribution(score: Callable[[DataFrame], DataFrame], sample: DataFra
         F.get(names, F.col("index")).alias("feature"), "mean_abs_contribution")
 
 
-def feature_attribution(trained: Trained, df: DataFrame, background: DataFrame, sample_rows: int = SAMPLE_ROWS,
+def feature_attribution(trained: Classifier, df: DataFrame, background: DataFrame, sample_rows: int = SAMPLE_ROWS,
                         k: int = TOP_FEATURES, key: str = "seq", permutations: int = 4, seed: int = 0) -> DataFrame:
     """The k features with the largest mean absolute contribution on a fixed-size sample of `df`."""
     sample = random_sample_fixed(df, sample_rows, key, seed)

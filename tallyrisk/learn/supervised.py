@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -32,24 +31,19 @@ PATIENCE = 50
 _ROUNDS_PER_PASS = 25
 
 
-@dataclass
-class Trained:
-    """A fitted model; `score` adds one probability column."""
+class Classifier:
+    """A fitted MLlib pipeline over `features`, its row of facts for reports, and for boosted ones the trees that count."""
 
-    name: str
-    strategy: str
-    model: object
-    fit_seconds: float
-    n_train: int
-    features: list[str]
-    extra: dict = field(default_factory=dict)
+    def __init__(self, pipeline: PipelineModel, features: Sequence[str], rounds: int | None = None, **facts):
+        self.pipeline, self.features, self.rounds, self.facts = pipeline, list(features), rounds, facts
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        keep = df.columns
-        if "rounds" in self.extra:
-            return _boosted_score(self, df, self.extra["rounds"], name).select(*keep, name)
-        out = self.model.transform(df)
-        return out.select(*keep, vector_to_array("probability")[1].alias(name))
+        """`df` with the probability of the positive class."""
+        if self.rounds is None:
+            scored = self.pipeline.transform(df).withColumn(name, vector_to_array("probability")[1])
+        else:
+            scored = _boosted_score(self, df, self.rounds, name)
+        return scored.select(*df.columns, name)
 
 
 def _assembler(features: Sequence[str], output: str = "_features") -> VectorAssembler:
@@ -57,6 +51,8 @@ def _assembler(features: Sequence[str], output: str = "_features") -> VectorAsse
 
 
 def make_pipeline(name: str, features: Sequence[str], label: str, seed: int, weight_sum: float, **overrides) -> Pipeline:
+    if name not in SETTINGS:
+        raise ValueError(f"model must be one of {MODELS}")
     s = {**SETTINGS[name], **overrides}
     common = {"labelCol": label, "weightCol": "weight"}
     if name == "logreg":
@@ -66,37 +62,35 @@ def make_pipeline(name: str, features: Sequence[str], label: str, seed: int, wei
                                 StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
                                 LogisticRegression(featuresCol="_features", regParam=reg, standardization=False, **common, **s)])
     kind = RandomForestClassifier if name == "random_forest" else GBTClassifier
-    if name not in SETTINGS:
-        raise ValueError(f"model must be one of {MODELS}")
     return Pipeline(stages=[_assembler(features), kind(featuresCol="_features", seed=seed, **common, **s)])
 
 
-def _tree_columns(trained: Trained, df: DataFrame, first: int, last: int) -> DataFrame:
-    assembler, booster = trained.model.stages
+def _tree_columns(trained: Classifier, df: DataFrame, first: int, last: int) -> DataFrame:
+    assembler, booster = trained.pipeline.stages
     out = df if "_features" in df.columns else assembler.transform(df)
     for i in range(first, last):
         out = booster.trees[i].setFeaturesCol("_features").setPredictionCol(f"_tree_{i}").transform(out)
     return out
 
 
-def _boosted_score(trained: Trained, df: DataFrame, rounds: int, name: str) -> DataFrame:
+def _boosted_score(trained: Classifier, df: DataFrame, rounds: int, name: str) -> DataFrame:
     """Probability after the first `rounds` trees."""
-    booster = trained.model.stages[1]
+    booster = trained.pipeline.stages[1]
     if rounds == booster.getNumTrees:
-        return trained.model.transform(df).withColumn(name, vector_to_array("probability")[1])
+        return trained.pipeline.transform(df).withColumn(name, vector_to_array("probability")[1])
     weights = booster.treeWeights
     margin = sum((F.col(f"_tree_{i}") * float(weights[i]) for i in range(rounds)), F.lit(0.0))
     return _tree_columns(trained, df, 0, rounds).withColumn(name, sigmoid(margin * 2.0))
 
 
-def choose_round(trained: Trained, val: DataFrame, label: str = "label", patience: int = PATIENCE,
+def choose_round(trained: Classifier, val: DataFrame, label: str = "label", patience: int = PATIENCE,
                  rounds_per_pass: int = _ROUNDS_PER_PASS) -> int:
     """Number of trees with the best validation PR-AUC, stopping `patience` rounds after the best.
 
     A pass scores up to `rounds_per_pass` prefixes of the ensemble in one job; the margin so far is
     carried in a landed table between passes.
     """
-    booster = trained.model.stages[1]
+    booster = trained.pipeline.stages[1]
     weights, total = booster.treeWeights, booster.getNumTrees
     margins = val.select(label, *trained.features).withColumn("_margin", F.lit(0.0))
     best, best_round = -1.0, 0
@@ -122,23 +116,23 @@ def choose_round(trained: Trained, val: DataFrame, label: str = "label", patienc
 
 
 def train(name: str, strategy: str, train_df: DataFrame, val_df: DataFrame, features: Sequence[str], label: str = "label",
-          seed: int = 0, key: str = "seq", prepared: DataFrame | None = None, patience: int = PATIENCE, **overrides) -> Trained:
+          seed: int = 0, key: str = "seq", prepared: DataFrame | None = None, patience: int = PATIENCE, **overrides) -> Classifier:
     """Fit one model under one strategy; boosted models keep the best round on validation."""
     rows = prepared if prepared is not None else land(resample(train_df, features, strategy, label, seed, key), "fit")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
     began = time.perf_counter()
     model = make_pipeline(name, features, label, seed, size["w"], **overrides).fit(rows)
-    out = Trained(name, strategy, model, 0.0, size["n"], list(features))
+    out = Classifier(model, features, model=name, strategy=strategy, n_train_rows=size["n"], best_iteration=None)
     if name.startswith("gbt"):
-        out.extra["rounds"] = choose_round(out, val_df, label, patience)
-        out.extra["best_iteration"] = out.extra["rounds"] - 1
-    out.fit_seconds = round(time.perf_counter() - began, 2)
+        out.rounds = choose_round(out, val_df, label, patience)
+        out.facts["best_iteration"] = out.rounds - 1
+    out.facts["fit_seconds"] = round(time.perf_counter() - began, 2)
     return out
 
 
 def model_grid(table: DataFrame, features: Sequence[str], models: Sequence[str] = MODELS,
                strategies: Sequence[str] = STRATEGIES, label: str = "label", seed: int = 0,
-               overrides: dict[str, dict] | None = None) -> tuple[DataFrame, dict[tuple[str, str], Trained]]:
+               overrides: dict[str, dict] | None = None) -> tuple[DataFrame, dict[tuple[str, str], Classifier]]:
     """Report rows of every model x strategy and the fitted models.
 
     Thresholds come from validation best-F1, reports from test. Each strategy's training rows are
@@ -162,14 +156,14 @@ def model_grid(table: DataFrame, features: Sequence[str], models: Sequence[str]
     chosen = best_f1_threshold(on_val, by)
     report = report_from_curve(score_curve(scored.filter("split = 'test'"), by=by), chosen, by)
     facts = table.sparkSession.createDataFrame(
-        [(n, s, i, t.fit_seconds, t.n_train, t.extra.get("best_iteration"))
+        [(n, s, i, t.facts["fit_seconds"], t.facts["n_train_rows"], t.facts["best_iteration"])
          for i, ((n, s), t) in enumerate(sorted(fitted.items(), key=lambda f: (models.index(f[0][0]), strategies.index(f[0][1]))))],
         "model string, strategy string, run_idx int, fit_seconds double, n_train_rows long, best_iteration int")
     val = pr_auc(on_val, by).select(*by, F.round("pr_auc", 4).alias("val_pr_auc"))
     return facts.join(val, by).join(report, by), fitted
 
 
-def batch_predict(trained: Trained, df: DataFrame, path: str, key: str = "seq") -> DataFrame:
+def batch_predict(trained: Classifier, df: DataFrame, path: str, key: str = "seq") -> DataFrame:
     """Score a whole slice to Parquet and return what was written."""
     trained.score(df).select(key, "score").write.parquet(path)
     return df.sparkSession.read.schema(f"{key} long, score double").parquet(path)

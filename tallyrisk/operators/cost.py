@@ -7,8 +7,7 @@ holds their rank, fixed ones from a binary search. Neither needs a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +18,8 @@ from tallyrisk.operators.curve import GROUP
 from tallyrisk.operators.quantiles import lerp_expr
 
 
-@dataclass(frozen=True)
-class CostModel:
-    """Money lost per missed positive and money spent per reviewed row."""
-
-    missed_cost: float = 200.0
-    review_cost: float = 5.0
-
-
+# What one positive below the threshold costs, and one row at or above it.
+UNIT_COSTS = {"missed": 200.0, "flagged": 5.0}
 GRID_POINTS = 400
 LOG_FROM, LOG_TO = -6.0, 0.0
 
@@ -98,29 +91,29 @@ def threshold_grid(curve: DataFrame, points: int = GRID_POINTS, by: Sequence[str
         F.max("tp").alias("tp"), F.max("fp").alias("fp"))
 
 
-def cost_expr(model: CostModel) -> Column:
+def cost_expr(costs: Mapping[str, float]) -> Column:
     """Cost per 10,000 rows of a row holding missed, flagged and n."""
-    total = F.col("missed") * F.lit(model.missed_cost) + F.col("flagged") * F.lit(model.review_cost)
+    total = sum(F.col(count) * F.lit(float(each)) for count, each in costs.items())
     return total / F.col("n") * F.lit(10000.0)
 
 
-def cost_curve(curve: DataFrame, model: CostModel = CostModel(), points: int = GRID_POINTS,
+def cost_curve(curve: DataFrame, costs: Mapping[str, float] = UNIT_COSTS, points: int = GRID_POINTS,
                by: Sequence[str] = (), thresholds: Sequence[float] | None = None) -> DataFrame:
     """threshold, cost, missed, flagged at every threshold of the grid; `cost` is not rounded."""
     grid = threshold_grid(curve, points, by) if thresholds is None else fixed_thresholds(curve, thresholds, by)
-    return _priced(grid, model, by)
+    return _priced(grid, costs, by)
 
 
-def _priced(grid: DataFrame, model: CostModel, by: Sequence[str]) -> DataFrame:
+def _priced(grid: DataFrame, costs: Mapping[str, float], by: Sequence[str]) -> DataFrame:
     rows = grid.select(
         *by, GROUP, "threshold", "n", (F.col("positives") - F.col("tp")).alias("missed"),
         (F.col("tp") + F.col("fp")).alias("flagged"))
-    return rows.select(*by, GROUP, "threshold", cost_expr(model).alias("cost"), "missed", "flagged")
+    return rows.select(*by, GROUP, "threshold", cost_expr(costs).alias("cost"), "missed", "flagged")
 
 
-def best_cost(curve: DataFrame, model: CostModel = CostModel(), points: int = GRID_POINTS, by: Sequence[str] = ()) -> DataFrame:
+def best_cost(curve: DataFrame, costs: Mapping[str, float] = UNIT_COSTS, points: int = GRID_POINTS, by: Sequence[str] = ()) -> DataFrame:
     """`cheapest` of the cost curve; repeated thresholds do no harm, so they are not removed first."""
-    return cheapest(_priced(_all_thresholds(curve, points, by), model, by), by)
+    return cheapest(_priced(_all_thresholds(curve, points, by), costs, by), by)
 
 
 def cheapest(costs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -137,10 +130,10 @@ def cost_at_threshold(costs: DataFrame, chosen: float, by: Sequence[str] = ()) -
         *by, "first.threshold", F.round("first.cost", 2).alias("cost_per_10k"))
 
 
-def cost_baselines(df: DataFrame, label: str = "label", model: CostModel = CostModel(),
+def cost_baselines(df: DataFrame, label: str = "label", costs: Mapping[str, float] = UNIT_COSTS,
                    by: Sequence[str] = ()) -> DataFrame:
     """Cost per 10,000 rows of flagging nothing and of flagging everything."""
-    missed = F.sum(F.col(label)) * F.lit(model.missed_cost) / F.count(F.lit(1)) * F.lit(10000.0)
+    missed = F.sum(F.col(label)) * F.lit(float(costs["missed"])) / F.count(F.lit(1)) * F.lit(10000.0)
     return df.groupBy(*by).agg(
         F.round(missed, 2).alias("flag_nothing_cost_per_10k"),
-        F.round(F.lit(model.review_cost * 10000.0), 2).alias("flag_everything_cost_per_10k"))
+        F.round(F.lit(costs["flagged"] * 10000.0), 2).alias("flag_everything_cost_per_10k"))

@@ -19,7 +19,7 @@ from tallyrisk.operators.quantiles import column_quantiles
 def reference_edges(reference: DataFrame, columns: Sequence[str], bins: int = 10,
                     rows: int | None = None) -> dict[str, list[float]]:
     """Unique quantile edges of each column on the reference rows."""
-    found = column_quantiles(reference, columns, even_grid(bins + 1), rows=rows)
+    found = column_quantiles(reference, columns, even_grid(bins + 1))
     return {c: sorted(set(found[c])) for c in columns}
 
 

@@ -7,34 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1e-3
-SALTS = 64
+from tallyrisk.landing import land
 
+ROWS_PER_TASK = 4_000_000  # rows of one key that a task may meet before the key is split
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than `share` of the rows: at most 1 / share of them, whatever the data."""
-    rows = df.count()
-    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(
-        F.col("_rows") > max(1, rows * share)).select(*on)
 
+def hot_keys(df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(keys, _salts) of keys with more rows than a task should meet, and in how many parts to cut each.
 
-def balanced_join(many: DataFrame, one: DataFrame, on: Sequence[str], how: str = "inner", share: float = HOT_SHARE,
-                  salts: int = SALTS) -> DataFrame:
+    At most rows / rows_per_task keys. Written once, because both sides of a join need it.
+    """
+    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_task)
+    return land(counted.select(*on, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_salts")), "hot-keys")
+
+
+def balanced_join(many: DataFrame, one: DataFrame, on: Sequence[str], how: str = "inner",
+                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Equi-join whose left side may have hot keys; the right side holds each key a bounded number of times.
 
-    Rows of hot keys are spread over `salts` partitions and the matching right rows repeated that
-    often; every other row keeps salt 0. The hot list has at most 1 / share rows, so it is broadcast.
+    Rows of a hot key are spread over as many parts as the key has tasks' worth of rows, and the matching right rows
+    repeated that often; every other row keeps part 0.
     """
     on = list(on)
-    hot = hot_keys(many, on, share).withColumn("_hot", F.lit(True))
+    hot = hot_keys(many, on, rows_per_task)
     # The task number joins the hash so that full copies of a row spread too; unlike a row counter it
     # is the same when a lost task is run again.
-    spread = F.pmod(F.xxhash64(*many.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
-    left = many.withColumn("_spread", spread).join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0))).drop("_hot", "_spread")
-    right = one.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-                           )).drop("_hot")
+    spread = F.xxhash64(*many.columns, F.spark_partition_id())
+    left = many.withColumn("_spread", spread).join(hot, on, "left").withColumn(
+        "_salt", F.pmod(F.col("_spread"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts", "_spread")
+    right = one.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

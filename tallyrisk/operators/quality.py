@@ -21,6 +21,8 @@ REGISTRY_SCHEMA = T.StructType([
     T.StructField("val_pr_auc", T.DoubleType()), T.StructField("test_pr_auc", T.DoubleType()),
     T.StructField("metric_label", T.StringType()), T.StructField("is_default", T.BooleanType()),
     T.StructField("created_at", T.TimestampType())])
+# Which version is the default follows from the versions there are, so it is not stored.
+_STORED = T.StructType([f for f in REGISTRY_SCHEMA.fields if f.name != "is_default"])
 
 
 class ValidationError(RuntimeError):
@@ -107,17 +109,17 @@ def read_registry(spark, path: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(REGISTRY_SCHEMA).parquet(path)
+        stored = spark.read.schema(_STORED).parquet(path)
+        newest = stored.agg(F.max("version")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], REGISTRY_SCHEMA)
+    return stored.withColumn("is_default", F.col("version") == newest).select(*REGISTRY_SCHEMA.names)
 
 
 def registry_append(path: str, candidate: DataFrame) -> DataFrame:
     """Append one version (single writer) and return the registry, newest version as the default."""
     spark = candidate.sparkSession
-    next_version(read_registry(spark, path), candidate).write.mode("append").parquet(path)
-    written = read_registry(spark, path)
-    newest = written.agg(F.max("version")).first()[0]
-    return written.withColumn("is_default", F.col("version") == newest)
+    next_version(read_registry(spark, path), candidate).drop("is_default").write.mode("append").parquet(path)
+    return read_registry(spark, path)

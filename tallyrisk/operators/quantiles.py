@@ -1,9 +1,8 @@
 """Exact quantiles with linear interpolation, at any size.
 
-Small inputs use the built-in exact `percentile`, whose buffer holds every distinct value, only
-behind a check of the row count. Beyond it: approximate quantiles give a bracket around each wanted
-rank, rows outside the brackets collapse to one counted row per gap, and the few rows inside are
-ranked by the distributed running total. If a bracket misses, the ranking runs on all values.
+Approximate quantiles give a bracket around each wanted rank, rows outside the brackets collapse to one
+counted row per gap, and the few rows inside are ranked by the distributed running total. If a bracket
+misses, the ranking runs on all values.
 """
 
 from __future__ import annotations
@@ -17,21 +16,14 @@ from pyspark.sql import functions as F
 from tallyrisk.operators.binning import add_bins
 from tallyrisk.operators.order import running_totals
 
-# Values that one aggregation buffer may hold across all columns of a call.
-IN_MEMORY_VALUES = 4_000_000
 BRACKET_ACCURACY = 20_000
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                     in_memory_values: int = IN_MEMORY_VALUES, rows: int | None = None) -> dict[str, list[float]]:
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
     """{column: value at each probability}; NULL and NaN are not counted; empty columns give []."""
     if any(not 0 <= p <= 1 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
     values = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
-    rows = df.count() if rows is None else rows
-    if rows * len(columns) <= in_memory_values:
-        row = values.agg(*[F.percentile(c, list(probs)).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [] for c in columns}
     return _bracketed(values, list(columns), list(probs))
 
 
@@ -122,8 +114,8 @@ def lerp_expr(low: Column, high: Column, share: Column) -> Column:
     return F.when(share >= 0.5, high - gap * (1 - share)).otherwise(low + gap * share)
 
 
-def quantile_edges(df: DataFrame, column: str, bins: int, **kwargs) -> list[float]:
+def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Unique quantiles at bins + 1 even probabilities."""
     from tallyrisk.functions.scalars import even_grid
 
-    return sorted(set(column_quantiles(df, [column], even_grid(bins + 1), **kwargs)[column]))
+    return sorted(set(column_quantiles(df, [column], even_grid(bins + 1))[column]))

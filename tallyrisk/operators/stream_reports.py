@@ -54,15 +54,21 @@ def visible_lag(scored: DataFrame, stamp: str = "scored_at", produced: str = "pr
                 written: str | None = None) -> DataFrame:
     """Per micro-batch stamp: rows visible so far and how far the newest event lies behind.
 
-    The stamp is constant in a micro-batch, so the window runs over one row per batch.
+    The stamp is constant in a micro-batch. Running figures are taken inside each hour, on top of what the hours before
+    hold, so that no task sees more than an hour's batches or one row per hour.
     """
     seen = F.max(F.col(written)) if written else F.max(stamp)
     batches = scored.groupBy(F.col(stamp).alias("sampled_at")).agg(
         F.count(F.lit(1)).alias("_rows"), F.max(produced).alias("_newest"), seen.alias("_seen"))
-    so_far = Window.orderBy("sampled_at").rowsBetween(Window.unboundedPreceding, 0)
-    return batches.select(
-        "sampled_at", F.sum("_rows").over(so_far).alias("scored"),
-        F.round(millis_between(F.col("_seen"), F.max("_newest").over(so_far)) / 1000.0, 1).alias("visible_lag_s"))
+    batches = batches.withColumn("_hour", F.date_trunc("hour", "sampled_at"))
+    earlier = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = batches.groupBy("_hour").agg(F.sum("_rows").alias("_rows"), F.max("_newest").alias("_newest")).select(
+        "_hour", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.max("_newest").over(earlier).alias("_newest_before"))
+    so_far = Window.partitionBy("_hour").orderBy("sampled_at").rowsBetween(Window.unboundedPreceding, 0)
+    newest = F.greatest(F.max("_newest").over(so_far), F.col("_newest_before"))
+    return batches.join(hours, "_hour").select(
+        "sampled_at", (F.sum("_rows").over(so_far) + F.col("_before")).alias("scored"),
+        F.round(millis_between(F.col("_seen"), newest) / 1000.0, 1).alias("visible_lag_s"))
 
 
 def seed_stability(runs: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:

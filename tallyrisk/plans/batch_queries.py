@@ -51,7 +51,9 @@ def shared_curve(spark, sf_dir):
 
 @query("scan_transactions", f"WITH {TX} SELECT seq, {FEATURE_LIST}, label FROM tx")
 def _(spark, sf_dir):
-    return W.transactions(spark, sf_dir).drop("split")
+    path = fresh_path(spark, "raw")
+    W.raw_lineitem(spark, sf_dir).withColumn("label", W.label_rule().cast("string")).repartition(3, "l_orderkey").write.parquet(path)
+    return T.scan_transactions(spark, path, "label", order=W.TIME_ORDER).select("seq", *W.FEATURES, "label")
 
 
 @query("sink_split_parts", f"WITH {TX} SELECT split, seq, label, l_extendedprice FROM tx")
@@ -104,10 +106,11 @@ def _(spark, sf_dir):
 
 @query("split_halves", f"""WITH {TX}, b AS (SELECT split, min(seq) AS lo, count(*) AS n FROM tx GROUP BY split)
   SELECT CASE WHEN seq < lo + n//2 THEN 'first' ELSE 'second' END AS half, count(*) AS rows,
-    CAST(sum(label) AS BIGINT) AS frauds, min(seq) AS seq_from, max(seq) AS seq_to
+    CAST(sum(label) AS BIGINT) AS frauds, min(seq * seq) AS seq_from, max(seq * seq) AS seq_to
   FROM tx JOIN b USING (split) WHERE split = 'test' GROUP BY 1""")
 def _(spark, sf_dir):
-    halves = S.split_halves(W.transactions(spark, sf_dir).filter("split = 'test'"))
+    # Squared positions leave gaps, so that halves by rank and by value differ.
+    halves = S.split_halves(W.transactions(spark, sf_dir).filter("split = 'test'").withColumn("seq", F.col("seq") * F.col("seq")))
     return halves.groupBy("half").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("frauds"),
                                       F.min("seq").alias("seq_from"), F.max("seq").alias("seq_to"))
 
@@ -146,9 +149,10 @@ def _(spark, sf_dir):
                      F.bool_and(F.col("split") == "test").alias("all_test"))
 
 
-@query("head_n", f"WITH {TX} SELECT seq, label FROM tx, cuts WHERE split = 'test' AND seq < c2 + 100")
+@query("head_n", f"WITH {TX} SELECT seq * seq AS seq, label FROM tx, cuts WHERE split = 'test' AND seq < c2 + 100")
 def _(spark, sf_dir):
-    return S.head_n(W.transactions(spark, sf_dir).filter("split = 'test'"), 100).select("seq", "label")
+    sparse = W.transactions(spark, sf_dir).filter("split = 'test'").withColumn("seq", F.col("seq") * F.col("seq"))
+    return S.head_n(sparse, 100).select("seq", "label")
 
 
 @query("every_kth", f"""WITH {COST}, ordered AS (SELECT split, model, threshold, round(cost, 2) AS cost_per_10k,

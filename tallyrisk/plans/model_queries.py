@@ -34,7 +34,7 @@ def part(spark, sf_dir, name):
     return W.transactions(spark, sf_dir).filter(F.col("split") == name)
 
 
-def fit(spark, sf_dir, name: str, strategy: str = "weights") -> SU.Trained:
+def fit(spark, sf_dir, name: str, strategy: str = "weights") -> SU.Classifier:
     return _fit(spark, spark.sparkContext.applicationId, sf_dir, name, strategy)
 
 
@@ -151,7 +151,7 @@ def _(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
     trained = fit(spark, sf_dir, "logreg")
-    both = trained.model.transform(part(spark, sf_dir, "test")).select(vector_to_array("probability").alias("p"))
+    both = trained.pipeline.transform(part(spark, sf_dir, "test")).select(vector_to_array("probability").alias("p"))
     return both.agg(F.count(F.lit(1)).alias("rows"),
                     F.bool_and(F.abs(F.col("p")[0] + F.col("p")[1] - 1.0) < 1e-9).alias("same"))
 

@@ -90,16 +90,15 @@ def stage_train(run: Run) -> DataFrame:
     saved = run.save("baselines", grid)
     chosen = run.save("best", P.model_select(saved)).first()
     best = fitted[chosen["model"], chosen["strategy"]]
-    best.model.write().overwrite().save(f"{run.out}/best_model")
+    best.pipeline.write().overwrite().save(f"{run.out}/best_model")
     best.score(table).select("seq", "split", "label", "score").write.partitionBy("split").parquet(f"{run.out}/best_scores")
     return saved
 
 
-def load_best(run: Run) -> SU.Trained:
+def load_best(run: Run) -> SU.Classifier:
     facts = run.best()
-    extra = {"rounds": facts["best_iteration"] + 1} if facts.get("best_iteration") is not None else {}
-    return SU.Trained(facts["model"], facts["strategy"], PipelineModel.load(f"{run.out}/best_model"),
-                      facts["fit_seconds"], facts["n_train_rows"], run.features, extra)
+    last = facts.get("best_iteration")
+    return SU.Classifier(PipelineModel.load(f"{run.out}/best_model"), run.features, None if last is None else last + 1, **facts)
 
 
 def stage_evaluate(run: Run) -> dict[str, DataFrame]:
@@ -191,7 +190,7 @@ def lifecycle(run: Run, registry: str, candidates: Sequence[tuple[str, str]] = C
     rows = C.pr_auc(on_val, ["run_idx"]).join(C.best_f1_threshold(on_val, ["run_idx"]), "run_idx")
     chosen = P.model_select(rows, "pr_auc").first()
     best = fits[chosen["run_idx"]]
-    best.model.write().overwrite().save(f"{run.out}/model")
+    best.pipeline.write().overwrite().save(f"{run.out}/model")
     report = run.save("test_report", R.full_report(best.score(test), threshold=chosen["threshold"]))
     measured = report.first()["pr_auc"]
     gate = Q.promotion_gate(Q.read_registry(run.spark, registry), measured, floor).first()

@@ -19,11 +19,14 @@ def scan_transactions(spark: SparkSession, path: str, label: str = TARGET, seq:
                       order: Sequence[str] = ()) -> DataFrame:
     """Read Parquet, cast the label to int and add `seq` when absent.
 
-    The order lives in `seq`; rows are not sorted physically. Without `order` the file order counts.
+    The order lives in `seq`; rows are not sorted physically. Without `order` rows count by file name and by their
+    place in the file, however Spark deals the files to tasks.
     """
     df = spark.read.parquet(path)
-    df = df.withColumn(label, F.col(label).cast("int"))
-    return df if seq in df.columns else global_index(df, list(order), seq)
+    placed = df.withColumns({label: F.col(label).cast("int"), "_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    if seq in df.columns:
+        return placed.select(*df.columns)
+    return global_index(placed, [*order, "_file", "_row"], seq, keep=df.columns)
 
 
 def project_features(df: DataFrame, features: Sequence[str] = CARD_FEATURES) -> DataFrame:
@@ -46,5 +49,5 @@ def write_split_parts(df: DataFrame, path: str) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A stage report as JSON lines; reports are small, so one file."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """A stage report as JSON lines; reports are small, so one file, behind an exchange so that the work stays spread."""
+    report.repartition(1).write.mode("overwrite").json(path)

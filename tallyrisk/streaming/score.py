@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -30,33 +29,32 @@ def open_linear(content: bytes) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def open_onnx(content: bytes) -> Callable[[np.ndarray], np.ndarray]:
-    """A scorer from an ONNX file with one input named `input`; the second of two columns counts."""
-    import onnxruntime
-
-    options = onnxruntime.SessionOptions()
-    options.intra_op_num_threads = 1
-    session = onnxruntime.InferenceSession(content, options, providers=["CPUExecutionProvider"])
-    output = session.get_outputs()[-1].name
-
-    def score(x: np.ndarray) -> np.ndarray:
-        found = session.run([output], {"input": x.astype(np.float32)})[0]
-        return positive_column(found).astype(np.float64)
-
-    return score
+    """A scorer from an ONNX file with one input table.
 
+    The last output is the score. Its width is asked once, of a row of zeros: of two columns the last is the positive
+    class's, so in either case it is the last column that counts.
+    """
+    from onnxruntime import InferenceSession, SessionOptions
 
-def positive_column(found: np.ndarray) -> np.ndarray:
-    """Probability of the positive class from a one- or two-column model output."""
-    return found[:, 1] if found.ndim == 2 and found.shape[1] == 2 else found.reshape(-1)
+    single = SessionOptions()
+    single.intra_op_num_threads = 1  # Spark has a task per core already
+    model = InferenceSession(content, single, providers=["CPUExecutionProvider"])
+    source, wanted = model.get_inputs()[0], [model.get_outputs()[-1].name]
+    probe = model.run(wanted, {source.name: np.zeros((1, source.shape[1]), np.float32)})[0]
+    if probe.size > 2:
+        raise ValueError(f"a score has one or two columns, not {probe.size}")
+    return lambda x: model.run(wanted, {source.name: x.astype(np.float32)})[0].reshape(len(x), -1)[:, -1].astype(np.float64)
 
 
 def score_udf(spark: SparkSession, content: bytes, opener: Callable[[bytes], Callable[[np.ndarray], np.ndarray]]):
-    """array<double> -> double over a broadcast model file; one session per task, Arrow batches in."""
-    shared = spark.sparkContext.broadcast(pickle.dumps(content))
+    """array<double> -> double over a broadcast model file, opened once per worker process; Arrow batches in."""
+    shared = spark.sparkContext.broadcast(content)
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = opener(pickle.loads(shared.value))
+        if not hasattr(shared, "opened"):  # a reused worker finds the broadcast of an earlier task
+            shared.opened = opener(shared.value)
+        model = shared.opened
         for features in batches:
             yield pd.Series(model(np.stack(features.to_numpy()).astype(np.float64)) if len(features)
                             else np.empty(0))

@@ -14,76 +14,68 @@ from tallyrisk.operators import stream_reports as P
 from tallyrisk.operators.quantiles import column_quantiles
 
 
-def test_perfect_ranking(scored_frame):
-    curve = C.score_curve(scored_frame([0, 0, 0, 1, 1], [0.1, 0.2, 0.3, 0.9, 1.0]))
-    assert C.pr_auc(curve).first()[0] == 1.0
-    assert C.roc_auc(curve).first()[0] == 1.0
+def test_ranking_measures_of_a_small_table(scored_frame):
+    """Ranks from the top: 1 0 1 1 0 0 0. Precision at the positives is 1/1, 2/3, 3/4; 10 of 12 pairs are in order."""
+    curve = C.score_curve(scored_frame([0, 1, 0, 1, 0, 1, 0], [.35, .95, .81, .6, .02, .58, .11]))
+    assert C.pr_auc(curve).first()[0] == pytest.approx((1 + 2 / 3 + 3 / 4) / 3)
+    assert C.roc_auc(curve).first()[0] == pytest.approx(10 / 12)
 
 
-def test_recall_at_zero_fpr(scored_frame):
-    row = C.recall_at_fpr(C.score_curve(scored_frame([0, 0, 1, 1], [0.0, 0.1, 0.9, 1.0])), 0.0).first()
-    assert (row["recall"], row["threshold"]) == (1.0, 0.9)
+@pytest.mark.parametrize("cap,recall,threshold", [(0.0, 1 / 3, 0.95), (0.24, 1 / 3, 0.95), (0.25, 1.0, 0.58), (1.0, 1.0, 0.58)])
+def test_recall_under_a_cap(scored_frame, cap, recall, threshold):
+    row = C.recall_at_fpr(C.score_curve(scored_frame([0, 1, 0, 1, 0, 1, 0], [.35, .95, .81, .6, .02, .58, .11])), cap).first()
+    assert (row["recall"], row["threshold"]) == (pytest.approx(recall), threshold)
 
 
-def test_recall_when_the_top_row_is_negative(scored_frame):
-    row = C.recall_at_fpr(C.score_curve(scored_frame([1, 0, 0], [0.1, 0.9, 0.5])), 0.0).first()
+def test_no_threshold_stays_under_a_cap_of_zero(scored_frame):
+    row = C.recall_at_fpr(C.score_curve(scored_frame([0, 1, 1], [.66, .65, .64])), 0.0).first()
     assert (row["recall"], row["threshold"]) == (0.0, math.inf)
 
 
-def test_recall_uses_every_tie_group(scored_frame):
-    """Equal tie groups lie on one line; the best admissible one still counts."""
-    curve = C.score_curve(scored_frame([1, 0, 1, 0, 1, 0, 1, 0], [.9, .9, .8, .8, .7, .7, .6, .6]))
-    row = C.recall_at_fpr(curve, 0.5).first()
-    assert (row["recall"], row["threshold"]) == (0.5, 0.8)
+def test_recall_counts_whole_tie_groups(scored_frame):
+    """Three groups of one positive and two negatives each: a cap of a third admits the first, two thirds the second."""
+    curve = C.score_curve(scored_frame([0, 1, 0] * 3, [.4] * 3 + [.3] * 3 + [.2] * 3))
+    found = [C.recall_at_fpr(curve, cap).first() for cap in (0.32, 0.34, 0.67)]
+    assert [(r["recall"], r["threshold"]) for r in found] == [(0.0, math.inf), (pytest.approx(1 / 3), .4), (pytest.approx(2 / 3), .3)]
 
 
-def test_confusion_example(scored_frame):
-    row = C.confusion_at_threshold(scored_frame([0, 0, 0, 1, 1, 1], [.1, .2, .3, .7, .8, .9]), 0.5).first()
-    assert (row["tp"], row["fp"], row["fn"], row["flagged"]) == (3, 0, 0, 3)
-    assert (row["precision"], row["recall"], row["f1"]) == (1.0, 1.0, 1.0)
+def test_confusion_counts_rows_at_the_threshold_as_flagged(scored_frame):
+    df = scored_frame([1, 0, 0, 1, 1], [.44, .44, .43, .12, .91])
+    at, above = (C.confusion_at_threshold(df, t).first() for t in (.44, .92))
+    assert (at["tp"], at["fp"], at["fn"], at["flagged"]) == (2, 1, 1, 3)
+    assert at["precision"] == at["recall"] == at["f1"] == pytest.approx(2 / 3, abs=1e-4)
+    assert (above["precision"], above["recall"], above["f1"], above["fn"]) == (0.0, 0.0, 0.0, 3)
 
 
-def test_threshold_is_inclusive_and_zero_denominators_give_zero(scored_frame):
-    df = scored_frame([1, 0], [0.5, 0.4])
-    assert C.confusion_at_threshold(df, 0.5).first()["tp"] == 1
-    row = C.confusion_at_threshold(df, 0.6).first()
-    assert (row["precision"], row["recall"], row["f1"], row["fn"]) == (0.0, 0.0, 0.0, 1)
+def test_best_f1_and_its_ties(scored_frame):
+    """F1 from the top: 2/3, 1/2, 2/5 for one positive in two at rank 1 and the other at rank 4, where it is 2/3 again."""
+    best = C.best_f1_threshold(C.score_curve(scored_frame([0, 1, 1, 0], [.5, .2, .77, .31]))).first()
+    assert (best["threshold"], best["f1"]) == (.2, pytest.approx(2 / 3, abs=1e-4))  # the lowest of the tied
+    alone = C.best_f1_threshold(C.score_curve(scored_frame([0, 1, 0, 1, 0], [.13, .7, .13, .72, .69]))).first()
+    assert (alone["threshold"], alone["f1"]) == (.7, 1.0)
 
 
-def test_best_f1_separates(scored_frame):
-    df = scored_frame([0, 0, 0, 0, 1, 1, 1, 1], [.1, .2, .3, .4, .6, .7, .8, .9])
-    best = C.best_f1_threshold(C.score_curve(df)).first()
-    assert best["threshold"] == 0.6 and best["f1"] == 1.0
+def test_cheapest_threshold_weighs_both_costs(scored_frame):
+    """Flagging the middle positive means two reviews more: worth it at 9 a miss, not at 1."""
+    df = scored_frame([1, 0, 1, 0, 0, 0], [.9, .8, .7, .2, .2, .1])
+    dear, cheap = (K.cheapest(K.cost_curve(C.score_curve(df), {"missed": m, "flagged": 1}, 31)).first() for m in (9, 1))
+    assert (dear["missed"], dear["flagged"]) == (0, 3) and (cheap["missed"], cheap["flagged"]) in ((1, 1), (2, 0))
 
 
-def test_best_f1_takes_the_lowest_tied_threshold(scored_frame):
-    best = C.best_f1_threshold(C.score_curve(scored_frame([1, 0, 0, 1], [.9, .8, .7, .6]))).first()
-    assert best["threshold"] == 0.6  # F1 is 2/3 at 0.9 and at 0.6
+def test_brier_is_the_mean_squared_gap(scored_frame):
+    assert R.brier(scored_frame([1, 0, 1], [.5, .5, .8])).first()[0] == pytest.approx((.25 + .25 + .04) / 3)
 
 
-def test_cost_minimum_flags_exactly_the_positives(scored_frame):
-    df = scored_frame([0, 0, 0, 1, 1], [0.1, 0.2, 0.3, 0.8, 0.9])
-    best = K.cheapest(K.cost_curve(C.score_curve(df), K.CostModel(100, 1), 10)).first()
-    assert (best["missed"], best["flagged"]) == (0, 2)
+def test_reliability_bins(scored_frame):
+    got = R.reliability_bins(scored_frame([0, 1, 0, 1, 1, 1], [.05, .06, .3, .33, .8, .81]), bins=3).orderBy("bin").collect()
+    assert [(r["n"], r["observed"]) for r in got] == [(2, .5), (2, .5), (2, 1.0)] and got[0]["mean_pred"] == pytest.approx(.055)
+    assert R.reliability_bins(scored_frame([1, 0, 0, 0], [.25] * 4)).count() == 0
 
 
-def test_brier_of_perfect_probabilities(scored_frame):
-    assert R.brier(scored_frame([0, 0, 1, 1], [0.0, 0.0, 1.0, 1.0])).first()[0] == 0.0
-
-
-def test_reliability_bins_hold_every_row(scored_frame):
-    df = scored_frame([0, 0, 0, 0, 1, 1, 0, 1, 1, 1], [.1, .2, .15, .25, .7, .8, .3, .75, .85, .9])
-    assert R.reliability_bins(df, bins=5).agg(F.sum("n")).first()[0] == 10
-
-
-def test_reliability_of_a_constant_score_is_empty(scored_frame):
-    assert R.reliability_bins(scored_frame([0, 1, 0], [0.5, 0.5, 0.5])).count() == 0
-
-
-def test_report_columns(scored_frame):
-    report = R.full_report(scored_frame([0, 0, 0, 0, 1, 1, 1, 1], [.1, .2, .3, .4, .6, .7, .8, .9]))
+def test_report_of_one_table(scored_frame):
+    report = R.full_report(scored_frame([0, 1, 0, 1, 0, 1, 0], [.35, .95, .81, .6, .02, .58, .11]))
     assert tuple(report.columns) == R.REPORT_COLUMNS and report.count() == 1
-    assert report.first()["pr_auc"] == 1.0 and report.first()["cost_missed"] == 0
+    assert report.first()["roc_auc"] == pytest.approx(10 / 12, abs=1e-4)
 
 
 def test_all_scores_tied(scored_frame, plain):
@@ -177,8 +169,7 @@ def test_every_kth(spark):
     assert sorted(r["v"] for r in C.every_kth(df, 4, ["v"]).collect()) == list(range(-102, 1, 4))
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_quantiles_match_numpy_on_both_paths(spark, limit):
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(4)
     n = 4001
     heavy = np.where(rng.random(n) < 0.4, 3.25, rng.normal(size=n))
@@ -187,24 +178,23 @@ def test_quantiles_match_numpy_on_both_paths(spark, limit):
 
     df = spark.createDataFrame(pd.DataFrame(pdf)).repartition(3)
     probs = [*even_grid(11), 0.95, 0.99]
-    got = column_quantiles(df, ["a", "b", "c"], probs, in_memory_values=limit)
+    got = column_quantiles(df, ["a", "b", "c"], probs)
     for c, v in pdf.items():
         assert np.allclose(got[c], np.quantile(v, probs), rtol=0, atol=1e-12)
 
 
-def test_quantiles_beyond_memory_survive_a_bad_bracket(spark, monkeypatch):
+def test_quantiles_survive_a_bad_bracket(spark, monkeypatch):
     """If the approximate bracket misses, the answer is still exact."""
     from tallyrisk.operators import quantiles as N
 
     monkeypatch.setattr(N, "_bracket_splits", lambda pairs: [float("-inf"), -1.0, -0.5, float("inf")])
     df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
-    assert column_quantiles(df, ["v"], [0.5, 0.9], in_memory_values=0)["v"] == pytest.approx([499.5, 899.1])
+    assert column_quantiles(df, ["v"], [0.5, 0.9])["v"] == pytest.approx([499.5, 899.1])
 
 
 def test_quantiles_skip_null_and_nan(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (float("nan"), None), (3.0, None)], "a double, b double")
-    for limit in (10**9, 0):
-        assert column_quantiles(df, ["a", "b"], [0.0, 0.5, 1.0], in_memory_values=limit) == {"a": [1.0, 2.0, 3.0], "b": []}
+    assert column_quantiles(df, ["a", "b"], [0.0, 0.5, 1.0]) == {"a": [1.0, 2.0, 3.0], "b": []}
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -21,14 +21,13 @@ NAMES = [f"x{i}" for i in range(5)]
 
 @pytest.fixture(scope="module")
 def separable(spark):
-    """2,000 rows, 3 % positives shifted by 2; 70/10/20 by row."""
-    rng = np.random.RandomState(42)
-    x, y = rng.randn(2000, 5), np.zeros(2000, dtype=int)
-    hit = rng.choice(2000, 60, replace=False)
-    x[hit] += 2.0
-    y[hit] = 1
-    data = pd.DataFrame(x, columns=NAMES).assign(label=y, seq=np.arange(2000))
-    data["split"] = np.where(data.seq < 1400, "train", np.where(data.seq < 1600, "val", "test"))
+    """1,500 rows on a spiral of five waves; every 25th is a positive, moved along all of them. Slices take turns of ten."""
+    seq = np.arange(1500)
+    waves = np.stack([np.sin(seq * (0.37 + 0.21 * d)) + 0.4 * np.cos(seq * seq * (0.011 + 0.003 * d)) for d in range(5)], 1)
+    label = (seq % 25 == 7).astype(int)
+    data = pd.DataFrame(waves + 1.9 * label[:, None], columns=NAMES).assign(label=label, seq=seq)
+    turn = seq // 50 % 10
+    data["split"] = np.select([turn < 6, turn < 8], ["train", "val"], "test")
     return spark.createDataFrame(data).repartition(2).persist()
 
 
@@ -69,30 +68,30 @@ def test_knn_of_a_table_smaller_than_k(spark):
     assert [j for j, _ in got[4]] == [9, 2] and len(got[2]) == 2
 
 
-def test_resample_none_keeps_rows(spark):
-    df = spark.createDataFrame([(1.0, 2.0, 0), (3.0, 4.0, 0), (5.0, 6.0, 1)], "a double, b double, label int")
-    out = RS.resample(df, ["a", "b"], "none")
-    assert out.drop("weight").exceptAll(df).count() == 0 and out.count() == 3
+def test_resample_without_a_strategy_changes_nothing(spark):
+    table = spark.range(12).selectExpr("id * 0.5 a", "cast(id % 5 as double) b", "cast(id % 6 = 0 as int) label")
+    out = RS.resample(table, ["a", "b"], "none")
+    assert sorted(map(tuple, out.drop("weight").collect())) == sorted(map(tuple, table.collect()))
+    assert {r["weight"] for r in out.collect()} == {1.0}
     with pytest.raises(ValueError):
-        RS.resample(df, ["a", "b"], "double")
+        RS.resample(table, ["a", "b"], "twice")
 
 
-def test_smote_reaches_the_ratio_on_segments(spark):
-    rng = np.random.default_rng(42)
-    x, y = rng.normal(size=(1000, 5)), np.zeros(1000, dtype=int)
-    y[:30] = 1
-    data = pd.DataFrame(x, columns=NAMES).assign(label=y, seq=np.arange(1000))
-    out = RS.smote(spark.createDataFrame(data), NAMES, cell_rows=10)
+def test_smote_draws_between_neighbours(spark):
+    """Positives sit on a lattice in three columns, so every line between neighbours is known."""
+    places = np.array([[i, j, i * j % 3] for i in range(4) for j in range(5)], float)
+    seq = np.arange(620)
+    x = np.vstack([places, np.stack([np.sin(seq[20:] * f) * 9 for f in (1.3, 2.1, 0.7)], 1)])
+    data = pd.DataFrame(x, columns=["a", "b", "c"]).assign(label=(seq < 20).astype(int), seq=seq)
+    out = RS.smote(spark.createDataFrame(data), ["a", "b", "c"], cell_rows=6)
     made = out.filter("synthetic").toPandas()
-    assert len(made) == int(0.1 * 970 - 30) == 67 and (made["label"] == 1).all()
-    real = x[:30]
-    near = {i: [j for j, _ in v] for i, v in brute_force(range(30), real, 5).items()}
-    for p in made[NAMES].to_numpy():
-        gaps = [np.linalg.norm(np.cross(np.pad(real[j] - real[i], (0, 1))[:3], np.pad(p - real[i], (0, 1))[:3]))
-                for i in near for j in near[i]]
-        assert min(gaps) < 1e-6  # on a line between a minority row and one of its neighbours
-    again = RS.smote(spark.createDataFrame(data).repartition(6), NAMES, cell_rows=10).filter("synthetic").toPandas()
-    assert np.allclose(np.sort(made["x0"]), np.sort(again["x0"]))
+    assert len(made) == int(0.1 * 600 - 20) == 40 and set(made["label"]) == {1}
+    near = brute_force(range(20), places, 5)
+    for p in made[["a", "b", "c"]].to_numpy():
+        off = [np.linalg.norm(np.cross(places[j] - places[i], p - places[i])) / np.linalg.norm(places[j] - places[i]) for i in near for j, _ in near[i]]
+        assert min(off) < 1e-6
+    again = RS.smote(spark.createDataFrame(data).repartition(6), ["a", "b", "c"], cell_rows=6).filter("synthetic").toPandas()
+    assert np.allclose(np.sort(made["a"]), np.sort(again["a"]))
 
 
 def test_smote_with_one_positive_adds_nothing(spark):
@@ -105,6 +104,11 @@ def test_class_weights(spark):
     assert sorted(r["weight"] for r in RS.class_weights(df).collect()) == [1.0, 1.0, 1.0, 3.0]
 
 
+def test_unknown_model_is_refused():
+    with pytest.raises(ValueError, match="model must be one of"):
+        SU.make_pipeline("perceptron", ["a"], "label", 0, 1.0)
+
+
 def test_grid_on_separable_data(separable, plain):
     quick = {"logreg": {"maxIter": 30}, "random_forest": {"numTrees": 8, "maxDepth": 5},
              "gbt_depth": {"maxIter": 5, "stepSize": 0.3}, "gbt_leafwise": {"maxIter": 4, "stepSize": 0.3}}
@@ -116,9 +120,9 @@ def test_grid_on_separable_data(separable, plain):
         assert 0 <= r["val_pr_auc"] <= 1
     for t in fitted.values():
         scores = t.score(separable.filter("split = 'test'")).toPandas()["score"]
-        assert len(scores) == 400 and scores.between(0, 1).all()
+        assert len(scores) == 300 and scores.between(0, 1).all()
     boosted = fitted["gbt_depth", "none"]
-    rounds = boosted.extra["rounds"]
+    rounds = boosted.rounds
     val = boosted.score(separable.filter("split = 'val'")).toPandas()
     best = plain.pr_auc(val["label"].to_numpy(), val["score"].to_numpy())
     for other in range(1, 6):
@@ -130,7 +134,7 @@ def test_grid_on_separable_data(separable, plain):
 def test_round_choice_over_several_passes(separable):
     val = separable.filter("split = 'val'")
     t = SU.train("gbt_depth", "none", separable.filter("split = 'train'"), val, NAMES, maxIter=5, stepSize=0.3)
-    assert SU.choose_round(t, val, rounds_per_pass=2) == SU.choose_round(t, val, rounds_per_pass=25) == t.extra["rounds"]
+    assert SU.choose_round(t, val, rounds_per_pass=2) == SU.choose_round(t, val, rounds_per_pass=25) == t.rounds
 
 
 def test_isotonic_and_its_inverse(spark):

@@ -58,7 +58,7 @@ def test_running_totals_of_nothing(spark):
 def test_balanced_join_keeps_every_row_of_a_hot_key(spark):
     many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("k"), F.lit("same").alias("v"))
     one = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    got = J.balanced_join(many, one, ["k"], share=0.01, salts=8)
+    got = J.balanced_join(many, one, ["k"], rows_per_task=130)
     want = many.join(one, "k")
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert got.count() == want.count() == 3000
@@ -67,7 +67,7 @@ def test_balanced_join_keeps_every_row_of_a_hot_key(spark):
 def test_left_balanced_join_keeps_unmatched(spark):
     many = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")], "k int, v string")
     one = spark.createDataFrame([(1, 5)], "k int, w int")
-    got = J.balanced_join(many, one, ["k"], "left", share=0.1, salts=4)
+    got = J.balanced_join(many, one, ["k"], "left", rows_per_task=7)
     assert got.count() == 51 and got.filter("w is null").count() == 1
 
 

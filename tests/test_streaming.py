@@ -168,7 +168,6 @@ def test_linear_scorer_and_instances(spark):
     want = [1 / (1 + np.exp(-z)) for z in (1 - 4 + 0.5, -2 + 0.5, 0.5)]
     assert [r["prediction"]["score"] for r in out] == pytest.approx(want)
     assert [r["prediction"]["fraud"] for r in out] == [False, False, True]
-    assert SC.positive_column(np.array([[0.2, 0.8]])).tolist() == [0.8]
 
 
 def _onnx_sum_model() -> bytes:
