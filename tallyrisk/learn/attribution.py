@@ -64,7 +64,7 @@ def feature_attribution(trained: Classifier, df: DataFrame, background: DataFram
                         k: int = TOP_FEATURES, key: str = "seq", permutations: int = 4, seed: int = 0) -> DataFrame:
     """The k features with the largest mean absolute contribution on a fixed-size sample of `df`."""
     sample = random_sample_fixed(df, sample_rows, key, seed)
-    if trained.name == "logreg":
+    if trained.facts["model"] == "logreg":
         found = linear_attribution(trained, sample, background)
     else:
         found = sampled_attribution(trained.score, sample, trained.features, permutations, key, seed)

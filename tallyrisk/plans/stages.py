@@ -119,8 +119,8 @@ def stage_evaluate(run: Run) -> dict[str, DataFrame]:
     assigned = land(segments.transform(embedded).drop("embedding"), "assigned", ["split"])
     out["clusters"] = run.save("clusters", cluster_report(assigned.filter("split <> 'val'"), run.clusters, by=["split"]))
     wide, names = CL.one_hot_columns(assigned, run.clusters)
-    with_clusters = SU.train(best.name, best.strategy, wide.filter("split = 'train'"), wide.filter("split = 'val'"),
-                             [*run.features, *names], **run.overrides.get(best.name, {}))
+    with_clusters = SU.train(best.facts["model"], best.facts["strategy"], wide.filter("split = 'train'"), wide.filter("split = 'val'"),
+                             [*run.features, *names], **run.overrides.get(best.facts["model"], {}))
     both = with_clusters.score(wide.filter("split <> 'train'")).select("split", "label", "score", F.lit("with_cluster_onehot").alias("kind"))
     both = both.unionByName(scores.filter("split <> 'train'").select("split", "label", "score", F.lit("without").alias("kind")))
     by = ["kind", "split"]
@@ -145,7 +145,7 @@ def stage_evaluate(run: Run) -> dict[str, DataFrame]:
     out["attribution"] = run.save("attribution", AT.feature_attribution(best, test, train))
     repeats = []
     for seed in run.seeds:
-        t = SU.train(best.name, best.strategy, train, val, run.features, seed=seed, **run.overrides.get(best.name, {}))
+        t = SU.train(best.facts["model"], best.facts["strategy"], train, val, run.features, seed=seed, **run.overrides.get(best.facts["model"], {}))
         repeats.append(t.score(test).select("label", "score", F.lit(seed).alias("seed")))
     long = repeats[0]
     for part in repeats[1:]:
@@ -195,7 +195,7 @@ def lifecycle(run: Run, registry: str, candidates: Sequence[tuple[str, str]] = C
     measured = report.first()["pr_auc"]
     gate = Q.promotion_gate(Q.read_registry(run.spark, registry), measured, floor).first()
     if gate["passed"]:
-        row = [(best.name, best.strategy, chosen["threshold"], round(chosen["pr_auc"], 4), measured)]
+        row = [(best.facts["model"], best.facts["strategy"], chosen["threshold"], round(chosen["pr_auc"], 4), measured)]
         candidate = run.spark.createDataFrame(row, "model string, strategy string, threshold double, val_pr_auc double, test_pr_auc double")
         Q.registry_append(registry, candidate.withColumn("created_at", F.current_timestamp()))
         SU.batch_predict(best, test, f"{run.out}/predictions")

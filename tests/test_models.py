@@ -246,8 +246,8 @@ def test_clipped_sums_bound_each_row():
 def test_batch_predict(separable, tmp_path):
     t = SU.train("logreg", "none", separable.filter("split = 'train'"), separable.filter("split = 'val'"), NAMES, maxIter=5)
     out = SU.batch_predict(t, separable.filter("split = 'test'"), str(tmp_path / "p"))
-    assert out.count() == 400
-    assert C.score_curve(out.join(separable, "seq")).count() > 300
+    assert out.count() == 300
+    assert C.score_curve(out.join(separable, "seq")).count() > 200
 
 
 def test_knn_in_many_blocks_per_cell(spark, monkeypatch):
