@@ -87,10 +87,16 @@ def _clipped_sums(weights: np.ndarray, positive_weight: float, clip: float | Non
 
 def dp_train(train: DataFrame, features: Sequence[str], label: str = "label", epsilon: float | None = None, steps: int = 30,
              rate: float = 2.0, clip: float = CLIP, seed: int = 0, prepared: DataFrame | None = None) -> PrivateModel:
-    """Fit at one target budget; epsilon=None trains without clipping or noise."""
+    """Fit at one target budget; epsilon=None trains without clipping or noise.
+
+    Every step reads the written, standardised rows. Rows with a missing feature are refused: one would spoil all weights.
+    """
     began = time.perf_counter()
-    row = train.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"),
+    missing = F.count_if(F.array_contains(F.array(*[F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in features]), True))
+    row = train.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"), missing.alias("missing"),
                     *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+    if row["missing"]:
+        raise ValueError(f"{row['missing']} training rows have a NULL or NaN feature")
     n, positives = row["n"], row["p"] or 0
     means, deviations = [row[f"m_{c}"] for c in features], [row[f"s_{c}"] or 1.0 for c in features]
     positive_weight = (n - positives) / max(1.0, positives)
@@ -101,7 +107,6 @@ def dp_train(train: DataFrame, features: Sequence[str], label: str = "label", ep
     width = len(features) + 1
     weights, speed = np.zeros(width), np.zeros(width)
     schema = ", ".join(f"g{i} double" for i in range(width))
-    table = table.persist()  # read once per step; lost blocks come back from the written rows
     for _ in range(steps):
         task = _clipped_sums(weights, positive_weight, clip if epsilon is not None else None)
         sums = np.array(table.mapInArrow(task, schema).agg(*[F.sum(f"g{i}") for i in range(width)]).first(), dtype=float)
@@ -111,7 +116,6 @@ def dp_train(train: DataFrame, features: Sequence[str], label: str = "label", ep
         scale = 2.0 * (n - positives) if noise is None else n
         speed = 0.9 * speed + sums / scale
         weights = weights - rate * speed
-    table.unpersist()
     spent = epsilon_spent(noise, steps, delta) if noise is not None else None
     return PrivateModel(list(features), means, deviations, weights, epsilon, spent, delta, noise,
                         round(time.perf_counter() - began, 2))

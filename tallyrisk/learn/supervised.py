@@ -121,11 +121,23 @@ def train(name: str, strategy: str, train_df: DataFrame, val_df: DataFrame, feat
     rows = prepared if prepared is not None else land(resample(train_df, features, strategy, label, seed, key), "fit")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
     began = time.perf_counter()
-    model = make_pipeline(name, features, label, seed, size["w"], **overrides).fit(rows)
-    out = Classifier(model, features, model=name, strategy=strategy, n_train_rows=size["n"], best_iteration=None)
-    if name.startswith("gbt"):
+    settings = {**SETTINGS.get(name, {}), **overrides}
+    facts = {"model": name, "strategy": strategy, "n_train_rows": size["n"], "best_iteration": None}
+    boosted = name.startswith("gbt")
+    rounds = min(patience, settings["maxIter"]) if boosted else None
+    while True:
+        # A longer ensemble begins with the same trees, so the number of rounds is doubled until the best is far enough back.
+        if boosted:
+            settings["maxIter"] = rounds
+        out = Classifier(make_pipeline(name, features, label, seed, size["w"], **settings).fit(rows), features, **facts)
+        if not boosted:
+            break
         out.rounds = choose_round(out, val_df, label, patience)
         out.facts["best_iteration"] = out.rounds - 1
+        most = {**SETTINGS[name], **overrides}["maxIter"]
+        if rounds >= most or rounds - out.rounds >= patience:
+            break
+        rounds = min(most, 2 * rounds)
     out.facts["fit_seconds"] = round(time.perf_counter() - began, 2)
     return out
 

@@ -24,7 +24,7 @@ from tallyrisk.plans.registry import query
 from tallyrisk.plans.sql_parts import TX
 
 # Smaller ensembles than the defaults: the fits are sequential and only their plumbing is checked here.
-QUICK = {"logreg": {"maxIter": 50}, "random_forest": {"numTrees": 12, "maxDepth": 6},
+QUICK = {"random_forest": {"numTrees": 12, "maxDepth": 6},
          "gbt_depth": {"maxIter": 6, "stepSize": 0.3}, "gbt_leafwise": {"maxIter": 6, "stepSize": 0.3}}
 FLOOR = 0.1  # PR-AUC any fitted model must clear; the base rate is about 0.006
 _X = ", ".join(W.FEATURES)
@@ -40,7 +40,7 @@ def fit(spark, sf_dir, name: str, strategy: str = "weights") -> SU.Classifier:
 
 @cache
 def _fit(spark, _application, sf_dir, name, strategy):
-    return SU.train(name, strategy, part(spark, sf_dir, "train"), part(spark, sf_dir, "val"), W.FEATURES, **QUICK[name])
+    return SU.train(name, strategy, part(spark, sf_dir, "train"), part(spark, sf_dir, "val"), W.FEATURES, **QUICK.get(name, {}))
 
 
 def _checked(scored: DataFrame, by: list[str], floor: float = FLOOR) -> DataFrame:
@@ -212,7 +212,7 @@ def forest(spark, sf_dir) -> A.IsolationForest:
 @cache
 def _forest(spark, _application, sf_dir):
     legit = part(spark, sf_dir, "train").filter("label = 0")
-    return A.isolation_forest(legit, W.FEATURES, trees=50, rows=1024)
+    return A.isolation_forest(legit, W.FEATURES)
 
 
 def bottleneck(spark, sf_dir) -> A.Reconstruction:
@@ -276,12 +276,12 @@ def _(spark, sf_dir):
 @query("kmeans_segments", "SELECT count(*) AS rows, count(*) FILTER (label = 0) AS frauds, true AS valid FROM embeddings")
 def _(spark, sf_dir):
     embedded = land(_embedded(spark, sf_dir).select("vec_id", "label", "embedding"), "embedded")
-    model = CL.kmeans_segments(embedded, starts=3)
+    model = CL.kmeans_segments(embedded)
     return model.transform(embedded).agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("frauds"),
                                          F.bool_and(F.col("cluster").between(0, 11)).alias("valid"))
 
 
-@query("cluster_report", """WITH a AS (SELECT CAST(vec_id % 13 AS INTEGER) AS c, CAST(label = 0 AS INTEGER) AS y FROM embeddings WHERE vec_id % 13 <> 12),
+@query("cluster_report", """WITH a AS (SELECT CAST(vec_id % 12 AS INTEGER) AS c, CAST(label = 0 AS INTEGER) AS y FROM embeddings),
   h AS (SELECT k AS cluster, count(y) AS rows, CAST(coalesce(sum(y), 0) AS BIGINT) AS frauds FROM range(14) t(k) LEFT JOIN a ON c = k GROUP BY k),
   r AS (SELECT *, CASE WHEN rows > 0 THEN frauds/CAST(rows AS DOUBLE) ELSE 0 END AS rate,
           sum(frauds) OVER ()/CAST(sum(rows) OVER () AS DOUBLE) AS base FROM h)
@@ -289,8 +289,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Given assignments, with two clusters that hold nothing."""
     raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    given = raw.select(F.pmod("vec_id", F.lit(13)).cast("int").alias("cluster"), (F.col("label") == 0).cast("int").alias("label"))
-    return cluster_report(given.filter("cluster <> 12"), 14)
+    given = raw.select(F.pmod("vec_id", F.lit(12)).cast("int").alias("cluster"), (F.col("label") == 0).cast("int").alias("label"))
+    return cluster_report(given, 14)
 
 
 @query("append_features", "SELECT count(*) AS rows, 76 AS width, count(*) AS ones FROM embeddings")
@@ -309,11 +309,11 @@ def _(spark, sf_dir):
     """Refit with one-hot segments of the bottleneck beside the features."""
     table = W.transactions(spark, sf_dir)
     embedded = bottleneck(spark, sf_dir).embed(table)
-    model = CL.kmeans_segments(embedded.filter("split = 'train'"), k=6, starts=2)
-    wide, names = CL.one_hot_columns(model.transform(embedded).drop("embedding"), 6)
+    model = CL.kmeans_segments(embedded.filter("split = 'train'"), k=12)
+    wide, names = CL.one_hot_columns(model.transform(embedded).drop("embedding"), 12)
     wide = land(wide, "with-clusters")
     trained = SU.train("logreg", "weights", wide.filter("split = 'train'"), wide.filter("split = 'val'"),
-                       [*W.FEATURES, *names], **QUICK["logreg"])
+                       [*W.FEATURES, *names])
     return _checked(trained.score(wide.filter("split <> 'train'")), ["split"])
 
 
@@ -322,7 +322,7 @@ def _(spark, sf_dir):
     """The label depends on discount and quantity, so one of them must lead; trees use sampled walks."""
     test, train = part(spark, sf_dir, "test"), part(spark, sf_dir, "train")
     linear = AT.feature_attribution(fit(spark, sf_dir, "logreg"), test, train)
-    trees = AT.feature_attribution(fit(spark, sf_dir, "random_forest"), test, train, sample_rows=300, permutations=2)
+    trees = AT.feature_attribution(fit(spark, sf_dir, "random_forest"), test, train)
     lead = F.max_by("feature", "mean_abs_contribution").isin("l_quantity", "l_discount")
     a = linear.agg(F.count(F.lit(1)).cast("int").alias("features"), lead.alias("top_is_rule_input"))
     b = trees.agg(F.count(F.lit(1)).cast("int").alias("tree_features"),
@@ -332,7 +332,7 @@ def _(spark, sf_dir):
 
 @query("dp_train", f"WITH {TX} SELECT count(*) AS rows, CAST(sum(label) AS BIGINT) AS frauds, true AS in_range, true AS within_budget FROM tx WHERE split = 'test'")
 def _(spark, sf_dir):
-    model = DP.dp_train(part(spark, sf_dir, "train"), W.FEATURES, epsilon=3.0, steps=10)
+    model = DP.dp_train(part(spark, sf_dir, "train"), W.FEATURES, epsilon=3.0)
     out = model.score(part(spark, sf_dir, "test"))
     return out.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("frauds"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"),
                    F.lit(model.epsilon <= 3.0).alias("within_budget"))
@@ -341,7 +341,7 @@ def _(spark, sf_dir):
 @query("privacy_curve", f"""WITH {TX} SELECT e AS epsilon_target, CAST(sum(label) AS BIGINT) AS positives, true AS within_budget
   FROM tx, (VALUES ('inf'), ('8.0'), ('3.0'), ('1.0'), ('0.5')) v(e) WHERE split = 'test' GROUP BY e""")
 def _(spark, sf_dir):
-    curve = DP.privacy_curve(W.transactions(spark, sf_dir), W.FEATURES, steps=8)
+    curve = DP.privacy_curve(W.transactions(spark, sf_dir), W.FEATURES)
     target = F.try_to_number("epsilon_target", F.lit("9.9")).cast("double")
     return curve.select("epsilon_target", (F.col("tp") + F.col("fn")).alias("positives"),
                         F.coalesce(F.col("epsilon_spent") <= target, F.lit(True)).alias("within_budget"))

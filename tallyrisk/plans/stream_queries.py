@@ -53,11 +53,21 @@ def event_lines(spark, sf_dir):
     return lines.select("value")
 
 
+def damaged_lines(spark, sf_dir):
+    """A line cut off after 20 characters for every 50th event."""
+    return event_lines(spark, sf_dir).filter(F.get_json_object("value", "$.event_id").cast("long") % 50 == 0).select(
+        F.substring("value", 1, 20).alias("value"))
+
+
 def scored_stream(spark, incoming: str, max_files: int | None = None):
     events = E.parse_events(E.scan_stream_files(spark, incoming, max_files), width=1)
     return SC.stream_score(events, W.event_score(F.col("features")[0]), W.EVENT_THRESHOLD)
 
 
+def rejected_stream(spark, incoming: str):
+    return E.dead_letters(E.scan_stream_files(spark, incoming, None), width=1)
+
+
 def replay(spark, sf_dir) -> SW.FanOutPaths:
     """One whole run: all events, then late re-sends, then the closing event, resumed in between."""
     return _replay(spark, spark.sparkContext.applicationId, sf_dir)
@@ -70,12 +80,13 @@ def _replay(spark, _application: str, sf_dir: str) -> SW.FanOutPaths:
     edges, shares = reference(spark, sf_dir)
     late = W.events(spark, sf_dir).filter(F.col("ts") < F.lit(LATE_BEFORE).cast("timestamp"))
     late = late.withColumn("event_id", -F.col("event_id") - 2)
-    steps = [event_lines(spark, sf_dir),
+    steps = [event_lines(spark, sf_dir).unionByName(damaged_lines(spark, sf_dir)),
              SW.event_encode(late, ["value"], "event_id", F.col("ts"), "label").select("value"),
              SW.sentinel_line(spark, 1, FAR_FUTURE)]
     for lines in steps:
         lines.write.mode("append").text(incoming)
-        SW.run_fan_out(spark, scored_stream(spark, incoming), paths, WIDTH, edges, shares, SCORED_SCHEMA)
+        SW.run_fan_out(spark, scored_stream(spark, incoming), paths, WIDTH, edges, shares, SCORED_SCHEMA,
+                       rejected=rejected_stream(spark, incoming))
     return paths
 
 
@@ -216,9 +227,9 @@ def _(spark, sf_dir):
         iso_millis(F.col("window_start")).alias("window_start"), "score_psi")
 
 
-@query("stream_batch_parity", "SELECT 0 AS rows, 'none' AS side WHERE false")
+@query("stream_batch_parity", f"WITH {EV} SELECT count(*) AS compared, 0::BIGINT AS only_stream, 0::BIGINT AS only_batch FROM ev")
 def _(spark, sf_dir):
-    """Rows that differ between the stream's output and the same scoring as a batch job."""
+    """All rows of the stream's output, against the same scoring as a batch job."""
     batch = W.events(spark, sf_dir).select(
         "event_id", "score", (F.col("score") >= W.EVENT_THRESHOLD).alias("is_alert"), "label",
         F.date_trunc("millisecond", "ts").alias("produced_at"))
@@ -326,3 +337,10 @@ def _(spark, sf_dir):
         sinks.drain(sinks.sink_parquet(scored_stream(spark, f"{root}/incoming"), f"{root}/out", f"{root}/checkpoint"))
         counts.append(sinks.sink_row_count(spark, f"{root}/out").select(F.lit(number).alias("run"), "rows"))
     return counts[0].unionByName(counts[1])
+
+
+@query("rejected_lines", f"WITH {EV} SELECT count(*) AS lines, 20 AS longest FROM ev WHERE event_id % 50 = 0")
+def _(spark, sf_dir):
+    """Lines that the stream could not parse, in their own table beside the scored log."""
+    letters = spark.read.schema("value string").parquet(replay(spark, sf_dir).rejected)
+    return letters.agg(F.count(F.lit(1)).alias("lines"), F.max(F.length("value")).alias("longest"))

@@ -91,6 +91,10 @@ class FanOutPaths:
     def alerts(self) -> str:
         return f"{self.root}/alerts"
 
+    @property
+    def rejected(self) -> str:
+        return f"{self.root}/rejected"
+
     @property
     def windows(self) -> str:
         return f"{self.root}/windows"
@@ -100,12 +104,16 @@ class FanOutPaths:
 
 
 def run_fan_out(spark: SparkSession, scored: DataFrame, paths: FanOutPaths, width: str, edges: Sequence[float],
-                reference: Sequence[float], schema, max_files: int | None = None) -> None:
+                reference: Sequence[float], schema, max_files: int | None = None, rejected: DataFrame | None = None) -> None:
     """Drain what is available: score once into the log, then derive alerts and windows from the log.
 
-    Called again with the same paths it goes on from the checkpoints.
+    `rejected` is the stream of lines that could not be parsed (`dead_letters` of the same source); they go to a table of
+    their own, so that lines in are rows scored plus rows rejected. Called again with the same paths it goes on from the
+    checkpoints.
     """
     drain(sink_parquet(scored, paths.scored, paths.checkpoint("scored")))
+    if rejected is not None:
+        drain(sink_parquet(rejected, paths.rejected, paths.checkpoint("rejected")))
 
     def log() -> DataFrame:
         reader = spark.readStream.schema(schema)
@@ -123,19 +131,25 @@ def run_fan_out(spark: SparkSession, scored: DataFrame, paths: FanOutPaths, widt
 
 
 def start_fan_out(spark: SparkSession, scored: DataFrame, paths: FanOutPaths, width: str, edges: Sequence[float],
-                  reference: Sequence[float], schema, every: str = "1 second"):
-    """The same three queries as long-running ones on a processing-time trigger."""
+                  reference: Sequence[float], schema, every: str = "1 second", rejected: DataFrame | None = None):
+    """The same queries as long-running ones on a processing-time trigger."""
     log = sink_parquet(scored, paths.scored, paths.checkpoint("scored"), every)
+    letters = [] if rejected is None else [sink_parquet(rejected, paths.rejected, paths.checkpoint("rejected"), every)]
     tail = spark.readStream.schema(schema).parquet(paths.scored)
     with small_state(spark):
         return [log, sink_alerts(tail, paths.alerts, paths.checkpoint("alerts"), every),
                 sink_parquet(streaming_windows(tail, width, edges, reference), paths.windows,
-                             paths.checkpoint("windows"), every)]
+                             paths.checkpoint("windows"), every), *letters]
 
 
 def stream_batch_parity(streamed: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows that only one side holds, counted by side; no row means both agree."""
-    only_stream = streamed.exceptAll(batch).select(F.lit("stream").alias("side"))
-    only_batch = batch.exceptAll(streamed).select(F.lit("batch").alias("side"))
-    return only_stream.unionByName(only_batch).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
+    """One row: rows that both sides hold, and rows that only the stream and only the batch holds.
+
+    Equal rows of both sides meet in one aggregation of all columns, as a count for and a count against.
+    """
+    sides = streamed.withColumn("_side", F.lit(1)).unionByName(batch.select(*streamed.columns).withColumn("_side", F.lit(-1)))
+    counted = sides.groupBy(*streamed.columns).agg(F.count_if(F.col("_side") > 0).alias("s"), F.count_if(F.col("_side") < 0).alias("b"))
+    return counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (
+        ("compared", F.least("s", "b")), ("only_stream", F.greatest(F.col("s") - F.col("b"), F.lit(0))),
+        ("only_batch", F.greatest(F.col("b") - F.col("s"), F.lit(0))))])
 

@@ -258,3 +258,22 @@ def test_knn_in_many_blocks_per_cell(spark, monkeypatch):
     x = np.random.default_rng(3).normal(size=(90, 2))
     ids = list(range(90))
     assert neighbours(spark, ids, x, 3, 40) == brute_force(ids, x, 3)
+
+
+def test_private_training_refuses_missing_features(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, float("nan")), (0, None)], "label int, a double")
+    with pytest.raises(ValueError, match="2 training rows"):
+        DP.dp_train(df, ["a"], epsilon=1.0)
+
+
+def test_longer_boosting_begins_with_the_same_trees(separable):
+    """Doubling the rounds only works if a longer fit repeats the shorter one."""
+    rows = separable.filter("split = 'train'").withColumn("weight", F.lit(1.0))
+    short, long = (SU.make_pipeline("gbt_depth", NAMES, "label", 3, 900.0, maxIter=n).fit(rows).stages[1] for n in (3, 6))
+    assert [t.toDebugString.split("\n", 1)[1] for t in short.trees] == [t.toDebugString.split("\n", 1)[1] for t in long.trees[:3]]
+
+
+def test_boosting_stops_when_the_best_round_is_far_back(separable):
+    t = SU.train("gbt_depth", "none", separable.filter("split = 'train'"), separable.filter("split = 'val'"), NAMES, patience=4, stepSize=0.9, maxIter=64)
+    fitted = t.pipeline.stages[1].getNumTrees
+    assert fitted in (4, 8, 16, 32, 64) and (fitted == 64 or fitted - t.rounds >= 4)

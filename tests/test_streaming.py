@@ -205,3 +205,24 @@ def test_onnx_scorer(spark):
     df = spark.createDataFrame([([0.5, 0.25],), ([-1.0, 0.0],)], "x array<double>")
     got = [r[0] for r in df.select(score("x")).collect()]
     assert got == pytest.approx([1 / (1 + np.exp(-0.75)), 1 / (1 + np.exp(1.0))], abs=1e-6)
+
+
+def test_rejected_lines_are_kept(spark, tmp_path):
+    good = [line(i, 0.2, at(i)) for i in range(30)]
+    bad = ["", "{", good[3][:25], line(40, None, at(1)), json.dumps({"event_id": 9}), line(41, 0.1, "yesterday")]
+    write_lines(tmp_path / "in", "a.txt", [*good, *bad])
+    paths = SW.FanOutPaths(str(tmp_path / "run"))
+    source = str(tmp_path / "in")
+    for _ in range(2):  # the second call finds nothing new
+        SW.run_fan_out(spark, scored(spark, source), paths, "60 seconds", EDGES, SHARES, SCORED_SCHEMA,
+                       rejected=E.dead_letters(E.scan_stream_files(spark, source), width=1))
+    assert spark.read.parquet(paths.scored).count() == 30
+    assert sorted(r["value"] for r in spark.read.parquet(paths.rejected).collect()) == sorted(bad)
+
+
+def test_parity_counts_both_sides(spark):
+    left = spark.createDataFrame([(1, None), (1, None), (2, "b"), (3, "c")], "i int, v string")
+    right = spark.createDataFrame([("c", 3), (None, 1), ("d", 4)], "v string, i int")
+    row = SW.stream_batch_parity(left, right).first()
+    assert (row["compared"], row["only_stream"], row["only_batch"]) == (2, 2, 1)
+    assert tuple(SW.stream_batch_parity(left.limit(0), right.limit(0)).first()) == (0, 0, 0)
