@@ -21,11 +21,20 @@ from tallyrisk.operators.joins import balanced_join
 from tallyrisk.operators.split import random_sample_fixed
 
 CELL_ROWS = 2000
+# What a task is sent at most; a larger table has larger cells, each searched in more blocks of the same size.
 MAX_PIVOTS = 16384
 QUERY_CHUNK, MEMBER_CHUNK = 4096, 32768
 _BLOCK_VALUES = 4_000_000  # distances held at once in a task
 
 
+def _slices(batch: pd.DataFrame, pivots: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of a batch with their distances to all pivots, _BLOCK_VALUES distances at a time."""
+    step = max(1, _BLOCK_VALUES // max(1, len(pivots)))
+    for at in range(0, len(batch), step):
+        part = batch.iloc[at:at + step]
+        yield part, _distances(_matrix(part["x"]), pivots)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -85,10 +94,12 @@ def _search(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
 
 
 def knn_self_join(points: DataFrame, features: Sequence[str], k: int = 5, key: str = "seq",
-                  cell_rows: int = CELL_ROWS) -> DataFrame:
+                  cell_rows: int = CELL_ROWS, visit_cells: int | None = None) -> DataFrame:
     """(key, rank 1..k, neighbour_id, distance), ordered by distance and then by neighbour id.
 
-    `key` is a unique long. Rows get fewer than k neighbours only if the table has k rows or fewer.
+    `key` is a unique long. Rows get fewer than k neighbours only if the table has k rows or fewer. In many dimensions
+    the inequality rules out few cells; `visit_cells` then bounds the search to a row's nearest cells, at the price of
+    some true neighbours. The default is exact.
     """
     x = F.array(*[F.col(c).cast("double") for c in features])
     rows = points.select(F.col(key).alias("id"), x.alias("x"))
@@ -101,10 +112,9 @@ def knn_self_join(points: DataFrame, features: Sequence[str], k: int = 5, key: s
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                dist = _distances(_matrix(batch["x"]), pivots)
+            for part, dist in _slices(batch, pivots):
                 cell = dist.argmin(axis=1)
-                yield batch[["id", "x"]].assign(cell=cell, radius=dist[np.arange(len(cell)), cell])
+                yield part[["id", "x"]].assign(cell=cell, radius=dist[np.arange(len(cell)), cell])
 
     placed = land(base.select("id", "x").mapInPandas(assign, "id long, x array<double>, cell long, radius double"),
                   "knn-cells")
@@ -122,19 +132,22 @@ def knn_self_join(points: DataFrame, features: Sequence[str], k: int = 5, key: s
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                dist = _distances(_matrix(batch["x"]), pivots)
+            for part, dist in _slices(batch, pivots):
                 slack = 1e-9 * (1.0 + dist)
-                open_ = dist - reach[None, :] <= batch["limit"].to_numpy()[:, None] + slack
+                open_ = dist - reach[None, :] <= part["limit"].to_numpy()[:, None] + slack
                 open_ &= np.isfinite(reach)[None, :]
-                open_[np.arange(len(batch)), batch["cell"].to_numpy()] = False
+                open_[np.arange(len(part)), part["cell"].to_numpy()] = False
+                if visit_cells is not None and dist.shape[1] > visit_cells + 1:
+                    far = np.argsort(dist, axis=1)[:, visit_cells + 1:]
+                    np.put_along_axis(open_, far, False, axis=1)
                 row, cell = np.nonzero(open_)
-                yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "x": batch["x"].to_numpy()[row], "cell": cell})
+                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "cell": cell})
 
     found = own
     if wanted > 1:
-        visits = asking.mapInPandas(route, "id long, x array<double>, cell long")
-        found = own.unionByName(_search(land(visits, "knn-visits"), placed, k))
+        # Only ids and cells are written; a visitor's position is joined when it is compared.
+        visits = land(asking.mapInPandas(route, "id long, cell long"), "knn-visits")
+        found = own.unionByName(_search(visits.join(placed.select("id", "x"), "id"), placed, k))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour_id"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "neighbour_id", "distance")
     # Copies beyond the first k + 1 of a position have the first k of them as neighbours.

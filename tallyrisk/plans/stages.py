@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrisk.landing import land
+from tallyrisk.landing import land, release
 from tallyrisk.learn import anomaly as A
 from tallyrisk.learn import attribution as AT
 from tallyrisk.learn import calibrate as CA
@@ -91,7 +91,7 @@ def stage_train(run: Run) -> DataFrame:
     chosen = run.save("best", P.model_select(saved)).first()
     best = fitted[chosen["model"], chosen["strategy"]]
     best.pipeline.write().overwrite().save(f"{run.out}/best_model")
-    best.score(table).select("seq", "split", "label", "score").write.partitionBy("split").parquet(f"{run.out}/best_scores")
+    best.score(table).select("seq", "split", "label", *run.features, "score").write.partitionBy("split").parquet(f"{run.out}/best_scores")
     return saved
 
 
@@ -160,10 +160,10 @@ def stage_privacy(run: Run) -> DataFrame:
 
 def stage_drift(run: Run) -> DataFrame:
     """Features and score of validation and both test halves against the training window."""
-    both = run.table().join(run.scores().select("seq", "score"), "seq")
-    halves = S.split_halves(run.table().filter("split = 'test'")).select("seq", "half")
-    window = F.when(F.col("half").isNotNull(), F.concat(F.lit("test_"), F.col("half"), F.lit("_half"))).otherwise(F.col("split"))
-    windows = land(both.join(halves, "seq", "left").select(window.alias("win"), *run.features, "score"), "windows")
+    scores, kept = run.scores(), [*run.features, "score"]
+    halves = S.split_halves(scores.filter("split = 'test'"))
+    windows = scores.filter("split <> 'test'").select(F.col("split").alias("win"), *kept).unionByName(
+        halves.select(F.concat(F.lit("test_"), F.col("half"), F.lit("_half")).alias("win"), *kept))
     return run.save("drift", D.with_status(D.window_psi(windows, [*run.features, "score"], "win", "train")))
 
 
@@ -226,6 +226,7 @@ def main() -> None:
             stage_data(run, source, a.label, a.sample)
         else:
             {"train": stage_train, "evaluate": stage_evaluate, "privacy": stage_privacy, "drift": stage_drift}[name](run)
+        release(run.spark)  # reports and slices are under --out; what a stage wrote in between is not needed again
         print(f"{name}: reports under {a.out}/reports", flush=True)
 
 
