@@ -20,7 +20,7 @@ from tallyrisk.landing import land
 from tallyrisk.llm.common import query, table
 
 # Neighbours, pruning factor, rows of a leaf, and values (rows x length) of a shard and of a block of queries.
-NEIGHBOURS, FACTOR, LEAF, SHARD_VALUES, BLOCK_VALUES = 20, 0.8, 64, 1 << 20, 1 << 17
+NEIGHBOURS, FACTOR, LEAF, SHARD_VALUES, BLOCK_VALUES = 20, 0.8, 256, 1 << 20, 1 << 17
 
 
 class VantageTree:
@@ -59,24 +59,32 @@ class VantageTree:
         n = len(queries)
         best_id, best = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
         square = np.einsum("ij,ij->i", queries, queries) + self.reach
+        slack = 1e-9 * (square + 1.0)
 
         def tau(rows: np.ndarray) -> np.ndarray:
             return np.sqrt(np.maximum(square[rows] - 2 * best[rows, -1], 0.0))
 
         def leaf(rows: np.ndarray, members: np.ndarray) -> None:
-            step = max(1, (1 << 21) // max(1, len(members) * queries.shape[1]))
-            for i in range(0, len(rows), step):
-                part = rows[i:i + step]
-                score = (queries[part][:, None, :] * self.vectors[members][None]).sum(-1)
-                score[own[part][:, None] == self.ids[members][None]] = -np.inf
-                better = score.max(1) >= best[part, -1]
-                part, score = part[better], score[better]
-                if len(part):
-                    ids = np.concatenate([best_id[part], np.broadcast_to(self.ids[members], score.shape)], 1)
-                    score = np.concatenate([best[part], score], 1)
-                    ids = np.where(np.isneginf(score), -1, ids)
-                    order = np.lexsort((ids, -score), axis=-1)[:, :k]
-                    best_id[part], best[part] = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+            """A matrix product finds the pairs that could enter a list; only those get the exact score."""
+            rough = queries[rows] @ self.vectors[members].T
+            near = rough >= (best[rows, -1] - slack[rows])[:, None]
+            near &= own[rows][:, None] != self.ids[members][None]
+            r, m = np.nonzero(near)
+            if not len(r):
+                return
+            score = np.empty(len(r))
+            for i in range(0, len(r), 1 << 14):
+                score[i:i + (1 << 14)] = (queries[rows[r[i:i + (1 << 14)]]] * self.vectors[members[m[i:i + (1 << 14)]]]).sum(-1)
+            width = np.bincount(r, minlength=len(rows))
+            hit = np.flatnonzero(width)
+            slot = np.arange(len(r)) - np.repeat(np.cumsum(width[hit]) - width[hit], width[hit])
+            line = np.repeat(np.arange(len(hit)), width[hit])
+            more_id, more = np.full((len(hit), width.max()), -1, np.int64), np.full((len(hit), width.max()), -np.inf)
+            more_id[line, slot], more[line, slot] = self.ids[members[m]], score
+            part = rows[hit]
+            ids, score = np.concatenate([best_id[part], more_id], 1), np.concatenate([best[part], more], 1)
+            order = np.lexsort((ids, -score), axis=-1)[:, :k]
+            best_id[part], best[part] = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
 
         def visit(node: int, rows: np.ndarray) -> None:
             if not len(rows):
