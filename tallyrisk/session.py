@@ -24,21 +24,24 @@ RUNTIME_SETTINGS = {
 }
 
 
-def prepare(spark: SparkSession, path: str | None = None) -> SparkSession:
-    """Apply the runtime settings to a session that somebody else built, sized for the data at `path`."""
+def prepare(spark: SparkSession, path: str | None = None, most_partitions: int = MAX_PARTITIONS) -> SparkSession:
+    """Apply the runtime settings to a session that somebody else built, sized for the data at `path`.
+
+    `most_partitions` bounds the shuffle partitions; beyond PARTITION_BYTES x most_partitions of data they grow instead.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     if path is not None:
-        needed = partitions_for(path_bytes(spark, path))
+        needed = partitions_for(path_bytes(spark, path), most_partitions)
         if needed > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.shuffle.partitions", str(needed))
     return spark
 
 
-def partitions_for(size: int) -> int:
+def partitions_for(size: int, most: int = MAX_PARTITIONS) -> int:
     """Shuffle partitions for a whole-table exchange of `size` stored bytes."""
-    return min(MAX_PARTITIONS, max(1, math.ceil(size * SHUFFLE_GROWTH / PARTITION_BYTES)))
+    return min(most, max(1, math.ceil(size * SHUFFLE_GROWTH / PARTITION_BYTES)))
 
 
 def path_bytes(spark: SparkSession, path: str) -> int:
