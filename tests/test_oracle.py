@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "scripts"))
 import compare  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
 from tallyrisk.operators.report import REPORT_COLUMNS  # noqa: E402
+from tallyrisk.plans import registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["scan_transactions", "time_split", "split_summary", "global_index", "score_curve", "report_by_model",
@@ -31,8 +32,10 @@ def test_query_matches_sql(spark, oracle, name):
     assert problem is None, problem
 
 
-def test_every_query_has_an_oracle_with_the_same_name():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+def test_every_core_query_has_an_oracle_and_is_listed():
+    registry.load_all()
+    assert set(registry.ORACLES) == set(registry.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_has_a_stable_schema(spark):
