@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyrisk.landing import land
 from tallyrisk.llm import decontaminate, mixing, neardup, quality, secrets
-from tallyrisk.llm.common import table
+from tallyrisk.llm.common import table, with_small_batches
 from tallyrisk.session import prepare
 
 # Classifiers, sketches and BM25 scores have no SQL; the tests compare stages and whole runs with plain versions.
@@ -22,12 +22,13 @@ ORACLE_SQL = None
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it learns from the labels of the documents at hand."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    model = quality.fit(docs, table(with_small_batches(spark), sf_dir, "labels"))
     return docs.filter(quality.score_column(model, docs) >= F.lit(quality.REJECT_BELOW))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the smallest id. Equal rows (same id and text) are one document."""
+    with_small_batches(spark)
     told = neardup.near_duplicates(docs)
     row_key = neardup.row_digest(docs["doc_id"], docs["text"])
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("held"), row_key.alias("row_key"))
@@ -38,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item is confirmed go."""
-    return docs.filter(decontaminate.is_clean(docs, table(spark, sf_dir, "benchmark")))
+    return docs.filter(decontaminate.is_clean(docs, table(with_small_batches(spark), sf_dir, "benchmark")))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

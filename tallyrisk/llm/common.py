@@ -18,13 +18,25 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Texts handed to Python at once; with Spark's 10,000 a worker holds tens of MB of text several times over.
+BATCH_ROWS = 1000
+
+
+def with_small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with at most BATCH_ROWS rows in a batch for Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query of this folder; `sql` is left out where no SQL text can express the result."""
 
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = sf_dir.rstrip("/")
-            return function(prepare(spark, path), path)
+            return function(with_small_batches(prepare(spark, path)), path)
 
         run.__doc__, run.__name__ = function.__doc__, name
         QUERIES[name] = run
