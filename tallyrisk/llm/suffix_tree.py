@@ -31,7 +31,7 @@ LEAST_COUNT, DISCOUNT, LEAST_DIVERGENCE, LEAST_GAIN = 2, 0.5, 0.002, 10.0
 BASE_ADD = 0.1
 
 END = b""  # no word is empty, so the end token is
-_FLUSH_WORDS, _FLUSH_KEYS = 300_000, 1 << 21
+_FLUSH_WORDS, _FLUSH_KEYS, _SLICE_WORDS = 300_000, 1 << 21, 1 << 18
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -194,25 +194,59 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"token": list(counted), "n": list(counted.values())})
 
 
-def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
-    """(tree, counts) learnt from `texts` (text binary): counts (token, n) of all tokens stay a table.
-
-    One pass counts words and one pass a level the entries of its contexts, summed in the tasks before the shuffle. The driver
-    gets what is listed only. Without texts the tree holds no word.
-    """
-    spark = texts.sparkSession
-    counts = land(texts.mapInPandas(_word_counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
+def _counted(texts: DataFrame) -> tuple[SuffixTree, DataFrame, dict[float, float]]:
+    """The tree's root, the table (token, n) and the least counts of this size, from `texts` (text binary)."""
+    counts = land(texts.mapInPandas(_word_counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+                  .select(F.col("token").cast("string").alias("token"), "n"), "lm-counts")
     n, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
     least = {s: max(LEAST_COUNT, s * n) for s in (VOCABULARY_SHARE, CONTEXT_SHARE, ENTRY_SHARE)}
-    frequent = counts.filter(F.col("n") >= least[VOCABULARY_SHARE]).orderBy(F.col("n").desc(), "token").toPandas()
-    tree = SuffixTree([bytes(t) for t in frequent["token"]], frequent["n"].to_numpy(np.int64), n, distinct, once)
+    # The end is always numbered, so that only words are ever sent to meet their counts.
+    frequent = (counts.filter((F.col("n") >= least[VOCABULARY_SHARE]) | (F.col("token") == ""))
+                .orderBy(F.col("n").desc(), "token").toPandas())
+    return SuffixTree([t.encode() for t in frequent["token"]], frequent["n"].to_numpy(np.int64), n, distinct, once), counts, least
+
+
+def _numbered(docs: DataFrame, tree: SuffixTree) -> DataFrame:
+    """`docs` (row, id, train, text binary) with texts as word numbers: written once, read by every later pass.
+
+    `words` starts with -1, where no context reaches over; words without a number are -1 too, and listed in `rare`.
+    """
+    shipped = ship(docs.sparkSession, tree)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = opened(shipped)
+        for frame in batches:
+            words, rare = [], []
+            for text in frame["text"]:
+                found = tokens(text)
+                word = model.numbers(found)
+                words.append(np.r_[-1, word].astype(np.int32).tobytes())
+                # Without any training text the end has no number; it is counted as unseen by `_scored`.
+                rare.append(b" ".join(found[i] for i in np.flatnonzero(word < 0).tolist()))
+            yield pd.DataFrame({"row": frame["row"], "id": frame["id"], "train": frame["train"], "words": words, "rare": rare})
+
+    id_type = docs.schema["id"].dataType.simpleString()
+    return land(docs.mapInPandas(number, f"row long, id {id_type}, train boolean, words binary, rare binary"), "lm-numbered")
+
+
+def _slices(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows of about _SLICE_WORDS words together: (rows, their words end to end, whose word each is)."""
+    sizes = frame["words"].map(len).to_numpy() // 4
+    for part in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE_WORDS)) + 1):
+        if len(part):
+            rows = frame.iloc[part]
+            yield rows, np.frombuffer(b"".join(rows["words"]), np.int32).astype(np.int64), np.repeat(np.arange(len(part)), sizes[part])
+
+
+def _grown(tree: SuffixTree, numbered: DataFrame, least: dict[float, float], depth: int) -> SuffixTree:
+    """Add the levels, one pass over the training rows each; counts are summed in the tasks before the shuffle."""
     for _ in range(depth):
         totals, suffixes = tree.candidates(least[CONTEXT_SHARE])
         if not len(totals):
             break
-        probe = SuffixTree(tree.vocabulary, tree.count, n, distinct, once, [*tree.levels, None])
+        probe = SuffixTree([], tree.count, tree.n, tree.distinct, tree.once, [*tree.levels, None])
         probe._starts = tree._starts
-        shipped = ship(spark, (probe, tree.count >= least[ENTRY_SHARE]))
+        shipped = ship(numbered.sparkSession, (probe, tree.count >= least[ENTRY_SHARE]))
 
         def entries(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             model, listed = opened(shipped)
@@ -223,8 +257,7 @@ def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
                 return pd.DataFrame({"key": key, "n": count})
 
             for frame in batches:
-                for text in frame["text"]:
-                    word = model.numbers(tokens(text))
+                for _, word, _ in _slices(frame):
                     context = model.contexts(word)[-1]
                     on = (context >= 0) & (word >= 0)
                     on[on] = listed[word[on]]
@@ -235,72 +268,82 @@ def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
                         kept, size = [], 0
             yield summed()
 
-        found = (texts.mapInPandas(entries, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        found = (numbered.filter("train").select("words").mapInPandas(entries, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
                  .filter(F.col("n") >= least[ENTRY_SHARE]).toPandas())
         shipped.unpersist()
         tree.grow(found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64), totals, suffixes)
-    return tree, counts
+    return tree
 
 
-def scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, n_known, base_score, score) of every row of `docs`: log10 probabilities of the whole text.
+def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
+    """(tree, counts) learnt from `texts` (text binary): counts (token, n) of all tokens stay a table.
 
-    Numbered words are scored in the tasks; a document's other words are joined with their counts. A NULL text is an empty one,
-    which is the end token alone. Repeated rows and ids repeat their results; an empty table gives no rows.
+    The driver gets what is listed only. Without texts the tree holds no word.
     """
-    shipped = ship(docs.sparkSession, tree)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    tree, counts, least = _counted(texts)
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.lit(None).cast("long").alias("id"), F.lit(True).alias("train"), "text")
+    return _grown(tree, _numbered(rows, tree), least, depth), counts
+
+
+def _scored(numbered: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str) -> DataFrame:
+    bare = SuffixTree([], tree.count, tree.n, tree.distinct, tree.once, tree.levels)
+    bare._starts = getattr(tree, "_starts", None)
+    shipped = ship(numbered.sparkSession, bare)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = opened(shipped)
+        log_base = np.log10(model.base(model.count))
         for frame in batches:
-            place, ids, token, times, n_tokens, n_known, base, total = [], [], [], [], [], [], [], []
-            for row, id_, text in zip(frame["row"], frame["id"], frame["text"]):
-                found = tokens(text)
-                word = model.numbers(found)
-                known = word >= 0
-                place.append(row)
-                ids.append(id_)
-                token.append(None)
-                times.append(0)
-                n_tokens.append(len(found))
-                n_known.append(int(known.sum()))
-                base.append(float(np.log10(model.base(model.count[word[known]])).sum()) if n_known[-1] else 0.0)
-                total.append(float(model.log_probabilities(word).sum()) if len(model.count) else 0.0)
-                rare = Counter(map(found.__getitem__, np.flatnonzero(~known).tolist()))
-                more = len(rare)
-                place += [row] * more
-                ids += [None] * more
-                token += rare
-                times += rare.values()
-                for empty in (n_tokens, n_known, base, total):
-                    empty += [0] * more
-            yield pd.DataFrame({"row": place, "id": pd.Series(ids, dtype=object), "token": token, "times": times, "n_tokens": n_tokens,
-                                "n_known": n_known, "base_score": base, "score": total})
-
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    parts = land(texts.mapInPandas(score, f"row long, id {id_type}, token binary, times int, n_tokens int, n_known int, "
-                                          "base_score double, score double"), "lm-parts")
+            for rows, word, of in _slices(frame):
+                n, known = len(rows), word >= 0
+                first = np.r_[True, of[1:] != of[:-1]]
+                p = np.where(first, 0.0, model.log_probabilities(word)) if len(model.count) else np.zeros(len(word))
+                yield pd.DataFrame({
+                    "row": rows["row"].to_numpy(), "id": rows["id"].to_numpy(), "n_tokens": np.bincount(of, minlength=n) - 1,
+                    "n_known": np.bincount(of[known], minlength=n), "base_score": np.bincount(of[known], log_base[word[known]], n),
+                    "score": np.bincount(of, p, n), "rare": rows["rare"].to_numpy(), "n_rare": np.bincount(of[~known & ~first], minlength=n)})
+
+    id_type = numbered.schema["id"].dataType.simpleString()
+    parts = land(numbered.select("row", "id", "words", "rare").mapInPandas(
+        score, f"row long, id {id_type}, n_tokens long, n_known long, base_score double, score double, rare binary, n_rare long"), "lm-parts")
     n = F.coalesce(F.col("n"), F.lit(0))
     root = F.when(n > 0, n * ((1 - tree.unseen) / max(tree.n, 1))).otherwise(tree.unseen)
     base = (n + BASE_ADD) / (tree.n + BASE_ADD * (tree.distinct + 1))
-    rare = (parts.filter("token is not null").select("row", "token", "times").join(counts, "token", "left").groupBy("row")
-            .agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(base)).alias("more_base"),
-                 F.sum(F.col("times") * F.log10(root)).alias("more_score")))
-    whole = parts.filter("token is null").select("row", "id", "n_tokens", "n_known", "base_score", "score").join(rare, "row", "left")
+    # An end without a number leaves an empty last piece, which has no count and scores as unseen.
+    rare = (parts.filter("n_rare > 0").select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("token"))
+            .join(counts, "token", "left").groupBy("row")
+            .agg(F.count_if(n > 0).alias("more_known"), F.sum(F.log10(base)).alias("more_base"), F.sum(F.log10(root)).alias("more_score")))
+    whole = parts.drop("rare", "n_rare").join(rare, "row", "left")
 
     def plus(name: str, more: str, kind: str) -> Column:
         return (F.col(name) + F.coalesce(F.col(more), F.lit(0))).cast(kind).alias(name)
 
-    return whole.select(F.col("id").alias(id_col), F.col("n_tokens").cast("long").alias("n_tokens"), plus("n_known", "more_known", "long"),
+    return whole.select(F.col("id").alias(id_col), "n_tokens", plus("n_known", "more_known", "long"),
                         plus("base_score", "more_base", "double"), plus("score", "more_score", "double"))
 
 
-def learn_and_score(docs: DataFrame, held_out: Callable[[str], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), train.alias("train"),
+                       F.col(text_col).cast("binary").alias("text"))
+
+
+def scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens, n_known, base_score, score) of every row of `docs`: log10 probabilities of the whole text.
+
+    Numbered words are scored in the tasks; a document's other words are joined with their counts. A NULL text is an empty one,
+    which is the end token alone. Repeated rows and ids repeat their results; an empty table gives no rows.
+    """
+    return _scored(_numbered(_rows(docs, id_col, text_col, F.lit(False)), tree), tree, counts, id_col)
+
+
+def learn_and_score(docs: DataFrame, held_out: Callable[[str], Column], id_col: str = "doc_id", text_col: str = "text",
+                    depth: int = DEPTH) -> DataFrame:
     """`scored` with train_tokens added, learnt from the rows that `held_out` (id column name -> boolean) leaves."""
-    train = docs.filter(~held_out(id_col)).select(F.col(text_col).cast("binary").alias("text"))
-    tree, counts = fit(train)
-    return scored(docs, tree, counts, id_col, text_col).withColumn("train_tokens", F.lit(tree.n).cast("long"))
+    rows = _rows(docs, id_col, text_col, ~held_out(id_col))
+    tree, counts, least = _counted(rows.filter("train").select("text"))
+    numbered = _numbered(rows, tree)
+    _grown(tree, numbered, least, depth)
+    return _scored(numbered, tree, counts, id_col).withColumn("train_tokens", F.lit(tree.n).cast("long"))
 
 
 @query("op5_suffix_tree")
