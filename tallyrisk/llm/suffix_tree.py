@@ -1,21 +1,25 @@
 """Language-model scoring by a probabilistic suffix tree (Ron, Singer and Tishby).
 
-Contexts are the last one to DEPTH words. One is a candidate where it makes up CONTEXT_SHARE of the training tokens, and is
-retained where its next words diverge enough from those of its own suffix. A next word is listed under a context where the
-two together make up ENTRY_SHARE of the tokens; listed words give up DISCOUNT of a count each, and that and everything
-unlisted is spread as under the longest retained suffix. The root gives words their share of the tokens, less the share of
-words seen once for words never seen. Each word is scored in the longest retained state.
-
-All shares are of the training tokens, so that the model has the same form at every size: at most 1 / ENTRY_SHARE listed
-words a level and 1 / VOCABULARY_SHARE numbered words, which is what tasks are sent. Counts of all other words stay in
-Spark, and documents meet them in a join.
+Contexts are the last one to DEPTH words. A next word is listed under a context where the two together occur LEAST_COUNT times;
+every context with a listed word is a candidate, and is retained where its next words diverge enough from those of its own
+suffix. Listed words give up DISCOUNT of a count each, and that and everything unlisted is spread as under the longest retained
+suffix. The root gives words their share of the tokens, less the share of words seen once for words never seen. Each word is
+scored in the longest retained state.
+
+Levels are Spark tables keyed by 64-bit hashes of word runs, so that they grow with the input; of 2e10 runs about ten pairs share a
+hash and mix their values. The log probability of a text is a sum over its runs: a listed run adds what it has over its suffix (`value` of the
+level), a retained context the log of its spare mass. What makes up HEAD_SHARE of the tokens is sent to tasks, which bounds that
+part; all other runs meet their values in a join, after a filter of fixed size has let go most that have none. Neither changes a
+result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,13 +29,17 @@ from pyspark.sql import functions as F
 from tallyrisk.landing import land
 from tallyrisk.llm.common import is_held_out, opened, query, ship, table
 
-DEPTH, VOCABULARY_SHARE, CONTEXT_SHARE, ENTRY_SHARE = 3, 5e-7, 2e-5, 1e-6
+DEPTH = 3
+# Shares of the tokens from which words are numbered, and runs sent to tasks; of no effect on results.
+VOCABULARY_SHARE, HEAD_SHARE = 5e-7, 1e-6
 # Least count of anything listed, count given up, and the nats a token and in all by which a context has to diverge.
 LEAST_COUNT, DISCOUNT, LEAST_DIVERGENCE, LEAST_GAIN = 2, 0.5, 0.002, 10.0
 BASE_ADD = 0.1
 
 END = b""  # no word is empty, so the end token is
 _FLUSH_WORDS, _FLUSH_KEYS, _SLICE_WORDS = 300_000, 1 << 21, 1 << 18
+# Bits of a filter, and of one written piece of it.
+_FILTER_BITS, _PIECE_BITS = 28, 18
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -46,26 +54,43 @@ class _Numbers(dict):
         return -1
 
 
+class _Hashes(dict):
+    def __missing__(self, word):
+        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return value
+
+
+def hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
+    """64-bit hashes of words; `known` keeps those of up to _FLUSH_WORDS words."""
+    if len(known) > _FLUSH_WORDS:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def longer(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of the run whose words but the last are `context`, and but the first `suffix` (for two words, their hashes)."""
+    x = context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suffix.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def runs(word: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Keys of the runs of 1 to `longest` words that end at each position; the first of longer ones is at their own length - 1."""
+    out = [word]
+    for _ in range(longest - 1):
+        out.append(longer(out[-1][:-1], out[-1][1:]))
+    return out
+
+
 @dataclass
 class Level:
-    """Contexts of one length: `entry` holds context << 32 | word, sorted, and `count` its counts; `next` is the number of
-    the longer context that an entry's words are, or -1. Per context: count, retained, discounted mass left, suffix."""
+    """Contexts of one length. Tables: `entries` (gram, n, p, value) and `contexts` (context, total, spare, retained); the arrays
+    hold total and retained of those contexts that tasks are sent."""
 
-    entry: np.ndarray
-    count: np.ndarray
-    next: np.ndarray
+    entries: DataFrame
+    contexts: DataFrame
     total: np.ndarray
     retained: np.ndarray
-    spare: np.ndarray
-    suffix: np.ndarray
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Places of the entries of context and word pairs; -1 where there is none."""
-        if not len(self.entry):
-            return np.full(len(word), -1)
-        key = context.astype(np.int64) << 32 | word.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
-        return np.where((context >= 0) & (word >= 0) & (self.entry[at] == key), at, -1)
 
 
 @dataclass
@@ -76,12 +101,16 @@ class SuffixTree:
     distinct: int
     once: int
     levels: list[Level] = field(default_factory=list)
+    # Sent to tasks: sorted keys of runs, what each adds where it ends, and what to the word after it.
+    key: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    after: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def __post_init__(self):
         self._number = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_number": None}
+        return {**self.__dict__, "_number": None, "levels": []}
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if self._number is None:
@@ -99,88 +128,24 @@ class SuffixTree:
     def base(self, count: np.ndarray) -> np.ndarray:
         return (count + BASE_ADD) / (self.n + BASE_ADD * (self.distinct + 1))
 
-    def contexts(self, words: np.ndarray) -> list[np.ndarray]:
-        """For each level and position, the number of the context made of the words before it; -1 for none."""
-        first = np.full(len(words), -1, np.int64)
-        out = []
-        if self.levels:
-            first[1:] = np.where(words[:-1] >= 0, self.starts[words[:-1]], -1)
-            out.append(first)
-        for level in self.levels[:-1]:
-            longer = np.full(len(words), -1, np.int64)
-            at = level.find(out[-1][:-1], words[:-1])
-            longer[1:] = np.where(at >= 0, level.next[at], -1)
-            out.append(longer)
-        return out
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of runs among those sent to tasks; -1 for others."""
+        if not len(self.key):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, at, -1)
 
     def log_probabilities(self, words: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability in its longest state; of a word without number, without its root factor."""
+        """log10 of each numbered word's probability, by the runs sent to tasks; of one without number, without its root factor."""
         known = words >= 0
-        p = np.where(known, self.root(self.count[words]), 1.0)
-        for level, context in zip(self.levels, self.contexts(words)):
-            on = context >= 0
-            on[on] = level.retained[context[on]]
-            at = level.find(context, words)
-            own = np.where(at >= 0, (level.count[at] - DISCOUNT) / level.total[context], 0.0)
-            p = np.where(on, own + level.spare[context] * p, p)
-        return np.log10(np.maximum(p, 1e-300))
-
-    @property
-    def starts(self) -> np.ndarray:
-        """Word number -> number of its one-word context."""
-        return self._starts
-
-    def grow(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, suffixes: np.ndarray) -> None:
-        """Add a level from the counts of its entries, and test each context's divergence from its suffix."""
-        order = np.argsort(keys)
-        entry, count = keys[order], counts[order].astype(np.float64)
-        context, word = entry >> 32, entry & 0xFFFFFFFF
-        mass = (count - DISCOUNT) / totals[context]
-        spare = np.maximum(1.0 - np.bincount(context, mass, len(totals)), 1e-12)
-        under = self._under_suffix(suffixes[context], word)
-        p = count / totals[context]
-        gain = np.bincount(context, p * np.log(p / under), len(totals))
-        rest, rest_under = 1 - np.bincount(context, p, len(totals)), np.maximum(1 - np.bincount(context, under, len(totals)), 1e-9)
-        gain += np.where(rest > 1e-9, rest * np.log(np.maximum(rest, 1e-9) / rest_under), 0.0)
-        has_suffix = suffixes >= 0 if self.levels else np.ones(len(totals), bool)
-        retained = has_suffix & (gain >= LEAST_DIVERGENCE) & (gain * totals >= LEAST_GAIN)
-        self.levels.append(Level(entry, count, np.full(len(entry), -1, np.int64), totals, retained, spare, suffixes))
-
-    def _under_suffix(self, suffix: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Probability of words in the longest retained state at or under given contexts of the last level."""
-        if not self.levels:
-            return self.root(self.count[word])
-        chain, state = [], suffix
-        for level in reversed(self.levels):
-            chain.append((level, state))
-            state = np.where(state >= 0, level.suffix[state], -1)
-        p = self.root(self.count[word])
-        for level, state in reversed(chain):
-            on = state >= 0
-            on[on] = level.retained[state[on]]
-            at = level.find(state, word)
-            own = np.where(at >= 0, (level.count[at] - DISCOUNT) / level.total[state], 0.0)
-            p = np.where(on, own + level.spare[state] * p, p)
-        return np.maximum(p, 1e-300)
-
-    def candidates(self, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(totals, suffixes) of the next level's contexts, numbered in the last level (or by word, for the first)."""
-        if not self.levels:
-            chosen = np.flatnonzero(self.count >= least)
-            self._starts = np.full(len(self.count), -1, np.int64)
-            self._starts[chosen] = np.arange(len(chosen))
-            return self.count[chosen].astype(np.float64), np.full(len(chosen), -1, np.int64)
-        last = self.levels[-1]
-        chosen = np.flatnonzero(last.count >= least)
-        last.next[chosen] = np.arange(len(chosen))
-        context, word = last.entry[chosen] >> 32, last.entry[chosen] & 0xFFFFFFFF
-        if len(self.levels) == 1:
-            suffix = self._starts[word]
-        else:
-            under = self.levels[-2]
-            at = under.find(last.suffix[context], word)
-            suffix = np.where(at >= 0, under.next[at], -1)
-        return last.count[chosen], suffix
+        out = np.where(known, np.log10(self.root(self.count[words])), 0.0)
+        known_as = _Hashes()
+        word = np.where(known, hashes([self.vocabulary[i] for i in words], known_as), hashes([b" "], known_as))  # no word is a blank
+        for length, keys in enumerate(runs(word, min(DEPTH + 1, len(word)))):
+            at = self.find(keys)
+            out[length:] += np.where(at >= 0, self.value[at] if len(self.value) else 0.0, 0.0)
+            out[length + 1:] += np.where(at >= 0, self.after[at] if len(self.after) else 0.0, 0.0)[:-1]
+        return out
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,118 +159,169 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"token": list(counted), "n": list(counted.values())})
 
 
-def _counted(texts: DataFrame) -> tuple[SuffixTree, DataFrame, dict[float, float]]:
-    """The tree's root, the table (token, n) and the least counts of this size, from `texts` (text binary)."""
+def _counted(texts: DataFrame) -> tuple[SuffixTree, DataFrame]:
+    """The tree's root, and the table (token, n), from `texts` (text binary)."""
     counts = land(texts.mapInPandas(_word_counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
                   .select(F.col("token").cast("string").alias("token"), "n"), "lm-counts")
     n, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
-    least = {s: max(LEAST_COUNT, s * n) for s in (VOCABULARY_SHARE, CONTEXT_SHARE, ENTRY_SHARE)}
     # The end is always numbered, so that only words are ever sent to meet their counts.
-    frequent = (counts.filter((F.col("n") >= least[VOCABULARY_SHARE]) | (F.col("token") == ""))
+    frequent = (counts.filter((F.col("n") >= max(LEAST_COUNT, VOCABULARY_SHARE * n)) | (F.col("token") == ""))
                 .orderBy(F.col("n").desc(), "token").toPandas())
-    return SuffixTree([t.encode() for t in frequent["token"]], frequent["n"].to_numpy(np.int64), n, distinct, once), counts, least
+    return SuffixTree([t.encode() for t in frequent["token"]], frequent["n"].to_numpy(np.int64), n, distinct, once), counts
 
 
-def _numbered(docs: DataFrame, tree: SuffixTree) -> DataFrame:
-    """`docs` (row, id, train, text binary) with texts as word numbers: written once, read by every later pass.
+def _slices(frame: pd.DataFrame, known: _Hashes) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of about _SLICE_WORDS words together: (rows, their words end to end, hashes, whose word each is, its place there)."""
+    words: list[bytes] = []
+    sizes: list[int] = []
+    for i, text in enumerate(frame["text"]):
+        found = tokens(text)
+        words += found
+        sizes.append(len(found))
+        if len(words) >= _SLICE_WORDS or i == len(frame) - 1:
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield frame.iloc[i + 1 - len(sizes):i + 1], words, hashes(words, known), of, place
+            words, sizes = [], []
 
-    `words` starts with -1, where no context reaches over; words without a number are -1 too, and listed in `rare`.
-    """
-    shipped = ship(docs.sparkSession, tree)
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = opened(shipped)
-        for frame in batches:
-            words, rare = [], []
-            for text in frame["text"]:
-                found = tokens(text)
-                word = model.numbers(found)
-                words.append(np.r_[-1, word].astype(np.int32).tobytes())
-                # Without any training text the end has no number; it is counted as unseen by `_scored`.
-                rare.append(b" ".join(found[i] for i in np.flatnonzero(word < 0).tolist()))
-            yield pd.DataFrame({"row": frame["row"], "id": frame["id"], "train": frame["train"], "words": words, "rare": rare})
+def _filter(keys: DataFrame, name: str) -> np.ndarray:
+    """Bits of a fixed number of cells that are set where `keys` has a key of the cell: a key without its bit is not there."""
+    def pieces(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << _PIECE_BITS, bool)
+        bits[frame["cell"].to_numpy() & ((1 << _PIECE_BITS) - 1)] = True
+        return pd.DataFrame({"piece": [frame["cell"].iloc[0] >> _PIECE_BITS], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    cells = keys.select(F.col(name).bitwiseAND((1 << _FILTER_BITS) - 1).alias("cell")).withColumn("piece", F.shiftright("cell", _PIECE_BITS))
+    out = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    width = 1 << (_PIECE_BITS - 3)
+    for row in cells.groupBy("piece").applyInPandas(pieces, "piece long, bits binary").toLocalIterator():
+        out[row["piece"] * width:(row["piece"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    return out
 
-    id_type = docs.schema["id"].dataType.simpleString()
-    return land(docs.mapInPandas(number, f"row long, id {id_type}, train boolean, words binary, rare binary"), "lm-numbered")
 
+def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = keys & ((1 << _FILTER_BITS) - 1)
+    return bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 > 0
 
-def _slices(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Rows of about _SLICE_WORDS words together: (rows, their words end to end, whose word each is)."""
-    sizes = frame["words"].map(len).to_numpy() // 4
-    for part in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE_WORDS)) + 1):
-        if len(part):
-            rows = frame.iloc[part]
-            yield rows, np.frombuffer(b"".join(rows["words"]), np.int32).astype(np.int64), np.repeat(np.arange(len(part)), sizes[part])
 
+def _counted_runs(train: DataFrame, length: int, below: DataFrame) -> DataFrame:
+    """(gram, context, suffix, n) of the runs of `length` + 1 words in `train` that occur LEAST_COUNT times.
 
-def _grown(tree: SuffixTree, numbered: DataFrame, least: dict[float, float], depth: int) -> SuffixTree:
-    """Add the levels, one pass over the training rows each; counts are summed in the tasks before the shuffle."""
-    for _ in range(depth):
-        totals, suffixes = tree.candidates(least[CONTEXT_SHARE])
-        if not len(totals):
+    A run occurs no more often than its context and suffix, so only runs whose both are in `below` (gram) are counted; they are
+    summed in the tasks before the shuffle.
+    """
+    shipped = ship(train.sparkSession, _filter(below, "gram"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, known = opened(shipped), _Hashes()
+        kept, size = [], 0
+
+        def summed() -> pd.DataFrame:
+            context, suffix = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 2
+            _, first, n = np.unique(longer(context, suffix), return_index=True, return_counts=True)
+            return pd.DataFrame({"context": context[first], "suffix": suffix[first], "n": n})
+
+        for frame in batches:
+            for _, _, word, _, place in _slices(frame, known):
+                keys = runs(word, length)[-1]
+                on = (place[length:] >= length)
+                has = _may_have(bits, keys)
+                on &= has[:-1] & has[1:]
+                kept.append((keys[:-1][on], keys[1:][on]))
+                size += int(on.sum())
+                if size >= _FLUSH_KEYS:
+                    yield summed()
+                    kept, size = [], 0
+        yield summed()
+
+    gram = F.pandas_udf(lambda a, b: pd.Series(longer(a.to_numpy(np.int64), b.to_numpy(np.int64))), "long")
+    return land(train.select("text").mapInPandas(count, "context long, suffix long, n long").groupBy("context", "suffix")
+                .agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT).withColumn("gram", gram("context", "suffix")), "lm-runs")
+
+
+def _grown(tree: SuffixTree, counts: DataFrame, train: DataFrame, depth: int) -> tuple[SuffixTree, DataFrame, np.ndarray]:
+    """(tree with its levels, (gram, add) of the runs that tasks are not sent, their filter); one pass over `train` a level."""
+    hashed = F.pandas_udf(lambda t: pd.Series(hashes([w.encode() for w in t], _Hashes())), "long")
+    below = land(counts.filter((F.col("n") >= LEAST_COUNT)).select(
+        hashed("token").alias("gram"), "n", (F.col("n") * ((1 - tree.unseen) / max(tree.n, 1))).alias("p")), "lm-words")
+    for length in range(1, depth + 1):
+        counted = _counted_runs(train, length, below)
+        rows = counted.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
+        n, total, rest = F.col("n"), F.col("total"), 1 - F.col("listed") / F.col("total")
+        gain = ((F.col("gain") - F.col("listed") * F.log(total)) / total
+                + F.when(rest > 1e-9, rest * F.log(rest / F.greatest(1 - F.col("under"), F.lit(1e-9)))).otherwise(0.0))
+        contexts = land(rows.groupBy("context").agg(F.sum("n").alias("listed"), F.count("*").alias("words"), F.sum("under").alias("under"),
+                                                    F.sum(n * F.log(n / F.col("under"))).alias("gain"))
+                        .join(below.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context")
+                        .select("context", "total", F.greatest(1 - (F.col("listed") - DISCOUNT * F.col("words")) / total, F.lit(1e-12)).alias("spare"),
+                                ((gain >= LEAST_DIVERGENCE) & (gain * total >= LEAST_GAIN)).alias("retained")), "lm-contexts")
+        own = (n - DISCOUNT) / total + F.col("spare") * F.col("under")
+        # What is not retained has its suffix's probability, and nothing over it.
+        below = land(rows.join(contexts, "context").select(
+            "gram", "n", F.when(F.col("retained"), own).otherwise(F.col("under")).alias("p"),
+            F.when(F.col("retained"), F.log10(own) - F.log10("spare") - F.log10("under")).otherwise(0.0).alias("value")), "lm-level")
+        if contexts.isEmpty():
             break
-        probe = SuffixTree([], tree.count, tree.n, tree.distinct, tree.once, [*tree.levels, None])
-        probe._starts = tree._starts
-        shipped = ship(numbered.sparkSession, (probe, tree.count >= least[ENTRY_SHARE]))
-
-        def entries(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            model, listed = opened(shipped)
-            kept, size = [], 0
-
-            def summed() -> pd.DataFrame:
-                key, count = np.unique(np.concatenate(kept) if kept else np.zeros(0, np.int64), return_counts=True)
-                return pd.DataFrame({"key": key, "n": count})
-
-            for frame in batches:
-                for _, word, _ in _slices(frame):
-                    context = model.contexts(word)[-1]
-                    on = (context >= 0) & (word >= 0)
-                    on[on] = listed[word[on]]
-                    kept.append(context[on] << 32 | word[on])
-                    size += len(kept[-1])
-                    if size >= _FLUSH_KEYS:
-                        yield summed()
-                        kept, size = [], 0
-            yield summed()
-
-        found = (numbered.filter("train").select("words").mapInPandas(entries, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-                 .filter(F.col("n") >= least[ENTRY_SHARE]).toPandas())
-        shipped.unpersist()
-        tree.grow(found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64), totals, suffixes)
-    return tree
+        sent = contexts.filter(total >= HEAD_SHARE * tree.n).select("total", "retained").toPandas()
+        tree.levels.append(Level(below, contexts, sent["total"].to_numpy(np.float64), sent["retained"].to_numpy(bool)))
+    adds = [x for level in tree.levels for x in (
+        level.entries.filter("value <> 0").select("gram", "n", "value", F.lit(0.0).alias("after")),
+        level.contexts.filter("retained").select(F.col("context").alias("gram"), F.col("total").alias("n"), F.lit(0.0).alias("value"), F.log10("spare").alias("after")))]
+    none = train.sparkSession.createDataFrame([], "gram long, n long, value double, after double")
+    every = land(reduce(DataFrame.unionByName, adds, none), "lm-adds")
+    sent = every.filter(F.col("n") >= HEAD_SHARE * tree.n).groupBy("gram").agg(F.sum("value").alias("value"), F.sum("after").alias("after")).toPandas().sort_values("gram")
+    tree.key, tree.value, tree.after = sent["gram"].to_numpy(np.int64), sent["value"].to_numpy(np.float64), sent["after"].to_numpy(np.float64)
+    left = every.filter(F.col("n") < HEAD_SHARE * tree.n).select("gram", (F.col("value") + F.col("after")).alias("add"))
+    return tree, left, _filter(left, "gram")
 
 
 def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
-    """(tree, counts) learnt from `texts` (text binary): counts (token, n) of all tokens stay a table.
+    """(tree, counts) learnt from `texts` (text binary): counts (token, n) of all tokens stay a table, as do the tree's levels.
 
-    The driver gets what is listed only. Without texts the tree holds no word.
+    The driver gets what is sent to tasks only. Without texts the tree holds no word.
     """
-    tree, counts, least = _counted(texts)
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.lit(None).cast("long").alias("id"), F.lit(True).alias("train"), "text")
-    return _grown(tree, _numbered(rows, tree), least, depth), counts
+    tree, counts = _counted(texts)
+    tree, tree.left, tree.bits = _grown(tree, counts, texts, depth)
+    return tree, counts
 
 
-def _scored(numbered: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str) -> DataFrame:
-    bare = SuffixTree([], tree.count, tree.n, tree.distinct, tree.once, tree.levels)
-    bare._starts = getattr(tree, "_starts", None)
-    shipped = ship(numbered.sparkSession, bare)
+def _scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, left: DataFrame, bits: np.ndarray, id_col: str, depth: int = DEPTH) -> DataFrame:
+    shipped = ship(docs.sparkSession, (SuffixTree(tree.vocabulary, tree.count, tree.n, tree.distinct, tree.once, [], tree.key, tree.value, tree.after), bits))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = opened(shipped)
-        log_base = np.log10(model.base(model.count))
+        (model, bits), hashed = opened(shipped), _Hashes()
+        add = model.value + model.after
+        log_base, log_root = np.log10(model.base(model.count)), np.log10(model.root(model.count))
         for frame in batches:
-            for rows, word, of in _slices(frame):
-                n, known = len(rows), word >= 0
-                first = np.r_[True, of[1:] != of[:-1]]
-                p = np.where(first, 0.0, model.log_probabilities(word)) if len(model.count) else np.zeros(len(word))
+            for rows, words, word, of, place in _slices(frame, hashed):
+                n, number = len(rows), model.numbers(words)
+                known = number >= 0
+                total = np.bincount(of[known], log_root[number[known]], n)
+                whose, left = [], []
+                for length, keys in enumerate(runs(word, min(depth + 1, len(word)))):
+                    inside = place[length:] >= length
+                    keys, of_run = keys[inside], of[length:][inside]
+                    at = model.find(keys)
+                    total += np.bincount(of_run[at >= 0], add[at[at >= 0]], n)
+                    other = (at < 0) & _may_have(bits, keys)
+                    whose.append(of_run[other])
+                    left.append(keys[other])
+                whose = np.concatenate(whose)
+                order = np.argsort(whose, kind="stable")
+                parted = np.split(np.concatenate(left)[order], np.cumsum(np.bincount(whose, minlength=n))[:-1])
+                # Without any training text the end has no number; it is counted as unseen below.
+                rare: list[list[bytes]] = [[] for _ in range(n)]
+                for i in np.flatnonzero(~known).tolist():
+                    rare[of[i]].append(words[i])
                 yield pd.DataFrame({
-                    "row": rows["row"].to_numpy(), "id": rows["id"].to_numpy(), "n_tokens": np.bincount(of, minlength=n) - 1,
-                    "n_known": np.bincount(of[known], minlength=n), "base_score": np.bincount(of[known], log_base[word[known]], n),
-                    "score": np.bincount(of, p, n), "rare": rows["rare"].to_numpy(), "n_rare": np.bincount(of[~known & ~first], minlength=n)})
+                    "row": rows["row"].to_numpy(), "id": rows["id"].to_numpy(), "n_tokens": np.bincount(of, minlength=n),
+                    "n_known": np.bincount(of[known], minlength=n), "base_score": np.bincount(of[known], log_base[number[known]], n),
+                    "score": total, "rare": [b" ".join(r) for r in rare], "n_rare": np.bincount(of[~known], minlength=n), "left": parted})
 
-    id_type = numbered.schema["id"].dataType.simpleString()
-    parts = land(numbered.select("row", "id", "words", "rare").mapInPandas(
-        score, f"row long, id {id_type}, n_tokens long, n_known long, base_score double, score double, rare binary, n_rare long"), "lm-parts")
+    id_type = docs.schema["id"].dataType.simpleString()
+    parts = land(docs.select("row", "id", "text").mapInPandas(
+        score, f"row long, id {id_type}, n_tokens long, n_known long, base_score double, score double, rare binary, n_rare long, left array<long>"), "lm-parts")
     n = F.coalesce(F.col("n"), F.lit(0))
     root = F.when(n > 0, n * ((1 - tree.unseen) / max(tree.n, 1))).otherwise(tree.unseen)
     base = (n + BASE_ADD) / (tree.n + BASE_ADD * (tree.distinct + 1))
@@ -313,13 +329,14 @@ def _scored(numbered: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: st
     rare = (parts.filter("n_rare > 0").select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("token"))
             .join(counts, "token", "left").groupBy("row")
             .agg(F.count_if(n > 0).alias("more_known"), F.sum(F.log10(base)).alias("more_base"), F.sum(F.log10(root)).alias("more_score")))
-    whole = parts.drop("rare", "n_rare").join(rare, "row", "left")
+    met = (parts.select("row", F.explode("left").alias("gram")).join(left, "gram").groupBy("row").agg(F.sum("add").alias("run_score")))
+    whole = parts.drop("rare", "n_rare", "left").join(rare, "row", "left").join(met, "row", "left")
 
-    def plus(name: str, more: str, kind: str) -> Column:
-        return (F.col(name) + F.coalesce(F.col(more), F.lit(0))).cast(kind).alias(name)
+    def plus(name: str, more: list[str], kind: str) -> Column:
+        return reduce(Column.__add__, [F.coalesce(F.col(m), F.lit(0)) for m in more], F.col(name)).cast(kind).alias(name)
 
-    return whole.select(F.col("id").alias(id_col), "n_tokens", plus("n_known", "more_known", "long"),
-                        plus("base_score", "more_base", "double"), plus("score", "more_score", "double"))
+    return whole.select(F.col("id").alias(id_col), "n_tokens", plus("n_known", ["more_known"], "long"),
+                        plus("base_score", ["more_base"], "double"), plus("score", ["more_score", "run_score"], "double"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
@@ -330,20 +347,20 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFra
 def scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, n_known, base_score, score) of every row of `docs`: log10 probabilities of the whole text.
 
-    Numbered words are scored in the tasks; a document's other words are joined with their counts. A NULL text is an empty one,
+    Common words and runs are scored in the tasks; a document's other words and runs are joined with their counts and values. A NULL text is an empty one,
     which is the end token alone. Repeated rows and ids repeat their results; an empty table gives no rows.
     """
-    return _scored(_numbered(_rows(docs, id_col, text_col, F.lit(False)), tree), tree, counts, id_col)
+    return _scored(_rows(docs, id_col, text_col, F.lit(False)), tree, counts, tree.left, tree.bits, id_col)
 
 
 def learn_and_score(docs: DataFrame, held_out: Callable[[str], Column], id_col: str = "doc_id", text_col: str = "text",
                     depth: int = DEPTH) -> DataFrame:
     """`scored` with train_tokens added, learnt from the rows that `held_out` (id column name -> boolean) leaves."""
     rows = _rows(docs, id_col, text_col, ~held_out(id_col))
-    tree, counts, least = _counted(rows.filter("train").select("text"))
-    numbered = _numbered(rows, tree)
-    _grown(tree, numbered, least, depth)
-    return _scored(numbered, tree, counts, id_col).withColumn("train_tokens", F.lit(tree.n).cast("long"))
+    train = rows.filter("train").select("text")
+    tree, counts = _counted(train)
+    tree, left, bits = _grown(tree, counts, train, depth)
+    return _scored(rows, tree, counts, left, bits, id_col).withColumn("train_tokens", F.lit(tree.n).cast("long"))
 
 
 @query("op5_suffix_tree")

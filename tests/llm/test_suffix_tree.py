@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyrisk.llm import suffix_tree
 from tallyrisk.llm.common import is_held_out
 from tallyrisk.llm.suffix_tree import END, fit, learn_and_score, scored, tokens
 
@@ -58,3 +59,23 @@ def test_empty_tables(spark, documents):
     got = scored(documents([(1, "some words"), (2, None)]), tree, counts).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"]) for r in got) == [(1, 3, 0), (2, 1, 0)]
     assert learn_and_score(documents([]), lambda name: is_held_out(name, 10, 0)).count() == 0
+
+
+def test_rare_runs_are_met_in_a_join(spark, documents, prose, monkeypatch):
+    rows = [(i, prose(i % 60, 40) + f" rare{i % 30} zu za zi") for i in range(150)] + [(500, None), (501, "")]
+    held_out = lambda name: is_held_out(name, 10, 0)
+    want = {r["doc_id"]: r["score"] for r in learn_and_score(documents(rows), held_out).collect()}
+    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", 2e-3)
+    monkeypatch.setattr(suffix_tree, "VOCABULARY_SHARE", 2e-3)
+    got = {r["doc_id"]: r["score"] for r in learn_and_score(documents(rows), held_out).collect()}
+    assert want.keys() == got.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_rare_contexts_stay_in_a_large_corpus(spark, documents):
+    rng = np.random.default_rng(1)
+    filler = [" ".join(f"w{i}" for i in rng.integers(0, 50, 2000)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(filler)] + [(1000 + i, "ab cd ef gh") for i in range(5)]
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in learn_and_score(
+        documents([*rows, (2000, "ab cd ef gh")]), lambda name: F.col(name) == 2000).collect()}
+    # 5 in 300,000 tokens: under the base model each word costs about 4.8, after its context nearly nothing.
+    assert got[2000] > 10
