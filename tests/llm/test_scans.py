@@ -3,6 +3,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyrisk.llm import hosts, licences, secrets
 from tallyrisk.llm.trigrams import trigram_query
 
@@ -128,3 +130,15 @@ def test_distrust_flows_back_along_links(spark):
             page(6, "deep.sub.quiet.com")]
     got = {r["host"]: r["verdict"] for r in hosts.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {"spam.net": "block", "feeder.com": "block", "quiet.com": "allow", "clean.com": "allow", "deep.sub.quiet.com": "allow"}
+
+
+@pytest.mark.parametrize("chains", [100, 20_000])
+def test_rank_of_flat_chains_does_not_depend_on_their_number(spark, chains, monkeypatch):
+    monkeypatch.setattr(hosts, "LEAST_CHANGE", 3e-3)
+    at = spark.range(chains).select(F.lit("distrust").alias("kind"), *[F.concat(F.lit(x), F.col("id")).alias(x) for x in "sba"])
+    edges = at.select("kind", F.col("s").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight")).unionByName(
+        at.select("kind", F.col("b").alias("src"), F.col("a").alias("dst"), F.lit(1.0).alias("weight")))
+    ranks = hosts.personalised_rank(edges, at.select("kind", F.col("s").alias("host"), F.lit(1.0 / chains).alias("share")))
+    got = {r["of"]: r["rank"] * chains for r in ranks.groupBy(F.substring("host", 1, 1).alias("of")).agg(F.avg("rank").alias("rank")).collect()}
+    seed = 1 / (1 + 0.85 + 0.85 ** 2)
+    assert got == pytest.approx({"s": seed, "b": 0.85 * seed, "a": 0.85 ** 2 * seed}, rel=0.02)
