@@ -26,8 +26,9 @@ from tallyrisk.llm.common import query, table
 # The contract's rules (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 # Share of a host's pages that makes it a seed; PageRank's damping, most rounds (changes shrink by DAMPING a round, so that 200
-# are not reached below 1e9 hosts) and the change, in even shares, at which it ends; distrust against trust and against an even share at which a host is blocked; labels of a host that passes rank to its subdomains.
-SEED_SHARE, DAMPING, ROUNDS, LEAST_CHANGE, OVER_TRUST, THRESHOLD, LEAST_LABELS = 0.5, 0.85, 200, 1e-5, 1.0, 0.25, 3
+# are not reached below 1e9 hosts) and the change, in even shares, at which it ends; distrust against trust and against an even
+# share at which a host is blocked; least labels of a host that counts as above its subdomains.
+SEED_SHARE, DAMPING, ROUNDS, LEAST_CHANGE, OVER_TRUST, THRESHOLD, LEAST_LABELS = 0.5, 0.85, 200, 1e-5, 1.0, 0.25, 2
 # Hosts up to this number are broadcast to the pages; more are joined by shuffling.
 BROADCAST_HOSTS = 100_000
 # Graphs of up to this many edges and seeds take the same rounds on the driver.

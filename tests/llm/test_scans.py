@@ -142,3 +142,10 @@ def test_rank_of_flat_chains_does_not_depend_on_their_number(spark, chains, monk
     got = {r["of"]: r["rank"] * chains for r in ranks.groupBy(F.substring("host", 1, 1).alias("of")).agg(F.avg("rank").alias("rank")).collect()}
     seed = 1 / (1 + 0.85 + 0.85 ** 2)
     assert got == pytest.approx({"s": seed, "b": 0.85 * seed, "a": 0.85 ** 2 * seed}, rel=0.02)
+
+
+def test_parents_of_two_labels_pass_distrust_down(spark):
+    rows = [(1, "http://spam.com/de/a", None), (2, "http://www.spam.com/x", None), (3, "http://other.com/", None), (4, "http://www.other.com/", None)]
+    rules = (("block", "spam.com", "/de/"),)
+    got = {r["host"]: r["verdict"] for r in hosts.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert got == {"spam.com": "block", "www.spam.com": "block", "other.com": "allow", "www.other.com": "allow"}
