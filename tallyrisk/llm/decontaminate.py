@@ -23,6 +23,8 @@ from tallyrisk.llm.common import opened, query, ship, table
 
 # Words of a passage and of an indexed piece, BM25 settings, least share of an item's own score.
 PASSAGE_WORDS, PIECE_WORDS, K1, B, THRESHOLD = 128, 64, 1.2, 0.75, 0.6
+# Cells (passages by entries) that are bounded at once.
+CELLS = 1 << 22
 # Word runs compared when confirming, and the share of the question's and of the answer's runs that must be there.
 RUN_WORDS, LEAST_OVERLAP = 4, 0.6
 # Share of an entry's score, in its commonest terms, that is presumed before a passage is searched.
@@ -156,11 +158,17 @@ class BlockMaxIndex:
         passage, term, n = passage[n > 0], term[n > 0], n[n > 0]
         if not len(n):
             return n
-        take = np.repeat(self.e_start[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        cell, entries = np.repeat(passage, n) * len(self.spare) + self.e_entry[take], len(self.spare)
-        total = np.bincount(cell, self.e_share[take])
-        total += np.tile(self.spare, len(total) // entries + 1)[:len(total)]
-        return np.unique(np.flatnonzero(total >= THRESHOLD - 1e-9) // entries) * step
+        entries = len(self.spare)
+        rows, out = max(1, CELLS // entries), []
+        # Slices of passages, so that a long document takes no more than CELLS cells at once.
+        for low in range(0, int(passage[-1]) + 1, rows):
+            part = slice(*np.searchsorted(passage, [low, low + rows]))
+            m = n[part]
+            take = np.repeat(self.e_start[term[part]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            cell = np.repeat(passage[part] - low, m) * entries + self.e_entry[take]
+            total = np.bincount(cell, self.e_share[take], min(rows, int(passage[-1]) + 1 - low) * entries).reshape(-1, entries) + self.spare
+            out.append(np.flatnonzero((total >= THRESHOLD - 1e-9).any(axis=1)) + low)
+        return np.concatenate(out) * step
 
 
 class Benchmark:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from tallyrisk.llm import decontaminate
 from tallyrisk.llm.decontaminate import PASSAGE_WORDS, Benchmark, BlockMaxIndex, is_clean, leaks, parts, pieces, words
 
 
@@ -55,3 +58,15 @@ def test_leaks_and_odd_rows(spark, documents, prose):
     assert sorted(r[0] for r in clean) == [2, 4, 5, 7, 9]
     assert leaks(documents([]), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
     assert docs.filter(is_clean(docs, bench.limit(0))).count() == len(rows)
+
+
+def test_long_documents_are_bounded_in_slices(prose, monkeypatch):
+    entries = [prose(i, 12).encode().split() for i in range(50)]
+    index = BlockMaxIndex(entries)
+    text = " ".join([prose(900, 3000), *(prose(i, 12) + " " + prose(800 + i, 700) for i in range(8))]).encode().split()
+    numbers = np.array([index.number[w] for w in text])
+    whole = index.hopeful(numbers).tolist()
+    sizes, bincount = [], np.bincount
+    monkeypatch.setattr(decontaminate.np, "bincount", lambda *a: sizes.append(len(out := bincount(*a))) or out)
+    monkeypatch.setattr(decontaminate, "CELLS", 200, raising=False)
+    assert index.hopeful(numbers).tolist() == whole and len(whole) >= 8 and max(sizes) <= 200
