@@ -119,3 +119,16 @@ def opened(shipped):
     if not hasattr(shipped, "opened"):
         shipped.opened = pickle.loads(shipped.value)
     return shipped.opened
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it literally, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(taken: list[str], wanted: str) -> str:
+    """`wanted`, with underscores behind it until no column is called so in either case."""
+    folded = {t.lower() for t in taken}
+    while wanted.lower() in folded:
+        wanted += "_"
+    return wanted
