@@ -135,7 +135,7 @@ def _vote(good: Column | None, bad: Column | None) -> Column:
 
 def _gazetteer(kind: str, whole: Column) -> Column:
     if kind in ("email", "at_mail"):
-        return _vote(F.lower(F.regexp_extract(whole, "[A-Za-z0-9-]+$", 0)).isin(DOMAIN_ENDS), F.lower(whole).rlike("^(?:noreply|no-reply|info|support|admin|webmaster)[^a-z]"))
+        return _vote(F.lower(F.regexp_extract(whole, "(?<![A-Za-z0-9-])[A-Za-z0-9-]++$", 0)).isin(DOMAIN_ENDS), F.lower(whole).rlike("^(?:noreply|no-reply|info|support|admin|webmaster)[^a-z]"))
     if kind == "ip":
         return _vote(None, whole.rlike(r"^(?:0|10|127|255|192\.168|169\.254)\."))
     if kind == "card":
