@@ -47,11 +47,23 @@ def land(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def land_at(df: DataFrame, label: str) -> tuple[str, DataFrame]:
+    """As `land`, with the path, for a table that its writer discards itself."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.mode("errorifexists").parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one written table; frames over it become unreadable."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(spark: SparkSession, since: int = 0) -> int:
     """Delete the tables this application landed after the first `since`; frames over them become unreadable."""
     written = _WRITTEN.get(spark.sparkContext.applicationId, [])
     doomed, written[since:] = written[since:], []
     for path in doomed:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        discard(spark, path)
     return len(doomed)

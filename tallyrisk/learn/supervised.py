@@ -1,4 +1,4 @@
-"""Supervised models on MLlib under the three imbalance strategies, chosen on validation only."""
+"""Supervised models under the three imbalance strategies, chosen on validation only: MLlib's linear model and forest, own boosting."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ import time
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrisk.functions.scalars import sigmoid
 from tallyrisk.landing import land
+from tallyrisk.learn.boosting import PATIENCE, BoostedTrees, Boosting, Growth
 from tallyrisk.learn.resample import STRATEGIES, resample
 from tallyrisk.operators.curve import best_f1_threshold, pr_auc, score_curve
 from tallyrisk.operators.report import report_from_curve
@@ -22,28 +22,36 @@ from tallyrisk.operators.report import report_from_curve
 SETTINGS: dict[str, dict] = {
     "logreg": {"C": 0.1, "maxIter": 2000},
     "random_forest": {"numTrees": 300, "maxDepth": 12, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"},
-    "gbt_depth": {"maxIter": 600, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
-    "gbt_leafwise": {"maxIter": 600, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8,
-                     "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20},
+    "gbt_depth": {"maxIter": 600, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureShare": 0.8, "minCurvature": 1.0, "l2": 1.0},
+    "gbt_leafwise": {"maxIter": 600, "stepSize": 0.05, "numLeaves": 31, "subsamplingRate": 0.8, "featureShare": 0.8, "minInstancesPerNode": 20},
 }
 MODELS = tuple(SETTINGS)
-PATIENCE = 50
-_ROUNDS_PER_PASS = 25
 
 
 class Classifier:
-    """A fitted MLlib pipeline over `features`, its row of facts for reports, and for boosted ones the trees that count."""
+    """A fitted MLlib pipeline or boosted ensemble over `features`, and its row of facts for reports."""
 
-    def __init__(self, pipeline: PipelineModel, features: Sequence[str], rounds: int | None = None, **facts):
-        self.pipeline, self.features, self.rounds, self.facts = pipeline, list(features), rounds, facts
+    def __init__(self, fitted: PipelineModel | BoostedTrees, features: Sequence[str], **facts):
+        self.fitted, self.features, self.facts = fitted, list(features), facts
+
+    @property
+    def pipeline(self) -> PipelineModel:
+        if isinstance(self.fitted, BoostedTrees):
+            raise TypeError("a boosted model is no MLlib pipeline")
+        return self.fitted
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """`df` with the probability of the positive class."""
-        if self.rounds is None:
-            scored = self.pipeline.transform(df).withColumn(name, vector_to_array("probability")[1])
+        if isinstance(self.fitted, BoostedTrees):
+            return self.fitted.score(df, name)
+        return self.fitted.transform(df).withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Replace what is at `path` by the model: MLlib's own format, or Parquet tables of nodes and bins."""
+        if isinstance(self.fitted, BoostedTrees):
+            self.fitted.save(spark, path)
         else:
-            scored = _boosted_score(self, df, self.rounds, name)
-        return scored.select(*df.columns, name)
+            self.fitted.write().overwrite().save(path)
 
 
 def _assembler(features: Sequence[str], output: str = "_features") -> VectorAssembler:
@@ -51,8 +59,7 @@ def _assembler(features: Sequence[str], output: str = "_features") -> VectorAsse
 
 
 def make_pipeline(name: str, features: Sequence[str], label: str, seed: int, weight_sum: float, **overrides) -> Pipeline:
-    if name not in SETTINGS:
-        raise ValueError(f"model must be one of {MODELS}")
+    _known(name)
     s = {**SETTINGS[name], **overrides}
     common = {"labelCol": label, "weightCol": "weight"}
     if name == "logreg":
@@ -61,83 +68,36 @@ def make_pipeline(name: str, features: Sequence[str], label: str, seed: int, wei
         return Pipeline(stages=[_assembler(features, "_raw"),
                                 StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
                                 LogisticRegression(featuresCol="_features", regParam=reg, standardization=False, **common, **s)])
-    kind = RandomForestClassifier if name == "random_forest" else GBTClassifier
-    return Pipeline(stages=[_assembler(features), kind(featuresCol="_features", seed=seed, **common, **s)])
-
-
-def _tree_columns(trained: Classifier, df: DataFrame, first: int, last: int) -> DataFrame:
-    assembler, booster = trained.pipeline.stages
-    out = df if "_features" in df.columns else assembler.transform(df)
-    for i in range(first, last):
-        out = booster.trees[i].setFeaturesCol("_features").setPredictionCol(f"_tree_{i}").transform(out)
-    return out
-
+    return Pipeline(stages=[_assembler(features), RandomForestClassifier(featuresCol="_features", seed=seed, **common, **s)])
 
-def _boosted_score(trained: Classifier, df: DataFrame, rounds: int, name: str) -> DataFrame:
-    """Probability after the first `rounds` trees."""
-    booster = trained.pipeline.stages[1]
-    if rounds == booster.getNumTrees:
-        return trained.pipeline.transform(df).withColumn(name, vector_to_array("probability")[1])
-    weights = booster.treeWeights
-    margin = sum((F.col(f"_tree_{i}") * float(weights[i]) for i in range(rounds)), F.lit(0.0))
-    return _tree_columns(trained, df, 0, rounds).withColumn(name, sigmoid(margin * 2.0))
 
+def _known(name: str) -> None:
+    if name not in SETTINGS:
+        raise ValueError(f"model must be one of {MODELS}")
 
-def choose_round(trained: Classifier, val: DataFrame, label: str = "label", patience: int = PATIENCE,
-                 rounds_per_pass: int = _ROUNDS_PER_PASS) -> int:
-    """Number of trees with the best validation PR-AUC, stopping `patience` rounds after the best.
 
-    A pass scores up to `rounds_per_pass` prefixes of the ensemble in one job; the margin so far is
-    carried in a landed table between passes.
-    """
-    booster = trained.pipeline.stages[1]
-    weights, total = booster.treeWeights, booster.getNumTrees
-    margins = val.select(label, *trained.features).withColumn("_margin", F.lit(0.0))
-    best, best_round = -1.0, 0
-    for first in range(0, total, rounds_per_pass):
-        last = min(total, first + rounds_per_pass)
-        wide = _tree_columns(trained, margins, first, last)
-        so_far, named = F.col("_margin"), []
-        for i in range(first, last):
-            so_far = so_far + F.col(f"_tree_{i}") * float(weights[i])
-            named.append(sigmoid(so_far * 2.0).alias(f"r{i + 1}"))
-        held = land(wide.select(label, *trained.features, so_far.alias("_margin"), *named), "rounds")
-        names = [f"r{i + 1}" for i in range(first, last)]
-        long = held.unpivot([label], names, "round", "score")
-        found = {r["round"]: r["pr_auc"] for r in
-                 pr_auc(score_curve(long, "score", label, ["round"]), ["round"]).collect()}  # one row per round
-        for i, n in enumerate(names, first + 1):
-            if found[n] > best:
-                best, best_round = found[n], i
-        if last - best_round >= patience or last == total:
-            break
-        margins = held.select(label, *trained.features, "_margin")
-    return best_round
+def growth(name: str, **overrides) -> Growth:
+    """How the trees of a boosted model grow."""
+    s = {**SETTINGS[name], **overrides}
+    return Growth(s.get("numLeaves"), s.get("maxDepth"), s.get("minInstancesPerNode", 1), s.get("minCurvature", 1e-3), s.get("l2", 0.0),
+                  s["stepSize"], s.get("subsamplingRate", 1.0), s.get("featureShare", 1.0))
 
 
 def train(name: str, strategy: str, train_df: DataFrame, val_df: DataFrame, features: Sequence[str], label: str = "label",
           seed: int = 0, key: str = "seq", prepared: DataFrame | None = None, patience: int = PATIENCE, **overrides) -> Classifier:
-    """Fit one model under one strategy; boosted models keep the best round on validation."""
+    """Fit one model under one strategy; boosted models keep the best round on validation and stop `patience` rounds behind it."""
+    _known(name)
     rows = prepared if prepared is not None else land(resample(train_df, features, strategy, label, seed, key), "fit")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
     began = time.perf_counter()
-    settings = {**SETTINGS.get(name, {}), **overrides}
+    settings = {**SETTINGS[name], **overrides}
     facts = {"model": name, "strategy": strategy, "n_train_rows": size["n"], "best_iteration": None}
-    boosted = name.startswith("gbt")
-    rounds = min(patience, settings["maxIter"]) if boosted else None
-    while True:
-        # A longer ensemble begins with the same trees, so the number of rounds is doubled until the best is far enough back.
-        if boosted:
-            settings["maxIter"] = rounds
+    if name.startswith("gbt"):
+        boosting = Boosting(rows, val_df, features, growth(name, **overrides), label, key=key, seed=seed).run(settings["maxIter"], patience)
+        out = Classifier(boosting.close(), features, **facts)
+        out.facts["best_iteration"] = boosting.best_rounds - 1
+    else:
         out = Classifier(make_pipeline(name, features, label, seed, size["w"], **settings).fit(rows), features, **facts)
-        if not boosted:
-            break
-        out.rounds = choose_round(out, val_df, label, patience)
-        out.facts["best_iteration"] = out.rounds - 1
-        most = {**SETTINGS[name], **overrides}["maxIter"]
-        if rounds >= most or rounds - out.rounds >= patience:
-            break
-        rounds = min(most, 2 * rounds)
     out.facts["fit_seconds"] = round(time.perf_counter() - began, 2)
     return out
 
@@ -179,3 +139,10 @@ def batch_predict(trained: Classifier, df: DataFrame, path: str, key: str = "seq
     """Score a whole slice to Parquet and return what was written."""
     trained.score(df).select(key, "score").write.parquet(path)
     return df.sparkSession.read.schema(f"{key} long, score double").parquet(path)
+
+
+def range_predict(trained: Classifier, df: DataFrame, path: str, key: str = "seq", chunks: int = 8) -> DataFrame:
+    """Score a slice in ranges of ids, each range a file of its own, and return what was written."""
+    ranged = df.repartitionByRange(chunks, key)
+    trained.score(ranged).select(key, "score", F.spark_partition_id().alias("chunk")).write.partitionBy("chunk").parquet(path)
+    return df.sparkSession.read.schema(f"{key} long, score double, chunk int").parquet(path).select(key, "score")

@@ -32,9 +32,13 @@ def score_curve(df: DataFrame, score: str = "score", label: str = "label", by: S
     scored = df.select(*by, F.col(score).cast("double").alias("score"),
                        F.col(label).cast("long").alias("label"))
     scored = scored.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isNotNull())
-    distinct = (scored.groupBy(*by, "score")
-                .agg(F.sum("label").alias("pos"), (F.count(F.lit(1)) - F.sum("label")).alias("neg"))
-                .withColumn(GROUP, group_tag(by)))
+    return curve_of_counts(scored.groupBy(*by, "score").agg(
+        F.sum("label").alias("pos"), (F.count(F.lit(1)) - F.sum("label")).alias("neg")), by)
+
+
+def curve_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The curve of a table that holds each distinct score once, with its positives and negatives."""
+    distinct = counts.withColumn(GROUP, group_tag(by))
     totals = running_totals(distinct, GROUP, [F.col("score").desc()], ["pos", "neg"], ["score", "pos", "neg"])
     return totals.select(
         *by, GROUP, "score", "pos", "neg",

@@ -90,7 +90,7 @@ def stage_train(run: Run) -> DataFrame:
     saved = run.save("baselines", grid)
     chosen = run.save("best", P.model_select(saved)).first()
     best = fitted[chosen["model"], chosen["strategy"]]
-    best.pipeline.write().overwrite().save(f"{run.out}/best_model")
+    best.save(run.spark, f"{run.out}/best_model")
     best.score(table).select("seq", "split", "label", *run.features, "score").write.partitionBy("split").parquet(f"{run.out}/best_scores")
     return saved
 
@@ -190,7 +190,7 @@ def lifecycle(run: Run, registry: str, candidates: Sequence[tuple[str, str]] = C
     rows = C.pr_auc(on_val, ["run_idx"]).join(C.best_f1_threshold(on_val, ["run_idx"]), "run_idx")
     chosen = P.model_select(rows, "pr_auc").first()
     best = fits[chosen["run_idx"]]
-    best.pipeline.write().overwrite().save(f"{run.out}/model")
+    best.save(run.spark, f"{run.out}/model")
     report = run.save("test_report", R.full_report(best.score(test), threshold=chosen["threshold"]))
     measured = report.first()["pr_auc"]
     gate = Q.promotion_gate(Q.read_registry(run.spark, registry), measured, floor).first()
