@@ -20,6 +20,7 @@ from tallyrisk.plans.registry import query
 from tallyrisk.plans.sql_parts import EV, iso
 from tallyrisk.sources import events as E
 from tallyrisk.sources import sinks
+from tallyrisk.sources import topic_log as T_LOG
 from tallyrisk.streaming import score as SC
 from tallyrisk.streaming import windows as SW
 
@@ -127,6 +128,48 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{root}/out")
 
 
+def _topic_of_events(spark, sf_dir, root, part):
+    """Append the even or odd events to the topic, keyed by their id."""
+    half = W.events(spark, sf_dir).filter(F.pmod("event_id", F.lit(2)) == part)
+    lines = SW.event_encode(half, ["value"], "event_id", F.col("ts"), "label")
+    keyed = lines.select(F.get_json_object("value", "$.event_id").alias("key"), "value")
+    T_LOG.append_topic(keyed, f"{root}/transactions")
+
+
+@query("scan_stream_kafka", f"""WITH {EV} SELECT event_id, label, round(value, 6) AS feature, {iso('produced')} AS produced_at,
+  1 AS times_read, true AS within_limit FROM ev""")
+def _(spark, sf_dir):
+    """A partitioned log read in limited batches; half of it is appended between a stop and a restart from the checkpoint."""
+    root = fresh_path(spark, "topic")
+    most = []
+    for part in (0, 1):
+        _topic_of_events(spark, sf_dir, root, part)
+        lines = T_LOG.scan_topic(spark, f"{root}/transactions", max_offsets=E.MAX_OFFSETS_PER_TRIGGER, checkpoint=f"{root}/checkpoint")
+        events = E.parse_events(lines.select("value"), width=1)
+        out = events.select("event_id", "label", F.round(F.col("features")[0], 6).alias("feature"), "produced_at")
+        most += T_LOG.caught_up(sinks.sink_parquet(out, f"{root}/out", f"{root}/checkpoint", every="0 seconds"))
+    landed = spark.read.parquet(f"{root}/out")
+    return landed.groupBy("event_id", "label", "feature", "produced_at").agg(F.count(F.lit(1)).cast("int").alias("times_read")).withColumn(
+        "within_limit", F.lit(max(most, default=0) <= E.MAX_OFFSETS_PER_TRIGGER))
+
+
+@query("sink_alerts_kafka", f"""WITH {EV} SELECT CAST(event_id AS VARCHAR) AS key, event_id, round(score, 6) AS score, label,
+  {iso('produced')} AS produced_at FROM ev WHERE is_alert""")
+def _(spark, sf_dir):
+    """Alerts of a scored topic appended to a topic of their own, which is then read as a stream."""
+    root = fresh_path(spark, "alert-topic")
+    for part in (0, 1):
+        _topic_of_events(spark, sf_dir, root, part)
+    events = E.parse_events(T_LOG.scan_topic(spark, f"{root}/transactions").select("value"), width=1)
+    scored = SC.stream_score(events, W.event_score(F.col("features")[0]), W.EVENT_THRESHOLD)
+    T_LOG.caught_up(T_LOG.sink_topic(sinks.alert_messages(scored), f"{root}/alerts", f"{root}/alerts-checkpoint", "alerts"))
+    back = T_LOG.scan_topic(spark, f"{root}/alerts").select("key", "value")
+    T_LOG.caught_up(sinks.sink_parquet(back, f"{root}/out", f"{root}/checkpoint", every="0 seconds"))
+    body = F.from_json("value", "event_id long, score double, label int, produced_at timestamp, scored_at timestamp")
+    return spark.read.schema("key string, value string").parquet(f"{root}/out").select("key", body.alias("b")).select(
+        "key", "b.event_id", F.round("b.score", 6).alias("score"), "b.label", iso_millis(F.col("b.produced_at")).alias("produced_at"))
+
+
 @query("scan_stream_pubsub", f"""WITH {EV} SELECT event_id, {iso("date_trunc('minute', produced)")} AS event_minute FROM ev""")
 def _(spark, sf_dir):
     """The event time comes from an attribute beside the payload and carries the watermark."""
