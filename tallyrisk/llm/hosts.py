@@ -1,5 +1,4 @@
-"""URL filters by rules and, where no rule fits, by link-graph propagation over hosts; DataFrame expressions, and numpy for the
-rounds of a small graph.
+"""URL filters by rules and, where no rule fits, by link-graph propagation over hosts, in DataFrame expressions only.
 
 Trust spreads along links from hosts whose pages the rules mostly allow, distrust against the links from hosts whose pages
 they mostly block: two personalised PageRanks over the same host edges. A host whose distrust outweighs its trust, and is
@@ -15,8 +14,6 @@ from collections.abc import Sequence
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +28,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SEED_SHARE, DAMPING, ROUNDS, LEAST_CHANGE, OVER_TRUST, THRESHOLD, LEAST_LABELS = 0.5, 0.85, 200, 1e-5, 1.0, 0.25, 2
 # Hosts up to this number are broadcast to the pages; more are joined by shuffling.
 BROADCAST_HOSTS = 100_000
-# Graphs of up to this many edges and seeds take the same rounds on the driver.
-DRIVER_ROWS = 20_000
+# Rounds between two looks at how far ranks have moved.
+LOOK = 4
 
 _HREF = r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -75,60 +72,35 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return linked.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def _rank_on_driver(steps: pd.DataFrame, seeds: pd.DataFrame, least: float) -> pd.DataFrame:
-    """The rounds of `personalised_rank` in numpy."""
-    names = [list(zip(f["kind"], f[c])) for f, c in ((steps, "host"), (steps, "dst"), (seeds, "host"))]
-    number = {place: i for i, place in enumerate(dict.fromkeys(names[0] + names[1] + names[2]))}
-    places = list(number)
-    src, dst, of = (np.array([number[x] for x in n], np.int64) for n in names)
-    kind = np.array([k for k, _ in places])
-    seed = np.bincount(of, seeds["share"].to_numpy(np.float64), len(places)).astype(np.float64)
-    share = steps["share"].to_numpy(np.float64)
-    rank = seed
-    for _ in range(ROUNDS):
-        new = np.bincount(dst, rank[src] * share * DAMPING, len(places)).astype(np.float64)
-        for k in np.unique(kind):
-            new[kind == k] += (1.0 - new[kind == k].sum()) * seed[kind == k]
-        done, rank = np.abs(new - rank).max(initial=0.0) < least, new
-        if done:
-            break
-    return pd.DataFrame({"kind": kind, "host": [h for _, h in places], "rank": rank})
-
-
 def personalised_rank(edges: DataFrame, seeds: DataFrame, hosts: int | None = None) -> DataFrame:
     """(kind, host, rank) for edges (kind, src, dst, weight) and seeds (kind, host, share); ranks of a kind sum to 1.
 
-    Rank that has no edge to leave by goes back to the seeds. Every round is one join and one aggregation with partial sums,
-    written before the next; it ends when no rank changes by LEAST_CHANGE of an even share over `hosts` (those of the edges and
-    seeds, if not given).
+    Rank that has no edge to leave by goes back to the seeds, which only scales all ranks of its kind: so a round adds the seeds'
+    shares to what moves along the edges, and the sum is divided out at the end. Every round is one join and one aggregation with
+    partial sums, written before the next, so that both sides of a join are plain tables whose hot hosts Spark can split. It ends
+    when no rank has moved by LEAST_CHANGE of an even share over `hosts` (those of the edges and seeds, if not given) in LOOK
+    rounds; a graph that has not come to rest after ROUNDS is refused.
     """
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    out = land(edges.groupBy("kind", "src").agg(F.sum("weight").alias("total")), "rank-totals")
     steps = land(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-edges")
     seeds = land(seeds, "rank-seeds")
-    ranks = seeds.select("kind", "host", F.col("share").alias("rank"))
     if hosts is None:
         hosts = steps.select("host").unionByName(steps.select(F.col("dst").alias("host"))).unionByName(seeds.select("host")).distinct().count()
-    least = LEAST_CHANGE / max(1, hosts)
-    if steps.count() + seeds.count() <= DRIVER_ROWS:
-        small = _rank_on_driver(steps.toPandas(), seeds.toPandas(), least)
-        return steps.sparkSession.createDataFrame(list(small.itertuples(index=False, name=None)), "kind string, host string, rank double")
-    leaving = land(out.select("kind", F.col("src").alias("host")), "rank-leaving")
-    sent = {r["kind"]: r["sent"] for r in ranks.join(leaving, ["kind", "host"]).groupBy("kind").agg(F.sum("rank").alias("sent")).collect()}
-    for _ in range(ROUNDS):
+    given = seeds.select("kind", "host", F.col("share").alias("part"))
+    ranks = before = given.withColumnRenamed("part", "rank")
+    for turn in range(1, ROUNDS + 1):
         moved = ranks.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("part"))
-        back = reduce(lambda rest, k: F.when(F.col("kind") == k, F.lit(1.0 - DAMPING * sent[k])).otherwise(rest), sorted(sent), F.lit(1.0))
-        given = seeds.select("kind", "host", (F.col("share") * back).alias("part"))
-        new = land(moved.unionByName(given).groupBy("kind", "host").agg(F.sum("part").alias("rank")), "rank-round")
-        both = reduce(DataFrame.unionByName, [
-            new.select("kind", "host", "rank", F.lit(0.0).alias("before"), F.lit(False).alias("leaves")),
-            ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"), F.lit(False).alias("leaves")),
-            leaving.select("kind", "host", F.lit(0.0).alias("rank"), F.lit(0.0).alias("before"), F.lit(True).alias("leaves"))])
-        told = (both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"), F.max("leaves").alias("leaves")).groupBy("kind")
-                .agg(F.max(F.abs(F.col("rank") - F.col("before"))).alias("change"), F.sum(F.when(F.col("leaves"), F.col("rank")).otherwise(0.0)).alias("sent")).collect())
-        ranks, sent = new, {r["kind"]: r["sent"] for r in told}
-        if max((r["change"] for r in told), default=0.0) < least:
-            break
-    return ranks
+        ranks = land(moved.unionByName(given).groupBy("kind", "host").agg(F.sum("part").alias("rank")), "rank-round")
+        if turn % LOOK == 1:
+            both = ranks.select("kind", "host", "rank").unionByName(before.select("kind", "host", (-F.col("rank")).alias("rank")))
+            change = both.groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("change")).agg(F.max("change")).first()[0]
+            if (change or 0.0) < LEAST_CHANGE / max(1, hosts):
+                break
+            before = ranks
+    else:
+        raise RuntimeError(f"ranks still move after {ROUNDS} rounds")
+    sums = land(ranks.groupBy("kind").agg(F.sum("rank").alias("sum")), "rank-sums")  # a row a kind
+    return ranks.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("sum")).alias("rank"))
 
 
 def host_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrisk.landing import land
-from tallyrisk.llm.common import query, table
+from tallyrisk.llm.common import free_name, query, quoted, table
 
 # Fixed values of the contract: weights by source in code point order, repeating; share of all words; copies at most.
 WEIGHTS, TOTAL_PERCENT, MOST_COPIES = (5, 2, 1), 150, 2
@@ -77,15 +77,16 @@ def _end_cells(cells: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
-    """The rows of `docs` with mix_size, mix_source_size, mix_target and mix_copies (0 to MOST_COPIES) added.
+    """The rows of `docs` with mix_size, mix_source_size, mix_target and mix_copies (0 to MOST_COPIES) added (see `added_names`).
 
     A NULL source is one source, the last. A NULL or empty text has size 0; it may be copied, which takes no words. Rows equal
     in id and text are tied and taken together or not at all; rows without words of their source give it target 0. A NULL or
     negative weight counts as 0. Other columns, whatever their names, stay as they are.
     """
-    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    rows = land(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-                            weight.alias("weight"), unit(F.col(id_col), F.col(text_col)).alias("u")), "mix-rows")
+    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(quoted(weight_col)).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rows = land(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"),
+                            word_count(F.col(quoted(text_col))).alias("size"), weight.alias("weight"),
+                            unit(F.col(quoted(id_col)), F.col(quoted(text_col))).alias("u")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("source_weighted"))
     plan = targets(sizes.select("source", "source_size"))
     plan = land(plan.join(sizes.withColumnsRenamed({"source": "plan_source"}).select("plan_source", "source_weighted"), F.expr("source <=> plan_source"))
@@ -125,18 +126,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return _decided(docs, ending, id_col, text_col, source_col, weight)
 
 
+def added_names(docs: DataFrame) -> list[str]:
+    """What `mixed` calls its columns of size, source size, target and copies; underscores follow where `docs` has such a name."""
+    return [free_name(docs.columns, n) for n in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
+
+
 def _decided(docs: DataFrame, ending: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column) -> DataFrame:
-    kept = docs.columns
-    facts = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-                     weight.alias("weight"), unit(F.col(id_col), F.col(text_col)).alias("u"))
-    held = docs.select(F.struct(*kept).alias("row"), facts.alias("facts")).select("row", "facts.*")
+    text = F.col(quoted(text_col))
+    facts = F.struct(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"), word_count(text).alias("size"),
+                     weight.alias("weight"), unit(F.col(quoted(id_col)), text).alias("u"))
+    held = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), facts.alias("facts")).select("row", "facts.*")
     cell = F.floor(F.col("v") * BUCKETS)
     within = F.floor((F.col("v") * BUCKETS - cell) * BUCKETS)
     taken = F.coalesce((cell < F.col("cells")) | ((cell == F.col("cells")) & (within < F.col("parts")))
                        | (F.struct("v", "id", "size") <= F.col("cut")), F.lit(False)) & (F.col("p") > 0)
+    size, source_size, target, copies = added_names(docs)
     return _with_order(held, ending).select(
-        "row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
-        (F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long")).alias("mix_copies"))
+        "row.*", F.col("size").alias(size), F.col("source_size").alias(source_size), F.col("target").alias(target),
+        (F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long")).alias(copies))
 
 
 @query("op2_pareto_mix", sql=r"""

@@ -212,11 +212,12 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) ->
 
 def _with_hubs(dense: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's most linked class and those of its classes that are in other components."""
-    degree = links.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count("*").alias("degree"))
+    degree = land(links.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count("*").alias("degree")), "neardup-degrees")
     members = (dense.select("bucket", "cid").join(roots, "cid", "left").join(degree, "cid", "left")
                .withColumn("root", F.coalesce("root", "cid")).withColumn("degree", F.coalesce("degree", F.lit(0))))
     hubs = (members.groupBy("bucket").agg(F.max(F.struct("degree", "cid", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
             .filter("low < high").select("bucket", F.col("hub.cid").alias("hub"), F.col("hub.root").alias("hub_root")))
+    hubs = land(hubs, "neardup-hubs")
     return (members.join(hubs, "bucket").filter("root <> hub_root")
             .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct())
 
@@ -361,12 +362,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, id_col: str = "
         roots = components(links, "neardup-components").select(F.col("node").alias("cid"), "root")
 
     grouped = land(classes.select("cid", "key", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "neardup-groups")
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_key = grouped.join(smallest, "root").select("key", "root", "component_id")
-    told = rows.select("id", "row_key", "key", "n").join(of_key, "key", "left").withColumn(
-        "component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    winners = (told.filter("key is not null and id <=> component_id").groupBy("root")
-               .agg(F.min("row_key").alias("winner")))
+    # What joins a group's many rows is written first: with a plain table on both sides Spark can split a group.
+    smallest = land(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "neardup-smallest")
+    of_key = land(grouped.join(smallest, "root").select("key", "root", "component_id"), "neardup-keys")
+    told = land(rows.select("id", "row_key", "key", "n").join(of_key, "key", "left").withColumn(
+        "component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))), "neardup-told")
+    winners = land(told.filter("key is not null and id <=> component_id").groupBy("root")
+                   .agg(F.min("row_key").alias("winner")), "neardup-winners")
     return told.join(winners, "root", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.expr("id <=> component_id").alias("kept"),
         "row_key", F.expr("key is null or row_key <=> winner").alias("stays"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrisk.landing import land
-from tallyrisk.llm.common import query, table
+from tallyrisk.llm.common import free_name, query, quoted, table
 from tallyrisk.llm.trigrams import trigram_query
 
 
@@ -56,8 +56,8 @@ def _queries() -> tuple[list[str], list[list[frozenset[str]]]]:
 def postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(gram, digest) of the needed trigrams of every distinct text: gram is the trigram's place in the sorted list."""
     grams, _ = _queries()
-    folded = docs.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"),
-                         F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("digest"))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    folded = docs.select(F.lower(text).alias("low"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
     return folded.select(F.explode(held).alias("gram"), "digest").distinct()
 
@@ -109,22 +109,28 @@ def _told(spans: Column) -> Column:
 
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with secret_spans added: (start, kind, end) of every secret, kind being the place in RULES.
+    """The rows of `docs` with secret_spans added (see `spans_name`): (start, kind, end) of every secret, kind being the place in RULES.
 
-    A NULL text is empty and holds none. Repeated rows are scanned as they come; an empty table gives an empty one.
+    Other columns stay as they are, whatever their names. A NULL text is empty and holds none. Repeated rows are scanned as they come; an empty table gives an empty one.
     """
     _, queries = _queries()
-    index = land(postings(docs, text_col), "secret-postings")
-    kept = docs.columns
-    held = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    held = held.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    tried = held.join(candidates(index), "digest", "left")
+    text, digest, rules = (free_name(docs.columns, n) for n in ("secret_text", "secret_digest", "secret_rules"))
+    # Written first, so that both sides of the join are plain tables and Spark can split the copies of one text.
+    found = land(candidates(land(postings(docs, text_col), "secret-postings")), "secret-candidates")
+    held = docs.withColumn(text, F.coalesce(F.col(quoted(text_col)), F.lit("")))
+    held = held.withColumn(digest, F.unhex(F.md5(F.col(text).cast("binary"))))
+    tried = held.join(found.withColumnsRenamed({"digest": digest, "rules": rules}), digest, "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans = []
     for order, rule in enumerate(RULES):
-        wanted = F.col("rules").bitwiseAND(1 << order) > 0 if queries[order] else F.col("text").rlike(_short_test(rule))
-        spans.append(F.when(wanted, _spans(F.col("text"), rule, order)).otherwise(none))
-    return tried.select("row.*", F.concat(*spans).alias("secret_spans"))
+        wanted = F.col(rules).bitwiseAND(1 << order) > 0 if queries[order] else F.col(text).rlike(_short_test(rule))
+        spans.append(F.when(wanted, _spans(F.col(text), rule, order)).otherwise(none))
+    return tried.withColumn(spans_name(docs), F.concat(*spans)).drop(text, digest, rules)
+
+
+def spans_name(docs: DataFrame) -> str:
+    """What `scanned` calls its column: secret_spans, with underscores behind it where `docs` has one of that name."""
+    return free_name(docs.columns, "secret_spans")
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", mark: str = "[secret]") -> DataFrame:
@@ -132,21 +138,21 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
 
     `length_col`, where there is one, follows the new text. A NULL text stays NULL.
     """
-    found = scanned(docs, text_col)
-    text = found[text_col]
+    spans, found = spans_name(docs), scanned(docs, text_col)
+    text = found[quoted(text_col)]  # a bare name would mean the new text in the columns after it
 
     def step(state: Column, span: Column) -> Column:
         further = span["end"] > state["at"]
         gap = F.when(span["start"] >= state["at"], F.concat(text.substr(state["at"] + 1, span["start"] - state["at"]), F.lit(mark))).otherwise("")
         return F.struct(F.when(further, span["end"]).otherwise(state["at"]).alias("at"), F.concat(state["out"], gap).alias("out"))
 
-    cut = F.aggregate(F.array_sort("secret_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+    cut = F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                       lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-    changed = F.size("secret_spans") > 0
+    changed = F.size(spans) > 0
     new = {text_col: F.when(changed, cut).otherwise(text)}
     if length_col in docs.columns:
-        new[length_col] = F.when(changed, F.length(cut).cast(docs.schema[length_col].dataType)).otherwise(found[length_col])
-    return found.select(*[new[c].alias(c) if c in new else found[c] for c in docs.columns])
+        new[length_col] = F.when(changed, F.length(cut).cast(docs.schema[length_col].dataType)).otherwise(found[quoted(length_col)])
+    return found.select(*[new[c].alias(c) if c in new else found[quoted(c)] for c in docs.columns])
 
 
 def _oracle() -> str:

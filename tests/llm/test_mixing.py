@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyrisk.llm.mixing import BUCKETS, mixed, targets
 
@@ -86,3 +87,12 @@ def test_own_weights_change_chances(documents, prose):
     got = mixed(docs, weight_col="w").collect()
     low, high = (sum(r["mix_copies"] for r in got if (r["doc_id"] < 100) is h) for h in (False, True))
     assert high > 3 * low and max(r["mix_copies"] for r in got) <= 2
+
+
+def test_names_of_other_columns_do_not_matter(documents):
+    rows = [(i, "a b c " * (i % 5), f"src{i % 3}") for i in range(40)]
+    named = documents(rows).withColumns({n: F.lit(i) for i, n in enumerate(["mix_size", "MIX_COPIES", "copies", "a.b", "row", "u", "end_left"])})
+    out = mixed(named)
+    assert out.columns == [*named.columns, "mix_size_", "mix_source_size", "mix_target", "mix_copies_"] and out.count() == 40
+    plain = {r["doc_id"]: r["mix_copies"] for r in mixed(documents(rows)).collect()}
+    assert {r["doc_id"]: r["mix_copies_"] for r in out.collect()} == plain

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyrisk.llm import decontaminate, neardup
@@ -58,3 +59,12 @@ def test_odd_rows(spark, documents, prose):
 @pytest.mark.parametrize("key", ["doc_id", "item_id"])
 def test_leaks_carry_ids(spark, key):
     assert dict(decontaminate.leaks(table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")).dtypes)[key] == "bigint"
+
+
+def test_stages_keep_columns_of_any_name(spark, documents, prose):
+    rows = [(i, prose(i, 30) + (' token = "abcdef1"' if i % 3 == 0 else "")) for i in range(30)]
+    docs = documents(rows).withColumns({n: F.lit(i) for i, n in enumerate(["copies", "mix_copies", "secret_spans", "a.b", "row_key", "held"])})
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.secret_scans):
+        assert stage(spark, docs, "").columns == docs.columns and stage(spark, docs, "").count() == 30
+    mixed = corpus_pipeline.mixing_sources(spark, docs, "")
+    assert mixed.columns == [*docs.columns, "copies_"] and 0 < mixed.count() <= 30

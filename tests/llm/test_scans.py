@@ -101,7 +101,32 @@ def test_hosts_and_rules(spark):
     assert hosts.judged(pages.limit(0)).count() == 0
 
 
-def test_rank_equals_plain_iteration(spark):
+def test_names_of_other_columns_do_not_matter(documents):
+    rows = [(1, 'x token = "abcdef1" y'), (2, None), (3, "plain"), (1, 'x token = "abcdef1" y')]
+    named = documents(rows).withColumns({n: F.lit(i) for i, n in enumerate(["secret_spans", "Secret_Text", "secret_digest", "secret_rules", "a.b", "digest"])})
+    found = secrets.scanned(named)
+    assert found.columns == [*named.columns, "secret_spans_"] and sorted(len(r["secret_spans_"]) for r in found.collect()) == [0, 0, 1, 1]
+    cut = secrets.redacted(named)
+    assert cut.columns == named.columns and sorted(str(r["text"]) for r in cut.collect()) == ["None", "plain", 'x [secret]" y', 'x [secret]" y']
+    dotted = documents(rows).withColumnRenamed("text", "the.text")
+    assert secrets.redacted(dotted, "the.text").columns == dotted.columns
+
+
+def test_half_of_all_rows_with_one_text(documents):
+    rows = [(i, 'token = "abcdef1"' if i % 2 else f"{i} plain") for i in range(400)]
+    assert sorted(r["doc_id"] for r in secrets.scanned(documents(rows)).filter("size(secret_spans) > 0").collect()) == list(range(1, 400, 2))
+
+
+def test_ranks_that_do_not_rest_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(hosts, "ROUNDS", 3)
+    edges = spark.createDataFrame([("trust", "a", "b", 1.0), ("trust", "b", "a", 1.0)], "kind string, src string, dst string, weight double")
+    with pytest.raises(RuntimeError):
+        hosts.personalised_rank(edges, spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, share double"))
+
+
+def test_rank_equals_plain_iteration(spark, monkeypatch):
+    """Two kinds at once, with hosts that nothing leaves, in Spark's rounds."""
+    monkeypatch.setattr(hosts, "LEAST_CHANGE", 1e-4)
     rng = np.random.default_rng(3)
     edges = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 4, 40)) if a != b and a != 11}
     seeds = {0: 0.75, 11: 0.25}
@@ -116,7 +141,7 @@ def test_rank_equals_plain_iteration(spark):
         m[a, b] = w
     out = m.sum(1, keepdims=True)
     r = s.copy()
-    for _ in range(hosts.ROUNDS):
+    for _ in range(200):
         moved = hosts.DAMPING * (r @ np.divide(m, out, where=out > 0, out=np.zeros_like(m)))
         r = moved + (1 - moved.sum()) * s
     assert sum(got.values()) == pytest.approx(1) and all(got.get(f"h{i}", 0) == pytest.approx(r[i], abs=1e-5) for i in range(12))
