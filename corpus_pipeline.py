@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyrisk.landing import land
 from tallyrisk.llm import decontaminate, mixing, neardup, quality, secrets
-from tallyrisk.llm.common import table, with_small_batches
+from tallyrisk.llm.common import free_name, quoted, table, with_small_batches
 from tallyrisk.session import prepare
 
 # Classifiers, sketches and BM25 scores have no SQL; the tests compare stages and whole runs with plain versions.
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with_small_batches(spark)
     told = neardup.near_duplicates(docs)
     row_key = neardup.row_digest(docs["doc_id"], docs["text"])
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("held"), row_key.alias("row_key"))
+    held = docs.select(F.struct(*map(quoted, docs.columns)).alias("held"), row_key.alias("row_key"))
     kept = held.join(told.filter("stays").select("row_key").distinct(), "row_key", "left_semi")
     once = Window.partitionBy("row_key").orderBy(F.lit(1))
     return kept.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("held.*")
@@ -48,9 +48,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the number of their copies."""
-    mixed = mixing.mixed(docs)
-    return mixed.filter("mix_copies > 0").select(*docs.columns, F.col("mix_copies").alias("copies"))
+    """Documents that the mix takes, with the number of their copies in `copies` (with underscores behind it where there is one)."""
+    taken = F.col(mixing.added_names(docs)[-1])
+    return mixing.mixed(docs).filter(taken > 0).select(*map(quoted, docs.columns), taken.alias(free_name(docs.columns, "copies")))
 
 
 STAGES = [("quality classifier", quality_classifier), ("MinHash near-dedup", near_duplicates),
