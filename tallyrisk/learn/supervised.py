@@ -53,6 +53,12 @@ class Classifier:
         else:
             self.fitted.write().overwrite().save(path)
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, features: Sequence[str], **facts) -> Classifier:
+        """What `save` wrote; the facts name the model."""
+        boosted = str(facts["model"]).startswith("gbt")
+        return cls(BoostedTrees.load(spark, path) if boosted else PipelineModel.load(path), features, **facts)
+
 
 def _assembler(features: Sequence[str], output: str = "_features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=output)

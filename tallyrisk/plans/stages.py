@@ -13,7 +13,6 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,9 +95,7 @@ def stage_train(run: Run) -> DataFrame:
 
 
 def load_best(run: Run) -> SU.Classifier:
-    facts = run.best()
-    last = facts.get("best_iteration")
-    return SU.Classifier(PipelineModel.load(f"{run.out}/best_model"), run.features, None if last is None else last + 1, **facts)
+    return SU.Classifier.load(run.spark, f"{run.out}/best_model", run.features, **run.best())
 
 
 def stage_evaluate(run: Run) -> dict[str, DataFrame]:

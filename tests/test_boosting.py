@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyrisk.learn import boosting as B
 from tallyrisk.learn import supervised as SU
-from tallyrisk.learn.boosting import BoostedTrees, Boosting, Growth
+from tallyrisk.learn.boosting import Boosting, Growth
 
 NAMES = ["a", "b", "c"]
 
@@ -103,7 +103,7 @@ def test_saved_models_score_alike(spark, tmp_path):
     for name, settings in (("gbt_leafwise", {"numLeaves": 5}), ("gbt_depth", {"maxDepth": 2})):
         t = SU.train(name, "weights", frame, frame, NAMES, maxIter=2, **settings)
         t.save(spark, str(tmp_path / name))
-        back = BoostedTrees.load(spark, str(tmp_path / name))
+        back = SU.Classifier.load(spark, str(tmp_path / name), NAMES, **t.facts).fitted
         values = [data[c].to_numpy() for c in NAMES]
         assert np.array_equal(back.margins(values), t.fitted.margins(values)) and back.features == NAMES
 
