@@ -92,9 +92,14 @@ def drawn(key: np.ndarray, seed: int, turn: int, share: float) -> np.ndarray:
     return np.flatnonzero((h >> np.uint64(11)).astype(float) / float(1 << 53) < share)
 
 
+def chance(margin: np.ndarray) -> np.ndarray:
+    """Probability of a margin; beyond 40 either way it no longer changes."""
+    return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+
+
 def gradients(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slope and curvature of the log loss in whole multiples of 1 / UNIT, as doubles."""
-    p = 1 / (1 + np.exp(-margin))
+    p = chance(margin)
     return np.rint(weight * (p - label) * UNIT), np.rint(weight * p * (1 - p) * UNIT)
 
 
@@ -428,7 +433,7 @@ class BoostedTrees:
 
             if not hasattr(model, "opened"):
                 model.opened = pickle.loads(model.value)
-            return pd.Series(1 / (1 + np.exp(-model.opened.margins([c.to_numpy(float) for c in columns]))))
+            return pd.Series(chance(model.opened.margins([c.to_numpy(float) for c in columns])))
 
         return df.withColumn(name, _by_value(probability)(*[F.col(c).cast("double") for c in self.features]))
 
