@@ -21,6 +21,7 @@ from tallyrisk.llm.common import query, table
 
 # Neighbours, pruning factor, rows of a leaf, and values (rows x length) of a shard and of a block of queries.
 NEIGHBOURS, FACTOR, LEAF, SHARD_VALUES, BLOCK_VALUES = 20, 0.8, 256, 1 << 20, 1 << 17
+MOST_TASKS = 20_000  # of one search; a task may hold several pairs of a shard and a block, one after another
 
 
 class VantageTree:
@@ -109,55 +110,65 @@ class VantageTree:
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector, length), one row per id: no NULL, empty, zero or non-finite vectors; a repeated id keeps its largest."""
+    """(id, vector, length, row): no rows with a NULL id or a NULL, empty, zero or non-finite vector; `row` numbers them."""
     vector = F.col(vector_col).cast("array<double>")
     fine = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     return (vectors.filter(F.col(id_col).isNotNull() & fine & F.exists(vector, lambda x: x != 0))
             .select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-            .groupBy("id").agg(F.max("vector").alias("vector")).withColumn("length", F.size("vector")))
+            .withColumn("length", F.size("vector")).withColumn("row", F.monotonically_increasing_id()))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, factor: float = FACTOR, id_col: str = "vec_id",
             vector_col: str = "embedding", shard_values: int = SHARD_VALUES, block_values: int = BLOCK_VALUES) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest of all other rows, by largest inner product.
+    """(query_id, rank, vec_id, score, query_row): each query's k nearest of all other rows, by largest inner product.
 
     `is_query` tells from the id column `id` which rows are queries. Every block of queries meets every shard of its vector
     length, so that a task holds one shard and one block whatever the table's size. Vectors of other lengths are not compared.
     An empty table, or one without queries, gives no rows.
+
+    Rows that share an id are rows of their own: each is found, so that a list may name an id more than once, and each that is
+    a query gets a list of its own, told apart by `query_row`. A query is not answered with rows of its own id.
     """
     usable = land(_usable(vectors, id_col, vector_col), "vectors")
     sizes = usable.groupBy("length").agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("n_queries"))
     plan = sizes.select("length", F.ceil(F.col("n") * F.col("length") / F.lit(shard_values)).cast("int").alias("shards"),
                         F.greatest(F.lit(1), F.ceil(F.col("n_queries") * F.col("length") / F.lit(block_values)).cast("int")).alias("blocks"))
     planned = usable.join(plan, "length")
+    pairs = plan.agg(F.sum(F.col("shards").cast("long") * F.col("blocks"))).first()[0]
 
     def every(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    members = (planned.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.col("shards")).cast("int"))
-               .withColumn("block", every("blocks")).select("length", "shard", "block", "id", "vector"))
-    asked = (planned.filter(is_query).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
-             .withColumn("shard", every("shards")).select("length", "shard", "block", "id", "vector"))
+    members = (planned.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shards")).cast("int"))
+               .withColumn("block", every("blocks")).select("length", "shard", "block", "id", "row", "vector"))
+    asked = (planned.filter(is_query).withColumn("block", F.pmod(F.xxhash64("row", F.lit(2)), F.col("blocks")).cast("int"))
+             .withColumn("shard", every("shards")).select("length", "shard", "block", "id", "row", "vector"))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         shard, block = rows[~rows["asked"]], rows[rows["asked"]]
         if not len(shard) or not len(block):
-            return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
-        shard = shard.sort_values("id")
+            return pd.DataFrame({"query_id": np.zeros(0, "int64"), "query_row": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"),
+                                 "score": np.zeros(0)})
+        shard = shard.sort_values(["id", "row"])
         tree = VantageTree(shard["id"].to_numpy(np.int64), np.stack(shard["vector"].to_list()).astype(np.float64))
         own = block["id"].to_numpy(np.int64)
         ids, scores = tree.search(own, np.stack(block["vector"].to_list()).astype(np.float64), k, factor)
         found = ids >= 0
-        return pd.DataFrame({"query_id": np.repeat(own, found.sum(1)), "vec_id": ids[found], "score": scores[found]})
+        each = found.sum(1)
+        return pd.DataFrame({"query_id": np.repeat(own, each), "query_row": np.repeat(block["row"].to_numpy(np.int64), each),
+                             "vec_id": ids[found], "score": scores[found]})
 
     keys = ["length", "shard", "block"]
     together = members.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
-    found = together.groupBy(*keys).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Pairs of a shard and a block are few bytes and much work, so they are spread by number and not merged by size.
+    spread = together.repartition(min(max(pairs or 0, 1), MOST_TASKS), *keys)
+    found = spread.groupBy(*keys).applyInPandas(search, "query_id long, query_row long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score", "query_row"))
 
 
 @query("op4_vantage_trees")
 def op4(spark, sf_dir):
-    """query_id, rank, vec_id, score of the 20 nearest found of every vector whose id is divisible by 20."""
+    """query_id, rank, vec_id, score, query_row of the 20 nearest found of every vector whose id is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
