@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from tallyrisk.landing import land
 from tallyrisk.llm.common import fit_logistic, is_held_out, labelled_sample, logistic_score, opened, query, ship, table
 
-# Labelled rows learnt from, dictionary bytes that both classes share and bytes of a class's own.
-FIT_ROWS, SHARED_BYTES, OWN_BYTES = 16000, 4000, 800
-# A class's own segment: at least so many of its documents, so much more frequent than in the other class.
-LEAST_DOCS, LEAST_RATIO, PIECE_BYTES = 4, 3.0, 6
+# Labelled rows learnt from, and dictionary bytes that both classes share.
+FIT_ROWS, SHARED_BYTES = 16000, 4000
+# A class's own segment, of which its dictionary holds all: they are as many as FIT_ROWS documents can give: at least so many of its documents, so much more frequent than in the other class.
+LEAST_DOCS, LEAST_RATIO, LEAST_EVIDENCE, PIECE_BYTES = 4, 3.0, 12.0, 6
 WINDOW_WORDS, LEVEL = 1, 6
 PREDICT_AT = 0.3
 
@@ -63,9 +63,9 @@ class WindowCoder:
 
     @staticmethod
     def _coder(parts: list[bytes]) -> zstandard.ZstdCompressor:
-        settings = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, window_log=16, write_content_size=False, write_checksum=False, write_dict_id=False)
         content = b" " + b" ".join([*parts, _TAIL]) + b" "
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            LEVEL, window_log=max(16, (len(content) + 256).bit_length()), write_content_size=False, write_checksum=False, write_dict_id=False)
         dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         dictionary.precompute_compress(compression_params=settings)
         return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
@@ -122,7 +122,7 @@ def _packed(ranked: list[bytes], size: int) -> list[bytes]:
     out, used = [], 0
     for segment in ranked:
         if used + len(segment) + 1 > size:
-            break
+            continue
         out.append(bytes(segment))
         used += len(segment) + 1
     return out[::-1]
@@ -157,13 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: Call
 
     def typical(own: str, other: str, n_own: int, n_other: int) -> list[bytes]:
         ratio = ((F.col(own) + 0.5) / (n_own + 1.0)) / ((F.col(other) + 0.5) / (n_other + 1.0))
-        ranked = (counted.filter((F.col(own) >= LEAST_DOCS) & (ratio >= LEAST_RATIO))
-                  .orderBy(-(F.col(own) * F.log(ratio)), "segment").limit(OWN_BYTES // 5))
-        return [r["segment"] for r in ranked.collect()]
+        evidence = F.col(own) * F.log(ratio)
+        ranked = (counted.filter((F.col(own) >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (evidence >= LEAST_EVIDENCE))
+                  .orderBy(-evidence, "segment"))
+        return [bytes(r["segment"]) for r in ranked.collect()][::-1]
 
     shared = [r["segment"] for r in counted.filter("whole").orderBy(F.col("c0").desc(), "segment").limit(SHARED_BYTES // 5).collect()]
-    coder = WindowCoder(_packed(shared, SHARED_BYTES), _packed(typical("c1", "c0", n1, n0), OWN_BYTES),
-                        _packed(typical("c0", "c1", n0, n1), OWN_BYTES))
+    coder = WindowCoder(_packed(shared, SHARED_BYTES), typical("c1", "c0", n1, n0), typical("c0", "c1", n0, n1))
     told = ship(spark, coder)
 
     def cell_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
