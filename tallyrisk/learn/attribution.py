@@ -1,14 +1,15 @@
-"""Mean absolute contribution per feature on a seeded sample."""
+"""Mean absolute contribution per feature on a seeded sample: exact for linear models and trees, sampled walks for any other scorer."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrisk.landing import land
+from tallyrisk.learn.boosting import BoostedTrees
+from tallyrisk.learn.shapley import boosted_leaves, contributions, forest_leaves
 from tallyrisk.learn.supervised import Classifier
 from tallyrisk.operators.split import random_sample_fixed, top_k
 
@@ -60,12 +61,36 @@ def sampled_attribution(score: Callable[[DataFrame], DataFrame], sample: DataFra
         F.get(names, F.col("index")).alias("feature"), "mean_abs_contribution")
 
 
+def tree_contributions(trained: Classifier, df: DataFrame, key: str = "seq") -> DataFrame:
+    """(key, contributions in the order of the features, base) of every row: exact path-dependent Shapley values.
+
+    Contributions and base add up to the probability of a forest and to the margin of a boosted model.
+    """
+    if isinstance(trained.fitted, BoostedTrees):
+        leaves = boosted_leaves(trained.fitted)
+    else:
+        leaves = forest_leaves(df.sparkSession, trained.fitted.stages[-1], len(trained.features))
+    return contributions(df, leaves, trained.features, key)
+
+
+def mean_absolute(contributed: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, mean_abs_contribution) over rows with an array `contributions`."""
+    parts = [F.avg(F.abs(F.col("contributions")[i])).alias(c) for i, c in enumerate(features)]
+    return contributed.agg(*parts).unpivot([], list(features), "feature", "mean_abs_contribution")
+
+
+def explained_sample(df: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "seq", seed: int = 0) -> DataFrame:
+    """A fixed-size sample, dealt over all cores: few rows, much work each."""
+    sample = land(random_sample_fixed(df, sample_rows, key, seed), "explained")
+    return sample.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def feature_attribution(trained: Classifier, df: DataFrame, background: DataFrame, sample_rows: int = SAMPLE_ROWS,
-                        k: int = TOP_FEATURES, key: str = "seq", permutations: int = 4, seed: int = 0) -> DataFrame:
+                        k: int = TOP_FEATURES, key: str = "seq", seed: int = 0) -> DataFrame:
     """The k features with the largest mean absolute contribution on a fixed-size sample of `df`."""
-    sample = random_sample_fixed(df, sample_rows, key, seed)
+    sample = explained_sample(df, sample_rows, key, seed)
     if trained.facts["model"] == "logreg":
         found = linear_attribution(trained, sample, background)
     else:
-        found = sampled_attribution(trained.score, sample, trained.features, permutations, key, seed)
+        found = mean_absolute(tree_contributions(trained, sample, key), trained.features)
     return top_k(found, "mean_abs_contribution", k, ["feature"])

@@ -7,6 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyrisk.functions.scalars import sigmoid
 from tallyrisk.landing import fresh_path, land
 from tallyrisk.learn import anomaly as A
 from tallyrisk.learn import attribution as AT
@@ -315,17 +316,26 @@ def _(spark, sf_dir):
     return _checked(trained.score(wide.filter("split <> 'train'")), ["split"])
 
 
-@query("feature_attribution", "SELECT 4 AS features, true AS top_is_rule_input, 4 AS tree_features, true AS non_negative FROM (SELECT count(*) FROM lineitem)")
+@query("feature_attribution", f"""WITH {TX} SELECT 4 AS features, true AS top_is_rule_input, m.model, least(2000, count(*)) AS explained, true AS adds_up,
+  4 AS tree_features FROM tx, (VALUES ('gbt_depth'), ('random_forest')) m(model) WHERE split = 'test' GROUP BY m.model""")
 def _(spark, sf_dir):
-    """The label depends on discount and quantity, so one of them must lead; trees use sampled walks."""
+    """The label depends on discount and quantity, so one of them must lead; of trees, contributions and base must give each row's score."""
     test, train = part(spark, sf_dir, "test"), part(spark, sf_dir, "train")
     linear = AT.feature_attribution(fit(spark, sf_dir, "logreg"), test, train)
-    trees = AT.feature_attribution(fit(spark, sf_dir, "random_forest"), test, train)
     lead = F.max_by("feature", "mean_abs_contribution").isin("l_quantity", "l_discount")
-    a = linear.agg(F.count(F.lit(1)).cast("int").alias("features"), lead.alias("top_is_rule_input"))
-    b = trees.agg(F.count(F.lit(1)).cast("int").alias("tree_features"),
-                  F.bool_and(F.col("mean_abs_contribution") >= 0).alias("non_negative"))
-    return R.beside(a, b)
+    first = linear.agg(F.count(F.lit(1)).cast("int").alias("features"), lead.alias("top_is_rule_input"))
+    sample, out = AT.explained_sample(test), None
+    for name in ("random_forest", "gbt_depth"):
+        model = fit(spark, sf_dir, name)
+        parts = land(AT.tree_contributions(model, sample), "contributions")
+        total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+        told = sigmoid(total) if name == "gbt_depth" else total
+        checked = parts.join(model.score(sample).select("seq", "score"), "seq").agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("explained"), F.bool_and(F.abs(told - F.col("score")) < 1e-9).alias("adds_up"))
+        found = AT.mean_absolute(parts, model.features).agg(F.count_if(F.col("mean_abs_contribution") >= 0).cast("int").alias("tree_features"))
+        row = R.beside(first, checked, found)
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("dp_train", f"WITH {TX} SELECT count(*) AS rows, CAST(sum(label) AS BIGINT) AS frauds, true AS in_range, true AS within_budget FROM tx WHERE split = 'test'")
