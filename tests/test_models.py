@@ -219,11 +219,48 @@ def test_private_accounting():
     assert DP.epsilon_spent(2.0, 10, 1e-5) < DP.epsilon_spent(2.0, 40, 1e-5)
 
 
+def test_sampled_accounting_equals_published_values():
+    """Share 0.01, noise 4, 10,000 steps, delta 1e-5: epsilon 1.26 by the plain conversion of the moments accountant's paper."""
+    plain = min(10_000 * DP.renyi(a, 4.0, 0.01) + math.log(1e5) / (a - 1) for a in range(2, 64))
+    assert plain == pytest.approx(1.26, abs=0.01) and DP.epsilon_spent(4.0, 10_000, 1e-5, 0.01) < plain
+    # The tighter bound of order 2 and 3 in closed form, and the whole table as the limit.
+    q, s = 0.2, 1.5
+    assert DP.renyi(2, s, q) == pytest.approx(math.log(1 + q * q * (math.exp(1 / s**2) - 1)))
+    assert DP.renyi(3, s, q) == pytest.approx(math.log(1 + 3 * q * q * (1 - q) * (math.exp(1 / s**2) - 1) + q**3 * (math.exp(3 / s**2) - 1)) / 2)
+    assert DP.renyi(5, s, 1 - 1e-12) == pytest.approx(DP.renyi(5, s)) and DP.renyi(2.5, s, q) == math.inf
+    assert DP.noise_for(1.0, 60, 1e-5, 0.25) < DP.noise_for(1.0, 60, 1e-5)
+
+
+def test_each_step_draws_rows_by_themselves(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "_row")
+    a, b = ({r["_row"] for r in DP.drawn(rows, 0.25, 7, step).collect()} for step in (0, 1))
+    assert abs(len(a) - 5000) < 250 and abs(len(a & b) - 1250) < 150
+    assert {r["_row"] for r in DP.drawn(rows.repartition(9), 0.25, 7, 0).collect()} == a
+    assert DP.drawn(rows, 1.0, 7, 0).count() == 20_000
+
+
+def test_steps_equal_a_plain_fit(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2)) * [1.0, 3.0] + [0.0, 2.0]
+    y = (rng.random(300) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(label=y)).repartition(3)
+    got, clipped = DP.dp_train_all(df, ["a", "b"], epsilons=[None, 1e9], steps=8, share=1.0)
+    z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(300)])
+    for model, clip in ((got, None), (clipped, 1.0)):
+        w, v, ratio = np.zeros(3), np.zeros(3), (300 - y.sum()) / y.sum()
+        for _ in range(8):
+            g = ((1 / (1 + np.exp(-z @ w)) - y) * np.where(y == 1, ratio, 1.0))[:, None] * z
+            if clip:
+                g /= np.maximum(1.0, np.linalg.norm(g, axis=1))[:, None]
+            v = 0.9 * v + g.sum(0) / (300 if clip else 2.0 * (300 - y.sum()))
+            w = w - 2.0 * v
+        assert np.allclose(model.weights, w, atol=1e-9 if clip is None else 0.02)
+
+
 def test_private_training_ranks_and_noise_costs(separable, plain):
     train, test = separable.filter("split = 'train'"), separable.filter("split = 'test'")
     auc = {}
-    for eps in (None, 8.0):
-        model = DP.dp_train(train, NAMES, epsilon=eps, steps=15)
+    for eps, model in zip((None, 8.0), DP.dp_train_all(train, NAMES, epsilons=(None, 8.0), steps=30)):
         out = model.score(test).toPandas()
         auc[eps] = plain.pr_auc(out["label"].to_numpy(), out["score"].to_numpy())
         assert (model.epsilon is None) == (eps is None)
@@ -234,10 +271,10 @@ def test_clipped_sums_bound_each_row():
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([50.0, 0.0]), pa.array([1.0, 0.0])], names=["x", "y"])
-    sums = next(DP._clipped_sums(np.zeros(2), 10.0, 1.0)(iter([batch])))
+    sums = next(DP._clipped_sums(np.zeros((1, 2)), 10.0, [1.0])(iter([batch])))
     total = np.array([c[0].as_py() for c in sums.columns])
     assert np.linalg.norm(total) <= 2.0 + 1e-12
-    assert math.isclose(next(DP._clipped_sums(np.zeros(2), 1.0, None)(iter([batch]))).column(0)[0].as_py(), -25.0)
+    assert math.isclose(next(DP._clipped_sums(np.zeros((1, 2)), 1.0, [None])(iter([batch]))).column(0)[0].as_py(), -25.0)
 
 
 def test_batch_predict(separable, tmp_path):
