@@ -29,7 +29,7 @@ CLIP = 1.0
 EPSILONS = (None, 8.0, 3.0, 1.0, 0.5)
 ORDERS = [1 + x / 10 for x in range(1, 100)] + list(range(12, 64)) + [128, 256, 512]
 # Steps of a fit and the share of rows that each draws.
-STEPS, SHARE = 60, 0.25
+STEPS, SHARE = 40, 0.25
 
 
 def renyi(order: float, noise: float, share: float = 1.0) -> float:

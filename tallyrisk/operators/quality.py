@@ -94,14 +94,17 @@ def next_version(registry: DataFrame, candidate: DataFrame) -> DataFrame:
 
     Candidates carry model, strategy, threshold, val_pr_auc, test_pr_auc and created_at.
     """
+    newest = registry.agg(F.coalesce(F.max("version"), F.lit(0)).alias("newest")).first()["newest"]
+    return _numbered(candidate, newest).withColumn("is_default", F.lit(True)).select(*REGISTRY_SCHEMA.names)
+
+
+def _numbered(candidate: DataFrame, newest: int) -> DataFrame:
     from tallyrisk.functions.scalars import encode_label_text
 
-    newest = registry.agg(F.coalesce(F.max("version"), F.lit(0)).alias("newest")).first()["newest"]
     order = Window.orderBy("created_at", "model", "strategy")  # a registry entry or a few, never table rows
     return candidate.select(
         (F.lit(newest) + F.row_number().over(order)).cast("long").alias("version"), "model", "strategy", "threshold",
-        "val_pr_auc", "test_pr_auc", encode_label_text(F.col("test_pr_auc")).alias("metric_label"),
-        F.lit(True).alias("is_default"), "created_at")
+        "val_pr_auc", "test_pr_auc", encode_label_text(F.col("test_pr_auc")).alias("metric_label"), "created_at")
 
 
 def read_registry(spark, path: str) -> DataFrame:
@@ -109,7 +112,7 @@ def read_registry(spark, path: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        stored = spark.read.schema(_STORED).parquet(path)
+        stored = spark.read.schema(_STORED).option("recursiveFileLookup", "true").parquet(path)
         newest = stored.agg(F.max("version")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
@@ -118,8 +121,62 @@ def read_registry(spark, path: str) -> DataFrame:
     return stored.withColumn("is_default", F.col("version") == newest).select(*REGISTRY_SCHEMA.names)
 
 
+def _claimed(spark, path: str, version: int) -> bool:
+    """Create the version's claim; False if another writer has it."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{version}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target.getParent())
+    try:
+        if system.getScheme() == "file":  # whose Hadoop class looks first and creates then
+            jvm.java.nio.file.Files.createFile(jvm.java.io.File(target.toUri().getPath()).toPath(), spark._sc._gateway.new_array(
+                jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            system.create(target, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def _newest_claim(spark, path: str) -> int:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claims")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return 0
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def claim_versions(spark, path: str, count: int) -> int:
+    """Take `count` versions in a row that no other writer has or will get; returns the one before them.
+
+    A claim is a file created only if absent, so of two writers that want a version one loses and goes on from the newest claim. A
+    writer that lost in the middle, or ended before its entry was written, leaves versions that never have an entry.
+    """
+    before = _newest_claim(spark, path)
+    taken = 0
+    while taken < count:
+        if _claimed(spark, path, before + taken + 1):
+            taken += 1
+        else:
+            before, taken = max(_newest_claim(spark, path), before + taken + 1), 0
+    return before
+
+
 def registry_append(path: str, candidate: DataFrame) -> DataFrame:
-    """Append one version (single writer) and return the registry, newest version as the default."""
+    """Append the candidate row(s), each a version, and return the registry, newest version as the default.
+
+    Several writers may append at once: each claims its versions first. Entries of a registry without claims count as claimed.
+    """
     spark = candidate.sparkSession
-    next_version(read_registry(spark, path), candidate).drop("is_default").write.mode("append").parquet(path)
+    stored = read_registry(spark, path).agg(F.coalesce(F.max("version"), F.lit(0)).alias("newest")).first()["newest"]
+    if stored > _newest_claim(spark, path):
+        _claimed(spark, path, stored)
+    newest = claim_versions(spark, path, candidate.count())
+    # A folder of its own: two appends to one folder would clear each other's unfinished files.
+    _numbered(candidate, newest).write.mode("errorifexists").parquet(f"{path}/from-{newest + 1}")
     return read_registry(spark, path)

@@ -128,6 +128,19 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{root}/out")
 
 
+@query("scan_stream_pubsub_resent", f"WITH {EV} SELECT event_id, label, {iso('produced')} AS produced_at, 1 AS times FROM ev")
+def _(spark, sf_dir):
+    """Every third message comes twice, in another batch or after a restart; state drops it inside the watermark."""
+    root = fresh_path(spark, "resent")
+    lines = event_lines(spark, sf_dir)
+    again = lines.filter(F.get_json_object("value", "$.event_id").cast("long") % 3 == 0)
+    for delivery in (lines, again):
+        delivery.write.mode("append").text(f"{root}/incoming")
+        events = E.scan_stream_pubsub(E.scan_stream_files(spark, f"{root}/incoming", max_files=4), delay="60 days", unique=["event_id"])
+        sinks.drain(sinks.sink_parquet(events.select("event_id", "label", "produced_at"), f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/out").groupBy("event_id", "label", "produced_at").agg(F.count(F.lit(1)).cast("int").alias("times"))
+
+
 def _topic_of_events(spark, sf_dir, root, part):
     """Append the even or odd events to the topic, keyed by their id."""
     half = W.events(spark, sf_dir).filter(F.pmod("event_id", F.lit(2)) == part)

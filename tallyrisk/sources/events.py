@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,9 +69,15 @@ def dead_letters(lines: DataFrame, width: int | None = None) -> DataFrame:
             .filter(~is_complete(width) | stamp.isNull()).select("value"))
 
 
-def scan_stream_pubsub(lines: DataFrame, attribute: Column | None = None, delay: str = "0 seconds") -> DataFrame:
-    """Events whose event time is a message attribute (default: produced_at), with the watermark on it."""
+def scan_stream_pubsub(lines: DataFrame, attribute: Column | None = None, delay: str = "0 seconds",
+                       unique: Sequence[str] = ()) -> DataFrame:
+    """Events whose event time is a message attribute (default: produced_at), with the watermark on it.
+
+    Of messages that agree in the `unique` columns the first is kept and re-sent ones are dropped by state, which the watermark
+    clears: `delay` is the time within which a message may come again.
+    """
     events = parse_events(lines)
     if attribute is not None:
         events = events.withColumn("event_time", attribute)
-    return events.withWatermark("event_time", delay)
+    events = events.withWatermark("event_time", delay)
+    return events.dropDuplicatesWithinWatermark(list(unique)) if unique else events

@@ -92,6 +92,34 @@ def candidate(spark, auc, day):
                                  "model string, strategy string, threshold double, val_pr_auc double, test_pr_auc double, created_at timestamp")
 
 
+def test_writers_at_once_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "registry")
+    with ThreadPoolExecutor(6) as pool:
+        got = sorted(pool.map(lambda _: Q.claim_versions(spark, path, 2), range(12)))
+    assert all(b - a >= 2 for a, b in zip(got, got[1:])) and got[0] >= 0
+
+    def append(i):
+        Q.registry_append(path, spark.createDataFrame(
+            [(f"m{i}", "none", 0.5, 0.9, 0.9)], "model string, strategy string, threshold double, val_pr_auc double, test_pr_auc double")
+            .withColumn("created_at", F.current_timestamp()))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(append, range(6)))
+    rows = Q.read_registry(spark, path).collect()
+    assert len(rows) == len({r["version"] for r in rows}) == len({r["model"] for r in rows}) == 6
+    assert [r["version"] for r in rows if r["is_default"]] == [max(r["version"] for r in rows)]
+
+
+def test_a_registry_without_claims_goes_on(spark, tmp_path):
+    path = str(tmp_path / "old")
+    one = spark.createDataFrame([("a", "none", 0.5, 0.9, 0.9)], "model string, strategy string, threshold double, val_pr_auc double, test_pr_auc double") \
+        .withColumn("created_at", F.current_timestamp())
+    Q.next_version(Q.read_registry(spark, path), one).drop("is_default").withColumn("version", F.lit(7).cast("long")).write.parquet(path)
+    assert sorted(r["version"] for r in Q.registry_append(path, one).collect()) == [7, 8]
+
+
 def test_registry_and_gate(spark, tmp_path):
     path = str(tmp_path / "registry")
     empty = Q.read_registry(spark, path)
