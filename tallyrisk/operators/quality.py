@@ -178,5 +178,5 @@ def registry_append(path: str, candidate: DataFrame) -> DataFrame:
         _claimed(spark, path, stored)
     newest = claim_versions(spark, path, candidate.count())
     # A folder of its own: two appends to one folder would clear each other's unfinished files.
-    _numbered(candidate, newest).write.mode("errorifexists").parquet(f"{path}/from-{newest + 1}")
+    _numbered(candidate, newest).write.mode("errorifexists").parquet(f"{path}/first_version={newest + 1}")
     return read_registry(spark, path)
