@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 # Forest and bottleneck sizes.
 TREES, SAMPLE_ROWS, BOTTLENECK = 300, 4096, 8
+BLOCK_CELLS = 1 << 16  # pairs of row and tree that are scored together
 
 _NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, path double"
 
@@ -41,59 +42,110 @@ def _binomial_steps(trees: int, chance: float) -> list[float]:
     return steps
 
 
+def _prime_from(n: int) -> int:
+    """The smallest prime that is at least n and 2."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def tree_samples(df: DataFrame, features: Sequence[str], trees: int, rows: int, seed: int, key: str = "seq",
                  total: int | None = None) -> DataFrame:
     """(tree, x) with exactly min(rows, n) rows per tree, drawn by seeded hashes of the key.
 
-    Trees draw independently. A row's number of draws is taken first, from one hash against the binomial law; only a row
-    that is drawn at all then hashes once per tree, and goes to the trees with its smallest hashes. What is shuffled is
-    bounded by about trees x rows.
+    A row's number of draws is taken from one hash against the binomial law. Its trees are then steps of one random stride from a
+    random start, modulo a prime: each tree's sample is uniform, and any two trees draw independently. What is hashed and shuffled is
+    about trees x rows, and not a hash for every pair of row and tree.
     """
     n = df.count() if total is None else total
     size = min(rows, n)
+    places = _prime_from(trees)  # places from `trees` on belong to no tree
     x = F.array(*[F.col(c).cast("double") for c in features]).alias("x")
     unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     # Six deviations above the wanted size, so that a tree cannot fall short.
     chance = min(1.0, (size + 6.0 * math.sqrt(size) + 6.0) / max(n, 1))
-    draws = sum((unit >= F.lit(at)).cast("int") for at in _binomial_steps(trees, chance))
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                                     lambda t: F.struct(F.xxhash64(F.col(key), t, F.lit(seed)).alias("h"), t.alias("tree"))))
+    draws = sum((unit >= F.lit(at)).cast("int") for at in _binomial_steps(places, chance))
+    start = F.pmod(F.xxhash64(F.col(key), F.lit("start"), F.lit(seed)), F.lit(places))
+    stride = F.pmod(F.xxhash64(F.col(key), F.lit("stride"), F.lit(seed)), F.lit(places - 1)) + 1
     dealt = (df.withColumn("_draws", draws).filter("_draws > 0")
-             .select(F.explode(F.slice(order, F.lit(1), F.col("_draws"))).alias("_drawn"), F.col(key).alias("_key"), x)
-             .select("_drawn.tree", "_key", "x"))
+             .select(F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)).alias("_step"), start.alias("_start"), stride.alias("_stride"),
+                     F.col(key).alias("_key"), x)
+             .select(F.pmod(F.col("_start") + F.col("_step") * F.col("_stride"), F.lit(places)).cast("int").alias("tree"), "_key", "x")
+             .filter(F.col("tree") < trees))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_key", "tree", F.lit(seed)), "_key"))
     return dealt.withColumn("_rank", rank).filter(F.col("_rank") <= size).select("tree", "x")
 
 
+def grow_tree(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> tuple[np.ndarray, ...]:
+    """Node arrays (feature, split, left, right, path) of one isolation tree over the rows of x, grown a level at once.
+
+    A node splits a feature drawn among those that vary in it, at a uniform value of their range; each side gets a row. Leaves have
+    feature -1 and themselves as children.
+    """
+    mean_path = np.array([average_path(n) for n in range(len(x) + 1)])
+    levels: list[tuple[np.ndarray, ...]] = []
+    rows, node, base = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), 0
+    for depth in range(depth_limit + 1):
+        if not len(rows):
+            break
+        order = np.argsort(node, kind="stable")
+        rows, node = rows[order], node[order]
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        counts = np.diff(np.r_[starts, len(rows)])
+        low, high = np.minimum.reduceat(x[rows], starts), np.maximum.reduceat(x[rows], starts)
+        usable = high > low
+        opened = usable.any(axis=1) & (depth < depth_limit)
+        me, k = base + np.arange(len(starts)), int(opened.sum())
+        feature = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
+        at = np.arange(len(starts)), feature
+        split = np.minimum(low[at] + rng.random(len(starts)) * (high[at] - low[at]), high[at])
+        split = np.where(split > low[at], split, high[at])
+        left, right = me.copy(), me.copy()
+        left[opened] = base + len(starts) + 2 * np.arange(k)
+        right[opened] = left[opened] + 1
+        levels.append((np.where(opened, feature, -1), np.where(opened, split, 0.0), left, right,
+                       np.where(opened, 0.0, depth + mean_path[counts])))
+        here = np.repeat(np.arange(len(starts)), counts)
+        rows, here = rows[opened[here]], here[opened[here]]
+        node = np.where(x[rows, feature[here]] < split[here], left[here], right[here])
+        base += len(starts)
+    return tuple(np.concatenate(parts) for parts in zip(*levels))
+
+
 def _grow(seed: int, depth_limit: int):
-    """One tree's sample to its node table, level by level from a stack."""
+    """One tree's sample to its node table."""
 
     def build(sample: pd.DataFrame) -> pd.DataFrame:
         tree = int(sample["tree"].iloc[0])
-        x = np.stack(sample["x"].to_numpy())
-        rng = np.random.default_rng([seed, tree])
-        nodes: list[tuple] = []
-        stack = [(np.arange(len(x)), 0, -1, False)]
-        while stack:
-            rows, depth, parent, is_right = stack.pop()
-            me = len(nodes)
-            if parent >= 0:
-                nodes[parent][5 if is_right else 4] = me
-            low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-            usable = np.flatnonzero(high > low)
-            if depth >= depth_limit or len(rows) <= 1 or not len(usable):
-                nodes.append([tree, me, -1, 0.0, -1, -1, depth + average_path(len(rows))])
-                continue
-            f = int(rng.choice(usable))
-            split = rng.uniform(low[f], high[f])
-            goes = x[rows, f] < split
-            nodes.append([tree, me, f, float(split), -1, -1, 0.0])
-            stack += [(rows[~goes], depth + 1, me, True), (rows[goes], depth + 1, me, False)]
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "split", "left", "right", "path"])
+        grown = grow_tree(np.stack(sample["x"].to_numpy()), np.random.default_rng([seed, tree]), depth_limit)
+        nodes = dict(zip(("feature", "split", "left", "right", "path"), grown))
+        return pd.DataFrame({"tree": tree, "node": np.arange(len(grown[0])), **nodes})
 
     return build
 
 
+def path_lengths(trees: Sequence[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
+    """Sum over the trees of the path of every row; all trees step down together, for a block of rows at a time."""
+    sizes = np.array([len(t[0]) for t in trees])
+    roots = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    feature, split, path = (np.concatenate([t[i] for t in trees]) for i in (0, 1, 4))
+    children = np.column_stack([np.concatenate([t[i] + root for t, root in zip(trees, roots)]) for i in (2, 3)]).ravel()
+    total = np.empty(len(x))
+    block = max(1, BLOCK_CELLS // len(trees))
+    for first in range(0, len(x), block):
+        part = x[first:first + block]
+        at = np.broadcast_to(roots, (len(part), len(trees)))
+        while True:
+            tested = feature[at]
+            if (tested < 0).all():
+                break
+            value = np.take_along_axis(part, np.maximum(tested, 0), axis=1)
+            at = children[2 * at + ~(value < split[at])]
+        total[first:first + block] = path[at].sum(axis=1)
+    return total
+
+
 @dataclass
 class IsolationForest:
     """A fitted forest: node arrays per tree, bounded by trees x 2 x sample rows."""
@@ -109,23 +161,9 @@ class IsolationForest:
 
         @F.pandas_udf("double")
         def isolate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            trees = shared.value
             for batch in batches:
-                if not len(batch):
-                    yield pd.Series(np.empty(0))
-                    continue
-                x = np.stack(batch.to_numpy())
-                total = np.zeros(len(x))
-                for feature, split, left, right, path in trees:
-                    at = np.zeros(len(x), dtype=np.int64)
-                    moving = np.flatnonzero(feature[at] >= 0)
-                    while len(moving):
-                        here = at[moving]
-                        goes = x[moving, feature[here]] < split[here]
-                        at[moving] = np.where(goes, left[here], right[here])
-                        moving = moving[feature[at[moving]] >= 0]
-                    total += path[at]
-                yield pd.Series(np.exp2(-(total / len(trees)) / norm))
+                x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, 1))
+                yield pd.Series(np.exp2(-(path_lengths(shared.value, x) / len(shared.value)) / norm))
 
         return df.withColumn(name, isolate(F.array(*[F.col(c).cast("double") for c in self.features])))
 

@@ -166,6 +166,37 @@ def test_tree_samples_have_exact_size(spark, n, trees, rows):
     assert len(sizes) == trees and {(r["n"], r["d"]) for r in sizes} == {(min(rows, n), min(rows, n))}
 
 
+def test_grown_trees_cover_their_rows_and_paths_equal_a_plain_walk():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(700, 3)), 1)  # ties and a column that never varies
+    x[:, 2] = 5.0
+    trees = [A.grow_tree(x[rng.permutation(700)[:256]], np.random.default_rng(i), 8) for i in range(9)]
+    trees.append(A.grow_tree(np.ones((5, 3)), np.random.default_rng(0), 8))  # nothing to split
+
+    def walk(tree, row):
+        feature, split, left, right, path = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[feature[at]] < split[at] else right[at]
+        return path[at]
+
+    rows = np.vstack([x, [[np.nan, 0.0, 5.0]]])
+    assert np.allclose(A.path_lengths(trees, rows), [sum(walk(t, r) for t in trees) for r in rows])
+    for feature, _, left, right, path in trees[:9]:
+        inner = feature >= 0
+        assert 2 not in feature and (path[inner] == 0).all() and (path[~inner] > 0).all()
+        assert sorted(np.r_[left[inner], right[inner]]) == list(range(1, len(feature)))
+    assert trees[9][4].tolist() == [A.average_path(5)] and len(A.path_lengths(trees, rows[:0])) == 0
+
+
+def test_any_two_trees_share_rows_as_independent_draws_would(spark):
+    df = spark.range(4000).select(F.col("id").alias("seq"), F.col("id").cast("double").alias("v"))
+    drawn = A.tree_samples(df, ["v"], 12, 1000, 5).toPandas()
+    held = [set(v[0] for v in g["x"]) for _, g in drawn.groupby("tree")]
+    shared = [len(a & b) for i, a in enumerate(held) for b in held[:i]]
+    assert abs(np.mean(shared) - 250) < 8 and max(abs(s - 250) for s in shared) < 60
+
+
 def test_average_path():
     assert A.average_path(1) == 0 and A.average_path(2) == 1 and 10 < A.average_path(256) < 11
 
