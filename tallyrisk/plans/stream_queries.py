@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrisk.functions.scalars import iso_millis
-from tallyrisk.landing import fresh_path
+from tallyrisk.landing import fresh_path, land
 from tallyrisk.operators import drift as D
 from tallyrisk.operators import joins as J
 from tallyrisk.operators import stream_reports as P
@@ -18,16 +18,19 @@ from tallyrisk.operators.split import split_points
 from tallyrisk.plans import workload as W
 from tallyrisk.plans.registry import query
 from tallyrisk.plans.sql_parts import EV, iso
+from tallyrisk.sources import epochs as EP
 from tallyrisk.sources import events as E
 from tallyrisk.sources import sinks
 from tallyrisk.sources import topic_log as T_LOG
+from tallyrisk.streaming import idle as SI
 from tallyrisk.streaming import score as SC
 from tallyrisk.streaming import windows as SW
 
-# Window length of the replay, the closing event's time, and the late re-sends.
+# Window length of the replay, the closing event's time, the late re-sends, and the silence that closes a window.
 WIDTH = "1 day"
 FAR_FUTURE = "2100-01-01T00:00:00.000Z"
 LATE_BEFORE = "2024-01-06 00:00:00"
+IDLE_MS = 10_000
 
 SCORED_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("score", T.DoubleType()),
@@ -223,6 +226,27 @@ def _(spark, sf_dir):
     return counts[0].unionByName(counts[1])
 
 
+@query("sink_append_epochs", f"""WITH {EV}, {_DAYS} SELECT {iso('CAST(d AS TIMESTAMP)')} AS window_start, events, alerts, mean_score,
+  events AS scored_rows FROM days""")
+def _(spark, sf_dir):
+    """Scores and window sums committed together, half of the events after a restart; both tables are read as of one epoch."""
+    root = fresh_path(spark, "epochs")
+    edges, shares = reference(spark, sf_dir)
+    halves = W.events(spark, sf_dir).withColumn("part", F.col("event_id") % 2)
+    for part in (0, 1):
+        half = SW.event_encode(halves.filter(F.col("part") == part), ["value"], "event_id", F.col("ts"), "label")
+        half.select("value").write.mode("append").text(f"{root}/incoming")
+        sinks.drain(EP.sink_append_tables(
+            scored_stream(spark, f"{root}/incoming", max_files=8), f"{root}/tables", f"{root}/checkpoint",
+            lambda batch: {"scores": batch, "windows": SW.window_counts(batch, WIDTH, edges)}))
+    sums = "window_start timestamp, window_end timestamp, events long, alerts long, scored long, score_sum double, " + ", ".join(
+        f"bin_{i} long" for i in range(len(shares)))
+    tables = EP.read_tables(spark, f"{root}/tables", {"scores": SCORED_SCHEMA, "windows": sums})
+    days = tables["scores"].groupBy(F.date_trunc("day", "produced_at").alias("window_start")).agg(F.count(F.lit(1)).alias("scored_rows"))
+    return SW.merged_windows(tables["windows"], shares).join(days, "window_start").select(
+        iso_millis(F.col("window_start")).alias("window_start"), "events", "alerts", "mean_score", "scored_rows")
+
+
 @query("stream_fanout", f"""WITH {EV} SELECT count(*) AS scored, count(*) FILTER (is_alert) AS alerts, count(*) AS in_windows,
   count(*) FILTER (is_alert) AS window_alerts FROM ev""")
 def _(spark, sf_dir):
@@ -256,6 +280,23 @@ def _(spark, sf_dir):
     return windows_table(spark, sf_dir).agg(F.count(F.lit(1)).alias("windows"), F.sum("events").alias("events"))
 
 
+@query("window_flush_idle", f"WITH {EV}, {_DAYS} {_WINDOWS}")
+def _(spark, sf_dir):
+    """Windows that close by a timer after ten idle seconds, with no closing event; half of the events come after a restart."""
+    root = fresh_path(spark, "idle")
+    edges, shares = reference(spark, sf_dir)
+    halves = W.events(spark, sf_dir).withColumn("part", F.col("event_id") % 2)
+    for part, idle_ms in ((0, 0), (1, IDLE_MS)):
+        half = SW.event_encode(halves.filter(F.col("part") == part), ["value"], "event_id", F.col("ts"), "label")
+        half.select("value").write.mode("append").text(f"{root}/incoming")
+        with SI.timer_state(spark):
+            windows = SI.idle_windows(scored_stream(spark, f"{root}/incoming"), WIDTH, edges, shares, IDLE_MS)
+            running = sinks.sink_parquet(windows, f"{root}/out", f"{root}/checkpoint", every="500 milliseconds")
+        if not SI.stop_when_idle(running, idle_ms):
+            raise AssertionError("the windows did not close in time")
+    return _shown(spark.read.parquet(f"{root}/out"))
+
+
 _PSI_SQL = f"""WITH {EV}, {_REFERENCE},
   c AS (SELECT unnest(range(len(e)-1)) AS bin FROM q),
   r AS (SELECT c.bin, greatest(count(s)/CAST((SELECT count(*) FROM ref_rows) AS DOUBLE), 1e-4) AS share
@@ -336,24 +377,21 @@ def _(spark, sf_dir):
     return events.select("event_id", F.round(score("features"), 6).alias("score"))
 
 
-@query("event_batching", f"WITH {EV} SELECT count(*) AS events, true AS all_scored, true AS within_limit FROM ev")
+@query("event_batching", f"""WITH {EV} SELECT count(*) AS events, round(sum(1e0/(1e0+exp(-(value*1e-2 - 2e0)))), 4) AS total,
+  true AS within_limit, true AS no_early_call FROM ev""")
 def _(spark, sf_dir):
-    """Model calls see at most the configured number of rows."""
-    limit = SC.ARROW_BATCH
+    """Events that reach Python 16 at a time: calls of 64 to 2,000 rows, unless the first row has waited long enough or input ends."""
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-
-    @F.pandas_udf("long")
-    def call_size(values):
-        return values * 0 + len(values)
-
-    SC.set_event_batching(spark, limit)
+    model = json.dumps({"weights": [0.01], "bias": -2.0}).encode()
+    SC.set_event_batching(spark, 16)
     try:
-        row = W.events(spark, sf_dir).select(call_size(F.col("event_id")).alias("n")).agg(
-            F.count("n").alias("events"), F.max("n").alias("largest"), F.count_if(F.col("n").isNull()).alias("lost")).first()
+        calls = SC.score_batched(E.parse_events(event_lines(spark, sf_dir), width=1).select("event_id", "features"), model, SC.open_linear)
+        calls = land(calls.select("score", "call_rows", "call_waited_s", "call_last"), "calls")  # while the setting holds
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    return spark.createDataFrame([(row["events"], row["lost"] == 0, row["largest"] <= limit)],
-                                 "events long, all_scored boolean, within_limit boolean")
+    large = (F.col("call_rows") >= SC.LEAST_ROWS) | F.col("call_last") | (F.col("call_waited_s") >= SC.WAIT_SECONDS)
+    return calls.agg(F.count("score").alias("events"), F.round(F.sum("score"), 4).alias("total"),
+                     F.bool_and(F.col("call_rows") <= SC.ARROW_BATCH).alias("within_limit"), F.bool_and(large).alias("no_early_call"))
 
 
 @query("score_instances", f"""WITH {EV} SELECT event_id, round(v/(v+100e0), 6) AS score,

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def _triggered(writer, every: str | None):
+def triggered(writer, every: str | None):
+    """A processing-time trigger, or drain and stop."""
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
 def sink_parquet(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append to a Parquet table; `every` is a processing-time trigger, None drains and stops."""
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    return _triggered(writer.outputMode("append"), every).start()
+    return triggered(writer.outputMode("append"), every).start()
 
 
 def alert_messages(scored: DataFrame) -> DataFrame:
@@ -30,12 +31,12 @@ def alert_messages(scored: DataFrame) -> DataFrame:
 def sink_alerts(scored: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Alert messages to JSON files."""
     writer = alert_messages(scored).writeStream.format("json").option("path", path)
-    return _triggered(writer.option("checkpointLocation", checkpoint).outputMode("append"), every).start()
+    return triggered(writer.option("checkpointLocation", checkpoint).outputMode("append"), every).start()
 
 
 def sink_alerts_kafka(scored: DataFrame, options: dict[str, str], every: str | None = None) -> StreamingQuery:
     """Alert messages to a Kafka topic. Needs the Kafka connector on the class path."""
-    return _triggered(alert_messages(scored).writeStream.format("kafka").options(**options), every).start()
+    return triggered(alert_messages(scored).writeStream.format("kafka").options(**options), every).start()
 
 
 def sink_row_count(spark: SparkSession, path: str) -> DataFrame:

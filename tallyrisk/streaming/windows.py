@@ -48,6 +48,22 @@ def window_stats(scored: DataFrame, width: str = "60 seconds", edges: Sequence[f
                         F.round("mean", 6).alias("mean_score"), *psi)
 
 
+def window_counts(scored: DataFrame, width: str, edges: Sequence[float], time: str = "produced_at") -> DataFrame:
+    """What `window_stats` adds up, one row a window: parts of a window from several batches are merged by `merged_windows`."""
+    rows = scored.groupBy(F.window(time, width).alias("w")).agg(
+        F.count(F.lit(1)).alias("events"), F.count_if("is_alert").alias("alerts"), F.count("score").alias("scored"),
+        F.sum("score").alias("score_sum"), *histogram_columns(F.col("score"), edges))
+    return rows.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *rows.columns[1:])
+
+
+def merged_windows(counts: DataFrame, reference: Sequence[float]) -> DataFrame:
+    """`window_counts` of any number of batches as the columns of `window_stats`."""
+    sums = ["events", "alerts", "scored", "score_sum", *[f"bin_{i}" for i in range(len(reference))]]
+    merged = counts.groupBy("window_start", "window_end").agg(*[F.sum(c).alias(c) for c in sums])
+    return merged.select("window_start", "window_end", "events", "alerts", F.round(F.try_divide("score_sum", "scored"), 6).alias("mean_score"),
+                         F.round(histogram_psi(F.col("events"), reference), 6).alias("score_psi"))
+
+
 def streaming_windows(scored: DataFrame, width: str, edges: Sequence[float], reference: Sequence[float],
                       delay: str = "0 seconds") -> DataFrame:
     """`window_stats` on a stream: rows for windows the watermark has passed, late rows dropped."""
