@@ -13,6 +13,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ PASSAGE_WORDS, PIECE_WORDS, K1, B, THRESHOLD = 128, 64, 1.2, 0.75, 0.6
 CELLS = 1 << 22
 # Word runs compared when confirming, and the share of the question's and of the answer's runs that must be there.
 RUN_WORDS, LEAST_OVERLAP = 4, 0.6
+# Parts of fewer words may instead have this share of their words in order, within so many more words than they have.
+SHORT_WORDS, LEAST_IN_ORDER, SLACK_WORDS = 12, 0.75, 2
 # Share of an entry's score, in its commonest terms, that is presumed before a passage is searched.
 PRESUMED = 0.2
 # Postings in a block, and item text in one broadcast index.
@@ -171,6 +175,26 @@ class BlockMaxIndex:
         return np.concatenate(out) * step
 
 
+def in_order(part: list[bytes], around: list[bytes]) -> float:
+    """Largest share of a part's words that stand in its order within as many words and SLACK_WORDS more; 0 if under LEAST_IN_ORDER.
+
+    One changed word breaks every run of a short part, and costs one word here.
+    """
+    n, width = len(part), len(part) + SLACK_WORDS
+    least, known = ceil(LEAST_IN_ORDER * n), set(part)
+    held = [0, *accumulate(w in known for w in around)]
+    best = 0
+    for i in range(max(1, len(around) - width + 1)):
+        if held[min(i + width, len(around))] - held[i] >= max(least, best + 1):
+            longest = [0] * (n + 1)
+            for word in around[i:i + width]:
+                before = longest[:]
+                for j in range(n):
+                    longest[j + 1] = before[j] + 1 if part[j] == word else max(before[j + 1], longest[j])
+            best = max(best, longest[n])
+    return best / n if best >= least else 0.0
+
+
 class Benchmark:
     """One shard of items: their pieces in an index, and what confirms a retrieved item."""
 
@@ -199,7 +223,10 @@ class Benchmark:
                 shares = []
                 for part in self.parts[item]:
                     run = min(RUN_WORDS, len(part))
-                    shares.append(overlap(part, {tuple(around[i:i + run]) for i in range(len(around) - run + 1)}, run) if run else 1.0)
+                    share = overlap(part, {tuple(around[i:i + run]) for i in range(len(around) - run + 1)}, run) if run else 1.0
+                    if share < LEAST_OVERLAP and len(part) < SHORT_WORDS:
+                        share = max(share, in_order(part, around))
+                    shares.append(share)
                 if min(shares) >= LEAST_OVERLAP:
                     best[item] = score, shares[0], shares[1], int(start)
         return best

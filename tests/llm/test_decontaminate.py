@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 
@@ -70,3 +71,41 @@ def test_long_documents_are_bounded_in_slices(prose, monkeypatch):
     monkeypatch.setattr(decontaminate.np, "bincount", lambda *a: sizes.append(len(out := bincount(*a))) or out)
     monkeypatch.setattr(decontaminate, "CELLS", 200, raising=False)
     assert index.hopeful(numbers).tolist() == whole and len(whole) >= 8 and max(sizes) <= 200
+
+
+def test_short_answers_with_one_changed_word_are_found(spark, documents, prose):
+    """Every place of a changed, a left-out and an added word, in answers of 4 to 11 words; unlike answers stay clean."""
+    r, items, rows = random.Random(8), [], []
+    for n in range(4, 12):
+        question, answer = prose(n, 14), prose(100 + n, n).split()
+        items.append((n, f"{question}? {' '.join(answer)}."))
+        for place in range(n):
+            changed, left_out, added = answer[:], answer[:], answer[:]
+            changed[place], left_out[place:place + 1] = "chilly", []
+            added.insert(place, "quite")
+            for kind, edited in enumerate((changed, left_out, added)):
+                rows.append((n * 1000 + place * 10 + kind, f"{prose(r.random(), 60)} {question}? {' '.join(edited)}. {prose(r.random(), 60)}"))
+        rows.append((n, f"{prose(r.random(), 60)} {question}? {prose(700 + n, n)}. {prose(r.random(), 60)}"))
+        scattered = " ".join(w + " " + prose(r.random(), 9) for w in answer)
+        rows.append((n + 500, f"{prose(r.random(), 20)} {question}? {scattered}"))
+    found = {(x["doc_id"], x["item_id"]) for x in leaks(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # Of a four-word answer three words in order are enough, as in all of these.
+    assert found == {(i, i // 1000) for i, _ in rows if i >= 1000}
+
+
+def test_words_in_order_equal_a_plain_search():
+    r = random.Random(3)
+
+    def longest(a, b):
+        return max((len(p) for k in range(len(a) + 1) for p in combinations(a, k) if is_subsequence(p, b)), default=0)
+
+    def is_subsequence(p, b):
+        rest = iter(b)
+        return all(w in rest for w in p)
+
+    for _ in range(150):
+        part = [bytes([r.choice(b"abcde")]) for _ in range(r.randint(1, 7))]
+        around = [bytes([r.choice(b"abcdefgh")]) for _ in range(r.randint(0, 30))]
+        width = len(part) + decontaminate.SLACK_WORDS
+        best = max(longest(part, around[i:i + width]) for i in range(len(around) + 1)) / len(part)
+        assert decontaminate.in_order(part, around) == (best if best >= decontaminate.LEAST_IN_ORDER else 0.0)
