@@ -19,6 +19,7 @@ from tallyrisk.operators import stream_reports as P
 from tallyrisk.plans import workload as W
 from tallyrisk.plans.registry import query
 from tallyrisk.plans.sql_parts import COST, CURVE, EV, LONG, REPORT, TX, drift_ctes, iso, report_select
+from tallyrisk.session import partitions_for, path_bytes
 from tallyrisk.sources import events as E
 from tallyrisk.sources import sinks
 from tallyrisk.sources import transactions as T
@@ -52,7 +53,8 @@ def shared_curve(spark, sf_dir):
 @query("scan_transactions", f"WITH {TX} SELECT seq, {FEATURE_LIST}, label FROM tx")
 def _(spark, sf_dir):
     path = fresh_path(spark, "raw")
-    W.raw_lineitem(spark, sf_dir).withColumn("label", W.label_rule().cast("string")).repartition(3, "l_orderkey").write.parquet(path)
+    files = max(3, partitions_for(path_bytes(spark, f"{sf_dir}/lineitem.parquet")))
+    W.raw_lineitem(spark, sf_dir).withColumn("label", W.label_rule().cast("string")).repartition(files, "l_orderkey").write.parquet(path)
     return T.scan_transactions(spark, path, "label", order=W.TIME_ORDER).select("seq", *W.FEATURES, "label")
 
 
