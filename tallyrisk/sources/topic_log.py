@@ -142,9 +142,11 @@ class TopicReader(DataSourceStreamReader):
         return [_Slice(*s) for s in Topic(self.path).segments(start, end)]
 
     def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
-        topic, at = Topic(self.path), part.first
+        topic = Topic(self.path)
         with topic.fs.open_input_file(f"{topic.root}/segments/{part.file}") as held:
-            for batch in pq.ParquetFile(held).iter_batches(FLUSH_ROWS):
+            file = pq.ParquetFile(held)
+            groups, at = _groups_of(file, part)
+            for batch in file.iter_batches(FLUSH_ROWS, groups):
                 low, high = max(part.low - at, 0), min(part.high - at, batch.num_rows)
                 if low < high:
                     mine = batch.slice(low, high - low)
@@ -154,6 +156,18 @@ class TopicReader(DataSourceStreamReader):
                 at += batch.num_rows
 
 
+def _groups_of(file: pq.ParquetFile, part: _Slice) -> tuple[list[int], int]:
+    """The row groups that hold messages of the slice, and the offset at which the first of them begins."""
+    found, begins, at = [], part.low, part.first
+    for g in range(file.num_row_groups):
+        rows = file.metadata.row_group(g).num_rows
+        if at < part.high and at + rows > part.low:
+            begins = begins if found else at
+            found.append(g)
+        at += rows
+    return found, begins
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, segments: list[tuple[int, str, int]]):
         self.segments = segments
