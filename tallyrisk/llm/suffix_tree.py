@@ -9,24 +9,30 @@ scored in the longest retained state.
 Levels are Spark tables keyed by 64-bit hashes of word runs, so that they grow with the input; of 2e10 runs about ten pairs share a
 hash and mix their values. The log probability of a text is a sum over its runs: a listed run adds what it has over its suffix (`value` of the
 level), a retained context the log of its spare mass. What makes up HEAD_SHARE of the tokens is sent to tasks, which bounds that
-part; all other runs meet their values in a join, after a filter of fixed size has let go most that have none. Neither changes a
+part; all other runs meet their values by hash range, after a filter of fixed size has let go most that have none. Neither changes a
 result.
+
+Nearly all runs of a corpus occur once. A first pass a level sends 48 bits of each run's hash to its hash range, as sorted gaps of
+about four bytes, and gets a filter of the cells met twice; only runs that pass are sent with their context and suffix and counted.
+Two runs that share 48 bits pass too and are let go by that count. What is written on the way is deleted once it is read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrisk.landing import land
+from tallyrisk.landing import discard, land, land_at
 from tallyrisk.llm.common import is_held_out, opened, query, ship, table
 
 DEPTH = 3
@@ -38,8 +44,8 @@ BASE_ADD = 0.1
 
 END = b""  # no word is empty, so the end token is
 _FLUSH_WORDS, _FLUSH_KEYS, _SLICE_WORDS = 300_000, 1 << 21, 1 << 18
-# Bits of a filter, and of one written piece of it.
-_FILTER_BITS, _PIECE_BITS = 28, 18
+# Bits of a filter's cells and of what is sent of a run in the first pass; tokens for which there is one hash range more.
+_FILTER_BITS, _SENT_BITS, _RANGE_TOKENS = 28, 48, 1 << 20
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -185,82 +191,227 @@ def _slices(frame: pd.DataFrame, known: _Hashes) -> Iterator[tuple[pd.DataFrame,
             words, sizes = [], []
 
 
-def _filter(keys: DataFrame, name: str) -> np.ndarray:
-    """Bits of a fixed number of cells that are set where `keys` has a key of the cell: a key without its bit is not there."""
-    def pieces(frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << _PIECE_BITS, bool)
-        bits[frame["cell"].to_numpy() & ((1 << _PIECE_BITS) - 1)] = True
-        return pd.DataFrame({"piece": [frame["cell"].iloc[0] >> _PIECE_BITS], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+def _range_bits(n: int) -> int:
+    """Hash ranges are 2 to this power: in proportion to the tokens, so that no range grows with the input."""
+    return min(max(int(n // _RANGE_TOKENS).bit_length(), 3), 16)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted unsigned keys as the first one and gaps, in planes of as many bytes as the widest gap needs."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys, prepend=keys[:1])
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(blob, np.uint8, offset=9).reshape(blob[0], -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :blob[0]] = planes.T
+    return np.frombuffer(blob, np.uint64, 1, 1) + np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 in 1, 2, 4 or 8 bytes each, as the largest needs."""
+    kind = np.min_scalar_type(int(values.max())) if len(values) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _widened(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"u{blob[0]}", offset=1).astype(np.int64)
 
-    cells = keys.select(F.col(name).bitwiseAND((1 << _FILTER_BITS) - 1).alias("cell")).withColumn("piece", F.shiftright("cell", _PIECE_BITS))
+
+def _by_range(keys: np.ndarray, range_bits: int) -> Iterator[tuple[int, slice]]:
+    """(hash range, where its keys are) of sorted unsigned keys."""
+    found, starts = np.unique(keys >> np.uint64(64 - range_bits), return_index=True)
+    for which, start, end in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+        yield which, slice(start, end)
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct one of sorted keys starts."""
+    return np.flatnonzero(np.r_[np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]])
+
+
+def _piece(which: int, cells: np.ndarray, range_bits: int) -> pd.DataFrame:
+    bits = np.zeros(1 << (_FILTER_BITS - range_bits), bool)
+    bits[cells & ((1 << (_FILTER_BITS - range_bits)) - 1)] = True
+    return pd.DataFrame({"range": [which], "bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]})
+
+
+def _gathered(pieces: DataFrame, range_bits: int) -> bytes:
+    """A filter of one piece a hash range; it is kept and sent compressed."""
     out = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
-    width = 1 << (_PIECE_BITS - 3)
-    for row in cells.groupBy("piece").applyInPandas(pieces, "piece long, bits binary").toLocalIterator():
-        out[row["piece"] * width:(row["piece"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    width = len(out) >> range_bits
+    for row in pieces.collect():
+        out[row["range"] * width:(row["range"] + 1) * width] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return zlib.compress(out.tobytes(), 1)
+
+
+def _filter(keys: DataFrame, name: str, range_bits: int) -> bytes:
+    """Bits of a fixed number of cells that are set where `keys` has a key of the cell: a key without its bit is not there."""
+    cells = keys.select(F.shiftrightunsigned(name, 64 - _FILTER_BITS).cast("int").alias("cell")).withColumn("range", F.shiftright("cell", _FILTER_BITS - range_bits))
+    return _gathered(cells.groupBy("range").applyInPandas(
+        lambda frame: _piece(int(frame["range"].iloc[0]), frame["cell"].to_numpy(np.int64), range_bits), "range int, bits binary"), range_bits)
+
+
+def _opened_bits(shipped) -> list[np.ndarray]:
+    """The filters of a `ship`, opened once per worker process."""
+    if not hasattr(shipped, "bits"):
+        shipped.bits = [np.frombuffer(zlib.decompress(b), np.uint8) for b in opened(shipped)]
+    return shipped.bits
 
 
 def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    cell = keys & ((1 << _FILTER_BITS) - 1)
-    return bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 > 0
+    cell = keys.view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
+    return bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
-def _counted_runs(train: DataFrame, length: int, below: DataFrame) -> DataFrame:
-    """(gram, context, suffix, n) of the runs of `length` + 1 words in `train` that occur LEAST_COUNT times.
+def _met_twice(train: DataFrame, length: int, below: bytes, range_bits: int) -> bytes:
+    """A filter that has all runs of `length` + 1 words that occur twice in `train`, and few others.
 
-    A run occurs no more often than its context and suffix, so only runs whose both are in `below` (gram) are counted; they are
-    summed in the tasks before the shuffle.
+    A run occurs no more often than its context and suffix, so only runs whose both are in the filter `below` are sent.
     """
-    shipped = ship(train.sparkSession, _filter(below, "gram"))
+    shipped, dropped = ship(train.sparkSession, [below]), np.uint64(64 - _SENT_BITS)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, known = opened(shipped), _Hashes()
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (bits,), known = _opened_bits(shipped), _Hashes()
         kept, size = [], 0
 
-        def summed() -> pd.DataFrame:
-            context, suffix = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 2
-            _, first, n = np.unique(longer(context, suffix), return_index=True, return_counts=True)
-            return pd.DataFrame({"context": context[first], "suffix": suffix[first], "n": n})
+        def sent() -> pd.DataFrame:
+            keys = np.sort(np.concatenate(kept) if kept else np.zeros(0, np.uint64))
+            first = _firsts(keys)
+            again, keys = np.diff(first, append=len(keys)) > 1, keys[first]
+            rows = [(which, _packed(keys[at][~again[at]]), _packed(keys[at][again[at]])) for which, at in _by_range(keys << dropped, range_bits)]
+            return pd.DataFrame(rows, columns=["range", "once", "again"])
 
         for frame in batches:
             for _, _, word, _, place in _slices(frame, known):
                 keys = runs(word, length)[-1]
-                on = (place[length:] >= length)
                 has = _may_have(bits, keys)
-                on &= has[:-1] & has[1:]
-                kept.append((keys[:-1][on], keys[1:][on]))
-                size += int(on.sum())
+                on = (place[length:] >= length) & has[:-1] & has[1:]
+                kept.append(longer(keys[:-1][on], keys[1:][on]).view(np.uint64) >> dropped)
+                size += len(kept[-1])
                 if size >= _FLUSH_KEYS:
-                    yield summed()
+                    yield sent()
                     kept, size = [], 0
-        yield summed()
+        yield sent()
 
-    gram = F.pandas_udf(lambda a, b: pd.Series(longer(a.to_numpy(np.int64), b.to_numpy(np.int64))), "long")
-    return land(train.select("text").mapInPandas(count, "context long, suffix long, n long").groupBy("context", "suffix")
-                .agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT).withColumn("gram", gram("context", "suffix")), "lm-runs")
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        once = np.sort(np.concatenate([_unpacked(b) for b in frame["once"]]))
+        keys = np.concatenate([once[1:][once[1:] == once[:-1]], *[_unpacked(b) for b in frame["again"]]])
+        return _piece(int(frame["range"].iloc[0]), (keys >> np.uint64(_SENT_BITS - _FILTER_BITS)).astype(np.int64), range_bits)
+
+    return _gathered(train.select("text").mapInPandas(seen, "range int, once binary, again binary").groupBy("range")
+                     .applyInPandas(merged, "range int, bits binary"), range_bits)
+
+
+def _counted_runs(train: DataFrame, lengths: range, filters: list[bytes], range_bits: int) -> DataFrame:
+    """(length, gram, context, suffix, n) of the runs of `length` + 1 words in `train` that occur LEAST_COUNT times.
+
+    `filters` have those of each of the `lengths`. Runs are summed in the tasks before the shuffle.
+    """
+    shipped = ship(train.sparkSession, filters)
 
+    def summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        gram = longer(context, suffix).view(np.uint64)
+        order = np.argsort(gram)
+        gram = gram[order]
+        first = _firsts(gram)
+        return gram[first], context[order][first], suffix[order][first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filters, known = _opened_bits(shipped), _Hashes()
+        kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in filters]
+        size = 0
+
+        def sent() -> pd.DataFrame:
+            rows = []
+            for length, parts in zip(lengths, kept):
+                context, suffix = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+                gram, context, suffix, n = summed(context, suffix, np.ones(len(context), np.int64))
+                rows += [(length, which, context[at].tobytes(), suffix[at].tobytes(), _narrow(n[at])) for which, at in _by_range(gram, range_bits)]
+            return pd.DataFrame(rows, columns=["length", "range", "context", "suffix", "n"])
+
+        for frame in batches:
+            for _, _, word, _, place in _slices(frame, known):
+                keys = runs(word, min(lengths[-1] + 1, len(word)))
+                for length, bits, parts in zip(lengths, filters, kept):
+                    if length < len(keys):
+                        on = (place[length:] >= length) & _may_have(bits, keys[length])
+                        parts.append((keys[length - 1][:-1][on], keys[length - 1][1:][on]))
+                        size += len(parts[-1][0])
+                if size >= _FLUSH_KEYS:
+                    yield sent()
+                    kept, size = [[] for _ in filters], 0
+        yield sent()
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        gram, context, suffix, n = summed(*(np.concatenate([np.frombuffer(b, np.int64) for b in frame[c]]) for c in ("context", "suffix")),
+                                          np.concatenate([_widened(b) for b in frame["n"]]))
+        on = n >= LEAST_COUNT
+        return pd.DataFrame({"length": frame["length"].iloc[0], "gram": gram.view(np.int64)[on], "context": context[on], "suffix": suffix[on], "n": n[on]})
+
+    return (train.select("text").mapInPandas(count, "length int, range int, context binary, suffix binary, n binary").groupBy("length", "range")
+            .applyInPandas(merged, "length int, gram long, context long, suffix long, n long"))
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Files of a shuffle are deleted when its query has ended: all that is read again here is a written table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def _grown(tree: SuffixTree, counts: DataFrame, train: DataFrame, depth: int, keep: bool = True) -> tuple[SuffixTree, DataFrame, bytes]:
+    """(tree with its levels, (gram, add) of the runs that tasks are not sent, the filter of all runs that add); a pass over `train` a
+    level and two more. Unless they are to `keep`, the tables of the levels are deleted."""
+    spark, range_bits, done = train.sparkSession, _range_bits(tree.n), []
+
+    def landed(df: DataFrame, label: str) -> DataFrame:
+        if keep:
+            return land(df, label)
+        path, df = land_at(df, label)
+        done.append(path)
+        return df
 
-def _grown(tree: SuffixTree, counts: DataFrame, train: DataFrame, depth: int) -> tuple[SuffixTree, DataFrame, np.ndarray]:
-    """(tree with its levels, (gram, add) of the runs that tasks are not sent, their filter); one pass over `train` a level."""
     hashed = F.pandas_udf(lambda t: pd.Series(hashes([w.encode() for w in t], _Hashes())), "long")
-    below = land(counts.filter((F.col("n") >= LEAST_COUNT)).select(
+    below = landed(counts.filter((F.col("n") >= LEAST_COUNT)).select(
         hashed("token").alias("gram"), "n", (F.col("n") * ((1 - tree.unseen) / max(tree.n, 1))).alias("p")), "lm-words")
+    filters = [_filter(below, "gram", range_bits)]
+    for length in range(1, depth + 1):
+        filters.append(_met_twice(train, length, filters[-1], range_bits))
     for length in range(1, depth + 1):
-        counted = _counted_runs(train, length, below)
-        rows = counted.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
+        # Pairs take about as much disk as all longer runs; one or the other is there.
+        if length <= 2:
+            together = range(1, 2) if length == 1 else range(2, depth + 1)
+            counted_at, counted = land_at(_counted_runs(train, together, filters[together.start:together.stop], range_bits), "lm-runs", ["length"])
+            done.append(counted_at)
+        rows_at, rows = land_at(counted.filter(F.col("length") == length).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
+                                .select("context", "gram", "n", "under"), "lm-rows")
+        discard(spark, f"{counted_at}/length={length}")
         n, total, rest = F.col("n"), F.col("total"), 1 - F.col("listed") / F.col("total")
         gain = ((F.col("gain") - F.col("listed") * F.log(total)) / total
                 + F.when(rest > 1e-9, rest * F.log(rest / F.greatest(1 - F.col("under"), F.lit(1e-9)))).otherwise(0.0))
-        contexts = land(rows.groupBy("context").agg(F.sum("n").alias("listed"), F.count("*").alias("words"), F.sum("under").alias("under"),
+        contexts = landed(rows.groupBy("context").agg(F.sum("n").alias("listed"), F.count("*").alias("words"), F.sum("under").alias("under"),
                                                     F.sum(n * F.log(n / F.col("under"))).alias("gain"))
                         .join(below.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context")
                         .select("context", "total", F.greatest(1 - (F.col("listed") - DISCOUNT * F.col("words")) / total, F.lit(1e-12)).alias("spare"),
                                 ((gain >= LEAST_DIVERGENCE) & (gain * total >= LEAST_GAIN)).alias("retained")), "lm-contexts")
         own = (n - DISCOUNT) / total + F.col("spare") * F.col("under")
         # What is not retained has its suffix's probability, and nothing over it.
-        below = land(rows.join(contexts, "context").select(
+        below = landed(rows.join(contexts, "context").select(
             "gram", "n", F.when(F.col("retained"), own).otherwise(F.col("under")).alias("p"),
             F.when(F.col("retained"), F.log10(own) - F.log10("spare") - F.log10("under")).otherwise(0.0).alias("value")), "lm-level")
+        discard(spark, rows_at)
         if contexts.isEmpty():
             break
         sent = contexts.filter(total >= HEAD_SHARE * tree.n).select("total", "retained").toPandas()
@@ -268,12 +419,14 @@ def _grown(tree: SuffixTree, counts: DataFrame, train: DataFrame, depth: int) ->
     adds = [x for level in tree.levels for x in (
         level.entries.filter("value <> 0").select("gram", "n", "value", F.lit(0.0).alias("after")),
         level.contexts.filter("retained").select(F.col("context").alias("gram"), F.col("total").alias("n"), F.lit(0.0).alias("value"), F.log10("spare").alias("after")))]
-    none = train.sparkSession.createDataFrame([], "gram long, n long, value double, after double")
+    none = spark.createDataFrame([], "gram long, n long, value double, after double")
     every = land(reduce(DataFrame.unionByName, adds, none), "lm-adds")
+    for path in done:
+        discard(spark, path)
     sent = every.filter(F.col("n") >= HEAD_SHARE * tree.n).groupBy("gram").agg(F.sum("value").alias("value"), F.sum("after").alias("after")).toPandas().sort_values("gram")
     tree.key, tree.value, tree.after = sent["gram"].to_numpy(np.int64), sent["value"].to_numpy(np.float64), sent["after"].to_numpy(np.float64)
     left = every.filter(F.col("n") < HEAD_SHARE * tree.n).select("gram", (F.col("value") + F.col("after")).alias("add"))
-    return tree, left, _filter(left, "gram")
+    return tree, left, _filter(every, "gram", range_bits)
 
 
 def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
@@ -281,47 +434,88 @@ def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
 
     The driver gets what is sent to tasks only. Without texts the tree holds no word.
     """
-    tree, counts = _counted(texts)
-    tree, tree.left, tree.bits = _grown(tree, counts, texts, depth)
+    with _shuffles_dropped(texts.sparkSession):
+        tree, counts = _counted(texts)
+        tree, tree.left, tree.bits = _grown(tree, counts, texts, depth)
     return tree, counts
 
 
-def _scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, left: DataFrame, bits: np.ndarray, id_col: str, depth: int = DEPTH) -> DataFrame:
-    shipped = ship(docs.sparkSession, (SuffixTree(tree.vocabulary, tree.count, tree.n, tree.distinct, tree.once, [], tree.key, tree.value, tree.after), bits))
+def _scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, left: DataFrame, bits: bytes, id_col: str, depth: int = DEPTH) -> DataFrame:
+    shipped = ship(docs.sparkSession, SuffixTree(tree.vocabulary, tree.count, tree.n, tree.distinct, tree.once, [], tree.key, tree.value, tree.after))
+    shipped_bits, range_bits = ship(docs.sparkSession, [bits]), _range_bits(tree.n)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (model, bits), hashed = opened(shipped), _Hashes()
+        model, (bits,), hashed = opened(shipped), _opened_bits(shipped_bits), _Hashes()
         add = model.value + model.after
         log_base, log_root = np.log10(model.base(model.count)), np.log10(model.root(model.count))
+        left, whose, size, some = [], [], 0, None
+
+        def sent() -> pd.DataFrame:
+            """Distinct runs by hash range, how often each occurs, and in which rows, counted from the first of them; any id."""
+            keys, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, whose))
+            keys, base = keys.view(np.uint64), of.min(initial=np.iinfo(np.int64).max)
+            order = np.argsort(keys)
+            keys, of, rows = keys[order], of[order] - base, []
+            for which, at in _by_range(keys, range_bits):
+                first = _firsts(keys[at])
+                rows.append((which, base, some, _packed(keys[at][first]), _narrow(np.diff(first, append=at.stop - at.start)), _narrow(of[at])))
+            return pd.DataFrame(rows, columns=["range", "row", "id", "keys", "times", "whose"]).reindex(columns=columns)
+
         for frame in batches:
             for rows, words, word, of, place in _slices(frame, hashed):
-                n, number = len(rows), model.numbers(words)
+                n, number, row = len(rows), model.numbers(words), rows["row"].to_numpy(np.int64)
                 known = number >= 0
                 total = np.bincount(of[known], log_root[number[known]], n)
-                whose, left = [], []
                 for length, keys in enumerate(runs(word, min(depth + 1, len(word)))):
-                    inside = place[length:] >= length
+                    inside = (place[length:] >= length) & _may_have(bits, keys)
                     keys, of_run = keys[inside], of[length:][inside]
                     at = model.find(keys)
                     total += np.bincount(of_run[at >= 0], add[at[at >= 0]], n)
-                    other = (at < 0) & _may_have(bits, keys)
-                    whose.append(of_run[other])
-                    left.append(keys[other])
-                whose = np.concatenate(whose)
-                order = np.argsort(whose, kind="stable")
-                parted = np.split(np.concatenate(left)[order], np.cumsum(np.bincount(whose, minlength=n))[:-1])
+                    whose.append(row[of_run[at < 0]])
+                    left.append(keys[at < 0])
+                    size += len(left[-1])
                 # Without any training text the end has no number; it is counted as unseen below.
                 rare: list[list[bytes]] = [[] for _ in range(n)]
                 for i in np.flatnonzero(~known).tolist():
                     rare[of[i]].append(words[i])
+                some = rows["id"].iloc[0]
                 yield pd.DataFrame({
-                    "row": rows["row"].to_numpy(), "id": rows["id"].to_numpy(), "n_tokens": np.bincount(of, minlength=n),
+                    "range": row & ((1 << range_bits) - 1), "row": row, "id": rows["id"].to_numpy(), "n_tokens": np.bincount(of, minlength=n),
                     "n_known": np.bincount(of[known], minlength=n), "base_score": np.bincount(of[known], log_base[number[known]], n),
-                    "score": total, "rare": [b" ".join(r) for r in rare], "n_rare": np.bincount(of[~known], minlength=n), "left": parted})
+                    "score": total, "rare": [b" ".join(r) for r in rare], "n_rare": np.bincount(of[~known], minlength=n)}).reindex(columns=columns)
+                if size >= _FLUSH_KEYS:
+                    yield sent()
+                    left, whose, size = [], [], 0
+        yield sent()
 
     id_type = docs.schema["id"].dataType.simpleString()
-    parts = land(docs.select("row", "id", "text").mapInPandas(
-        score, f"row long, id {id_type}, n_tokens long, n_known long, base_score double, score double, rare binary, n_rare long, left array<long>"), "lm-parts")
+    told = f"row long, id {id_type}, n_tokens long, n_known long, base_score double, score double, rare binary, n_rare long"
+    of_rows = ["row", "id", "n_tokens", "n_known", "base_score", "score", "rare", "n_rare"]
+    columns = ["range", *of_rows, "keys", "times", "whose"]
+    sent = docs.select("row", "id", "text").mapInPandas(score, f"range int, {told}, keys binary, times binary, whose binary")
+
+    def worth(adds: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        """The rows of this range as they are, and what its runs add to rows of any."""
+        gram, add = adds["gram"].to_numpy(np.int64).view(np.uint64), adds["add"].to_numpy(np.float64)
+        order = np.argsort(gram)
+        gram, add = gram[order], add[order]
+        first = _firsts(gram)
+        gram, add = np.append(gram[first], np.uint64(0)), np.append(np.add.reduceat(add, first) if len(first) else add, 0.0)
+        whole = sent["keys"].isna()
+        out = [sent.loc[whole, of_rows]]
+        for base, some, keys, times, whose in sent.loc[~whole, ["row", "id", "keys", "times", "whose"]].itertuples(index=False):
+            keys, times, of = _unpacked(keys), _widened(times), _widened(whose)
+            at = np.searchsorted(gram[:-1], keys)
+            met = np.repeat((gram[at] == keys) & (at < len(gram) - 1), times)
+            value = np.bincount(of[met], np.repeat(add[at], times)[met])
+            found = np.flatnonzero(np.bincount(of[met]))
+            out.append(pd.DataFrame({"row": found + base, "id": some, "add": value[found]}))
+        return pd.concat(out).reindex(columns=[*of_rows, "add"])
+
+    dealt = left.select(F.shiftrightunsigned("gram", 64 - range_bits).cast("int").alias("range"), "gram", "add")
+    written = land(dealt.groupBy("range").cogroup(sent.groupBy("range")).applyInPandas(worth, f"{told}, add double"), "lm-parts")
+    parts = written.filter("n_tokens IS NOT NULL").drop("add")
+    met = written.filter("n_tokens IS NULL").groupBy("row").agg(F.sum("add").alias("run_score"))
     n = F.coalesce(F.col("n"), F.lit(0))
     root = F.when(n > 0, n * ((1 - tree.unseen) / max(tree.n, 1))).otherwise(tree.unseen)
     base = (n + BASE_ADD) / (tree.n + BASE_ADD * (tree.distinct + 1))
@@ -329,8 +523,7 @@ def _scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, left: DataFram
     rare = (parts.filter("n_rare > 0").select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("token"))
             .join(counts, "token", "left").groupBy("row")
             .agg(F.count_if(n > 0).alias("more_known"), F.sum(F.log10(base)).alias("more_base"), F.sum(F.log10(root)).alias("more_score")))
-    met = (parts.select("row", F.explode("left").alias("gram")).join(left, "gram").groupBy("row").agg(F.sum("add").alias("run_score")))
-    whole = parts.drop("rare", "n_rare", "left").join(rare, "row", "left").join(met, "row", "left")
+    whole = parts.drop("rare", "n_rare").join(rare, "row", "left").join(met, "row", "left")
 
     def plus(name: str, more: list[str], kind: str) -> Column:
         return reduce(Column.__add__, [F.coalesce(F.col(m), F.lit(0)) for m in more], F.col(name)).cast(kind).alias(name)
@@ -350,7 +543,8 @@ def scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "
     Common words and runs are scored in the tasks; a document's other words and runs are joined with their counts and values. A NULL text is an empty one,
     which is the end token alone. Repeated rows and ids repeat their results; an empty table gives no rows.
     """
-    return _scored(_rows(docs, id_col, text_col, F.lit(False)), tree, counts, tree.left, tree.bits, id_col)
+    with _shuffles_dropped(docs.sparkSession):
+        return _scored(_rows(docs, id_col, text_col, F.lit(False)), tree, counts, tree.left, tree.bits, id_col)
 
 
 def learn_and_score(docs: DataFrame, held_out: Callable[[str], Column], id_col: str = "doc_id", text_col: str = "text",
@@ -358,9 +552,10 @@ def learn_and_score(docs: DataFrame, held_out: Callable[[str], Column], id_col:
     """`scored` with train_tokens added, learnt from the rows that `held_out` (id column name -> boolean) leaves."""
     rows = _rows(docs, id_col, text_col, ~held_out(id_col))
     train = rows.filter("train").select("text")
-    tree, counts = _counted(train)
-    tree, left, bits = _grown(tree, counts, train, depth)
-    return _scored(rows, tree, counts, left, bits, id_col).withColumn("train_tokens", F.lit(tree.n).cast("long"))
+    with _shuffles_dropped(docs.sparkSession):
+        tree, counts = _counted(train)
+        tree, left, bits = _grown(tree, counts, train, depth, keep=False)
+        return _scored(rows, tree, counts, left, bits, id_col).withColumn("train_tokens", F.lit(tree.n).cast("long"))
 
 
 @query("op5_suffix_tree")

@@ -79,3 +79,86 @@ def test_rare_contexts_stay_in_a_large_corpus(spark, documents):
         documents([*rows, (2000, "ab cd ef gh")]), lambda name: F.col(name) == 2000).collect()}
     # 5 in 300,000 tokens: under the base model each word costs about 4.8, after its context nearly nothing.
     assert got[2000] > 10
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(2)
+    for keys in (rng.integers(0, 1 << 63, 5000), rng.integers(0, 1 << 10, 5000), np.array([1 << 62]), np.zeros(0, np.int64), np.array([0, (1 << 63) - 1])):
+        keys = np.sort(keys.astype(np.uint64) << np.uint64(1))
+        assert np.array_equal(suffix_tree._unpacked(suffix_tree._packed(keys)), keys)
+    assert suffix_tree._widened(suffix_tree._narrow(np.array([0, 70_000]))).tolist() == [0, 70_000]
+
+
+def plain_scores(texts, rows, add=suffix_tree.DISCOUNT):
+    """log10 probabilities of `rows` by a tree of dictionaries learnt from `texts`."""
+    said = [tokens(t.encode()) for t in texts]
+    counts = [Counter(tuple(w[i:i + k]) for w in said for i in range(len(w) - k + 1)) for k in range(1, suffix_tree.DEPTH + 2)]
+    n = sum(counts[0].values())
+    unseen = (sum(c == 1 for c in counts[0].values()) + 1) / (n + 2)
+    p = {g: c * (1 - unseen) / n for g, c in counts[0].items()}
+    value, after = {}, {}
+    for level in counts[1:]:
+        listed = {}
+        for g, c in level.items():
+            if c >= suffix_tree.LEAST_COUNT:
+                listed.setdefault(g[:-1], {})[g] = c
+        for context, next_words in listed.items():
+            total, under = counts[len(context) - 1][context], sum(p[g[1:]] for g in next_words)
+            rest = 1 - sum(next_words.values()) / total
+            gain = sum(c / total * math.log(c / total / p[g[1:]]) for g, c in next_words.items())
+            gain += rest * math.log(rest / max(1 - under, 1e-9)) if rest > 1e-9 else 0
+            spare = max(1 - (sum(next_words.values()) - add * len(next_words)) / total, 1e-12)
+            kept = gain >= suffix_tree.LEAST_DIVERGENCE and gain * total >= suffix_tree.LEAST_GAIN
+            for g, c in next_words.items():
+                p[g] = (c - add) / total + spare * p[g[1:]] if kept else p[g[1:]]
+                value[g] = math.log10(p[g] / spare / p[g[1:]]) if kept else 0
+            if kept:
+                after[context] = math.log10(spare)
+
+    def score(words):
+        out = 0.0
+        for i, w in enumerate(words):
+            out += math.log10(p.get((w,), unseen))
+            for k in range(1, suffix_tree.DEPTH + 1):
+                out += value.get(tuple(words[i - k:i + 1]), 0) if i >= k else 0
+                out += after.get(tuple(words[i - k:i]), 0) if i >= k else 0
+        return out
+    return [score(tokens(t.encode())) for t in rows]
+
+
+@pytest.mark.parametrize("head", [suffix_tree.HEAD_SHARE, 3e-3])
+def test_scores_equal_a_plain_tree(spark, documents, monkeypatch, head):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 12, 200) * rng.integers(0, 3, 200)) + " a b c d e" for _ in range(60)]
+    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", head)
+    monkeypatch.setattr(suffix_tree, "_FLUSH_KEYS", 1000)
+    monkeypatch.setattr(suffix_tree, "_SLICE_WORDS", 700)
+    big = 1 << 60
+    got = {r["doc_id"]: r["score"] for r in learn_and_score(documents([(big + i, t) for i, t in enumerate(texts)]), lambda name: F.col(name) >= big + 50).collect()}
+    want = plain_scores(texts[:50], texts)
+    assert len(got) == 60 and all(got[big + i] == pytest.approx(w, abs=1e-8) for i, w in enumerate(want))
+
+
+def test_runs_that_occur_once_are_let_go_before_they_are_counted(spark):
+    once = [" ".join(f"w{(i * 1009 + j * j * 31 + j * 7) % 4001}" for j in range(3000)) for i in range(8)]
+    texts, bits = texts_of(spark, [*once, "a b c d", "a b c d"]), suffix_tree._FILTER_BITS
+    words = sorted({w for t in once for w in t.split()} | set("abcd"))
+    every = spark.createDataFrame([(int(h),) for h in suffix_tree.hashes([w.encode() for w in words], suffix_tree._Hashes())], "gram long")
+    found = suffix_tree._met_twice(texts, 1, suffix_tree._filter(every, "gram", 4), 4)
+    pairs = Counter(p for t in [*once, "a b c d", "a b c d"] for p in zip(t.split(), t.split()[1:]))
+    twice = [p for p, n in pairs.items() if n > 1]
+    rows = suffix_tree._counted_runs(texts, range(1, 2), [found], 4).collect()
+    held = np.unpackbits(np.frombuffer(suffix_tree.zlib.decompress(found), np.uint8)).sum()
+    assert len(pairs) > 10_000 and bits >= 20 and len(rows) == len(twice) and held <= len(twice) + 3
+    assert Counter(r["n"] for r in rows) == Counter(n for n in pairs.values() if n > 1)
+
+
+def test_tables_of_the_levels_are_deleted(spark, documents, prose):
+    from pathlib import Path
+
+    def written():
+        return {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("tallyrisk/lm-*")}
+
+    before = written()
+    learn_and_score(documents([(i, prose(i % 20, 60)) for i in range(60)]), lambda name: is_held_out(name, 10, 0)).count()
+    assert {name.rpartition("-")[0] for name in written() - before} == {"lm-counts", "lm-adds", "lm-parts"}
