@@ -34,7 +34,7 @@ def _six(*names):
 
 
 def _long(spark, sf_dir):
-    return W.scored(spark, sf_dir).unpivot(["seq", "split", "label"], ["score_a", "score_b"], "model", "score")
+    return W.with_scores(W.split_rows(spark, sf_dir)).unpivot(["split", "label"], ["score_a", "score_b"], "model", "score")
 
 
 _CURVES: dict[tuple, object] = {}

@@ -93,3 +93,19 @@ def test_starts_of_segments_share_passes_and_are_as_good(spark):
     assert (gap.argmin(1) == told["cluster"]).all() and np.isclose(gap.min(1).sum(), model.cost)
     same = spark.createDataFrame(pd.DataFrame({"x": [[1.0, 2.0]] * 40})).select(array_to_vector("x").alias("embedding"))
     assert CL.kmeans_segments(same, 3, 2).cost == 0
+
+
+def test_curves_do_not_order_the_whole_table(spark, tmp_path):
+    from tallyrisk.plans import workload as W
+
+    registry.load_all()
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "tallyrisk"
+    before = set(folder.glob("index-*"))
+    lean = registry.QUERIES["roc_auc"](spark, str(tmp_path)).collect()
+    ordered = sum(spark.read.parquet(str(p)).count() for p in set(folder.glob("index-*")) - before)
+    rows = W.split_rows(spark, str(tmp_path))
+    whole = W.transactions(spark, str(tmp_path)).drop("seq")
+    assert ordered < whole.count() / 50
+    assert rows.exceptAll(whole).count() == 0 and whole.exceptAll(rows).count() == 0
+    assert sorted(lean) == sorted(registry.QUERIES["roc_auc"](spark, "/root/testdata/sf0.001").collect())

@@ -91,3 +91,11 @@ def test_scan_orders_by_columns_or_keeps_its_own(spark, tmp_path):
     assert [r["a"] for r in scan_transactions(spark, f"{tmp_path}/t", order=["a"]).orderBy("seq").collect()] == list(range(50))
     spark.range(5).selectExpr("id + 100 seq", "0 Class").write.parquet(f"{tmp_path}/u")
     assert sorted(r["seq"] for r in scan_transactions(spark, f"{tmp_path}/u").collect()) == [100, 101, 102, 103, 104]
+
+
+def test_cuts_order_only_the_rows_tied_there(spark):
+    df = spark.range(997).selectExpr("id * 7919 % 997 AS id", "id * 7919 % 997 div 60 * 86400000000 AS moment", "id * 31 % 997 AS other").repartition(4)
+    plain = [r["id"] for r in df.orderBy("moment", "other").collect()]
+    want = {x: "train" if i < 697 else "val" if i < 797 else "test" for i, x in enumerate(plain)}
+    assert {r["id"]: r["split"] for r in S.time_split(df, seq="moment", ties=["other"]).collect()} == want
+    assert S.value_at(df, 0, "moment") == (0, 0) and S.value_at(df, 996, "moment") == (16 * 86400000000, 960)
