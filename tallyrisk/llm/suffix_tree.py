@@ -46,6 +46,8 @@ END = b""  # no word is empty, so the end token is
 _FLUSH_WORDS, _FLUSH_KEYS, _SLICE_WORDS = 300_000, 1 << 21, 1 << 18
 # Bits of a filter's cells and of what is sent of a run in the first pass; tokens for which there is one hash range more.
 _FILTER_BITS, _SENT_BITS, _RANGE_TOKENS = 28, 48, 1 << 20
+# Documents are scored in so many parts, one after another: the disk holds the runs of one.
+_PARTS = 2
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -309,12 +311,12 @@ def _met_twice(train: DataFrame, length: int, below: bytes, range_bits: int) ->
                      .applyInPandas(merged, "range int, bits binary"), range_bits)
 
 
-def _counted_runs(train: DataFrame, lengths: range, filters: list[bytes], range_bits: int) -> DataFrame:
-    """(length, gram, context, suffix, n) of the runs of `length` + 1 words in `train` that occur LEAST_COUNT times.
+def _counted_runs(train: DataFrame, length: int, twice: bytes, range_bits: int) -> DataFrame:
+    """(gram, context, suffix, n) of the runs of `length` + 1 words in `train` that occur LEAST_COUNT times; the filter `twice` has them.
 
-    `filters` have those of each of the `lengths`. Runs are summed in the tasks before the shuffle.
+    Runs are summed in the tasks before the shuffle.
     """
-    shipped = ship(train.sparkSession, filters)
+    shipped = ship(train.sparkSession, [twice])
 
     def summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         gram = longer(context, suffix).view(np.uint64)
@@ -324,39 +326,35 @@ def _counted_runs(train: DataFrame, lengths: range, filters: list[bytes], range_
         return gram[first], context[order][first], suffix[order][first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filters, known = _opened_bits(shipped), _Hashes()
-        kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in filters]
-        size = 0
+        (bits,), known = _opened_bits(shipped), _Hashes()
+        kept, size = [], 0
 
         def sent() -> pd.DataFrame:
-            rows = []
-            for length, parts in zip(lengths, kept):
-                context, suffix = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
-                gram, context, suffix, n = summed(context, suffix, np.ones(len(context), np.int64))
-                rows += [(length, which, context[at].tobytes(), suffix[at].tobytes(), _narrow(n[at])) for which, at in _by_range(gram, range_bits)]
-            return pd.DataFrame(rows, columns=["length", "range", "context", "suffix", "n"])
+            context, suffix = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 2
+            gram, context, suffix, n = summed(context, suffix, np.ones(len(context), np.int64))
+            rows = [(which, context[at].tobytes(), suffix[at].tobytes(), _narrow(n[at])) for which, at in _by_range(gram, range_bits)]
+            return pd.DataFrame(rows, columns=["range", "context", "suffix", "n"])
 
         for frame in batches:
             for _, _, word, _, place in _slices(frame, known):
-                keys = runs(word, min(lengths[-1] + 1, len(word)))
-                for length, bits, parts in zip(lengths, filters, kept):
-                    if length < len(keys):
-                        on = (place[length:] >= length) & _may_have(bits, keys[length])
-                        parts.append((keys[length - 1][:-1][on], keys[length - 1][1:][on]))
-                        size += len(parts[-1][0])
+                keys = runs(word, min(length + 1, len(word)))
+                if length < len(keys):
+                    on = (place[length:] >= length) & _may_have(bits, keys[length])
+                    kept.append((keys[length - 1][:-1][on], keys[length - 1][1:][on]))
+                    size += len(kept[-1][0])
                 if size >= _FLUSH_KEYS:
                     yield sent()
-                    kept, size = [[] for _ in filters], 0
+                    kept, size = [], 0
         yield sent()
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         gram, context, suffix, n = summed(*(np.concatenate([np.frombuffer(b, np.int64) for b in frame[c]]) for c in ("context", "suffix")),
                                           np.concatenate([_widened(b) for b in frame["n"]]))
         on = n >= LEAST_COUNT
-        return pd.DataFrame({"length": frame["length"].iloc[0], "gram": gram.view(np.int64)[on], "context": context[on], "suffix": suffix[on], "n": n[on]})
+        return pd.DataFrame({"gram": gram.view(np.int64)[on], "context": context[on], "suffix": suffix[on], "n": n[on]})
 
-    return (train.select("text").mapInPandas(count, "length int, range int, context binary, suffix binary, n binary").groupBy("length", "range")
-            .applyInPandas(merged, "length int, gram long, context long, suffix long, n long"))
+    return (train.select("text").mapInPandas(count, "range int, context binary, suffix binary, n binary").groupBy("range")
+            .applyInPandas(merged, "gram long, context long, suffix long, n long"))
 
 
 @contextmanager
@@ -372,8 +370,8 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 
 
 def _grown(tree: SuffixTree, counts: DataFrame, train: DataFrame, depth: int, keep: bool = True) -> tuple[SuffixTree, DataFrame, bytes]:
-    """(tree with its levels, (gram, add) of the runs that tasks are not sent, the filter of all runs that add); a pass over `train` a
-    level and two more. Unless they are to `keep`, the tables of the levels are deleted."""
+    """(tree with its levels, (gram, add) of the runs that tasks are not sent, the filter of all runs that add); two passes over `train`
+    a level. Unless they are to `keep`, the tables of the levels are deleted."""
     spark, range_bits, done = train.sparkSession, _range_bits(tree.n), []
 
     def landed(df: DataFrame, label: str) -> DataFrame:
@@ -390,14 +388,10 @@ def _grown(tree: SuffixTree, counts: DataFrame, train: DataFrame, depth: int, ke
     for length in range(1, depth + 1):
         filters.append(_met_twice(train, length, filters[-1], range_bits))
     for length in range(1, depth + 1):
-        # Pairs take about as much disk as all longer runs; one or the other is there.
-        if length <= 2:
-            together = range(1, 2) if length == 1 else range(2, depth + 1)
-            counted_at, counted = land_at(_counted_runs(train, together, filters[together.start:together.stop], range_bits), "lm-runs", ["length"])
-            done.append(counted_at)
-        rows_at, rows = land_at(counted.filter(F.col("length") == length).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
+        counted_at, counted = land_at(_counted_runs(train, length, filters[length], range_bits), "lm-runs")
+        rows_at, rows = land_at(counted.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
                                 .select("context", "gram", "n", "under"), "lm-rows")
-        discard(spark, f"{counted_at}/length={length}")
+        discard(spark, counted_at)
         n, total, rest = F.col("n"), F.col("total"), 1 - F.col("listed") / F.col("total")
         gain = ((F.col("gain") - F.col("listed") * F.log(total)) / total
                 + F.when(rest > 1e-9, rest * F.log(rest / F.greatest(1 - F.col("under"), F.lit(1e-9)))).otherwise(0.0))
@@ -480,7 +474,7 @@ def _scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, left: DataFram
                     rare[of[i]].append(words[i])
                 some = rows["id"].iloc[0]
                 yield pd.DataFrame({
-                    "range": row & ((1 << range_bits) - 1), "row": row, "id": rows["id"].to_numpy(), "n_tokens": np.bincount(of, minlength=n),
+                    "range": row // _PARTS & ((1 << range_bits) - 1), "row": row, "id": rows["id"].to_numpy(), "n_tokens": np.bincount(of, minlength=n),
                     "n_known": np.bincount(of[known], minlength=n), "base_score": np.bincount(of[known], log_base[number[known]], n),
                     "score": total, "rare": [b" ".join(r) for r in rare], "n_rare": np.bincount(of[~known], minlength=n)}).reindex(columns=columns)
                 if size >= _FLUSH_KEYS:
@@ -492,7 +486,8 @@ def _scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, left: DataFram
     told = f"row long, id {id_type}, n_tokens long, n_known long, base_score double, score double, rare binary, n_rare long"
     of_rows = ["row", "id", "n_tokens", "n_known", "base_score", "score", "rare", "n_rare"]
     columns = ["range", *of_rows, "keys", "times", "whose"]
-    sent = docs.select("row", "id", "text").mapInPandas(score, f"range int, {told}, keys binary, times binary, whose binary")
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(_PARTS))
+    numbered = docs.select((F.col("row") * _PARTS + part).alias("row"), "id", "text", part.alias("part"))
 
     def worth(adds: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         """The rows of this range as they are, and what its runs add to rows of any."""
@@ -513,7 +508,10 @@ def _scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, left: DataFram
         return pd.concat(out).reindex(columns=[*of_rows, "add"])
 
     dealt = left.select(F.shiftrightunsigned("gram", 64 - range_bits).cast("int").alias("range"), "gram", "add")
-    written = land(dealt.groupBy("range").cogroup(sent.groupBy("range")).applyInPandas(worth, f"{told}, add double"), "lm-parts")
+    written = reduce(DataFrame.unionByName, [
+        land(dealt.groupBy("range").cogroup(
+            numbered.filter(F.col("part") == i).drop("part").mapInPandas(score, f"range int, {told}, keys binary, times binary, whose binary")
+            .groupBy("range")).applyInPandas(worth, f"{told}, add double"), "lm-parts") for i in range(_PARTS)])
     parts = written.filter("n_tokens IS NOT NULL").drop("add")
     met = written.filter("n_tokens IS NULL").groupBy("row").agg(F.sum("add").alias("run_score"))
     n = F.coalesce(F.col("n"), F.lit(0))
