@@ -48,6 +48,10 @@ _FLUSH_WORDS, _FLUSH_KEYS, _SLICE_WORDS = 300_000, 1 << 21, 1 << 18
 _FILTER_BITS, _SENT_BITS, _RANGE_TOKENS = 28, 48, 1 << 20
 # Documents are scored in so many parts, one after another: the disk holds the runs of one.
 _PARTS = 2
+# Training tokens from which a context is hot: its places are dealt by longer contexts.
+_HOT_TOKENS = 1 << 20
+# In place of a word's number: one without that may occur LEAST_COUNT times, and one that does not.
+_RARE, _NONE = -2, -1
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -90,6 +94,14 @@ def runs(word: np.ndarray, longest: int) -> list[np.ndarray]:
     return out
 
 
+def _places_of(among: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where `keys` are in sorted `among`; -1 for those that are not."""
+    if not len(among):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return np.where(among[at] == keys, at, -1)
+
+
 @dataclass
 class Level:
     """Contexts of one length. Tables: `entries` (gram, n, p, value) and `contexts` (context, total, spare, retained); the arrays
@@ -115,16 +127,22 @@ class SuffixTree:
     after: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def __post_init__(self):
-        self._number = None
+        self._number = self._hashes = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_number": None, "levels": []}
+        return {**self.__dict__, "_number": None, "_hashes": None, "levels": []}
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if self._number is None:
             self._number = _Numbers((w, i) for i, w in enumerate(self.vocabulary))
         return np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
 
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        """Hashes of numbered words; 0 for number -1."""
+        if self._hashes is None:
+            self._hashes = np.append(np.array([_Hashes()[w] for w in self.vocabulary], np.int64), 0)
+        return self._hashes[numbers]
+
     @property
     def unseen(self) -> float:
         """Probability of the class of words never seen."""
@@ -138,10 +156,7 @@ class SuffixTree:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of runs among those sent to tasks; -1 for others."""
-        if not len(self.key):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        return np.where(self.key[at] == keys, at, -1)
+        return _places_of(self.key, keys)
 
     def log_probabilities(self, words: np.ndarray) -> np.ndarray:
         """log10 of each numbered word's probability, by the runs sent to tasks; of one without number, without its root factor."""
@@ -178,8 +193,8 @@ def _counted(texts: DataFrame) -> tuple[SuffixTree, DataFrame]:
     return SuffixTree([t.encode() for t in frequent["token"]], frequent["n"].to_numpy(np.int64), n, distinct, once), counts
 
 
-def _slices(frame: pd.DataFrame, known: _Hashes) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of about _SLICE_WORDS words together: (rows, their words end to end, hashes, whose word each is, its place there)."""
+def _cut(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray, np.ndarray]]:
+    """Rows of about _SLICE_WORDS words together: (rows, their words end to end, whose word each is, its place there)."""
     words: list[bytes] = []
     sizes: list[int] = []
     for i, text in enumerate(frame["text"]):
@@ -189,10 +204,16 @@ def _slices(frame: pd.DataFrame, known: _Hashes) -> Iterator[tuple[pd.DataFrame,
         if len(words) >= _SLICE_WORDS or i == len(frame) - 1:
             of = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield frame.iloc[i + 1 - len(sizes):i + 1], words, hashes(words, known), of, place
+            yield frame.iloc[i + 1 - len(sizes):i + 1], words, of, place
             words, sizes = [], []
 
 
+def _slices(frame: pd.DataFrame, known: _Hashes) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """As `_cut`, with the words' hashes: (rows, words, hashes, whose, place)."""
+    for rows, words, of, place in _cut(frame):
+        yield rows, words, hashes(words, known), of, place
+
+
 def _range_bits(n: int) -> int:
     """Hash ranges are 2 to this power: in proportion to the tokens, so that no range grows with the input."""
     return min(max(int(n // _RANGE_TOKENS).bit_length(), 3), 16)
@@ -311,12 +332,13 @@ def _met_twice(train: DataFrame, length: int, below: bytes, range_bits: int) ->
                      .applyInPandas(merged, "range int, bits binary"), range_bits)
 
 
-def _counted_runs(train: DataFrame, length: int, twice: bytes, range_bits: int) -> DataFrame:
-    """(gram, context, suffix, n) of the runs of `length` + 1 words in `train` that occur LEAST_COUNT times; the filter `twice` has them.
+def _counted_runs(train: DataFrame, length: int, twice: bytes | None, range_bits: int, contexts: np.ndarray | None = None) -> DataFrame:
+    """(gram, context, suffix, n) of the runs of `length` + 1 words in `train` that occur LEAST_COUNT times; the filter `twice` has them,
+    or, without one, those under the sorted keys `contexts`.
 
     Runs are summed in the tasks before the shuffle.
     """
-    shipped = ship(train.sparkSession, [twice])
+    shipped = ship(train.sparkSession, [twice] if twice is not None else contexts)
 
     def summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         gram = longer(context, suffix).view(np.uint64)
@@ -326,7 +348,7 @@ def _counted_runs(train: DataFrame, length: int, twice: bytes, range_bits: int)
         return gram[first], context[order][first], suffix[order][first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (bits,), known = _opened_bits(shipped), _Hashes()
+        wanted, known = _opened_bits(shipped)[0] if twice is not None else opened(shipped), _Hashes()
         kept, size = [], 0
 
         def sent() -> pd.DataFrame:
@@ -339,7 +361,8 @@ def _counted_runs(train: DataFrame, length: int, twice: bytes, range_bits: int)
             for _, _, word, _, place in _slices(frame, known):
                 keys = runs(word, min(length + 1, len(word)))
                 if length < len(keys):
-                    on = (place[length:] >= length) & _may_have(bits, keys[length])
+                    on = place[length:] >= length
+                    on &= _may_have(wanted, keys[length]) if twice is not None else _places_of(wanted, keys[length - 1][:-1]) >= 0
                     kept.append((keys[length - 1][:-1][on], keys[length - 1][1:][on]))
                     size += len(kept[-1][0])
                 if size >= _FLUSH_KEYS:
@@ -369,54 +392,55 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
-def _grown(tree: SuffixTree, counts: DataFrame, train: DataFrame, depth: int, keep: bool = True) -> tuple[SuffixTree, DataFrame, bytes]:
-    """(tree with its levels, (gram, add) of the runs that tasks are not sent, the filter of all runs that add); two passes over `train`
-    a level. Unless they are to `keep`, the tables of the levels are deleted."""
-    spark, range_bits, done = train.sparkSession, _range_bits(tree.n), []
-
-    def landed(df: DataFrame, label: str) -> DataFrame:
-        if keep:
-            return land(df, label)
-        path, df = land_at(df, label)
-        done.append(path)
-        return df
-
+def _words(counts: DataFrame, tree: SuffixTree) -> DataFrame:
+    """(gram, n, p) of the words that occur LEAST_COUNT times."""
     hashed = F.pandas_udf(lambda t: pd.Series(hashes([w.encode() for w in t], _Hashes())), "long")
-    below = landed(counts.filter((F.col("n") >= LEAST_COUNT)).select(
-        hashed("token").alias("gram"), "n", (F.col("n") * ((1 - tree.unseen) / max(tree.n, 1))).alias("p")), "lm-words")
+    return counts.filter((F.col("n") >= LEAST_COUNT)).select(
+        hashed("token").alias("gram"), "n", (F.col("n") * ((1 - tree.unseen) / max(tree.n, 1))).alias("p"))
+
+
+def _level(counted: DataFrame, below: DataFrame, totals: DataFrame, landed: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(entries, contexts) of a `Level` from its counted runs, the entries of the level below and (context, total)."""
+    rows_at, rows = land_at(counted.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
+                            .select("context", "gram", "n", "under"), "lm-rows")
+    n, total, rest = F.col("n"), F.col("total"), 1 - F.col("listed") / F.col("total")
+    gain = ((F.col("gain") - F.col("listed") * F.log(total)) / total
+            + F.when(rest > 1e-9, rest * F.log(rest / F.greatest(1 - F.col("under"), F.lit(1e-9)))).otherwise(0.0))
+    contexts = landed(rows.groupBy("context").agg(F.sum("n").alias("listed"), F.count("*").alias("words"), F.sum("under").alias("under"),
+                                                F.sum(n * F.log(n / F.col("under"))).alias("gain"))
+                    .join(totals, "context")
+                    .select("context", "total", F.greatest(1 - (F.col("listed") - DISCOUNT * F.col("words")) / total, F.lit(1e-12)).alias("spare"),
+                            ((gain >= LEAST_DIVERGENCE) & (gain * total >= LEAST_GAIN)).alias("retained")), "lm-contexts")
+    own = (n - DISCOUNT) / total + F.col("spare") * F.col("under")
+    # What is not retained has its suffix's probability, and nothing over it.
+    entries = landed(rows.join(contexts, "context").select(
+        "gram", "n", F.when(F.col("retained"), own).otherwise(F.col("under")).alias("p"),
+        F.when(F.col("retained"), F.log10(own) - F.log10("spare") - F.log10("under")).otherwise(0.0).alias("value")), "lm-level")
+    discard(counted.sparkSession, rows_at)
+    return entries, contexts
+
+
+def _grown(tree: SuffixTree, counts: DataFrame, train: DataFrame, depth: int) -> tuple[SuffixTree, DataFrame, bytes]:
+    """(tree with its levels, (gram, add) of the runs that tasks are not sent, the filter of all runs that add); two passes over `train`
+    a level."""
+    spark, range_bits = train.sparkSession, _range_bits(tree.n)
+    below = land(_words(counts, tree), "lm-words")
     filters = [_filter(below, "gram", range_bits)]
     for length in range(1, depth + 1):
         filters.append(_met_twice(train, length, filters[-1], range_bits))
     for length in range(1, depth + 1):
         counted_at, counted = land_at(_counted_runs(train, length, filters[length], range_bits), "lm-runs")
-        rows_at, rows = land_at(counted.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
-                                .select("context", "gram", "n", "under"), "lm-rows")
+        below, contexts = _level(counted, below, below.select(F.col("gram").alias("context"), F.col("n").alias("total")), land)
         discard(spark, counted_at)
-        n, total, rest = F.col("n"), F.col("total"), 1 - F.col("listed") / F.col("total")
-        gain = ((F.col("gain") - F.col("listed") * F.log(total)) / total
-                + F.when(rest > 1e-9, rest * F.log(rest / F.greatest(1 - F.col("under"), F.lit(1e-9)))).otherwise(0.0))
-        contexts = landed(rows.groupBy("context").agg(F.sum("n").alias("listed"), F.count("*").alias("words"), F.sum("under").alias("under"),
-                                                    F.sum(n * F.log(n / F.col("under"))).alias("gain"))
-                        .join(below.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context")
-                        .select("context", "total", F.greatest(1 - (F.col("listed") - DISCOUNT * F.col("words")) / total, F.lit(1e-12)).alias("spare"),
-                                ((gain >= LEAST_DIVERGENCE) & (gain * total >= LEAST_GAIN)).alias("retained")), "lm-contexts")
-        own = (n - DISCOUNT) / total + F.col("spare") * F.col("under")
-        # What is not retained has its suffix's probability, and nothing over it.
-        below = landed(rows.join(contexts, "context").select(
-            "gram", "n", F.when(F.col("retained"), own).otherwise(F.col("under")).alias("p"),
-            F.when(F.col("retained"), F.log10(own) - F.log10("spare") - F.log10("under")).otherwise(0.0).alias("value")), "lm-level")
-        discard(spark, rows_at)
         if contexts.isEmpty():
             break
-        sent = contexts.filter(total >= HEAD_SHARE * tree.n).select("total", "retained").toPandas()
+        sent = contexts.filter(F.col("total") >= HEAD_SHARE * tree.n).select("total", "retained").toPandas()
         tree.levels.append(Level(below, contexts, sent["total"].to_numpy(np.float64), sent["retained"].to_numpy(bool)))
     adds = [x for level in tree.levels for x in (
         level.entries.filter("value <> 0").select("gram", "n", "value", F.lit(0.0).alias("after")),
         level.contexts.filter("retained").select(F.col("context").alias("gram"), F.col("total").alias("n"), F.lit(0.0).alias("value"), F.log10("spare").alias("after")))]
     none = spark.createDataFrame([], "gram long, n long, value double, after double")
     every = land(reduce(DataFrame.unionByName, adds, none), "lm-adds")
-    for path in done:
-        discard(spark, path)
     sent = every.filter(F.col("n") >= HEAD_SHARE * tree.n).groupBy("gram").agg(F.sum("value").alias("value"), F.sum("after").alias("after")).toPandas().sort_values("gram")
     tree.key, tree.value, tree.after = sent["gram"].to_numpy(np.int64), sent["value"].to_numpy(np.float64), sent["after"].to_numpy(np.float64)
     left = every.filter(F.col("n") < HEAD_SHARE * tree.n).select("gram", (F.col("value") + F.col("after")).alias("add"))
@@ -490,7 +514,7 @@ def _scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, left: DataFram
     numbered = docs.select((F.col("row") * _PARTS + part).alias("row"), "id", "text", part.alias("part"))
 
     def worth(adds: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
-        """The rows of this range as they are, and what its runs add to rows of any."""
+        """The rows of this range as they are, and what its runs add to the rows of each flush."""
         gram, add = adds["gram"].to_numpy(np.int64).view(np.uint64), adds["add"].to_numpy(np.float64)
         order = np.argsort(gram)
         gram, add = gram[order], add[order]
@@ -504,16 +528,373 @@ def _scored(docs: DataFrame, tree: SuffixTree, counts: DataFrame, left: DataFram
             met = np.repeat((gram[at] == keys) & (at < len(gram) - 1), times)
             value = np.bincount(of[met], np.repeat(add[at], times)[met])
             found = np.flatnonzero(np.bincount(of[met]))
-            out.append(pd.DataFrame({"row": found + base, "id": some, "add": value[found]}))
-        return pd.concat(out).reindex(columns=[*of_rows, "add"])
+            out.append(pd.DataFrame({"id": [some], "flush": [base], "whose": [_narrow(found)], "adds": [value[found].tobytes()]}))
+        return pd.concat(out).reindex(columns=[*of_rows, "flush", "whose", "adds"])
 
     dealt = left.select(F.shiftrightunsigned("gram", 64 - range_bits).cast("int").alias("range"), "gram", "add")
     written = reduce(DataFrame.unionByName, [
         land(dealt.groupBy("range").cogroup(
             numbered.filter(F.col("part") == i).drop("part").mapInPandas(score, f"range int, {told}, keys binary, times binary, whose binary")
-            .groupBy("range")).applyInPandas(worth, f"{told}, add double"), "lm-parts") for i in range(_PARTS)])
-    parts = written.filter("n_tokens IS NOT NULL").drop("add")
-    met = written.filter("n_tokens IS NULL").groupBy("row").agg(F.sum("add").alias("run_score"))
+            .groupBy("range")).applyInPandas(worth, f"{told}, flush long, whose binary, adds binary"), "lm-parts") for i in range(_PARTS)])
+    return _summed(written, tree, counts, id_col)
+
+
+def _run_ending(key: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the runs of `length` words that end at the places `at` of the words' hashes `key`."""
+    return key[at] if length == 1 else longer(_run_ending(key, at - 1, length - 1), _run_ending(key, at, length - 1))
+
+
+def _met(model: SuffixTree, bits: np.ndarray, words: list[bytes], known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(number, hash) of words: number -2 for those without one that may occur LEAST_COUNT times, -1 for those that do not."""
+    number = model.numbers(words)
+    key = model.hashes(number)
+    at = np.flatnonzero(number < 0)
+    key[at] = hashes([words[i] for i in at.tolist()], known)
+    number[at] = np.where(_may_have(bits, key[at]), _RARE, _NONE)
+    return number, key
+
+
+def _dealt(model: SuffixTree, number: np.ndarray, key: np.ndarray, place: np.ndarray, salt: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places that have a context, key of the shortest of their contexts that is not hot, how many are).
+
+    All longer contexts over the same word end with that one, so the first bits of its key deal whole subtrees. Where all contexts are hot, nothing is left
+    to count and the key is `salt`.
+    """
+    at = np.flatnonzero((place[1:] >= 1) & (number[:-1] != _NONE)) + 1
+    sub, hot = key[at - 1], np.zeros(len(at), np.int64)
+    more = np.flatnonzero(model.find(sub) >= 0)
+    hot[more] = 1
+    for length in range(2, depth + 1):
+        goes = place[at[more]] >= length
+        goes[goes] = number[at[more[goes]] - length] != _NONE
+        sub[more[~goes]] = salt
+        more = more[goes]
+        sub[more] = _run_ending(key, at[more] - 1, length)
+        more = more[model.find(sub[more]) >= 0]
+        hot[more] = length
+    sub[more] = salt
+    return at, sub, hot
+
+
+def _salt(row: int) -> int:
+    return int(longer(np.array([row]), np.array([row]))[0])
+
+
+def _in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each key, numbered in the keys' order; place of one key of each group)."""
+    order = np.argsort(keys)
+    first = _firsts(keys[order])
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
+    return group, order[first]
+
+
+def _asked(docs: DataFrame, shipped, entries: DataFrame, range_bits: int, depth: int) -> DataFrame:
+    """(range, gram, p, value) of the `entries` (gram, p, value) that the subtrees of each hash range take from outside: rare words that
+    occur LEAST_COUNT times in `train` rows of `docs` after the context a subtree starts with, and runs under its hot contexts."""
+    top = np.uint64(64 - range_bits)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (model, packed), known = opened(shipped), _Hashes()
+        (bits,) = _bits_of(shipped, packed)
+        kept, size, salt = [], 0, None
+
+        def sent() -> pd.DataFrame:
+            keys, sub, n = (np.concatenate(x) for x in zip(*kept))
+            keys, sub, n = _pairs(keys, sub, n)
+            rows = [(which, _packed(keys[on]), sub[on].tobytes(), _narrow(n[on])) for which, on in _by_range(keys, range_bits)]
+            return pd.DataFrame(rows, columns=["range", "keys", "sub", "n"])
+
+        for frame in batches:
+            for rows, words, of, place in _cut(frame):
+                number, key = _met(model, bits, words, known)
+                salt = _salt(int(rows["row"].iloc[0])) if salt is None else salt
+                at, sub, hot = _dealt(model, number, key, place, salt, depth)
+                on = (hot == 0) & (number[at] == _RARE) & rows["train"].to_numpy(bool)[of[at]]
+                kept.append((key[at[on]].view(np.uint64), sub[on].view(np.uint64), np.ones(int(on.sum()), np.int64)))
+                for length in range(1, int(hot.max(initial=0)) + 1):
+                    on = (hot >= length) & (number[at] != _NONE)
+                    # These are asked for however often they occur, once by a range.
+                    kept.append((_run_ending(key, at[on], length + 1).view(np.uint64), sub[on].view(np.uint64) >> top << top, np.full(int(on.sum()), LEAST_COUNT)))
+                size += len(words)
+                if size >= _FLUSH_KEYS:
+                    yield sent()
+                    kept, size, salt = [], 0, None
+        if kept:
+            yield sent()
+
+    def answered(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"range": [], "gram": [], "p": [], "value": []})
+        keys, sub, n = _pairs(np.concatenate([_unpacked(b) for b in asked["keys"]]), np.concatenate([np.frombuffer(b, np.uint64) for b in asked["sub"]]),
+                              np.concatenate([_widened(b) for b in asked["n"]]))
+        on = n >= LEAST_COUNT
+        keys, which, _ = _pairs(keys[on], sub[on] >> top, n[on])
+        entries = entries.sort_values("gram")
+        at = _places_of(entries["gram"].to_numpy(np.int64), keys.view(np.int64))
+        found = entries.iloc[at[at >= 0]]
+        return pd.DataFrame({"range": which[at >= 0].astype(np.int32), "gram": found["gram"].to_numpy(), "p": found["p"].to_numpy(), "value": found["value"].to_numpy()})
+
+    dealt = entries.select(F.shiftrightunsigned("gram", 64 - range_bits).cast("int").alias("range"), "gram", "p", "value")
+    asked = docs.select("row", "train", "text").mapInPandas(ask, "range int, keys binary, sub binary, n binary")
+    return dealt.groupBy("range").cogroup(asked.groupBy("range")).applyInPandas(answered, "range int, gram long, p double, value double")
+
+
+def _pairs(keys: np.ndarray, sub: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with their sums of n."""
+    order = np.lexsort((sub, keys))
+    keys, sub, n = keys[order], sub[order], n[order]
+    first = np.flatnonzero(np.r_[np.ones(min(len(keys), 1), bool), (keys[1:] != keys[:-1]) | (sub[1:] != sub[:-1])])
+    return keys[first], sub[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _bits_of(shipped, packed: list[bytes]) -> list[np.ndarray]:
+    """Filters, opened once per worker process."""
+    if not hasattr(shipped, "bits"):
+        shipped.bits = [np.frombuffer(zlib.decompress(b), np.uint8) for b in packed]
+    return shipped.bits
+
+
+def _body(number: list[np.ndarray], key: list[np.ndarray], whose: np.ndarray) -> bytes:
+    """Places of a hash range: numbers of the word and of those before it in planes of a byte each, hashes of rare words, rows."""
+    planes = [(n.astype(np.uint32)).view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() for n in number]
+    return zlib.compress(b"".join([*planes, *(k[n == _RARE].tobytes() for n, k in zip(number, key)), _narrow(whose)]), 1)
+
+
+def _opened_body(body: bytes, places: int, words: int, model: SuffixTree) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    body, number, key = zlib.decompress(body), [], []
+    for i in range(words):
+        wide = np.zeros((places, 4), np.uint8)
+        wide[:, :3] = np.frombuffer(body, np.uint8, 3 * places, 3 * places * i).reshape(3, places).T
+        n = wide.view(np.uint32).ravel().astype(np.int32)
+        number.append(np.where(n >= (1 << 24) + _RARE, n - (1 << 24), n))
+    start = 3 * places * words
+    for n in number:
+        rare = n == _RARE
+        key.append(model.hashes(np.maximum(n, -1)))
+        key[-1][rare] = np.frombuffer(body, np.int64, int(rare.sum()), start)
+        start += 8 * int(rare.sum())
+    return number, key, _widened(body[start:])
+
+
+def _worth(model: SuffixTree, number: list[np.ndarray], key: list[np.ndarray], train: np.ndarray, gram: np.ndarray, p_of: np.ndarray, value_of: np.ndarray) -> np.ndarray:
+    """What the contexts of each place add to the root's log10 probability of its word.
+
+    Of words and hashes the first is each place's own, the next the one before it, and so on. `gram`, sorted, has probability and value
+    of what is not counted here. Only places whose context has listed words are looked at with a longer one.
+    """
+    add, n_before = np.zeros(len(train)), len(number) - 1
+    p = model.root(model.count[np.maximum(number[0], 0)]) if len(model.count) else np.zeros(len(train))
+    rare = np.flatnonzero(number[0] == _RARE)
+    at = _places_of(gram, key[0][rare])
+    p[rare[at >= 0]] = p_of[at[at >= 0]]
+    here, listed = np.arange(len(train)), number[0] != _NONE
+    below_context, below_gram = None, key[0]
+    ending = {}  # by length: keys of the runs that end before the word before, for the context after next
+    for length in range(1, n_before + 1):
+        on = number[length][here] != _NONE
+        here, listed, below_gram = here[on], listed[on], below_gram[on]
+        if length == 1:
+            context = key[1][here]
+            gram_key = longer(context, below_gram)
+        else:
+            context = longer(_back(key, here, length, length - 1), below_context[on])
+            gram_key = longer(context, below_gram)
+        hot = model.find(context)
+        cold, goes = np.flatnonzero(hot < 0), np.ones(len(here), bool)
+        add[here[hot >= 0]] += model.after[hot[hot >= 0]]
+        asked = np.flatnonzero((hot >= 0) & listed)
+        at = _places_of(gram, gram_key[asked])
+        listed[asked[at < 0]] = False
+        asked, at = asked[at >= 0], at[at >= 0]
+        p[here[asked]] = p_of[at]
+        add[here[asked]] += value_of[at]
+
+        of, _ = _in_order(context[cold])
+        contexts = int(of.max(initial=-1)) + 1
+        total = np.bincount(of, train[here[cold]], contexts)
+        may = np.flatnonzero(listed[cold] & (total[of] >= LEAST_COUNT))
+        run, one = _in_order(gram_key[cold[may]])
+        n = np.bincount(run, train[here[cold[may]]], len(one))
+        under, under_of = p[here[cold[may]]][one], of[may][one]
+        often = n >= LEAST_COUNT
+        n, under, under_of, place = n[often], under[often], under_of[often], np.cumsum(often) - 1
+        words, said = np.bincount(under_of, minlength=contexts), np.bincount(under_of, n, contexts)
+        of_all = np.maximum(total, 1)
+        rest = 1 - said / of_all
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = (np.bincount(under_of, n * np.log(n / under), contexts) - said * np.log(of_all)) / of_all
+            gain += np.where(rest > 1e-9, rest * np.log(rest / np.maximum(1 - np.bincount(under_of, under, contexts), 1e-9)), 0.0)
+        spare = np.maximum(1 - (said - DISCOUNT * words) / of_all, 1e-12)
+        retained = (words > 0) & (gain >= LEAST_DIVERGENCE) & (gain * total >= LEAST_GAIN)
+        kept = retained[under_of]
+        own = np.where(kept, (n - DISCOUNT) / of_all[under_of] + spare[under_of] * under, under)
+        value = np.where(kept, np.log10(own) - np.log10(spare[under_of]) - np.log10(under), 0.0)
+        add[here[cold]] += np.where(retained, np.log10(spare), 0.0)[of]
+        listed[cold] = False
+        met = often[run]
+        listed[cold[may[met]]] = True
+        p[here[cold[may[met]]]] = own[place[run[met]]]
+        add[here[cold[may[met]]]] += value[place[run[met]]]
+        goes[cold] = words[of] > 0
+        here, listed, below_context, below_gram = here[goes], listed[goes], context[goes], gram_key[goes]
+    return add
+
+
+def _back(key: list[np.ndarray], here: np.ndarray, back: int, length: int) -> np.ndarray:
+    """Keys of the runs of `length` words that start `back` words before the places `here`."""
+    if length == 1:
+        return key[back][here]
+    return longer(_back(key, here, back, length - 1), _back(key, here, back - 1, length - 1))
+
+
+def _hot(tree: SuffixTree, words: DataFrame, train: DataFrame, range_bits: int, depth: int, landed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(gram, p, value) of what subtrees take from outside, see `_asked`; the tree gets its hot contexts and what each adds to the word after it.
+
+    A context is hot that occurs _HOT_TOKENS times: too often for a task. There are no more of them than DEPTH tokens in so many; they are grown a level at a time.
+    """
+    spark = train.sparkSession
+    entries = [words.filter(F.col("n") < VOCABULARY_SHARE * tree.n).select("gram", "p", F.lit(0.0).alias("value"))]
+    often = np.flatnonzero(tree.count >= _HOT_TOKENS)
+    hot, n, below = tree.hashes(often), tree.count[often], words
+    keys, after = [], []
+    for length in range(1, depth + 1):
+        if not len(hot):
+            break
+        order = np.argsort(hot)
+        hot, n = hot[order], n[order]
+        counted = landed(_counted_runs(train, length, None, range_bits, hot), "lm-runs")
+        totals = F.broadcast(spark.createDataFrame(pd.DataFrame({"context": hot, "total": n})))
+        below, contexts = _level(counted, below, totals, landed)
+        entries.append(below.select("gram", "p", "value"))
+        kept = contexts.filter("retained").select("context", F.log10("spare").alias("after")).toPandas()
+        at, adds = _places_of(hot, kept["context"].to_numpy(np.int64)), np.zeros(len(hot))
+        adds[at] = kept["after"].to_numpy(np.float64)
+        keys.append(hot)
+        after.append(adds)
+        longer_ones = below.filter(F.col("n") >= _HOT_TOKENS).select("gram", "n").toPandas()
+        hot, n = longer_ones["gram"].to_numpy(np.int64), longer_ones["n"].to_numpy(np.int64)
+    if keys:
+        tree.key, tree.after = np.concatenate(keys), np.concatenate(after)
+        order = np.argsort(tree.key)
+        tree.key, tree.after = tree.key[order], tree.after[order]
+    return reduce(DataFrame.unionByName, entries)
+
+
+def _scored_by_subtrees(docs: DataFrame, train: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str, depth: int) -> DataFrame:
+    """Learns from the rows of `docs` (row, train, id, text) that `train` is of, and scores all, each place with the subtree of its context."""
+    spark, range_bits, done = docs.sparkSession, _range_bits(tree.n), []
+
+    def landed(df: DataFrame, label: str) -> DataFrame:
+        path, df = land_at(df, label)
+        done.append(path)
+        return df
+
+    words = landed(_words(counts, tree), "lm-words")
+    entries = _hot(tree, words, train, range_bits, depth, landed)
+    shipped = ship(spark, (SuffixTree(tree.vocabulary, tree.count, tree.n, tree.distinct, tree.once, [], tree.key, tree.value, tree.after),
+                           [_filter(words, "gram", range_bits)]))
+    asked = land(_asked(docs, shipped, entries, range_bits, depth), "lm-adds")
+    for path in done:
+        discard(spark, path)
+
+    id_type = docs.schema["id"].dataType.simpleString()
+    of_rows = ["row", "id", "n_tokens", "n_known", "base_score", "score", "rare", "n_rare"]
+    told = f"row long, id {id_type}, n_tokens long, n_known long, base_score double, score double, rare binary, n_rare long"
+    columns = ["range", *of_rows, "flush", "places", "body"]
+
+    def send(part: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            (model, packed), known = opened(shipped), _Hashes()
+            (bits,) = _bits_of(shipped, packed)
+            log_base, log_root = np.log10(model.base(model.count)), np.log10(model.root(model.count))
+            kept, size, first, some = [], 0, None, None
+
+            def dealt() -> pd.DataFrame:
+                number, key, place, at, sub, whose = (np.concatenate(x) for x in zip(*kept))
+                order = np.argsort(sub, kind="stable")
+                at, sub, whose, rows = at[order], sub[order], whose[order], []
+                for which, on in _by_range(sub, range_bits):
+                    here = at[on]
+                    numbers, there = [number[here]], np.ones(len(here), bool)
+                    for back in range(1, depth + 1):
+                        there = there & (place[here] >= back)
+                        there[there] = number[here[there] - back] != _NONE
+                        numbers.append(np.where(there, number[here - back], _NONE))
+                    rows.append((which, first, some, len(here), _body(numbers, [key[here - back] for back in range(depth + 1)], whose[on])))
+                return pd.DataFrame(rows, columns=["range", "flush", "id", "places", "body"]).reindex(columns=columns)
+
+            for frame in batches:
+                for rows, words, of, place in _cut(frame):
+                    number, key = _met(model, bits, words, known)
+                    row, n = rows["row"].to_numpy(np.int64), len(rows)
+                    first, some = (int(row[0]), rows["id"].iloc[0]) if first is None else (first, some)
+                    at, sub, _ = _dealt(model, number, key, place, _salt(first), depth)
+                    sub = sub.view(np.uint64)
+                    on = (sub >> np.uint64(64 - range_bits)) % np.uint64(_PARTS) == part
+                    at, sub = at[on], sub[on]
+                    whose = (row[of[at]] - first) * 2 + rows["train"].to_numpy(np.int64)[of[at]]
+                    kept.append((number.astype(np.int32), key, place.astype(np.int32), at + size, sub, whose))
+                    size += len(words)
+                    if part == 0:
+                        known_words = number >= 0
+                        rare: list[list[bytes]] = [[] for _ in range(n)]
+                        for i in np.flatnonzero(~known_words).tolist():
+                            rare[of[i]].append(words[i])
+                        of_known, of_number = of[known_words], number[known_words]
+                        which = row & ((1 << range_bits) - 1)
+                        yield pd.DataFrame({
+                            "range": which - which % _PARTS, "row": row, "id": rows["id"].to_numpy(), "n_tokens": np.bincount(of, minlength=n),
+                            "n_known": np.bincount(of_known, minlength=n), "base_score": np.bincount(of_known, log_base[of_number], n),
+                            "score": np.bincount(of_known, log_root[of_number], n), "rare": [b" ".join(r) for r in rare],
+                            "n_rare": np.bincount(of[~known_words], minlength=n)}).reindex(columns=columns)
+                    if size >= _FLUSH_KEYS:
+                        yield dealt()
+                        kept, size, first = [], 0, None
+            if kept:
+                yield dealt()
+        return sent
+
+    def worth(asked: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        """Rows as they are; of what was sent of places, what they add to its rows."""
+        model, _ = opened(shipped)
+        whole = sent["places"].isna()
+        out, sent = [sent.loc[whole, of_rows]], sent.loc[~whole, ["flush", "id", "places", "body"]]
+        if len(sent):
+            places = sent["places"].to_numpy(np.int64)
+            bodies = [_opened_body(b, n, depth + 1, model) for b, n in zip(sent["body"], places.tolist())]
+            number, key = ([np.concatenate(x) for x in zip(*(b[i] for b in bodies))] for i in (0, 1))
+            whose = np.concatenate([b[2] for b in bodies])
+            del bodies
+            asked = asked.sort_values("gram")
+            add = _worth(model, number, key, (whose & 1).astype(np.float64), asked["gram"].to_numpy(np.int64), asked["p"].to_numpy(np.float64), asked["value"].to_numpy(np.float64))
+            rows = []
+            for flush, some, end, n in zip(sent["flush"], sent["id"], np.cumsum(places).tolist(), places.tolist()):
+                sums = np.bincount(whose[end - n:end] >> 1, add[end - n:end])
+                found = np.flatnonzero(sums)
+                rows.append((some, flush, _narrow(found), sums[found].tobytes()))
+            out.append(pd.DataFrame(rows, columns=["id", "flush", "whose", "adds"]))
+        return pd.concat(out).reindex(columns=[*of_rows, "flush", "whose", "adds"])
+
+    written = reduce(DataFrame.unionByName, [
+        land(asked.filter(F.col("range") % _PARTS == i).groupBy("range").cogroup(
+            docs.select("row", "id", "train", "text").mapInPandas(send(i), f"range int, {told}, flush long, places long, body binary")
+            .groupBy("range")).applyInPandas(worth, f"{told}, flush long, whose binary, adds binary"), "lm-parts") for i in range(_PARTS)])
+    return _summed(written, tree, counts, id_col)
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    """(row, run_score) of the rows of one flush."""
+    whose = np.concatenate([_widened(b) for b in frame["whose"]])
+    sums = np.bincount(whose, np.concatenate([np.frombuffer(b, np.float64) for b in frame["adds"]]))
+    found = np.unique(whose)
+    return pd.DataFrame({"row": found + int(frame["flush"].iloc[0]), "run_score": sums[found]})
+
+
+def _summed(written: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str) -> DataFrame:
+    """The scores of documents from their rows, what was added to the rows of each flush, and the counts of their rare words."""
+    parts = written.filter("n_tokens IS NOT NULL").drop("flush", "whose", "adds")
+    met = written.filter("n_tokens IS NULL").select("flush", "whose", "adds").groupBy("flush").applyInPandas(_added, "row long, run_score double")
     n = F.coalesce(F.col("n"), F.lit(0))
     root = F.when(n > 0, n * ((1 - tree.unseen) / max(tree.n, 1))).otherwise(tree.unseen)
     base = (n + BASE_ADD) / (tree.n + BASE_ADD * (tree.distinct + 1))
@@ -552,8 +933,7 @@ def learn_and_score(docs: DataFrame, held_out: Callable[[str], Column], id_col:
     train = rows.filter("train").select("text")
     with _shuffles_dropped(docs.sparkSession):
         tree, counts = _counted(train)
-        tree, left, bits = _grown(tree, counts, train, depth, keep=False)
-        return _scored(rows, tree, counts, left, bits, id_col).withColumn("train_tokens", F.lit(tree.n).cast("long"))
+        return _scored_by_subtrees(rows, train, tree, counts, id_col, depth).withColumn("train_tokens", F.lit(tree.n).cast("long"))
 
 
 @query("op5_suffix_tree")
