@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ LEAST_COUNT, DISCOUNT, LEAST_DIVERGENCE, LEAST_GAIN = 2, 0.5, 0.002, 10.0
 BASE_ADD = 0.1
 
 END = b""  # no word is empty, so the end token is
-_FLUSH_WORDS, _FLUSH_KEYS, _SLICE_WORDS = 300_000, 1 << 21, 1 << 18
+_FLUSH_WORDS, _FLUSH_KEYS, _SLICE_WORDS = 300_000, 1 << 20, 1 << 18
 # Bits of a filter's cells and of what is sent of a run in the first pass; tokens for which there is one hash range more.
 _FILTER_BITS, _SENT_BITS, _RANGE_TOKENS = 28, 48, 1 << 20
 # Documents are scored in so many parts, one after another: the disk holds the runs of one.
@@ -66,6 +67,14 @@ class _Numbers(dict):
         return -1
 
 
+class _Places(dict):
+    """Numbers words in the order they are met."""
+
+    def __missing__(self, word):
+        self[word] = place = len(self)
+        return place
+
+
 class _Hashes(dict):
     def __missing__(self, word):
         self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
@@ -544,14 +553,33 @@ def _run_ending(key: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return key[at] if length == 1 else longer(_run_ending(key, at - 1, length - 1), _run_ending(key, at, length - 1))
 
 
-def _met(model: SuffixTree, bits: np.ndarray, words: list[bytes], known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(number, hash) of words: number -2 for those without one that may occur LEAST_COUNT times, -1 for those that do not."""
-    number = model.numbers(words)
-    key = model.hashes(number)
-    at = np.flatnonzero(number < 0)
-    key[at] = hashes([words[i] for i in at.tolist()], known)
-    number[at] = np.where(_may_have(bits, key[at]), _RARE, _NONE)
-    return number, key
+class _Words:
+    """(number, hash) of words: number _RARE for those without one that may occur LEAST_COUNT times, _NONE for those that do not.
+
+    Each of up to _FLUSH_WORDS words is looked up once.
+    """
+
+    def __init__(self, model: SuffixTree, bits: np.ndarray):
+        self.model, self.bits = model, bits
+        self.forget()
+
+    def forget(self) -> None:
+        self.place, self.number, self.key = _Places(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.place) > _FLUSH_WORDS:
+            self.forget()
+        at, met = np.fromiter(map(self.place.__getitem__, words), np.int32, len(words)), len(self.number)
+        if len(self.place) > met:
+            new = list(islice(self.place, met, None))
+            number = self.model.numbers(new)
+            key = self.model.hashes(number)
+            unknown = np.flatnonzero(number < 0)
+            hashed = _Hashes()
+            key[unknown] = [hashed[new[i]] for i in unknown.tolist()]
+            number[unknown] = np.where(_may_have(self.bits, key[unknown]), _RARE, _NONE)
+            self.number, self.key = np.append(self.number, number.astype(np.int32)), np.append(self.key, key)
+        return self.number[at], self.key[at]
 
 
 def _dealt(model: SuffixTree, number: np.ndarray, key: np.ndarray, place: np.ndarray, salt: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -590,13 +618,13 @@ def _in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _asked(docs: DataFrame, shipped, entries: DataFrame, range_bits: int, depth: int) -> DataFrame:
-    """(range, gram, p, value) of the `entries` (gram, p, value) that the subtrees of each hash range take from outside: rare words that
+    """(range, and packed together gram, p, value) of the `entries` (gram, p, value) that the subtrees of each hash range take from outside: rare words that
     occur LEAST_COUNT times in `train` rows of `docs` after the context a subtree starts with, and runs under its hot contexts."""
     top = np.uint64(64 - range_bits)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (model, packed), known = opened(shipped), _Hashes()
-        (bits,) = _bits_of(shipped, packed)
+        model, head, _ = opened(shipped)
+        met = _Words(model, _bits_of(shipped))
         kept, size, salt = [], 0, None
 
         def sent() -> pd.DataFrame:
@@ -607,15 +635,17 @@ def _asked(docs: DataFrame, shipped, entries: DataFrame, range_bits: int, depth:
 
         for frame in batches:
             for rows, words, of, place in _cut(frame):
-                number, key = _met(model, bits, words, known)
+                number, key = met(words)
                 salt = _salt(int(rows["row"].iloc[0])) if salt is None else salt
                 at, sub, hot = _dealt(model, number, key, place, salt, depth)
                 on = (hot == 0) & (number[at] == _RARE) & rows["train"].to_numpy(bool)[of[at]]
                 kept.append((key[at[on]].view(np.uint64), sub[on].view(np.uint64), np.ones(int(on.sum()), np.int64)))
                 for length in range(1, int(hot.max(initial=0)) + 1):
-                    on = (hot >= length) & (number[at] != _NONE)
+                    on = np.flatnonzero((hot >= length) & (number[at] != _NONE))
+                    keys = _run_ending(key, at[on], length + 1)
+                    other = _places_of(head[0], keys) < 0
                     # These are asked for however often they occur, once by a range.
-                    kept.append((_run_ending(key, at[on], length + 1).view(np.uint64), sub[on].view(np.uint64) >> top << top, np.full(int(on.sum()), LEAST_COUNT)))
+                    kept.append((keys[other].view(np.uint64), sub[on[other]].view(np.uint64) >> top << top, np.full(int(other.sum()), LEAST_COUNT)))
                 size += len(words)
                 if size >= _FLUSH_KEYS:
                     yield sent()
@@ -624,20 +654,25 @@ def _asked(docs: DataFrame, shipped, entries: DataFrame, range_bits: int, depth:
             yield sent()
 
     def answered(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame({"range": [], "gram": [], "p": [], "value": []})
-        keys, sub, n = _pairs(np.concatenate([_unpacked(b) for b in asked["keys"]]), np.concatenate([np.frombuffer(b, np.uint64) for b in asked["sub"]]),
-                              np.concatenate([_widened(b) for b in asked["n"]]))
-        on = n >= LEAST_COUNT
-        keys, which, _ = _pairs(keys[on], sub[on] >> top, n[on])
-        entries = entries.sort_values("gram")
-        at = _places_of(entries["gram"].to_numpy(np.int64), keys.view(np.int64))
-        found = entries.iloc[at[at >= 0]]
-        return pd.DataFrame({"range": which[at >= 0].astype(np.int32), "gram": found["gram"].to_numpy(), "p": found["p"].to_numpy(), "value": found["value"].to_numpy()})
+        rows = []
+        if len(asked):
+            keys, sub, n = _pairs(np.concatenate([_unpacked(b) for b in asked["keys"]]), np.concatenate([np.frombuffer(b, np.uint64) for b in asked["sub"]]),
+                                  np.concatenate([_widened(b) for b in asked["n"]]))
+            on = n >= LEAST_COUNT
+            # Keys of a hash range share their first bits, so that signed and unsigned order are one.
+            entries = entries.sort_values("gram")
+            gram, p, value = entries["gram"].to_numpy(np.int64).view(np.uint64), entries["p"].to_numpy(np.float64), entries["value"].to_numpy(np.float64)
+            at = _places_of(gram, keys[on])
+            which, found, _ = _pairs(sub[on][at >= 0] >> top, at[at >= 0].astype(np.uint64), n[on][at >= 0])
+            first = _firsts(which)
+            for here, start, end in zip(which[first].tolist(), first.tolist(), [*first[1:].tolist(), len(which)]):
+                places = found[start:end].astype(np.int64)
+                rows.append((here, _packed(gram[places]), p[places].tobytes(), value[places].tobytes()))
+        return pd.DataFrame(rows, columns=["range", "gram", "p", "value"])
 
     dealt = entries.select(F.shiftrightunsigned("gram", 64 - range_bits).cast("int").alias("range"), "gram", "p", "value")
     asked = docs.select("row", "train", "text").mapInPandas(ask, "range int, keys binary, sub binary, n binary")
-    return dealt.groupBy("range").cogroup(asked.groupBy("range")).applyInPandas(answered, "range int, gram long, p double, value double")
+    return dealt.groupBy("range").cogroup(asked.groupBy("range")).applyInPandas(answered, "range int, gram binary, p binary, value binary")
 
 
 def _pairs(keys: np.ndarray, sub: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -648,33 +683,44 @@ def _pairs(keys: np.ndarray, sub: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return keys[first], sub[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _bits_of(shipped, packed: list[bytes]) -> list[np.ndarray]:
-    """Filters, opened once per worker process."""
+def _bits_of(shipped) -> np.ndarray:
+    """The filter that is last in a `ship`, opened once per worker process."""
     if not hasattr(shipped, "bits"):
-        shipped.bits = [np.frombuffer(zlib.decompress(b), np.uint8) for b in packed]
+        shipped.bits = np.frombuffer(zlib.decompress(opened(shipped)[-1]), np.uint8)
     return shipped.bits
 
 
 def _body(number: list[np.ndarray], key: list[np.ndarray], whose: np.ndarray) -> bytes:
     """Places of a hash range: numbers of the word and of those before it in planes of a byte each, hashes of rare words, rows."""
-    planes = [(n.astype(np.uint32)).view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() for n in number]
+    planes = [(n >> shift).astype(np.uint8).tobytes() for n in number for shift in (0, 8, 16)]
     return zlib.compress(b"".join([*planes, *(k[n == _RARE].tobytes() for n, k in zip(number, key)), _narrow(whose)]), 1)
 
 
-def _opened_body(body: bytes, places: int, words: int, model: SuffixTree) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    body, number, key = zlib.decompress(body), [], []
-    for i in range(words):
-        wide = np.zeros((places, 4), np.uint8)
-        wide[:, :3] = np.frombuffer(body, np.uint8, 3 * places, 3 * places * i).reshape(3, places).T
-        n = wide.view(np.uint32).ravel().astype(np.int32)
-        number.append(np.where(n >= (1 << 24) + _RARE, n - (1 << 24), n))
-    start = 3 * places * words
-    for n in number:
-        rare = n == _RARE
+def _opened_bodies(bodies: list[bytes], places: list[int], words: int, model: SuffixTree) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Numbers, hashes and rows of the places of some bodies, end to end."""
+    ends = np.cumsum(places).tolist()
+    number = [np.empty(sum(places), np.int32) for _ in range(words)]
+    rare: list[list[bytes]] = [[] for _ in range(words)]
+    whose = []
+    for body, end, size in zip(bodies, ends, places):
+        body, start = memoryview(zlib.decompress(body)), 3 * size * words
+        for i, all_of in enumerate(number):
+            low, middle, high = np.frombuffer(body, np.uint8, 3 * size, 3 * size * i).reshape(3, size)
+            n = all_of[end - size:end]
+            n[:] = high.view(np.int8)  # numbers are below 2 to the 23, so that the first bit is the sign
+            n <<= 8
+            n |= middle
+            n <<= 8
+            n |= low
+            many = 8 * int(np.count_nonzero(n == _RARE))
+            rare[i].append(body[start:start + many])
+            start += many
+        whose.append(_widened(body[start:]))
+    key = []
+    for n, hashed in zip(number, rare):
         key.append(model.hashes(np.maximum(n, -1)))
-        key[-1][rare] = np.frombuffer(body, np.int64, int(rare.sum()), start)
-        start += 8 * int(rare.sum())
-    return number, key, _widened(body[start:])
+        key[-1][n == _RARE] = np.frombuffer(b"".join(hashed), np.int64)
+    return number, key, np.concatenate(whose)
 
 
 def _worth(model: SuffixTree, number: list[np.ndarray], key: list[np.ndarray], train: np.ndarray, gram: np.ndarray, p_of: np.ndarray, value_of: np.ndarray) -> np.ndarray:
@@ -748,8 +794,10 @@ def _back(key: list[np.ndarray], here: np.ndarray, back: int, length: int) -> np
     return longer(_back(key, here, back, length - 1), _back(key, here, back - 1, length - 1))
 
 
-def _hot(tree: SuffixTree, words: DataFrame, train: DataFrame, range_bits: int, depth: int, landed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(gram, p, value) of what subtrees take from outside, see `_asked`; the tree gets its hot contexts and what each adds to the word after it.
+def _hot(tree: SuffixTree, words: DataFrame, train: DataFrame, range_bits: int, depth: int,
+         landed: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(gram, p, value) of what subtrees take from outside, see `_asked`, as a table, and in arrays those under hot contexts that make up HEAD_SHARE of
+    the tokens, which tasks are sent; the tree gets its hot contexts and what each adds to the word after it.
 
     A context is hot that occurs _HOT_TOKENS times: too often for a task. There are no more of them than DEPTH tokens in so many; they are grown a level at a time.
     """
@@ -758,6 +806,7 @@ def _hot(tree: SuffixTree, words: DataFrame, train: DataFrame, range_bits: int,
     often = np.flatnonzero(tree.count >= _HOT_TOKENS)
     hot, n, below = tree.hashes(often), tree.count[often], words
     keys, after = [], []
+    head = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
     for length in range(1, depth + 1):
         if not len(hot):
             break
@@ -766,7 +815,10 @@ def _hot(tree: SuffixTree, words: DataFrame, train: DataFrame, range_bits: int,
         counted = landed(_counted_runs(train, length, None, range_bits, hot), "lm-runs")
         totals = F.broadcast(spark.createDataFrame(pd.DataFrame({"context": hot, "total": n})))
         below, contexts = _level(counted, below, totals, landed)
-        entries.append(below.select("gram", "p", "value"))
+        common = F.col("n") >= HEAD_SHARE * tree.n
+        entries.append(below.filter(~common).select("gram", "p", "value"))
+        sent = below.filter(common).select("gram", "p", "value").toPandas()
+        head.append((sent["gram"].to_numpy(np.int64), sent["p"].to_numpy(np.float64), sent["value"].to_numpy(np.float64)))
         kept = contexts.filter("retained").select("context", F.log10("spare").alias("after")).toPandas()
         at, adds = _places_of(hot, kept["context"].to_numpy(np.int64)), np.zeros(len(hot))
         adds[at] = kept["after"].to_numpy(np.float64)
@@ -778,7 +830,9 @@ def _hot(tree: SuffixTree, words: DataFrame, train: DataFrame, range_bits: int,
         tree.key, tree.after = np.concatenate(keys), np.concatenate(after)
         order = np.argsort(tree.key)
         tree.key, tree.after = tree.key[order], tree.after[order]
-    return reduce(DataFrame.unionByName, entries)
+    head = [np.concatenate(x) for x in zip(*head)]
+    order = np.argsort(head[0])
+    return reduce(DataFrame.unionByName, entries), tuple(x[order] for x in head)
 
 
 def _scored_by_subtrees(docs: DataFrame, train: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str, depth: int) -> DataFrame:
@@ -791,9 +845,9 @@ def _scored_by_subtrees(docs: DataFrame, train: DataFrame, tree: SuffixTree, cou
         return df
 
     words = landed(_words(counts, tree), "lm-words")
-    entries = _hot(tree, words, train, range_bits, depth, landed)
+    entries, head = _hot(tree, words, train, range_bits, depth, landed)
     shipped = ship(spark, (SuffixTree(tree.vocabulary, tree.count, tree.n, tree.distinct, tree.once, [], tree.key, tree.value, tree.after),
-                           [_filter(words, "gram", range_bits)]))
+                           head, _filter(words, "gram", range_bits)))
     asked = land(_asked(docs, shipped, entries, range_bits, depth), "lm-adds")
     for path in done:
         discard(spark, path)
@@ -805,15 +859,18 @@ def _scored_by_subtrees(docs: DataFrame, train: DataFrame, tree: SuffixTree, cou
 
     def send(part: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            (model, packed), known = opened(shipped), _Hashes()
-            (bits,) = _bits_of(shipped, packed)
+            model, *_ = opened(shipped)
+            met = _Words(model, _bits_of(shipped))
             log_base, log_root = np.log10(model.base(model.count)), np.log10(model.root(model.count))
             kept, size, first, some = [], 0, None, None
 
             def dealt() -> pd.DataFrame:
                 number, key, place, at, sub, whose = (np.concatenate(x) for x in zip(*kept))
-                order = np.argsort(sub, kind="stable")
-                at, sub, whose, rows = at[order], sub[order], whose[order], []
+                # In the order of their subtrees as far as the first bits of the key tell, and as they came: that packs best.
+                low = np.uint64(max(len(sub), 1).bit_length())
+                sub = np.sort(sub >> low << low | np.arange(len(sub), dtype=np.uint64))
+                order = (sub & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+                at, whose, rows = at[order], whose[order], []
                 for which, on in _by_range(sub, range_bits):
                     here = at[on]
                     numbers, there = [number[here]], np.ones(len(here), bool)
@@ -826,7 +883,7 @@ def _scored_by_subtrees(docs: DataFrame, train: DataFrame, tree: SuffixTree, cou
 
             for frame in batches:
                 for rows, words, of, place in _cut(frame):
-                    number, key = _met(model, bits, words, known)
+                    number, key = met(words)
                     row, n = rows["row"].to_numpy(np.int64), len(rows)
                     first, some = (int(row[0]), rows["id"].iloc[0]) if first is None else (first, some)
                     at, sub, _ = _dealt(model, number, key, place, _salt(first), depth)
@@ -834,7 +891,7 @@ def _scored_by_subtrees(docs: DataFrame, train: DataFrame, tree: SuffixTree, cou
                     on = (sub >> np.uint64(64 - range_bits)) % np.uint64(_PARTS) == part
                     at, sub = at[on], sub[on]
                     whose = (row[of[at]] - first) * 2 + rows["train"].to_numpy(np.int64)[of[at]]
-                    kept.append((number.astype(np.int32), key, place.astype(np.int32), at + size, sub, whose))
+                    kept.append((number, key, place.astype(np.int32), at + size, sub, whose))
                     size += len(words)
                     if part == 0:
                         known_words = number >= 0
@@ -857,17 +914,16 @@ def _scored_by_subtrees(docs: DataFrame, train: DataFrame, tree: SuffixTree, cou
 
     def worth(asked: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         """Rows as they are; of what was sent of places, what they add to its rows."""
-        model, _ = opened(shipped)
+        model, head, _ = opened(shipped)
         whole = sent["places"].isna()
         out, sent = [sent.loc[whole, of_rows]], sent.loc[~whole, ["flush", "id", "places", "body"]]
         if len(sent):
             places = sent["places"].to_numpy(np.int64)
-            bodies = [_opened_body(b, n, depth + 1, model) for b, n in zip(sent["body"], places.tolist())]
-            number, key = ([np.concatenate(x) for x in zip(*(b[i] for b in bodies))] for i in (0, 1))
-            whose = np.concatenate([b[2] for b in bodies])
-            del bodies
-            asked = asked.sort_values("gram")
-            add = _worth(model, number, key, (whose & 1).astype(np.float64), asked["gram"].to_numpy(np.int64), asked["p"].to_numpy(np.float64), asked["value"].to_numpy(np.float64))
+            number, key, whose = _opened_bodies(sent["body"].tolist(), places.tolist(), depth + 1, model)
+            gram, p, value = (np.concatenate(x) for x in zip(head, *(
+                (_unpacked(g).view(np.int64), np.frombuffer(p), np.frombuffer(v)) for g, p, v in asked[["gram", "p", "value"]].itertuples(index=False))))
+            order = np.argsort(gram)
+            add = _worth(model, number, key, whose & 1, gram[order], p[order], value[order])
             rows = []
             for flush, some, end, n in zip(sent["flush"], sent["id"], np.cumsum(places).tolist(), places.tolist()):
                 sums = np.bincount(whose[end - n:end] >> 1, add[end - n:end])

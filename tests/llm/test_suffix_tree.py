@@ -165,12 +165,13 @@ def test_tables_of_the_levels_are_deleted(spark, documents, prose):
     assert kinds == {"lm-counts": 1, "lm-adds": 1, "lm-parts": suffix_tree._PARTS} and suffix_tree._PARTS > 1
 
 
-@pytest.mark.parametrize("hot, vocabulary", [(40, 5e-7), (250, 5e-7), (40, 3e-3), (1 << 20, 3e-3)])
-def test_hot_contexts_and_rare_words_score_as_a_plain_tree(spark, documents, monkeypatch, hot, vocabulary):
+@pytest.mark.parametrize("hot, vocabulary, head", [(40, 5e-7, 1e-6), (250, 5e-7, 2e-2), (40, 3e-3, 3e-3), (1 << 20, 3e-3, 1e-6)])
+def test_hot_contexts_and_rare_words_score_as_a_plain_tree(spark, documents, monkeypatch, hot, vocabulary, head):
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 9, 150) * rng.integers(0, 3, 150)) + " a b c d e" * (1 + i % 3) + f" r{i // 4} s t{i // 4}" for i in range(60)]
     monkeypatch.setattr(suffix_tree, "_HOT_TOKENS", hot)
     monkeypatch.setattr(suffix_tree, "VOCABULARY_SHARE", vocabulary)
+    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", head)
     monkeypatch.setattr(suffix_tree, "_FLUSH_KEYS", 1500)
     monkeypatch.setattr(suffix_tree, "_SLICE_WORDS", 700)
     got = {r["doc_id"]: r["score"] for r in learn_and_score(documents(list(enumerate(texts))), lambda name: F.col(name) >= 50).collect()}
