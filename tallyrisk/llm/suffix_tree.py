@@ -19,17 +19,16 @@ Two runs that share 48 bits pass too and are let go by that count. What is writt
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +45,15 @@ BASE_ADD = 0.1
 END = b""  # no word is empty, so the end token is
 _FLUSH_WORDS, _FLUSH_KEYS, _SLICE_WORDS = 300_000, 1 << 20, 1 << 18
 # Bits of a filter's cells and of what is sent of a run in the first pass; tokens for which there is one hash range more.
-_FILTER_BITS, _SENT_BITS, _RANGE_TOKENS = 28, 48, 1 << 20
+_FILTER_BITS, _SENT_BITS, _RANGE_TOKENS = 28, 48, 1 << 19
 # Documents are scored in so many parts, one after another: the disk holds the runs of one.
 _PARTS = 2
 # Training tokens from which a context is hot: its places are dealt by longer contexts.
-_HOT_TOKENS = 1 << 20
+_HOT_TOKENS = 1 << 19
 # In place of a word's number: one without that may occur LEAST_COUNT times, and one that does not.
 _RARE, _NONE = -2, -1
+# Bits of a word's hash by which tasks look up its number.
+_CELL_BITS = 20
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -67,25 +68,15 @@ class _Numbers(dict):
         return -1
 
 
-class _Places(dict):
-    """Numbers words in the order they are met."""
-
-    def __missing__(self, word):
-        self[word] = place = len(self)
-        return place
-
-
 class _Hashes(dict):
-    def __missing__(self, word):
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return value
+    """Hashes of words met; see `hashes`."""
 
 
-def hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
-    """64-bit hashes of words; `known` keeps those of up to _FLUSH_WORDS words."""
-    if len(known) > _FLUSH_WORDS:
-        known.clear()
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+def hashes(words: list[bytes], _known: _Hashes | None = None) -> np.ndarray:
+    """64-bit hashes of words (SipHash under a fixed key)."""
+    held = np.empty(len(words), object)
+    held[:] = words
+    return hash_array(held, categorize=False).view(np.int64)
 
 
 def longer(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -139,7 +130,14 @@ class SuffixTree:
         self._number = self._hashes = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_number": None, "_hashes": None, "levels": []}
+        return {**self.__dict__, "_number": None, "levels": []}
+
+    def light(self) -> SuffixTree:
+        """This tree for tasks that know words by their hashes only."""
+        self.hashes(np.zeros(0, np.int64))
+        out = SuffixTree([], self.count, self.n, self.distinct, self.once, [], self.key, self.value, self.after)
+        out._hashes = self._hashes
+        return out
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if self._number is None:
@@ -149,7 +147,7 @@ class SuffixTree:
     def hashes(self, numbers: np.ndarray) -> np.ndarray:
         """Hashes of numbered words; 0 for number -1."""
         if self._hashes is None:
-            self._hashes = np.append(np.array([_Hashes()[w] for w in self.vocabulary], np.int64), 0)
+            self._hashes = np.append(hashes(self.vocabulary), 0)
         return self._hashes[numbers]
 
     @property
@@ -341,9 +339,10 @@ def _met_twice(train: DataFrame, length: int, below: bytes, range_bits: int) ->
                      .applyInPandas(merged, "range int, bits binary"), range_bits)
 
 
-def _counted_runs(train: DataFrame, length: int, twice: bytes | None, range_bits: int, contexts: np.ndarray | None = None) -> DataFrame:
+def _counted_runs(train: DataFrame, length: int, twice: bytes | None, range_bits: int,
+                  contexts: np.ndarray | None = None, hot: frozenset[bytes] = frozenset()) -> DataFrame:
     """(gram, context, suffix, n) of the runs of `length` + 1 words in `train` that occur LEAST_COUNT times; the filter `twice` has them,
-    or, without one, those under the sorted keys `contexts`.
+    or, without one, those under the sorted keys `contexts`, of words in `hot`.
 
     Runs are summed in the tasks before the shuffle.
     """
@@ -357,7 +356,7 @@ def _counted_runs(train: DataFrame, length: int, twice: bytes | None, range_bits
         return gram[first], context[order][first], suffix[order][first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, known = _opened_bits(shipped)[0] if twice is not None else opened(shipped), _Hashes()
+        wanted = _opened_bits(shipped)[0] if twice is not None else opened(shipped)
         kept, size = [], 0
 
         def sent() -> pd.DataFrame:
@@ -366,13 +365,29 @@ def _counted_runs(train: DataFrame, length: int, twice: bytes | None, range_bits
             rows = [(which, context[at].tobytes(), suffix[at].tobytes(), _narrow(n[at])) for which, at in _by_range(gram, range_bits)]
             return pd.DataFrame(rows, columns=["range", "context", "suffix", "n"])
 
+        def over(words: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            on = place >= length
+            of_hot = np.fromiter(map(hot.__contains__, words), bool, len(words))
+            for back in range(1, length + 1):
+                on[back:] &= of_hot[:-back]
+            at = np.flatnonzero(on)
+            said = np.zeros(len(words), bool)
+            for back in range(length + 1):
+                said[at - back] = True
+            key = np.zeros(len(words), np.int64)
+            key[said] = hashes([words[i] for i in np.flatnonzero(said).tolist()])
+            at = at[_places_of(wanted, _run_ending(key, at - 1, length)) >= 0]
+            return _run_ending(key, at - 1, length), _run_ending(key, at, length)
+
         for frame in batches:
-            for _, _, word, _, place in _slices(frame, known):
-                keys = runs(word, min(length + 1, len(word)))
-                if length < len(keys):
-                    on = place[length:] >= length
-                    on &= _may_have(wanted, keys[length]) if twice is not None else _places_of(wanted, keys[length - 1][:-1]) >= 0
-                    kept.append((keys[length - 1][:-1][on], keys[length - 1][1:][on]))
+            for _, words, _, place in _cut(frame):
+                if twice is None:
+                    kept.append(over(words, place))
+                    size += len(kept[-1][0])
+                elif length < len(words):
+                    *_, keys, grams = runs(hashes(words), length + 1)
+                    on = (place[length:] >= length) & _may_have(wanted, grams)
+                    kept.append((keys[:-1][on], keys[1:][on]))
                     size += len(kept[-1][0])
                 if size >= _FLUSH_KEYS:
                     yield sent()
@@ -554,32 +569,35 @@ def _run_ending(key: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 class _Words:
-    """(number, hash) of words: number _RARE for those without one that may occur LEAST_COUNT times, _NONE for those that do not.
-
-    Each of up to _FLUSH_WORDS words is looked up once.
-    """
+    """(number, hash) of words: number _RARE for those without one that may occur LEAST_COUNT times, _NONE for those that do not."""
 
     def __init__(self, model: SuffixTree, bits: np.ndarray):
-        self.model, self.bits = model, bits
-        self.forget()
-
-    def forget(self) -> None:
-        self.place, self.number, self.key = _Places(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.bits, self.top = bits, np.uint64(64 - _CELL_BITS)
+        key = model.hashes(np.arange(len(model.count))).view(np.uint64)
+        self.number = np.append(np.argsort(key).astype(np.int32), np.int32(_NONE))
+        self.key = np.append(key[self.number[:-1]], np.uint64(0))
+        self.first = np.searchsorted(self.key[:-1] >> self.top, np.arange(1 << _CELL_BITS, dtype=np.uint64)).astype(np.int32)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.place) > _FLUSH_WORDS:
-            self.forget()
-        at, met = np.fromiter(map(self.place.__getitem__, words), np.int32, len(words)), len(self.number)
-        if len(self.place) > met:
-            new = list(islice(self.place, met, None))
-            number = self.model.numbers(new)
-            key = self.model.hashes(number)
-            unknown = np.flatnonzero(number < 0)
-            hashed = _Hashes()
-            key[unknown] = [hashed[new[i]] for i in unknown.tolist()]
-            number[unknown] = np.where(_may_have(self.bits, key[unknown]), _RARE, _NONE)
-            self.number, self.key = np.append(self.number, number.astype(np.int32)), np.append(self.key, key)
-        return self.number[at], self.key[at]
+        key = hashes(words).view(np.uint64)
+        at = self.first[key >> self.top]
+        # Keys of a cell are in order: a word's own is there, or a larger one or the end.
+        more = np.flatnonzero((self.key[at] < key) & (at < len(self.key) - 1))
+        while len(more):
+            at[more] += 1
+            more = more[(self.key[at[more]] < key[more]) & (at[more] < len(self.key) - 1)]
+        number = np.where((self.key[at] == key) & (at < len(self.key) - 1), self.number[at], np.int32(_NONE))
+        unknown = np.flatnonzero(number < 0)
+        number[unknown] = np.where(_may_have(self.bits, key[unknown]), _RARE, _NONE)
+        return number, key.view(np.int64)
+
+
+def _words_of(shipped) -> _Words:
+    """The words of a `ship` of (tree, ..., filter of words), opened once per worker process."""
+    if not hasattr(shipped, "words"):
+        model, *_, bits = opened(shipped)
+        shipped.words = _Words(model, np.frombuffer(zlib.decompress(bits), np.uint8))
+    return shipped.words
 
 
 def _dealt(model: SuffixTree, number: np.ndarray, key: np.ndarray, place: np.ndarray, salt: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -624,7 +642,7 @@ def _asked(docs: DataFrame, shipped, entries: DataFrame, range_bits: int, depth:
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, head, _ = opened(shipped)
-        met = _Words(model, _bits_of(shipped))
+        met = _words_of(shipped)
         kept, size, salt = [], 0, None
 
         def sent() -> pd.DataFrame:
@@ -683,13 +701,6 @@ def _pairs(keys: np.ndarray, sub: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return keys[first], sub[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _bits_of(shipped) -> np.ndarray:
-    """The filter that is last in a `ship`, opened once per worker process."""
-    if not hasattr(shipped, "bits"):
-        shipped.bits = np.frombuffer(zlib.decompress(opened(shipped)[-1]), np.uint8)
-    return shipped.bits
-
-
 def _body(number: list[np.ndarray], key: list[np.ndarray], whose: np.ndarray) -> bytes:
     """Places of a hash range: numbers of the word and of those before it in planes of a byte each, hashes of rare words, rows."""
     planes = [(n >> shift).astype(np.uint8).tobytes() for n in number for shift in (0, 8, 16)]
@@ -805,6 +816,7 @@ def _hot(tree: SuffixTree, words: DataFrame, train: DataFrame, range_bits: int,
     entries = [words.filter(F.col("n") < VOCABULARY_SHARE * tree.n).select("gram", "p", F.lit(0.0).alias("value"))]
     often = np.flatnonzero(tree.count >= _HOT_TOKENS)
     hot, n, below = tree.hashes(often), tree.count[often], words
+    hot_words = frozenset(tree.vocabulary[i] for i in often.tolist())
     keys, after = [], []
     head = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
     for length in range(1, depth + 1):
@@ -812,7 +824,7 @@ def _hot(tree: SuffixTree, words: DataFrame, train: DataFrame, range_bits: int,
             break
         order = np.argsort(hot)
         hot, n = hot[order], n[order]
-        counted = landed(_counted_runs(train, length, None, range_bits, hot), "lm-runs")
+        counted = landed(_counted_runs(train, length, None, range_bits, hot, hot_words), "lm-runs")
         totals = F.broadcast(spark.createDataFrame(pd.DataFrame({"context": hot, "total": n})))
         below, contexts = _level(counted, below, totals, landed)
         common = F.col("n") >= HEAD_SHARE * tree.n
@@ -846,8 +858,7 @@ def _scored_by_subtrees(docs: DataFrame, train: DataFrame, tree: SuffixTree, cou
 
     words = landed(_words(counts, tree), "lm-words")
     entries, head = _hot(tree, words, train, range_bits, depth, landed)
-    shipped = ship(spark, (SuffixTree(tree.vocabulary, tree.count, tree.n, tree.distinct, tree.once, [], tree.key, tree.value, tree.after),
-                           head, _filter(words, "gram", range_bits)))
+    shipped = ship(spark, (tree.light(), head, _filter(words, "gram", range_bits)))
     asked = land(_asked(docs, shipped, entries, range_bits, depth), "lm-adds")
     for path in done:
         discard(spark, path)
@@ -860,7 +871,7 @@ def _scored_by_subtrees(docs: DataFrame, train: DataFrame, tree: SuffixTree, cou
     def send(part: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model, *_ = opened(shipped)
-            met = _Words(model, _bits_of(shipped))
+            met = _words_of(shipped)
             log_base, log_root = np.log10(model.base(model.count)), np.log10(model.root(model.count))
             kept, size, first, some = [], 0, None, None
 
