@@ -6,15 +6,17 @@ suffix. Listed words give up DISCOUNT of a count each, and that and everything u
 suffix. The root gives words their share of the tokens, less the share of words seen once for words never seen. Each word is
 scored in the longest retained state.
 
-Levels are Spark tables keyed by 64-bit hashes of word runs, so that they grow with the input; of 2e10 runs about ten pairs share a
-hash and mix their values. The log probability of a text is a sum over its runs: a listed run adds what it has over its suffix (`value` of the
-level), a retained context the log of its spare mass. What makes up HEAD_SHARE of the tokens is sent to tasks, which bounds that
-part; all other runs meet their values by hash range, after a filter of fixed size has let go most that have none. Neither changes a
-result.
-
-Nearly all runs of a corpus occur once. A first pass a level sends 48 bits of each run's hash to its hash range, as sorted gaps of
-about four bytes, and gets a filter of the cells met twice; only runs that pass are sent with their context and suffix and counted.
-Two runs that share 48 bits pass too and are let go by that count. What is written on the way is deleted once it is read.
+`learn_and_score` deals each place of the documents by the last word of its context: all longer contexts over that word are a subtree of
+the tree, so a hash range counts, retains and scores its places by itself. A context that occurs _HOT_TOKENS times is too much for a
+task: such hot contexts are grown as Spark tables a level at a time, their places are dealt by longer contexts, and the subtrees ask for
+what they take from outside, as for the probabilities of rare words. What makes up HEAD_SHARE of the tokens is sent to tasks.
+
+`fit` keeps all levels as Spark tables, for `scored`: common runs are sent to tasks, all others meet their values by hash range, after a filter of
+fixed size has let go most that have none. Runs that occur once are let go by a first pass a level, which sends 48 bits of each
+run's hash as sorted gaps of about four bytes.
+
+Runs and words are known by 64-bit hashes; of 2e10 runs about ten pairs share one and mix their values. What is written on the way
+is deleted once it is read.
 """
 
 from __future__ import annotations
