@@ -30,6 +30,12 @@ def test_depth_boosting_is_registered_with_all_its_rounds(spark, monkeypatch):
     assert SU.SETTINGS["gbt_depth"]["maxIter"] == 600 and SU.SETTINGS["gbt_depth"]["stepSize"] == 0.05 and B.PATIENCE == 50
 
 
+def test_leafwise_boosting_is_registered_with_all_its_rounds(spark, monkeypatch):
+    told = asked(spark, monkeypatch, "gbt_leafwise")
+    assert told["name"] == "gbt_leafwise" and not told.get("overrides") and "patience" not in told
+    assert SU.SETTINGS["gbt_leafwise"]["maxIter"] == 600 and SU.SETTINGS["gbt_leafwise"]["numLeaves"] == 31
+
+
 def test_histograms_added_by_tasks_equal_those_added_by_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = pd.DataFrame(rng.normal(size=(400, 2)), columns=["a", "b"]).assign(label=(rng.random(400) < 0.3).astype(int))
