@@ -4,10 +4,14 @@ import inspect
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from tallyrisk.landing import land
 from tallyrisk.learn import boosting as B
 from tallyrisk.learn import supervised as SU
+from tallyrisk.operators import report as R
 from tallyrisk.plans import model_queries as M
+from tallyrisk.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +40,24 @@ def test_leafwise_boosting_is_registered_with_all_its_rounds(spark, monkeypatch)
     assert SU.SETTINGS["gbt_leafwise"]["maxIter"] == 600 and SU.SETTINGS["gbt_leafwise"]["numLeaves"] == 31
 
 
+def test_anomaly_report_makes_all_sixteen_values(spark, monkeypatch):
+    """They are written, and the query's columns hang on each of them."""
+    data = pd.DataFrame({"label": [0, 1, 0, 1, 0, 0], "seq": range(6), "isolation_forest": [0.2, 0.9, 0.4, 0.3, 0.1, 0.5],
+                         "reconstruction": [2.0, 3.0, 0.5, 2.5, 1.0, float("nan")]})
+    monkeypatch.setattr(M, "_anomalies", lambda *_: spark.createDataFrame(data))
+    landed = {}
+    monkeypatch.setattr(M, "land", lambda df, name, **_: landed.setdefault(name, land(df, name)))
+    registry.load_all()
+    out = registry.QUERIES["anomaly_report"](spark, SF)
+    assert {tuple(r) for r in out.collect()} == {(m, 2, 6, True, True, True) for m in ("isolation_forest", "reconstruction")}
+    assert set(R.REPORT_COLUMNS) <= set(landed["anomaly-report"].columns)
+    sound = landed["anomaly-report"].filter("model = 'isolation_forest'")
+    for name in R.REPORT_COLUMNS:
+        broken = sound.withColumn(name, F.lit(-1).cast(sound.schema[name].dataType) if name not in ("threshold", "cost_threshold") else F.lit(None).cast("double"))
+        row = broken.select(*R.report_checks(F.lit(6))).first()
+        assert not (row["ranking"] and row["rates"] and row["costs"]), name
+
+
 def test_histograms_added_by_tasks_equal_those_added_by_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = pd.DataFrame(rng.normal(size=(400, 2)), columns=["a", "b"]).assign(label=(rng.random(400) < 0.3).astype(int))
