@@ -58,6 +58,26 @@ def test_anomaly_report_makes_all_sixteen_values(spark, monkeypatch):
         assert not (row["ranking"] and row["rates"] and row["costs"]), name
 
 
+def test_the_grid_is_registered_with_the_settings_of_its_models_and_its_whole_report(spark, monkeypatch):
+    told, landed = {}, {}
+    values = dict(pr_auc=0.5, roc_auc=0.9, recall_at_fpr_0_1pct=0.2, recall_at_fpr_1pct=0.4, threshold=0.5, precision=0.5, recall=0.5, f1=0.5, flagged=2, tp=1,
+                  fp=1, fn=1, cost_threshold=0.5, cost_per_10k=350000.0, cost_missed=1, cost_flagged=2)
+    facts = dict(model="gbt_depth", strategy="none", n_train_rows=9, fit_seconds=1.0, best_iteration=3, val_pr_auc=0.5)
+
+    def grid(table, features, **settings):
+        told.update(settings)
+        return spark.createDataFrame([{**facts, **values}]), {}
+
+    monkeypatch.setattr(SU, "model_grid", grid)
+    monkeypatch.setattr(M.W, "transactions", lambda *_: spark.range(6).withColumn("split", F.lit("test")))
+    monkeypatch.setattr(M, "land", lambda df, name, **_: landed.setdefault(name, land(df, name)))
+    registry.load_all()
+    row = registry.QUERIES["model_grid"](spark, SF).first()
+    assert not told.get("overrides") and set(R.REPORT_COLUMNS) | {"val_pr_auc", "fit_seconds", "best_iteration"} <= set(landed["grid"].columns)
+    assert row["on_val"] and row["ranking"] and row["rates"] and row["positives"] == 2
+    assert not row["costs"]  # 350,000 a 10,000 rows is more than flagging all
+
+
 def test_histograms_added_by_tasks_equal_those_added_by_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = pd.DataFrame(rng.normal(size=(400, 2)), columns=["a", "b"]).assign(label=(rng.random(400) < 0.3).astype(int))
