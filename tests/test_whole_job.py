@@ -1,6 +1,7 @@
 """Registered model queries do the whole of what they name."""
 
 import inspect
+import math
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,30 @@ def test_the_grid_is_registered_with_the_settings_of_its_models_and_its_whole_re
     assert not row["costs"]  # 350,000 a 10,000 rows is more than flagging all
 
 
+def test_fits_that_share_their_start_equal_fits_of_their_own(spark):
+    rng = np.random.default_rng(8)
+    data = pd.DataFrame(rng.normal(size=(500, 2)).round(1), columns=["a", "b"]).assign(weight=1.0)
+    data["label"] = ((data["a"] > 0.3) & (rng.random(500) < 0.6)).astype(int)
+    frame = spark.createDataFrame(data)
+    start = B.Binned(frame, frame, ["a", "b"])
+    for growth in (B.Growth(leaves=5, row_share=0.8), B.Growth(depth=3, step=0.3)):
+        shared, own = (B.Boosting(frame, frame, ["a", "b"], growth, start=s).run(4, None, block=2) for s in (start, None))
+        assert shared.measures == own.measures and all(np.array_equal(a.value, b.value) for a, b in zip(shared.trees, own.trees))
+    start.close()
+
+
+def test_many_equal_rows_are_drawn_by_the_binomial_law():
+    key = np.random.default_rng(6).integers(-(1 << 62), 1 << 62, 40_000)
+    count = np.where(np.arange(40_000) % 2 == 0, 40, 100_000)
+    taken = B.drawn(key, count, 3, 2, 0.8)
+    for n in (40, 100_000):
+        mine = taken[count == n]
+        assert abs(mine.mean() - 0.8 * n) < 4 * (0.16 * n / 20_000) ** 0.5 and abs(mine.var() / (0.16 * n) - 1) < 0.05 and mine.max() <= n
+    first, steps = B._binomial(20, 0.3)
+    assert first == 0 and np.allclose(steps, np.cumsum([math.comb(20, k) * 0.3 ** k * 0.7 ** (20 - k) for k in range(21)]))
+    assert np.array_equal(B.drawn(key[::-1], count[::-1], 3, 2, 0.8)[::-1], taken)
+
+
 def test_histograms_added_by_tasks_equal_those_added_by_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = pd.DataFrame(rng.normal(size=(400, 2)), columns=["a", "b"]).assign(label=(rng.random(400) < 0.3).astype(int))
