@@ -79,6 +79,23 @@ def test_the_grid_is_registered_with_the_settings_of_its_models_and_its_whole_re
     assert not row["costs"]  # 350,000 a 10,000 rows is more than flagging all
 
 
+def test_the_grid_scores_later_rows_in_one_reading(spark, plain, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = pd.DataFrame(rng.normal(size=(900, 2)).round(1), columns=["a", "b"]).assign(seq=np.arange(900))
+    data["label"] = ((data["a"] > 0.5) & (rng.random(900) < 0.7)).astype(int)
+    data["split"] = np.select([data["seq"] < 500, data["seq"] < 700], ["train", "val"], "test")
+    landed = {}
+    monkeypatch.setattr(SU, "land", lambda df, name, *a, **k: landed.setdefault(name, land(df, name, *a, **k)))
+    quick = {"logreg": {"maxIter": 20}, "random_forest": {"numTrees": 5, "maxDepth": 3}, "gbt_depth": {"maxIter": 2}}
+    grid, fitted = SU.model_grid(spark.createDataFrame(data), ["a", "b"], models=list(quick), strategies=["none", "weights"], overrides=quick)
+    assert landed["grid-scores"].count() == 400 and len(landed["grid-scores"].columns) == 2 + 6
+    test = data[data["split"] == "test"]
+    for r in grid.collect():
+        scores = fitted[r["model"], r["strategy"]].score(spark.createDataFrame(test)).toPandas().sort_values("seq")["score"].to_numpy()
+        assert r["pr_auc"] == round(plain.pr_auc(test["label"].to_numpy(), scores), 4) and r["tp"] + r["fn"] == test["label"].sum()
+    assert grid.count() == 6
+
+
 def test_fits_that_share_their_start_equal_fits_of_their_own(spark):
     rng = np.random.default_rng(8)
     data = pd.DataFrame(rng.normal(size=(500, 2)).round(1), columns=["a", "b"]).assign(weight=1.0)
